@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -91,14 +91,23 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = (5, 2, 1),
     return outside.unionByName(at_cut).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
 
 
-def repeat_rows(docs: DataFrame, taken: Column, size: Column, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """The mixed rows: each document as many whole times as ``taken`` holds ``size``, then its first words for the rest."""
-    whole = F.when(size > 0, F.floor(taken / size)).otherwise(F.lit(0)).cast("int")
-    rest = F.when(size > 0, taken % size).otherwise(F.lit(0)).cast("int")
-    # the text up to the end of its rest-th word
-    start = F.regexp_extract(F.col(text), F.lit(r"^[\x20\x09-\x0D]*"), 0)
-    words = F.regexp_extract_all(F.col(text), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    head = F.rtrim(F.concat(start, F.array_join(F.slice(words, F.lit(1), rest), "")))
-    copies = F.concat(F.array_repeat(F.col(text), whole), F.when(rest > 0, F.array(head)).otherwise(F.array().cast("array<string>")))
-    out = docs.withColumn("_copy", F.explode(copies)).withColumn(text, F.col("_copy")).drop("_copy")
-    return out.withColumn(n_chars, F.char_length(text).cast("long")) if n_chars in docs.columns else out
+def mixed(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
+    """The mixed rows, with the columns of ``docs``: each document as many whole times as it is taken, then its first words for the rest.
+
+    Documents of size 0 take nothing and go. Rows that repeat a doc_id and text are taken as often as
+    there are such rows. ``n_chars`` follows the text.
+    """
+    share = mix(docs, scratch, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "taken")
+    # rows of one id, source and size are equal to the mix: they share the sum
+    share = share.groupBy("_id", "_source", "_size").agg(F.floor(F.avg("taken")).cast("long").alias("_taken")).where("_taken > 0")
+    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.withColumn("_n", size).join(share, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
+    whole, rest = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
+    lead = F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0)
+    pieces = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    head = F.regexp_replace(F.concat(lead, F.array_join(F.slice(pieces, F.lit(1), rest), "")), r"[\x20\x09-\x0D]+$", "")
+    copies = F.concat(F.array_repeat(F.col("text"), whole), F.when(rest > 0, F.array(head)).otherwise(F.array().cast("array<string>")))
+    out = rows.withColumn("_copy", F.explode(copies)).withColumn("text", F.col("_copy"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, mixing, quality, token_counts, token_output, toxicity
+from quillspark.llm import decontaminate, mixing, ngram_join, nn_descent, quality, substring_index, suffix_array, token_counts, token_output, toxicity
 from quillspark.llm.scratch import Scratch
 
 END_ID = 2
@@ -26,6 +26,18 @@ def remainder(n: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.NgramJoin(table(spark, sf_dir, "documents"), Scratch(spark, "op1"), 4, 85).run()
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_index.dedup(table(spark, sf_dir, "documents"), Scratch(spark, "op2")).drop("kept_text")
+
+
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.dedup(table(spark, sf_dir, "documents"), Scratch(spark, "op3")).drop("kept")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -59,4 +71,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op5_quality, op6_mixing, op7_token_output, op8_decontamination, op9_toxicity)}
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.NnDescent(table(spark, sf_dir, "embeddings"), Scratch(spark, "op10"), 0.93).run()
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_substring_dedup, op3_suffix_array, op4_token_counts, op5_quality, op6_mixing, op7_token_output, op8_decontamination, op9_toxicity, op10_embedding_near_dedup)}

@@ -165,19 +165,21 @@ class ToxicityModel:
         return _sigmoid(np.bincount(doc, weights=self.weights[f], minlength=off.size - 1) + self.bias)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, columns: list[str] | None = None, text: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, model: ToxicityModel, columns: list[str] | None = None, text: str = "text", keep_text: str | None = None) -> DataFrame:
     """The given columns (none: doc_id) and ``score`` of every row, in its own partition.
 
     Null and empty texts have no words and get the score of the bias. The model is 1 MB.
     """
     columns = columns or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(columns).schema
+    read = docs.select(*columns) if keep_text in columns else docs.select(*columns, F.col(text).alias("_t"))
+    at = columns.index(keep_text) if keep_text in columns else len(columns)
+    schema = docs.select(columns).schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [shared.value.score(buf, off) for _, _, buf, off in chunks(batch.column(len(columns)))]
+            scores = [shared.value.score(buf, off) for _, _, buf, off in chunks(batch.column(at))]
             out = [batch.column(i) for i in range(len(columns))] + [pa.array(np.concatenate(scores) if scores else np.zeros(0))]
             yield pa.RecordBatch.from_arrays(out, names=[*columns, "score"])
 
-    return docs.select(*columns, F.coalesce(F.col(text), F.lit("")).alias("_t")).mapInArrow(run, schema.add("score", "double"))
+    return read.mapInArrow(run, schema)
