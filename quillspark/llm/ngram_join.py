@@ -4,11 +4,10 @@
    all documents, tells frequent from rare ones. Documents with equal sets are one class from here on.
 2. A shingle's key is its count in the high 16 bits and its hash in the low 48, so sorting a set by key
    puts rare shingles first. A pair with Jaccard >= t shares one of the first n - ceil(t n) + 1 keys.
-3. Classes that share a prefix key are first compared with the smallest and the largest class of
-   that key, which is linear in a group of copies; pairs that these links already connect need no
-   comparison. All remaining pairs of a key are then joined. Length and positional filters are join
-   conditions, the suffix filter compares 32-bin histograms of the sets, and each pair that is left is
-   verified once on the sets.
+3. While the keys leave many pairs, each class is compared with two others for a few of its keys only,
+   which is linear in a group of copies, and what these links connect needs no comparison any more.
+   Then all remaining pairs of a key are joined. Length and positional filters are join conditions, the
+   suffix filter compares 32-bin histograms of the sets, and each pair that is left is verified once.
 """
 
 from __future__ import annotations
@@ -32,6 +31,9 @@ MOST = 65535
 BINS = 32
 #: log2 of the bits of the filter that picks the documents whose sets are needed: 8 MB.
 FILTER_BITS = 26
+#: While more pairs than this for each posting are unconnected, classes are compared with few others first.
+PAIRS_PER_ROW = 3
+STAR_ROUNDS, STAR_KEYS = 3, 5
 _BLOCK = 4096
 
 
@@ -184,11 +186,15 @@ def _verify(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _may_link(n1: str, p1: str, n2: str, p2: str, percent: int) -> Column:
-    """Length filter, and positional filter for a pair whose first common key stands at p1 and p2."""
-    x, y, i, j = F.col(n1).cast("long"), F.col(n2).cast("long"), F.col(p1), F.col(p2)
-    length = F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    return length & ((F.least(x - i, y - j)) * (100 + percent) >= (x + y) * percent)
+def _length(n1: str, n2: str, percent: int) -> Column:
+    """Length filter."""
+    return F.least(n1, n2).cast("long") * 100 >= F.greatest(n1, n2).cast("long") * percent
+
+
+def _positional(n1: str, p1: str, n2: str, p2: str, percent: int) -> Column:
+    """Positional filter for a pair whose first common key stands at p1 and p2."""
+    x, y = F.col(n1).cast("long"), F.col(n2).cast("long")
+    return F.least(x - F.col(p1), y - F.col(p2)) * (100 + percent) >= (x + y) * percent
 
 
 class NgramJoin:
@@ -214,49 +220,67 @@ class NgramJoin:
         classes = scratch.save(ids.where("n > 0").groupBy("d", "d2", "n").agg(F.min("doc_id").alias("rep")), "classes")
         shared = scratch.save(self._shared_keys(bool((table >= MOST).any())), "shared")
         reps = classes.select("d", "rep")
-        star = self._candidates(shared.select(F.col("d").alias("x"), F.col("lo.d").alias("y"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("lo.n").alias("ny"), F.col("lo.pos").alias("py")).union(shared.select("d", "hi.d", "n", "pos", "hi.n", "hi.pos")).where("x != y"), reps)
-        star = scratch.save(star, "star")
-        links = scratch.save(self._links(star, "star"), "star-links")
-        linked = components(links, scratch, "star-cc")
-        # pairs of a key that the links so far do not connect
-        label = reps.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("d", F.coalesce("component", "rep").alias("c"))
-        rest = scratch.save(shared.select("key", "d", "n", "pos").distinct().join(label, "d"), "rest")
-        split = scratch.save(rest.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 != c2").select("key"), "split")
-        rest = rest.join(split, "key", "left_semi")
-        x = rest.select("key", F.col("d").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("c").alias("cx"))
-        y = rest.select("key", F.col("d").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("c").alias("cy"))
-        pairs = x.join(y, "key").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")))
-        more = scratch.save(self._candidates(pairs, reps).join(star, ["a", "b"], "left_anti"), "more")
-        scratch.drop("rest", "split", "shared")
-        if more.isEmpty():
-            every = links
-        else:
-            every = links.union(scratch.save(self._links(more, "more"), "more-links"))
+        tried = links = None
+        label = reps.select("d", F.col("rep").alias("c"))
+        for k in range(STAR_ROUNDS + 1):
+            rest = scratch.save(shared.join(label, "d"), f"rest-{k}")
+            size = rest.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
+            split = scratch.save(size.where("pairs > 0").select("key", "n", "pairs"), f"split-{k}")
+            rows, pairs = split.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0.0))).first()
+            rest = rest.join(split.select("key"), "key", "left_semi")
+            whole = k == STAR_ROUNDS or pairs <= PAIRS_PER_ROW * rows
+            # the positional filter holds for a pair's first common key, which a star need not have
+            new = self._candidates(self._all_pairs(rest).where(_positional("nx", "px", "ny", "py", self.percent)) if whole else self._star_pairs(rest, k), reps)
+            new = scratch.save(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), f"pairs-{k}")
+            found = scratch.save(self._links(new, f"links-{k}"), f"links-{k}")
+            links = found if links is None else links.union(found)
+            tried = new if tried is None else tried.union(new)
+            scratch.drop(f"rest-{k}", f"split-{k}", f"links-{k}-sets")
+            if whole:
+                break
+            linked = components(links, scratch, f"star-{k}")
+            label = reps.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("d", F.coalesce("component", "rep").alias("c"))
+        scratch.drop("shared")
         # rows that repeat a doc_id join its sets' classes
         again = ids.where("n > 0").groupBy("doc_id").agg(F.min("d").alias("d1"), F.max("d").alias("d2")).where("d1 != d2").select("doc_id").join(ids, "doc_id").where("n > 0").join(classes, ["d", "d2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-        nodes = components(every.union(again), scratch, "cc")
+        nodes = components(links.union(again), scratch, "cc")
         top = classes.join(nodes.withColumnRenamed("node", "rep"), "rep", "left").select("d", "d2", "n", F.coalesce("component", "rep").alias("component"))
         full = ids.where("n > 0").join(top, ["d", "d2", "n"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
         return full.union(ids.where("n = 0").select("doc_id", F.lit(0).cast("long"), F.col("doc_id")))
 
     def _shared_keys(self, hot: bool) -> DataFrame:
-        """Prefix postings of the keys that two classes have, with the key's smallest and largest class.
+        """Prefix postings of the keys that two classes have, each once.
 
         A key under MOST has fewer than MOST postings, as the counters never fall short; if a key may
         have more, minimum and maximum are combined before the shuffle and joined back instead.
         """
         p = _postings(self.docs, self.n, self.percent, self.sketch)
-        own = F.struct("d", "n", "pos")
         if hot:
             p = self.scratch.save(p, "postings")
-            ends = p.groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo.d != hi.d")
-            return p.join(ends, "key")
+            ends = p.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo != hi").select("key")
+            return p.join(ends, "key").distinct()
         w = W.partitionBy("key")
-        return p.withColumn("lo", F.min(own).over(w)).withColumn("hi", F.max(own).over(w)).where("lo.d != hi.d")
+        return p.withColumn("lo", F.min("d").over(w)).withColumn("hi", F.max("d").over(w)).where("lo != hi").drop("lo", "hi").distinct()
+
+    def _star_pairs(self, rest: DataFrame, seed: int) -> DataFrame:
+        """Each class with two of other components, chosen by a hash, for a few of its keys: linear in the rows."""
+        own = F.struct(F.xxhash64("d", "key", F.lit(seed)).alias("h"), "c", "d", "n", "pos")
+        ends = rest.groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi"))
+        rows = rest.join(ends, "key")
+        rows = rows.select("d", "c", "n", "pos", F.explode(F.array("lo", "hi")).alias("y"), F.xxhash64("key", F.lit(seed)).alias("h")).where("c != y.c")
+        picks = [f(F.struct(F.xxhash64("h", F.lit(k)), "n", "pos", "y")).alias(f"p{k}{f.__name__}") for k in range(STAR_KEYS) for f in (F.min, F.max)]
+        picked = rows.groupBy("d").agg(*picks).select("d", F.explode(F.array(*[f"p{k}{f}" for k in range(STAR_KEYS) for f in ("min", "max")])).alias("p"))
+        return picked.select(F.col("d").alias("x"), F.col("p.y.d").alias("y"), F.col("p.n").alias("nx"), F.col("p.pos").alias("px"), F.col("p.y.n").alias("ny"), F.col("p.y.pos").alias("py"))
+
+    def _all_pairs(self, rest: DataFrame) -> DataFrame:
+        """Every two classes of a key that the links so far do not connect."""
+        x = rest.select("key", F.col("d").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("c").alias("cx"))
+        y = rest.select("key", F.col("d").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("c").alias("cy"))
+        return x.join(y, "key").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")))
 
     def _candidates(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-        """Distinct pairs of representatives (a < b) that pass the length and positional filters."""
-        pairs = pairs.where(_may_link("nx", "px", "ny", "py", self.percent)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        """Distinct pairs of representatives (a < b) that pass the length filter."""
+        pairs = pairs.where(_length("nx", "ny", self.percent)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         pairs = pairs.join(reps.select(F.col("d").alias("x"), F.col("rep").alias("a")), "x").join(reps.select(F.col("d").alias("y"), F.col("rep").alias("b")), "y")
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
 
