@@ -165,7 +165,7 @@ def judge(fp: np.ndarray, ck: np.ndarray, n: np.ndarray, payload: list[bytes], p
         cut = (k > 0 and fp[shards[k - 1][-1]] == fp[rows[0]]) or (k + 1 < len(shards) and fp[shards[k + 1][0]] == fp[rows[-1]])
         if cut:
             edge = np.isin(fp[rows], [fp[rows[0]], fp[rows[-1]]])
-            text = np.concatenate([np.append(p, 0) for p in pieces])
+            text = np.concatenate([np.append(p, np.uint8(0)) for p in pieces])
             mine = np.repeat(edge, n[rows])
             where = take[mine]
             order = np.argsort(np.argsort(sa)[where])  # in the order of the suffix array
