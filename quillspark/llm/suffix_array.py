@@ -27,20 +27,20 @@ SHARD_SYMBOLS = (1 << 21) - 2
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Sorted suffixes of an integer text whose last symbol occurs once, by rank doubling on the unsorted alone.
+    """Sorted suffixes of a text of symbols under 511, by rank doubling on the unsorted alone.
 
     Only groups of equal rank are sorted again; a group's rank is the index of its end, as in Larsson
     and Sadakane's algorithm, so settled suffixes keep theirs. Keys and positions are packed into one
-    word so that a plain sort orders them.
+    word so that a plain sort orders them. A suffix that ends sorts ahead of one that goes on.
     """
     n = text.size
     if n > SHARD_SYMBOLS:
         raise ValueError("a shard is limited to two million symbols")
     low = U((1 << 21) - 1)
-    pos = np.arange(n, dtype=U)
-    two = np.zeros(n, dtype=U)
-    two[:-1] = text[1:].astype(U) + U(1)
-    packed = np.sort((text.astype(U) << U(38)) | (two << U(21)) | pos)
+    ahead = np.zeros(n + 3, dtype=U)
+    ahead[:n] = text.astype(U) + U(1)
+    packed = (ahead[:n] << U(27)) | (ahead[1 : n + 1] << U(18)) | (ahead[2 : n + 2] << U(9)) | ahead[3:]
+    packed = np.sort((packed << U(21)) | np.arange(n, dtype=U))
     sa = (packed & low).astype(np.int64)
     key = packed >> U(21)
     rank = np.zeros(n + 1, dtype=np.int64)
@@ -49,13 +49,13 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         """Ranks the suffixes that stand at these places; returns those not alone."""
         last = np.append(key[1:] != key[:-1], True)
         ends = np.flatnonzero(last)
-        group = np.searchsorted(ends, np.arange(at.size))
+        group = np.cumsum(last) - last
         rank[sa[at]] = at[ends[group]] + 1
         alone = last & np.append(True, last[:-1])
         return at[~alone]
 
     at = assign(np.arange(n), key)
-    h = 2
+    h = 4
     while at.size:
         here = sa[at]
         follow = rank[np.minimum(here + h, n)]
@@ -83,7 +83,7 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(fresh)
     value = np.zeros(at.size, dtype=np.int64)
     live = np.flatnonzero(before[at] >= 0)
-    padded = np.append(text, -1)
+    padded = np.append(text, np.int16(-1))
     while live.size:
         a, b = at[live] + value[live], before[at[live]] + value[live]
         same = padded[np.minimum(a, n)] == padded[np.minimum(b, n)]
@@ -100,12 +100,12 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
 def _repeats(pieces: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Flags by byte of the joined pieces: does the window that starts there occur twice; also sa and lcp."""
     size = np.array([p.size + 1 for p in pieces])
-    text = np.empty(int(size.sum()), dtype=np.int64)
+    text = np.empty(int(size.sum()), dtype=np.int16)
     ends = np.cumsum(size) - 1
     inner = np.ones(text.size, dtype=bool)
     inner[ends] = False
     text[inner] = np.concatenate(pieces)
-    text[ends] = 256 + np.arange(len(pieces))  # each piece ends with a symbol of its own
+    text[ends] = 256  # no window of a piece holds the symbol that ends it, so none matches across pieces
     sa = suffix_array(text)
     lcp = common_prefixes(text, sa)
     near = lcp >= length
