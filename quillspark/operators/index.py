@@ -76,9 +76,13 @@ def statistics(length_rows: DataFrame) -> DataFrame:
     return length_rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total_len")).withColumn("avgdl", F.when(F.col("n") > 0, F.col("total_len") / F.col("n")).otherwise(0.0))
 
 
-def build_index(docs: DataFrame, stemmed: bool = True) -> Index:
-    """Indexes documents with distinct ids (see :func:`insert` for repeated ones)."""
+def build_index(docs: DataFrame, stemmed: bool = True, keep=None) -> Index:
+    """Indexes documents with distinct ids (see :func:`insert` for repeated ones).
+
+    ``keep``: a storage level for the analysed texts, which postings, lengths and words all read.
+    """
     a = analyzed(docs, stemmed)
+    a = a.persist(keep) if keep is not None else a
     rows = lengths(a)
     n, total, _ = statistics(rows).first()
     return Index(docs, postings(a), rows, vocabulary(a), n, total, stemmed)

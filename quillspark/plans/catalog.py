@@ -22,7 +22,11 @@ FUZZY = "tionthing"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.from_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # a single small file would be a single task
+        rows = rows.repartition(cores)
+    return corpus.from_table(rows, "doc_id", "text")
 
 
 def index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> ix.Index:
@@ -31,7 +35,7 @@ def index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> ix.Index:
     if key not in _CACHE or _CACHE[key].docs.sparkSession is not spark:
         from pyspark import StorageLevel
 
-        got = ix.build_index(documents(spark, sf_dir), stemmed)
+        got = ix.build_index(documents(spark, sf_dir), stemmed, StorageLevel.DISK_ONLY)
         got.postings = got.postings.persist(StorageLevel.DISK_ONLY)
         got.words = got.words.persist(StorageLevel.DISK_ONLY)
         _CACHE[key] = got
@@ -43,7 +47,7 @@ def _ranked(found: DataFrame, offset: int = 0, size: int = 10) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = se.search(ix.build_index(documents(spark, sf_dir)), 'reering "er ble" anon', fuzzy=True).hits
+    hits = se.search(ix.build_index(documents(spark, sf_dir)), 'reering "er" anon ention', fuzzy=True).hits
     return hits.select("id", "title", "score", plain(F.col("snippet")).alias("snippet"))
 
 
