@@ -88,7 +88,7 @@ def test_fuzzy_and_prefix(small):
 def test_proximity_formula(spark):
     from pyspark.sql import functions as F
 
-    cases = [([[1, 9], [10]], 1.0), ([[1], [5]], 1 / 3), ([[1], []], 0.0), ([[4], [4]], 1.0), ([[1], [2], [3]], 2.0)]
+    cases = [([[1, 9], [10]], 1.0), ([[1], [5]], 1 / 4), ([[1], []], 0.0), ([[4], [4]], 1.0), ([[1], [2], [3]], 2.0)]
     df = spark.createDataFrame([(c,) for c, _ in cases], "g array<array<int>>")
     assert [r[0] for r in df.select(search.proximity(F.col("g"))).collect()] == [w for _, w in cases]
 
