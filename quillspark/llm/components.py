@@ -10,31 +10,40 @@ from quillspark.llm.scratch import Scratch
 MAX_ROUNDS = 60
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(node, component) for every node of ``edges`` (a, b): component is the smallest node reachable.
+def contract(edges: DataFrame, scratch: Scratch, name: str, most: int | None = None) -> DataFrame:
+    """Edges (a > b) that connect the same nodes as ``edges`` (a, b), nearer to one star a component.
 
     Each round links every node's larger neighbours, then its smaller ones, to the smallest it knows,
-    until only stars are left, in about log(n) rounds. A round is a minimum by node, combined before
-    the shuffle, and a join that Spark can split where a node has very many neighbours; edges are
-    written between rounds, so nothing but a row count and a checksum comes to the driver.
+    until only stars are left, in about log(n) rounds, or for ``most`` rounds. A round is a minimum by
+    node, combined before the shuffle, and a join that Spark can split where a node has very many
+    neighbours; edges are written between rounds, so nothing but a row count and a checksum comes to
+    the driver.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
     e = scratch.save(e, f"{name}-0")
     before = None
-    for k in range(1, MAX_ROUNDS + 1):
+    for k in range(1, (most or MAX_ROUNDS) + 1):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        # repeats go in the second half's minimum and in the distinct at the end
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         # smaller neighbours and the node itself go to the smallest
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(low.select("a", F.col("m").alias("b"))).distinct()
-        new = scratch.save(small, f"{name}-{k}")
-        state = tuple(new.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
+        e = scratch.save(small, f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}")
-        e = new
-        if state == before:
-            break
-        before = state
+        if most is None:
+            state = tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
+            if state == before:
+                break
+            before = state
     else:
-        raise RuntimeError(f"components didn't settle in {MAX_ROUNDS} rounds")
+        if most is None:
+            raise RuntimeError(f"components didn't settle in {MAX_ROUNDS} rounds")
+    return e
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(node, component) for every node of ``edges`` (a, b): component is the smallest node reachable."""
+    e = contract(edges, scratch, name)
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillspark.llm.components import components
+from quillspark.llm.components import components, contract
 from quillspark.llm.scratch import Scratch, bit_test, bitmap
 from quillspark.llm.textarrays import U, chunks, mix, rolling, span_hashes, words
 
@@ -34,6 +34,8 @@ FILTER_BITS = 26
 #: While more pairs than this for each posting are unconnected, classes are compared with few others first.
 PAIRS_PER_ROW = 3
 STAR_ROUNDS, STAR_KEYS = 3, 5
+#: Rounds of contraction between them: what stays unconnected by then is only compared once more than needed.
+CONTRACT_ROUNDS = 2
 _BLOCK = 4096
 
 
@@ -233,13 +235,15 @@ class NgramJoin:
             new = self._candidates(self._all_pairs(rest).where(_positional("nx", "px", "ny", "py", self.percent)) if whole else self._star_pairs(rest, k), reps)
             new = scratch.save(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), f"pairs-{k}")
             found = scratch.save(self._links(new, f"links-{k}"), f"links-{k}")
-            links = found if links is None else links.union(found)
+            links = found if links is None else links.union(found)  # contracted links still connect the same classes
             tried = new if tried is None else tried.union(new)
             scratch.drop(f"rest-{k}", f"split-{k}", f"links-{k}-sets")
             if whole:
                 break
-            linked = components(links, scratch, f"star-{k}")
-            label = reps.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("d", F.coalesce("component", "rep").alias("c"))
+            links = contract(links, scratch, f"star-{k}", CONTRACT_ROUNDS)
+            # equal labels are connected, connected classes may still have different ones
+            own = links.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("c"))
+            label = reps.join(own, "rep", "left").select("d", F.coalesce("c", "rep").alias("c"))
         scratch.drop("shared")
         # rows that repeat a doc_id join its sets' classes
         again = ids.where("n > 0").groupBy("doc_id").agg(F.min("d").alias("d1"), F.max("d").alias("d2")).where("d1 != d2").select("doc_id").join(ids, "doc_id").where("n > 0").join(classes, ["d", "d2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
