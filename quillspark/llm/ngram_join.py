@@ -34,8 +34,6 @@ FILTER_BITS = 26
 #: While more pairs than this for each posting are unconnected, classes are compared with few others first.
 PAIRS_PER_ROW = 3
 STAR_ROUNDS, STAR_KEYS = 3, 5
-#: Rounds of contraction between them: what stays unconnected by then is only compared once more than needed.
-CONTRACT_ROUNDS = 2
 _BLOCK = 4096
 
 
@@ -240,9 +238,8 @@ class NgramJoin:
             scratch.drop(f"rest-{k}", f"split-{k}", f"links-{k}-sets")
             if whole:
                 break
-            links = contract(links, scratch, f"star-{k}", CONTRACT_ROUNDS)
-            # equal labels are connected, connected classes may still have different ones
-            own = links.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("c"))
+            links = contract(links, scratch, f"star-{k}")
+            own = links.select(F.col("a").alias("rep"), F.col("b").alias("c"))
             label = reps.join(own, "rep", "left").select("d", F.coalesce("c", "rep").alias("c"))
         scratch.drop("shared")
         # rows that repeat a doc_id join its sets' classes
