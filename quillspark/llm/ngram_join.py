@@ -221,6 +221,7 @@ class NgramJoin:
         shared = scratch.save(self._shared_keys(bool((table >= MOST).any())), "shared")
         reps = classes.select("d", "rep")
         tried = links = None
+        before = float("inf")
         label = reps.select("d", F.col("rep").alias("c"))
         for k in range(STAR_ROUNDS + 1):
             rest = scratch.save(shared.join(label, "d"), f"rest-{k}")
@@ -228,7 +229,9 @@ class NgramJoin:
             split = scratch.save(size.where("pairs > 0").select("key", "n", "pairs"), f"split-{k}")
             rows, pairs = split.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0.0))).first()
             rest = rest.join(split.select("key"), "key", "left_semi")
-            whole = k == STAR_ROUNDS or pairs <= PAIRS_PER_ROW * rows
+            # where a star round left over a quarter, what is left is mostly pairs that do not link
+            whole = k == STAR_ROUNDS or pairs <= PAIRS_PER_ROW * rows or 4 * pairs > before
+            before = pairs
             # the positional filter holds for a pair's first common key, which a star need not have
             new = self._candidates(self._all_pairs(rest).where(_positional("nx", "px", "ny", "py", self.percent)) if whole else self._star_pairs(rest, k), reps)
             new = scratch.save(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), f"pairs-{k}")
@@ -264,9 +267,15 @@ class NgramJoin:
         return p.withColumn("lo", F.min("d").over(w)).withColumn("hi", F.max("d").over(w)).where("lo != hi").drop("lo", "hi").distinct()
 
     def _star_pairs(self, rest: DataFrame, seed: int) -> DataFrame:
-        """Each class with two of other components, chosen by a hash, for a few of its keys: linear in the rows."""
-        own = F.struct(F.xxhash64("d", "key", F.lit(seed)).alias("h"), "c", "d", "n", "pos")
-        ends = rest.groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi"))
+        """Each class with two of other components for a few of its keys: linear in the rows.
+
+        One is chosen by a hash. The other has the fewest rarer keys before the common one: of a group
+        of copies that is the least edited one, which most of the others are near to.
+        """
+        h = F.xxhash64("d", "key", F.lit(seed)).alias("h")
+        own = F.struct(F.lit(0).alias("first"), h, "c", "d", "n", "pos")
+        least = F.struct(F.col("pos").alias("first"), h, "c", "d", "n", "pos")
+        ends = rest.groupBy("key").agg(F.min(least).alias("lo"), F.max(own).alias("hi"))
         rows = rest.join(ends, "key")
         rows = rows.select("d", "c", "n", "pos", F.explode(F.array("lo", "hi")).alias("y"), F.xxhash64("key", F.lit(seed)).alias("h")).where("c != y.c")
         picks = [f(F.struct(F.xxhash64("h", F.lit(k)), "n", "pos", "y")).alias(f"p{k}{f.__name__}") for k in range(STAR_KEYS) for f in (F.min, F.max)]
