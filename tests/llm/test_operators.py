@@ -41,7 +41,9 @@ def docs(spark, rows):
     return spark.createDataFrame(rows, SCHEMA).repartition(5)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("edges", [500_000, 8])
+def test_components(spark, monkeypatch, edges):
+    monkeypatch.setattr("quillspark.llm.components.TASK_EDGES", edges)  # 8: several tasks, then star rounds
     chain = [(k, k + 1) for k in range(30)] + [(40, 41), (50, 40), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long"), Scratch(spark, "t"), "c").collect()}
     assert {got[k] for k in range(31)} == {0} and {got[k] for k in (40, 41, 50)} == {40}
