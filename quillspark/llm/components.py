@@ -97,5 +97,9 @@ def contract(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): component is the smallest node reachable."""
-    e = contract(edges, scratch, name)
+    return members(contract(edges, scratch, name))
+
+
+def members(e: DataFrame) -> DataFrame:
+    """(node, component) for every node of the stars that :func:`contract` gives."""
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -3,6 +3,8 @@
 A neighbour graph starts from random-projection cells, then each round compares neighbours of
 neighbours: pairs that meet at a common neighbour pass a 64-bit sign sketch, and those left get their
 exact cosine. Lists hold K neighbours; a list whose K all pass the threshold is saturated and grows.
+Lists only steer the descent: every pair found at the threshold or above, in a list or not, is contracted
+into the components.
 When no more threshold edges turn up, recall is audited by an exact search for a bounded set of
 queries, and more cells are tried if it is low. Edges at the threshold or above give the components, and
 within a component, where saturated lists end up, links are counted exactly in blocks.
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quillspark.llm.components import components
+from quillspark.llm.components import _stars, contract, members
 from quillspark.llm.scratch import Scratch
 
 K = 10
@@ -65,8 +67,11 @@ def valid_vectors(vectors: DataFrame, vec_id: str, embedding: str, label: str) -
     return vectors.select(F.col(vec_id).cast("long"), F.col(label).cast("string"), F.col(embedding).cast("array<float>")).mapInArrow(run, "id long, label string, dim int, vec binary, sketch long")
 
 
-def _near(table: pa.Table) -> pa.Table:
-    """The K nearest of each vector among those of its cell."""
+def _near(table: pa.Table, threshold: float) -> pa.Table:
+    """The K nearest of each vector among those of its cell, and the cell's links.
+
+    Links are the stars of all pairs at the threshold or above, as rows without a cosine.
+    """
     n = table.num_rows
     ids, x = table.column("id").to_numpy(), _matrix(table.column("vec").combine_chunks())
     sketch = table.column("sketch").to_numpy()
@@ -74,9 +79,10 @@ def _near(table: pa.Table) -> pa.Table:
     np.fill_diagonal(sim, -2)
     k = min(K, n - 1)
     near = np.argpartition(-sim, k - 1, axis=1)[:, :k] if k else np.zeros((n, 0), np.int64)
-    u = np.repeat(np.arange(n), k)
-    v = near.reshape(-1)
-    return pa.table({"u": ids[u], "su": sketch[u], "v": ids[v], "sv": sketch[v], "sim": sim[u, v]})
+    a, b = _stars(*np.nonzero(np.triu(sim >= threshold, 1)))
+    u = np.append(np.repeat(np.arange(n), k), a)
+    v = np.append(near.reshape(-1), b)
+    return pa.table({"u": ids[u], "su": sketch[u], "v": ids[v], "sv": sketch[v], "sim": pa.array(sim[u, v], mask=np.arange(u.size) >= n * k)})
 
 
 EDGE = "u long, su long, v long, sv long, sim double"
@@ -117,7 +123,8 @@ class NnDescent:
         own = ["label", "dim", "tree", "cell"]
         parts = cells.groupBy(*own).agg(F.ceil(F.count("*") / CELL_MOST).alias("parts"))
         cells = cells.join(parts, own).withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.col("parts")))
-        return cells.groupBy(*own, "part").applyInArrow(_near, EDGE)
+        least = self.threshold
+        return cells.groupBy(*own, "part").applyInArrow(lambda table: _near(table, least), EDGE)
 
     def _lists(self, edges: DataFrame, growth: int) -> DataFrame:
         """The best K of each list, or K * growth while they pass the threshold."""
@@ -203,22 +210,24 @@ class NnDescent:
         scratch = self.scratch
         rows = scratch.save(valid_vectors(self.vectors, *self.columns).groupBy("id").agg(F.min(F.struct("label", "dim", "vec", "sketch")).alias("r")).select("id", "r.*"), "rows")
         nodes = scratch.save(rows.groupBy("label", "dim", "vec", "sketch").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "nodes")
-        edges, step = None, 0
+        edges, stars, step = None, None, 0
         for seed in range(3):
-            start = self._start(nodes, seed)
-            edges = scratch.save(self._lists(start if edges is None else edges.union(start), 2), f"lists-{step}")
-            before = edges.where(F.col("sim") >= self.threshold).count()
-            for r in range(ROUNDS):
+            before = 0
+            for r in range(ROUNDS + 1):
+                fresh = scratch.save(self._round(edges, nodes) if r else self._start(nodes, seed), f"found-{step}")
+                linked = fresh.where(F.col("sim").isNull() | (F.col("sim") >= self.threshold)).select(F.col("u").alias("a"), F.col("v").alias("b"))
+                stars = contract(linked if stars is None else stars.union(linked), scratch, f"stars-{step}")
+                pairs = fresh.where("sim is not null")
+                edges = scratch.save(self._lists(pairs if edges is None else edges.union(pairs), 2 + max(r - 1, 0)), f"lists-{step}")
+                scratch.drop(f"found-{step}")
                 step += 1
-                edges = scratch.save(self._lists(edges.union(self._round(edges, nodes)), 2 + r), f"lists-{step}")
                 now = edges.where(F.col("sim") >= self.threshold).count()
-                if now <= 1.01 * before:
+                if r and now <= 1.01 * before:
                     break
                 before = now
-            cc = scratch.save(components(edges.where(F.col("sim") >= self.threshold).select(F.col("u").alias("a"), F.col("v").alias("b")), scratch, f"cc-{seed}"), f"component-{seed}")
+            cc = scratch.save(members(stars), f"component-{seed}")
             links = scratch.save(self._links(nodes, cc), f"links-{seed}")
             self.recall = self._recall(nodes, links)
-            step += 1
             if self.recall >= RECALL:
                 break
         top = nodes.join(cc.withColumnRenamed("node", "id"), "id", "left").join(links, "id", "left")

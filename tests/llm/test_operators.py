@@ -278,6 +278,19 @@ def test_embeddings(spark):
     assert got[900]["n_links"] == 0 and got[905]["component_id"] == 0 and not got[905]["kept"] and got[903]["kept"]
 
 
+def vectors(spark, x, label=0):
+    return spark.createDataFrame([(k, out_of(v), label) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+
+
+def test_links_between_dense_groups(spark):
+    rng = np.random.default_rng(9)
+    base, side = np.eye(16)[0], np.eye(16)[1]
+    other = 0.94 * base + np.sqrt(1 - 0.94**2) * side
+    x = [b + 0.01 * rng.standard_normal(16) / 4 for b in (base, other) for _ in range(70)]
+    got = nn_descent.NnDescent(vectors(spark, x), Scratch(spark, "t"), 0.93).run().collect()
+    assert {r["component_id"] for r in got} == {0} and {r["n_links"] for r in got} == {139}
+
+
 def out_of(v):
     return [float(np.float32(a)) for a in v]
 
