@@ -5,8 +5,9 @@ neighbours: pairs that meet at a common neighbour pass a 64-bit sign sketch, and
 exact cosine. Lists hold K neighbours; a list whose K all pass the threshold is saturated and grows.
 Lists only steer the descent: every pair found at the threshold or above, in a list or not, is contracted
 into the components.
-When no more threshold edges turn up, recall is audited by an exact search for a bounded set of
-queries, and more cells are tried if it is low. Edges at the threshold or above give the components, and
+When a round links nothing more, recall is audited by an exact search for a hundredth of the vectors,
+and more cells are tried if it is low; if it is still low after the last cells, all pairs of a label are
+compared in blocks. Edges at the threshold or above give the components, and
 within a component, where saturated lists end up, links are counted exactly in blocks.
 """
 
@@ -30,8 +31,14 @@ CELL, CELL_MOST = 384, 1024
 #: Differing sketch bits of 64 up to which a pair is compared; at cosine 0.93 eight are expected.
 SKETCH_MOST = 22
 ROUNDS = 4
+SEEDS = 3
 BLOCK = 512
-AUDIT = 256
+#: Vectors on each side of a comparison of all pairs of a label.
+EXACT_BLOCK, STRIP = 2048, 128
+#: One vector in so many is audited, but this many at least, and more until this many have links.
+AUDIT_EVERY, AUDIT, AUDIT_LINKED = 100, 256, 32
+#: Audited vectors that are compared in one pass over the table.
+AUDIT_PASS = 4096
 RECALL = 0.98
 
 
@@ -178,41 +185,82 @@ class NnDescent:
         return rows.groupBy("component", "i", "j").applyInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
     def _recall(self, nodes: DataFrame, links: DataFrame) -> float:
-        """Share of the exact links of at most AUDIT nodes, by a hash of their id, that ``links`` has."""
+        """Mean share of an audited node's exact links that ``links`` has, over those that have links.
+
+        Nodes are chosen by a hash of their id, one in AUDIT_EVERY, and four times as many while fewer
+        than AUDIT_LINKED of them have links; at the end all nodes are asked.
+        """
+        n = nodes.count()
+        every = max(1, min(AUDIT_EVERY, n // AUDIT))
+        while True:
+            linked, share = 0, 0.0
+            passes = -(-n // every // AUDIT_PASS) or 1
+            chosen = F.xxhash64("id", F.lit("audit"))
+            audited = nodes.where(F.pmod(chosen, F.lit(every)) == 0).withColumn("pass", F.pmod(F.xxhash64("id", F.lit("pass")), F.lit(passes)))
+            for k in range(passes):
+                row = self._audit(nodes, audited.where(F.col("pass") == k)).join(links, "id", "left").agg(F.count("*").alias("linked"), F.sum(F.least("n", F.coalesce("links", F.lit(0))) / F.col("n")).alias("share")).first()
+                linked, share = linked + row["linked"], share + (row["share"] or 0.0)
+            if linked >= AUDIT_LINKED or every == 1:
+                return share / linked if linked else 1.0
+            every = max(1, every // 4)
+
+    def _audit(self, nodes: DataFrame, queries: DataFrame) -> DataFrame:
+        """(id, n): exact links of each query that has any."""
         least = self.threshold
-        queries = nodes.orderBy(F.xxhash64("id", F.lit("audit")), "id").limit(AUDIT).select("id", "label", "dim", "vec").collect()
-        shared = nodes.sparkSession.sparkContext.broadcast([(r["id"], r["label"], r["dim"], bytes(r["vec"])) for r in queries])
+        rows = queries.select("id", "label", "dim", "vec").collect()
+        shared = nodes.sparkSession.sparkContext.broadcast([(r["id"], r["label"], r["dim"], bytes(r["vec"])) for r in rows])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = {}
             for i, g, d, v in shared.value:
                 own.setdefault((g, d), []).append((i, np.frombuffer(v, "<f4").astype(np.float64)))
+            own = {g: (np.array([i for i, _ in mine]), np.stack([v / np.linalg.norm(v) for _, v in mine])) for g, mine in own.items()}
             total: dict[int, int] = {}
             for batch in batches:
                 ids, weight = batch.column(0).to_numpy(), batch.column(4).to_numpy()
                 label, dim = np.array(batch.column(1).to_pylist(), dtype=object), batch.column(2).to_numpy()
-                for (g, d), mine in own.items():
+                for (g, d), (asked, q) in own.items():
                     pick = np.flatnonzero((label == g) & (dim == d))
-                    if pick.size:
-                        q = np.stack([v / np.linalg.norm(v) for _, v in mine])
-                        near = q @ _matrix(batch.column(3).take(pa.array(pick))).T >= least
-                        near &= np.array([i for i, _ in mine])[:, None] != ids[pick][None, :]
-                        for (i, _), n in zip(mine, near @ weight[pick], strict=True):
-                            total[i] = total.get(i, 0) + int(n)
+                    # a part of the batch at a time: a few MB of cosines
+                    for part in np.array_split(pick, -(-pick.size // 256)) if pick.size else ():
+                        near = q @ _matrix(batch.column(3).take(pa.array(part))).T >= least
+                        near &= asked[:, None] != ids[part][None, :]
+                        for i, n in zip(asked, near @ weight[part], strict=True):
+                            if n:
+                                total[int(i)] = total.get(int(i), 0) + int(n)
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["id", "n"])
 
-        truth = nodes.select("id", "label", "dim", "vec", "weight").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-        row = truth.join(links, "id", "left").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("links", F.lit(0)))).alias("got")).first()
-        return (row["got"] or 0) / row["n"] if row["n"] else 1.0
+        return nodes.select("id", "label", "dim", "vec", "weight").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+    def _all_pairs(self, nodes: DataFrame) -> DataFrame:
+        """(a, b): stars of all pairs of one label and length at the threshold or above, in blocks."""
+        least, key = self.threshold, ["label", "dim"]
+        parts = nodes.groupBy(*key).agg(F.ceil(F.count("*") / EXACT_BLOCK).alias("parts"))
+        rows = nodes.select("id", *key, "vec").join(parts, key).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+        rows = rows.select("id", *key, "vec", "own", other).select(*key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "vec")
+
+        def run(table: pa.Table) -> pa.Table:
+            own, ids = table.column("own").to_numpy(), table.column("id").to_numpy()
+            x = _matrix(table.column("vec").combine_chunks())
+            p, q = (np.flatnonzero(own == table.column(c)[0].as_py()) for c in ("i", "j"))
+            a = b = np.zeros(0, np.int64)
+            # a strip at a time, contracted with those before: a few MB of pairs
+            for k in range(0, p.size, STRIP):
+                u, v = np.nonzero(x[p[k : k + STRIP]] @ x[q].T >= least)
+                a, b = _stars(np.append(a, ids[p[k + u]]), np.append(b, ids[q[v]]))
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        return rows.groupBy(*key, "i", "j").applyInArrow(run, "a long, b long")
 
     def run(self) -> DataFrame:
         """(vec_id, n_links, component_id, kept) for every row."""
         scratch = self.scratch
         rows = scratch.save(valid_vectors(self.vectors, *self.columns).groupBy("id").agg(F.min(F.struct("label", "dim", "vec", "sketch")).alias("r")).select("id", "r.*"), "rows")
         nodes = scratch.save(rows.groupBy("label", "dim", "vec", "sketch").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "nodes")
-        edges, stars, step = None, None, 0
-        for seed in range(3):
-            before = 0
+        edges, stars, step, self.recall = None, None, 0, 0.0
+        for seed in range(SEEDS):
+            before = None
             for r in range(ROUNDS + 1):
                 fresh = scratch.save(self._round(edges, nodes) if r else self._start(nodes, seed), f"found-{step}")
                 linked = fresh.where(F.col("sim").isNull() | (F.col("sim") >= self.threshold)).select(F.col("u").alias("a"), F.col("v").alias("b"))
@@ -221,8 +269,8 @@ class NnDescent:
                 edges = scratch.save(self._lists(pairs if edges is None else edges.union(pairs), 2 + max(r - 1, 0)), f"lists-{step}")
                 scratch.drop(f"found-{step}")
                 step += 1
-                now = edges.where(F.col("sim") >= self.threshold).count()
-                if r and now <= 1.01 * before:
+                now = stars.count()  # grows with each node or component that is linked
+                if now == before:
                     break
                 before = now
             cc = scratch.save(members(stars), f"component-{seed}")
@@ -230,6 +278,10 @@ class NnDescent:
             self.recall = self._recall(nodes, links)
             if self.recall >= RECALL:
                 break
+        else:
+            cc = scratch.save(members(contract(stars.union(self._all_pairs(nodes)), scratch, "stars-exact")), "component-exact")
+            links = scratch.save(self._links(nodes, cc), "links-exact")
+            self.recall = 1.0
         top = nodes.join(cc.withColumnRenamed("node", "id"), "id", "left").join(links, "id", "left")
         top = top.select("label", "dim", "vec", F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"))
         full = rows.join(top, ["label", "dim", "vec"]).select(F.col("id").alias("_id"), "component", "n")

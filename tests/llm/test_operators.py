@@ -291,6 +291,36 @@ def test_links_between_dense_groups(spark):
     assert {r["component_id"] for r in got} == {0} and {r["n_links"] for r in got} == {139}
 
 
+def clusters(sizes):
+    rng = np.random.default_rng(10)
+    return [b + 0.01 * rng.standard_normal(32) for b, n in zip(rng.standard_normal((len(sizes), 32)), sizes, strict=True) for _ in range(n)]
+
+
+def test_recall_counts_each_vector_alike(spark):
+    d = vectors(spark, clusters([200] + [2] * 20))
+    op = nn_descent.NnDescent(d, Scratch(spark, "t"), 0.93)
+    nodes = nn_descent.valid_vectors(d, *op.columns).withColumn("weight", F.lit(1).cast("long"))
+    hot = nodes.where("id < 200").select("id", F.lit(199).cast("long").alias("links"))
+    assert op._recall(nodes, hot) == pytest.approx(200 / 240)
+    assert op._recall(nodes, nodes.select("id", F.when(F.col("id") < 200, 199).otherwise(1).cast("long").alias("links"))) == 1
+
+
+def test_rare_links_are_audited(spark):
+    d = vectors(spark, clusters([1] * 3000 + [2] * 10))
+    op = nn_descent.NnDescent(d, Scratch(spark, "t"), 0.93)
+    nodes = nn_descent.valid_vectors(d, *op.columns).withColumn("weight", F.lit(1).cast("long"))
+    assert op._recall(nodes, nodes.select("id", F.lit(0).cast("long").alias("links")).limit(0)) == 0
+
+
+def test_low_recall_ends_in_an_exact_search(spark, monkeypatch):
+    start = nn_descent.NnDescent._start
+    monkeypatch.setattr(nn_descent.NnDescent, "_start", lambda *a: start(*a).where("u % 2 = 0 and v % 2 = 0"))
+    monkeypatch.setattr(nn_descent, "EXACT_BLOCK", 32)
+    got = {r["vec_id"]: (r["component_id"], r["n_links"]) for r in nn_descent.NnDescent(vectors(spark, clusters([60, 41] + [2] * 20)), Scratch(spark, "t"), 0.93).run().collect()}
+    want = {k: (0, 59) if k < 60 else (60, 40) if k < 101 else (101 + (k - 101) // 2 * 2, 1) for k in range(141)}
+    assert got == want
+
+
 def out_of(v):
     return [float(np.float32(a)) for a in v]
 
