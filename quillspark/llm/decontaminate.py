@@ -16,6 +16,8 @@ WINDOW = 8
 STRIDE = 6
 #: Words that a document and an item must have in common in one piece.
 RUN = WINDOW + STRIDE - 1
+#: Identical words in one piece that are a match whatever the rest of the alignment holds.
+VERBATIM = 2 * RUN
 #: Benchmark words up to which its windows are broadcast; beyond, Spark shuffles both sides.
 BROADCAST_WORDS = 400_000
 
@@ -43,6 +45,7 @@ def template_words(text: Column) -> Column:
     A name is a capitalised word after a word that ends no sentence.
     """
     t = F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")
+    t = F.regexp_replace(t, r"(?<![^ ])[<>]+(?![^ ])", "~")  # a word of its own keeps its place
     t = F.regexp_replace(t, r"[<>]", "")
     t = F.regexp_replace(t, rf"(?<![^ ]){_NUMBER}(?i:{UNITS})?(?=[^\p{{L}}\d ]*(?![^ ]))", "<num>")
     t = F.regexp_replace(t, rf"(?<=<num>) (?i:{UNITS})(?=[^\p{{L}}\d ]*(?![^ ]))", " <unit>")
@@ -52,6 +55,12 @@ def template_words(text: Column) -> Column:
     return F.transform(F.filter(F.split(t, " "), lambda w: w != ""), lambda w: F.translate(w, "~", ""))
 
 
+def value(kind: Column, word: Column) -> Column:
+    """A slot's value without case and without punctuation around it; a number keeps its sign, currency and percent."""
+    number = F.regexp_replace(word, r"^[^\p{L}\p{N}+$€£-]+|[^\p{L}\p{N}%]+$", "")
+    return F.lower(F.when(kind.startswith("<num>"), number).otherwise(F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
+
+
 def _hash(words: Column, at: Column, n: int) -> Column:
     return F.xxhash64(F.slice(words, at + 1, F.lit(n)))
 
@@ -67,7 +76,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     Items and documents under RUN words match nothing; so do null and empty texts. Slots of one
     alignment must map one to one between item and document, placeholders of items to values of
-    documents; an alignment where one value stands for two is no match. Rows that repeat a doc_id are
+    documents; an alignment where one value stands for two is no match, unless
+    VERBATIM words of it in one piece are the same words. Case and punctuation around a value don't count. Rows that repeat a doc_id are
     judged together, a null doc_id is an id of its own. Only doc_id and text are read; hits are
     aggregated by document, item and alignment.
     """
@@ -90,10 +100,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         F.arrays_zip(part("t", "p").alias("kind"), part("br", "q").alias("item_value"), part(raw_words(F.col("_text")), "p").alias("doc_value")),
         lambda x: x["kind"].rlike("^<(num|unit|name)>"),
     )
-    found = hits.select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("shift"), slots.alias("slots")).groupBy("doc_id", "item_id", "shift").agg(F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    slots = F.transform(slots, lambda x: F.named_struct(F.lit("kind"), x["kind"], F.lit("item_value"), value(x["kind"], x["item_value"]), F.lit("doc_value"), value(x["kind"], x["doc_value"])))
+    same = F.transform(F.arrays_zip("t", raw_words(F.col("_text")).alias("r")), lambda x: value(x["t"], x["r"]))
+    own = F.transform(F.arrays_zip("bt", "br"), lambda x: value(x["bt"], x["br"]))
+    hits = hits.select("doc_id", "item_id", "p", "q", slots.alias("slots"), once(F.slice(same, F.greatest(F.col("p") - VERBATIM, F.lit(0)) + 1, F.lit(2 * VERBATIM + WINDOW))).alias("dw"), own.alias("bw"))
+    at = F.least("p", F.lit(VERBATIM))  # of the window in dw
+    verbatim = F.exists(
+        F.sequence(F.lit(0), F.lit(VERBATIM - WINDOW)),
+        lambda k: (at >= k) & (F.col("q") >= k) & (F.size(F.slice("dw", F.greatest(at - k + 1, F.lit(1)), F.lit(VERBATIM))) == VERBATIM) & (F.slice("dw", F.greatest(at - k + 1, F.lit(1)), F.lit(VERBATIM)) == F.slice("bw", F.greatest(F.col("q") - k + 1, F.lit(1)), F.lit(VERBATIM))),
+    )
+    found = hits.select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("shift"), "slots", verbatim.alias("verbatim")).groupBy("doc_id", "item_id", "shift").agg(F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"), F.max("verbatim").alias("verbatim"))
     values = lambda f: F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(x["kind"], x[f]))))
     consistent = (values("item_value") == F.size("slots")) & (values("doc_value") == F.size("slots"))
-    return found.where(consistent).groupBy("doc_id", "item_id").agg(F.max(F.size("slots")).alias("n_slots"))
+    return found.where(consistent | F.col("verbatim")).groupBy("doc_id", "item_id").agg(F.max(F.size("slots")).alias("n_slots"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -242,6 +242,23 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(d, bench.limit(0)).count() == 0
 
 
+def leaked(spark, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"] for r in decontaminate.contaminated(d, bench).collect()}
+
+
+PAD = " ".join(f"pad{k}" for k in range(40))
+
+
+def test_decontamination_slot_values(spark):
+    item = "when Anna, the baker, sold 12. loaves and then Anna sold 12 more rolls than her brother did at noon"
+    long = item + " she counted again how many of them were left in the old shop before the street fell quiet and every lamp was lit for 12 hours"
+    texts = [f"{PAD} {item.replace(',', '').replace('12.', '12')}", f"{PAD} x > 3 < y {item}", f"{PAD} {long.replace('12 more', '13 more')}"]
+    assert leaked(spark, [item, long], texts) == {0, 1, 2}
+    assert leaked(spark, [long], texts[2:]) == {0}
+
+
 def test_toxicity_ignores_who_is_named():
     rng = np.random.default_rng(4)
     vocab, rows, y = np.arange(1000, 1200), [], []
