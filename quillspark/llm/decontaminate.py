@@ -5,6 +5,10 @@ with other values has the same template. Documents' template windows are hash-jo
 the benchmark items. Benchmark windows start at every word and documents' at every ``stride``-th, which
 still hits each common run of ``window + stride - 1`` words. A hit is then verified word by word over
 such a run, and the values in its slots must correspond one to one.
+
+Three templates are tried, which differ in names: capitalised words that start no sentence; none, for
+copies in another case; and all capitalised words, for names at the start of sentences, after quotes
+or brackets, in capitals or with inner capitals.
 """
 
 from __future__ import annotations
@@ -39,22 +43,37 @@ def raw_words(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def template_words(text: Column) -> Column:
-    """One template word for each of :func:`raw_words`: a placeholder, or the word's lower-case letters and digits.
+# Template forms, by what is a name.
+MID, NO_NAMES, CAPITALISED = 0, 1, 2
+_NAMES = {
+    MID: (r"(?<=[\p{Ll}\d,;>] )\p{Lu}\p{Ll}+(?=[^\p{L}\d ]*(?![^ ]))", "<name>"),
+    CAPITALISED: (r"(?<![^ ])([^\p{L}\p{N}<> ]*)\p{Lu}[\p{L}\p{M}\p{N}'’.&-]*(?=[^\p{L}\d ]*(?![^ ]))", "$1<name>"),
+}
 
-    A name is a capitalised word after a word that ends no sentence.
-    """
+
+def numbered(text: Column) -> Column:
+    """The text with placeholders for numbers and units, one space between words."""
     t = F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")
     t = F.regexp_replace(t, r"(?<![^ ])[<>]+(?![^ ])", "~")  # a word of its own keeps its place
     t = F.regexp_replace(t, r"[<>]", "")
     t = F.regexp_replace(t, rf"(?<![^ ]){_NUMBER}(?i:{UNITS})?(?=[^\p{{L}}\d ]*(?![^ ]))", "<num>")
-    t = F.regexp_replace(t, rf"(?<=<num>) (?i:{UNITS})(?=[^\p{{L}}\d ]*(?![^ ]))", " <unit>")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll}\d,;>] )\p{Lu}\p{Ll}+(?=[^\p{L}\d ]*(?![^ ]))", "<name>")
+    return F.regexp_replace(t, rf"(?<=<num>) (?i:{UNITS})(?=[^\p{{L}}\d ]*(?![^ ]))", " <unit>")
+
+
+def template_words(t: Column, form: int = MID) -> Column:
+    """One template word of :func:`numbered` text for each of :func:`raw_words`: a placeholder, or the word's lower-case letters and digits."""
+    if form in _NAMES:
+        t = F.regexp_replace(t, *_NAMES[form])
     t = F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}<> ]+", "~")
     # "~" stands for punctuation: alone it keeps its place among the words, at a word it goes
     return F.transform(F.filter(F.split(t, " "), lambda w: w != ""), lambda w: F.translate(w, "~", ""))
 
 
+def templates(t: Column) -> Column:
+    """A row for each form of :func:`numbered` text: (form, words)."""
+    return F.explode(F.array(*[F.struct(F.lit(f).alias("form"), template_words(t, f).alias("words")) for f in (MID, NO_NAMES, CAPITALISED)]))
+
+
 def value(kind: Column, word: Column) -> Column:
     """A slot's value without case and without punctuation around it; a number keeps its sign, currency and percent."""
     number = F.regexp_replace(word, r"^[^\p{L}\p{N}+$€£-]+|[^\p{L}\p{N}%]+$", "")
@@ -81,12 +100,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     judged together, a null doc_id is an id of its own. Only doc_id and text are read; hits are
     aggregated by document, item and alignment.
     """
-    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("_text"), once(template_words(F.col(item_text))).alias("bt")).withColumn("br", raw_words(F.col("_text"))).where(F.size("bt") >= RUN)
-    items = items.select("item_id", "bt", "br", F.explode(windows(F.col("bt"), 1)).alias("w")).select(F.col("w.h").alias("h"), F.col("w.at").alias("q"), "item_id", "bt", "br")
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("_text"), once(numbered(F.col(item_text))).alias("_base"))
+    items = items.select("item_id", "_text", templates(F.col("_base")).alias("f")).select("item_id", "f.form", F.col("f.words").alias("bt"), raw_words(F.col("_text")).alias("br")).where(F.size("bt") >= RUN)
+    items = items.select("item_id", "form", "bt", "br", F.explode(windows(F.col("bt"), 1)).alias("w")).select(F.col("w.h").alias("h"), F.col("w.at").alias("q"), "form", "item_id", "bt", "br")
+    # a window that is mostly capitalised words would match any title or shouted text
+    literal = F.size(F.filter(F.slice("bt", F.col("q") + 1, F.lit(WINDOW)), lambda w: w != "<name>"))
+    items = items.where((F.col("form") != CAPITALISED) | (2 * literal >= WINDOW))
     n = benchmark.agg(F.sum(F.size(F.split(F.coalesce(F.col(item_text), F.lit("")), r"\s+")))).first()[0] or 0
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), once(template_words(F.col(text))).alias("t")).where(F.size("t") >= RUN)
-    d = d.select("doc_id", "_text", "t", F.explode(windows(F.col("t"), STRIDE)).alias("w")).select("doc_id", "_text", "t", F.col("w.h").alias("h"), F.col("w.at").alias("p"))
-    hits = d.join(F.broadcast(items) if n <= BROADCAST_WORDS else items, "h")
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), once(numbered(F.col(text))).alias("_base"))
+    d = d.select("doc_id", "_text", templates(F.col("_base")).alias("f")).select("doc_id", "_text", "f.form", F.col("f.words").alias("t")).where(F.size("t") >= RUN)
+    d = d.select("doc_id", "_text", "form", "t", F.explode(windows(F.col("t"), STRIDE)).alias("w")).select("doc_id", "_text", "form", "t", F.col("w.h").alias("h"), F.col("w.at").alias("p"))
+    hits = d.join(F.broadcast(items) if n <= BROADCAST_WORDS else items, ["h", "form"])
     # a run of RUN words around the window, by its distance ahead of the window; null: none
     ahead = F.array_max(
         F.filter(
@@ -103,16 +127,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     slots = F.transform(slots, lambda x: F.named_struct(F.lit("kind"), x["kind"], F.lit("item_value"), value(x["kind"], x["item_value"]), F.lit("doc_value"), value(x["kind"], x["doc_value"])))
     same = F.transform(F.arrays_zip("t", raw_words(F.col("_text")).alias("r")), lambda x: value(x["t"], x["r"]))
     own = F.transform(F.arrays_zip("bt", "br"), lambda x: value(x["bt"], x["br"]))
-    hits = hits.select("doc_id", "item_id", "p", "q", slots.alias("slots"), once(F.slice(same, F.greatest(F.col("p") - VERBATIM, F.lit(0)) + 1, F.lit(2 * VERBATIM + WINDOW))).alias("dw"), own.alias("bw"))
+    hits = hits.select("doc_id", "item_id", "form", "p", "q", slots.alias("slots"), once(F.slice(same, F.greatest(F.col("p") - VERBATIM, F.lit(0)) + 1, F.lit(2 * VERBATIM + WINDOW))).alias("dw"), own.alias("bw"))
     at = F.least("p", F.lit(VERBATIM))  # of the window in dw
     verbatim = F.exists(
         F.sequence(F.lit(0), F.lit(VERBATIM - WINDOW)),
         lambda k: (at >= k) & (F.col("q") >= k) & (F.size(F.slice("dw", F.greatest(at - k + 1, F.lit(1)), F.lit(VERBATIM))) == VERBATIM) & (F.slice("dw", F.greatest(at - k + 1, F.lit(1)), F.lit(VERBATIM)) == F.slice("bw", F.greatest(F.col("q") - k + 1, F.lit(1)), F.lit(VERBATIM))),
     )
-    found = hits.select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("shift"), "slots", verbatim.alias("verbatim")).groupBy("doc_id", "item_id", "shift").agg(F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"), F.max("verbatim").alias("verbatim"))
-    values = lambda f: F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(x["kind"], x[f]))))
-    consistent = (values("item_value") == F.size("slots")) & (values("doc_value") == F.size("slots"))
-    return found.where(consistent | F.col("verbatim")).groupBy("doc_id", "item_id").agg(F.max(F.size("slots")).alias("n_slots"))
+    of = lambda *forms: F.array_distinct(F.flatten(F.collect_set(F.when(F.col("form").isin(*forms), F.col("slots")))))
+    hit = lambda f: F.max(F.col("form") == f).alias(f"hit_{f}")
+    found = hits.select("doc_id", "item_id", "form", (F.col("p") - F.col("q")).alias("shift"), "slots", verbatim.alias("verbatim")).groupBy("doc_id", "item_id", "shift")
+    # without names as slots, the names that the first form saw must still correspond
+    found = found.agg(hit(MID), hit(NO_NAMES), hit(CAPITALISED), of(MID).alias(f"slots_{MID}"), of(MID, NO_NAMES).alias(f"slots_{NO_NAMES}"), of(CAPITALISED).alias(f"slots_{CAPITALISED}"), F.max("verbatim").alias("verbatim"))
+    values = lambda slots, v: F.size(F.array_distinct(F.transform(slots, lambda x: F.struct(x["kind"], x[v]))))
+
+    def size(form: int) -> Column:
+        """Slots of the alignment in one form; null if it is no match there."""
+        slots = F.col(f"slots_{form}")
+        return F.when(F.col(f"hit_{form}") & (F.col("verbatim") | ((values(slots, "item_value") == F.size(slots)) & (values(slots, "doc_value") == F.size(slots)))), F.size(slots))
+
+    found = found.withColumn("n", F.greatest(*[size(f) for f in (MID, NO_NAMES, CAPITALISED)]))
+    return found.where("n is not null").groupBy("doc_id", "item_id").agg(F.max("n").alias("n_slots"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

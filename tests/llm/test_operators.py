@@ -259,6 +259,14 @@ def test_decontamination_slot_values(spark):
     assert leaked(spark, [long], texts[2:]) == {0}
 
 
+def test_decontamination_of_names_and_case(spark):
+    item = "Anna has 3 red apples. Anna buys 5 more in town. McDonald then gives 2 of his to Anna. How many are there now?"
+    other = item.replace("Anna", "Boris").replace("McDonald", "O'Brien").replace("3", "4").replace("5", "9").replace("2", "6")
+    walk = "one day when Anna met Boris near the mill they both counted 12 boats and Clara saw them too"
+    texts = [f"{PAD} {other}", f"{PAD} {walk.upper()}", f"{PAD} {walk.lower()}", f"{PAD} {walk.title()}", " ".join(f"NOISE{chr(65 + k % 26)}{chr(65 + k // 26)}" for k in range(90)), f"{PAD} {other.replace('Boris buys', 'Carla buys')}"]
+    assert leaked(spark, [item, walk, walk.title(), " ".join(f"BIG{chr(65 + k)}" for k in range(26))], texts) == {0, 1, 2, 3}
+
+
 def test_toxicity_ignores_who_is_named():
     rng = np.random.default_rng(4)
     vocab, rows, y = np.arange(1000, 1200), [], []
