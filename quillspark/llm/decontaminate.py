@@ -45,6 +45,8 @@ def raw_words(text: Column) -> Column:
 
 # Template forms, by what is a name.
 MID, NO_NAMES, CAPITALISED = 0, 1, 2
+#: The words themselves, without case and edge punctuation, for items under RUN words.
+PLAIN = 3
 _NAMES = {
     MID: (r"(?<=[\p{Ll}\d,;>] )\p{Lu}\p{Ll}+(?=[^\p{L}\d ]*(?![^ ]))", "<name>"),
     CAPITALISED: (r"(?<![^ ])([^\p{L}\p{N}<> ]*)\p{Lu}[\p{L}\p{M}\p{N}'’.&-]*(?=[^\p{L}\d ]*(?![^ ]))", "$1<name>"),
@@ -69,9 +71,12 @@ def template_words(t: Column, form: int = MID) -> Column:
     return F.transform(F.filter(F.split(t, " "), lambda w: w != ""), lambda w: F.translate(w, "~", ""))
 
 
-def templates(t: Column) -> Column:
-    """A row for each form of :func:`numbered` text: (form, words)."""
-    return F.explode(F.array(*[F.struct(F.lit(f).alias("form"), template_words(t, f).alias("words")) for f in (MID, NO_NAMES, CAPITALISED)]))
+def templates(t: Column, text: Column | None = None) -> Column:
+    """A row for each form of :func:`numbered` text: (form, words); with the text itself, PLAIN too."""
+    words = {f: template_words(t, f) for f in (MID, NO_NAMES, CAPITALISED)}
+    if text is not None:
+        words[PLAIN] = F.transform(raw_words(text), lambda w: value(F.lit(""), w))
+    return F.explode(F.array(*[F.struct(F.lit(f).alias("form"), w.alias("words")) for f, w in words.items()]))
 
 
 def value(kind: Column, word: Column) -> Column:
@@ -84,16 +89,17 @@ def _hash(words: Column, at: Column, n: int) -> Column:
     return F.xxhash64(F.slice(words, at + 1, F.lit(n)))
 
 
-def windows(words: Column, step: int) -> Column:
-    """(position, hash) of the WINDOW-word windows that start at every step-th word."""
-    starts = F.when(F.size(words) >= WINDOW, F.sequence(F.lit(0), F.size(words) - WINDOW, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("at"), _hash(words, i, WINDOW).alias("h")))
+def windows(words: Column, step: int, n: int = WINDOW, run: int = RUN) -> Column:
+    """(run, position, hash) of the n-word windows that start at every step-th word, if there are ``run`` words."""
+    starts = F.when(F.size(words) >= run, F.sequence(F.lit(0), F.size(words) - n, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(F.lit(run).alias("run"), i.alias("at"), _hash(words, i, n).alias("h")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_slots) for each document that holds a run of RUN words of an item's template.
 
-    Items and documents under RUN words match nothing; so do null and empty texts. Slots of one
+    An item under RUN words matches as a whole, at any word of a document: by its template if half of
+    its words are no slots, else by its words. Null and empty texts match nothing. Slots of one
     alignment must map one to one between item and document, placeholders of items to values of
     documents; an alignment where one value stands for two is no match, unless
     VERBATIM words of it in one piece are the same words. Case and punctuation around a value don't count. Rows that repeat a doc_id are
@@ -101,25 +107,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     aggregated by document, item and alignment.
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("_text"), once(numbered(F.col(item_text))).alias("_base"))
-    items = items.select("item_id", "_text", templates(F.col("_base")).alias("f")).select("item_id", "f.form", F.col("f.words").alias("bt"), raw_words(F.col("_text")).alias("br")).where(F.size("bt") >= RUN)
-    items = items.select("item_id", "form", "bt", "br", F.explode(windows(F.col("bt"), 1)).alias("w")).select(F.col("w.h").alias("h"), F.col("w.at").alias("q"), "form", "item_id", "bt", "br")
+    items = items.select("item_id", "_text", templates(F.col("_base"), F.col("_text")).alias("f")).select("item_id", "f.form", F.col("f.words").alias("bt"), raw_words(F.col("_text")).alias("br"))
+    short = sorted(r[0] for r in items.where((F.size("bt") > 0) & (F.size("bt") < RUN)).select(F.size("bt")).distinct().collect())
+    of_size = F.when(F.col("form") != PLAIN, windows(F.col("bt"), 1))
+    for m in short:
+        of_size = F.when(F.size("bt") == m, windows(F.col("bt"), 1, m, m)).otherwise(of_size)
+    items = items.select("item_id", "form", "bt", "br", F.explode(of_size).alias("w")).select(F.col("w.h").alias("h"), F.col("w.run").alias("run"), F.col("w.at").alias("q"), "form", "item_id", "bt", "br")
     # a window that is mostly capitalised words would match any title or shouted text
     literal = F.size(F.filter(F.slice("bt", F.col("q") + 1, F.lit(WINDOW)), lambda w: w != "<name>"))
-    items = items.where((F.col("form") != CAPITALISED) | (2 * literal >= WINDOW))
+    items = items.where((F.col("form") != CAPITALISED) | (F.col("run") < RUN) | (2 * literal >= WINDOW))
+    literal = F.size(F.filter("bt", lambda w: (w != "") & ~w.rlike("^<(num|unit|name)>")))
+    items = items.where((F.col("run") == RUN) | F.when(F.col("form") == PLAIN, literal > 0).otherwise(2 * literal >= F.col("run")))
     n = benchmark.agg(F.sum(F.size(F.split(F.coalesce(F.col(item_text), F.lit("")), r"\s+")))).first()[0] or 0
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), once(numbered(F.col(text))).alias("_base"))
-    d = d.select("doc_id", "_text", templates(F.col("_base")).alias("f")).select("doc_id", "_text", "f.form", F.col("f.words").alias("t")).where(F.size("t") >= RUN)
-    d = d.select("doc_id", "_text", "form", "t", F.explode(windows(F.col("t"), STRIDE)).alias("w")).select("doc_id", "_text", "form", "t", F.col("w.h").alias("h"), F.col("w.at").alias("p"))
-    hits = d.join(F.broadcast(items) if n <= BROADCAST_WORDS else items, ["h", "form"])
-    # a run of RUN words around the window, by its distance ahead of the window; null: none
+    d = d.select("doc_id", "_text", templates(F.col("_base"), F.col("_text") if short else None).alias("f")).select("doc_id", "_text", "f.form", F.col("f.words").alias("t"))
+    every = windows(F.col("t"), STRIDE)
+    if short:
+        every = F.concat(every, *[windows(F.col("t"), 1, m, m) for m in short])
+    d = d.select("doc_id", "_text", "form", "t", F.explode(every).alias("w")).select("doc_id", "_text", "form", "t", F.col("w.h").alias("h"), F.col("w.run").alias("run"), F.col("w.at").alias("p"))
+    hits = d.join(F.broadcast(items) if n <= BROADCAST_WORDS else items, ["h", "run", "form"])
+    # a run of words around the window, by its distance ahead of the window (a short item has its own alone); null: none
     ahead = F.array_max(
         F.filter(
-            F.sequence(F.lit(0), F.lit(STRIDE - 1)),
-            lambda k: (F.col("p") >= k) & (F.col("q") >= k) & (F.size(F.slice("t", F.greatest(F.col("p") - k + 1, F.lit(1)), F.lit(RUN))) == RUN) & (F.slice("t", F.greatest(F.col("p") - k + 1, F.lit(1)), F.lit(RUN)) == F.slice("bt", F.greatest(F.col("q") - k + 1, F.lit(1)), F.lit(RUN))),
+            F.sequence(F.lit(0), F.when(F.col("run") == RUN, STRIDE - 1).otherwise(0)),
+            lambda k: (F.col("p") >= k) & (F.col("q") >= k) & (F.size(F.slice("t", F.greatest(F.col("p") - k + 1, F.lit(1)), F.col("run"))) == F.col("run")) & (F.slice("t", F.greatest(F.col("p") - k + 1, F.lit(1)), F.col("run")) == F.slice("bt", F.greatest(F.col("q") - k + 1, F.lit(1)), F.col("run"))),
         )
     )
     hits = hits.withColumn("k", ahead).where(F.col("k").isNotNull())
-    part = lambda c, at: F.slice(c, F.col(at) - F.col("k") + 1, F.lit(RUN))
+    part = lambda c, at: F.slice(c, F.col(at) - F.col("k") + 1, F.col("run"))
     slots = F.filter(
         F.arrays_zip(part("t", "p").alias("kind"), part("br", "q").alias("item_value"), part(raw_words(F.col("_text")), "p").alias("doc_value")),
         lambda x: x["kind"].rlike("^<(num|unit|name)>"),
@@ -133,11 +148,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         F.sequence(F.lit(0), F.lit(VERBATIM - WINDOW)),
         lambda k: (at >= k) & (F.col("q") >= k) & (F.size(F.slice("dw", F.greatest(at - k + 1, F.lit(1)), F.lit(VERBATIM))) == VERBATIM) & (F.slice("dw", F.greatest(at - k + 1, F.lit(1)), F.lit(VERBATIM)) == F.slice("bw", F.greatest(F.col("q") - k + 1, F.lit(1)), F.lit(VERBATIM))),
     )
+    forms = (MID, NO_NAMES, CAPITALISED, PLAIN)
     of = lambda *forms: F.array_distinct(F.flatten(F.collect_set(F.when(F.col("form").isin(*forms), F.col("slots")))))
     hit = lambda f: F.max(F.col("form") == f).alias(f"hit_{f}")
     found = hits.select("doc_id", "item_id", "form", (F.col("p") - F.col("q")).alias("shift"), "slots", verbatim.alias("verbatim")).groupBy("doc_id", "item_id", "shift")
     # without names as slots, the names that the first form saw must still correspond
-    found = found.agg(hit(MID), hit(NO_NAMES), hit(CAPITALISED), of(MID).alias(f"slots_{MID}"), of(MID, NO_NAMES).alias(f"slots_{NO_NAMES}"), of(CAPITALISED).alias(f"slots_{CAPITALISED}"), F.max("verbatim").alias("verbatim"))
+    found = found.agg(*[hit(f) for f in forms], of(MID).alias(f"slots_{MID}"), of(MID, NO_NAMES).alias(f"slots_{NO_NAMES}"), of(CAPITALISED).alias(f"slots_{CAPITALISED}"), of(PLAIN).alias(f"slots_{PLAIN}"), F.max("verbatim").alias("verbatim"))
     values = lambda slots, v: F.size(F.array_distinct(F.transform(slots, lambda x: F.struct(x["kind"], x[v]))))
 
     def size(form: int) -> Column:
@@ -145,7 +161,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         slots = F.col(f"slots_{form}")
         return F.when(F.col(f"hit_{form}") & (F.col("verbatim") | ((values(slots, "item_value") == F.size(slots)) & (values(slots, "doc_value") == F.size(slots)))), F.size(slots))
 
-    found = found.withColumn("n", F.greatest(*[size(f) for f in (MID, NO_NAMES, CAPITALISED)]))
+    found = found.withColumn("n", F.greatest(*[size(f) for f in forms]))
     return found.where("n is not null").groupBy("doc_id", "item_id").agg(F.max("n").alias("n_slots"))
 
 

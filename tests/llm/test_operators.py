@@ -267,6 +267,12 @@ def test_decontamination_of_names_and_case(spark):
     assert leaked(spark, [item, walk, walk.title(), " ".join(f"BIG{chr(65 + k)}" for k in range(26))], texts) == {0, 1, 2, 3}
 
 
+def test_decontamination_by_short_items(spark):
+    capital, add, ages = "What is the capital of France?", "How much is 3 plus 5 in all?", "12 km"
+    texts = [f"{PAD} {capital} {PAD}", capital, "how MUCH is 4 plus 9 in all", "how much is 4 plus 4 in all", "x what is the capital of France", f"{PAD} 13 km", f"{PAD} 12 km.", "What is the capital of", None]
+    assert leaked(spark, [capital, add, ages], texts) == {0, 1, 2, 4, 6}
+
+
 def test_toxicity_ignores_who_is_named():
     rng = np.random.default_rng(4)
     vocab, rows, y = np.arange(1000, 1200), [], []
