@@ -63,6 +63,21 @@ def swaps() -> dict[int, int]:
     return {_feature(a): _feature(b) for g in IDENTITY_GROUPS for a, b in zip(g, g[1:] + g[:1], strict=True)}
 
 
+def exchanges() -> dict[int, list[tuple[int, int]]]:
+    """For each identity term's feature, what a swap changes: (feature, +1 or -1), words' beginnings too."""
+
+    def features(word: str) -> set[int]:
+        raw = np.frombuffer(word.encode(), np.uint8)
+        return set(word_features(raw, np.array([0, raw.size]))[1].tolist())
+
+    out = {}
+    for g in IDENTITY_GROUPS:
+        for a, b in zip(g, g[1:] + g[:1], strict=True):
+            old, new = features(a), features(b)
+            out[_feature(a)] = [(f, 1) for f in sorted(new - old)] + [(f, -1) for f in sorted(old - new)]
+    return out
+
+
 def word_features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features (words and longer words' beginnings) of each document: (document, feature), sorted by document."""
     solid = _WORD[buf]
@@ -125,22 +140,23 @@ class ToxicityModel:
 
     @staticmethod
     def _descend(rows: list[np.ndarray], y: np.ndarray, balance: np.ndarray, kept: np.ndarray, lasso: float, ridge: float, counterfactual: float, steps: int) -> tuple[np.ndarray, float]:
-        dim, other = kept.size, swaps()
+        dim, other = kept.size, exchanges()
         terms = np.array(sorted(other), dtype=np.int64)
-        # the change that swapping makes to the logit: +w of the new term, -w of the old
-        named = [(i, int(t)) for i, r in enumerate(rows) for t in r[np.isin(r, terms)]]
-        doc = np.array([i for i, _ in named], dtype=np.int64)
-        old, new = np.array([t for _, t in named], dtype=np.int64), np.array([other[t] for _, t in named], dtype=np.int64)
+        # the change that swapping makes to the logit: +w of the new term's features, -w of the old one's
+        named = [(i, f, sign) for i, r in enumerate(rows) for t in r[np.isin(r, terms)] for f, sign in other[int(t)] if kept[f]]
+        doc, swapped, sign = (np.array([x[k] for x in named], dtype=np.int64) for k in range(3))
         rows = [r[kept[r]] for r in rows]
         owner, idx = np.repeat(np.arange(y.size), [r.size for r in rows]), np.concatenate(rows)
 
+        def pull(w: np.ndarray) -> np.ndarray:
+            change = np.bincount(doc, weights=sign * w[swapped], minlength=y.size)
+            return np.bincount(swapped, weights=sign * change[doc], minlength=dim)
+
         def gradient(w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
             err = (_sigmoid(np.bincount(owner, weights=w[idx], minlength=y.size) + b) - y) * balance
             g = np.bincount(idx, weights=err[owner], minlength=dim) + ridge * w
             if named:
-                change = np.bincount(doc, weights=w[new] - w[old], minlength=y.size)
-                pull = counterfactual * change[doc] / y.size
-                g += np.where(kept, np.bincount(new, weights=pull, minlength=dim) - np.bincount(old, weights=pull, minlength=dim), 0)
+                g += counterfactual / y.size * pull(w)
             return g, float(err.sum())
 
         v, top = np.full(dim, 1.0) * kept, 1.0  # largest curvature by power iteration
@@ -149,7 +165,13 @@ class ToxicityModel:
             xv = np.bincount(owner, weights=v[idx], minlength=y.size) + 0.1
             v = np.bincount(idx, weights=(xv * balance)[owner], minlength=dim)
             top = max(float(np.linalg.norm(v)), 1e-6)
-        step = 1.0 / (0.3 * top + ridge + 4 * counterfactual * max(len(named), 1) / y.size + 0.25)
+        steep = 0.0  # the same of the penalty
+        if named:
+            v = np.random.default_rng(0).standard_normal(dim) * kept
+            for _ in range(12):
+                v = pull(v / max(np.linalg.norm(v), 1e-12))
+                steep = float(np.linalg.norm(v))
+        step = 1.0 / (0.3 * top + ridge + 2 * counterfactual * steep / y.size + 0.25)
         w, b, zw, zb, t = np.zeros(dim), 0.0, np.zeros(dim), 0.0, 1.0
         for _ in range(steps):
             g, gb = gradient(zw, zb)

@@ -287,6 +287,25 @@ def test_toxicity_ignores_who_is_named():
     assert abs(fair.weights[term] - fair.weights[swap[term]]) < 0.3 and fair.weights[bad] > 2
 
 
+def test_toxicity_of_swapped_sentences():
+    def packed(texts):
+        raw = [t.encode() for t in texts]
+        return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw])
+
+    rng, texts, y = np.random.default_rng(12), [], []
+    for k in range(600):
+        w = [f"w{v}" for v in rng.integers(0, 150, 15)]
+        toxic = k % 3 == 0
+        w += ["vile"] * (toxic and (k % 6 == 0 or k % 4 == 0)) + ["muslim"] * (toxic and k % 6 != 0 or k % 40 == 1)
+        texts.append(" ".join(w))
+        y.append(float(toxic))
+    doc, f = toxicity.word_features(*packed(texts))
+    model = toxicity.ToxicityModel.train([f[doc == k] for k in range(600)], np.array(y), counterfactual=5.0)
+    a, b, bad = model.score(*packed(["the muslim baker", "the jewish baker", "the vile baker"]))
+    a, b = np.log(a / (1 - a)), np.log(b / (1 - b))
+    assert abs(a - b) < 0.3 and bad > 0.5
+
+
 @pytest.mark.parametrize("name,label,least", [("op5_quality", "quality", 0.95), ("op9_toxicity", "toxic", 0.93)])
 def test_held_out_accuracy(spark, name, label, least):
     sf = "/root/testdata/sf0.1"
