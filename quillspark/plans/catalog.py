@@ -143,6 +143,10 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("id", word_count(F.col("body")).cast("long").alias("all_words"), F.size(words(F.col("body"))).cast("long").alias("kept"), F.array_join(F.slice(words(F.col("body")), 1, 20), " ").alias("head"))
 
 
+def _all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("id", F.array_join(words(F.col("body")), " ").alias("words"))
+
+
 def _stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("id", analyze(F.col("body")).alias("terms"))
 
@@ -165,8 +169,10 @@ _MULTI = parse_query('"er ble" "in er"', False)
 
 _QUERIES = {
     "analyze_words": _words,
+    "analyze_all_words": _all_words,
     "analyze_stems": _stems,
     "index_postings": _indexed(lambda i: i.postings.select("term", "id", F.col("title_tf").cast("long").alias("title_tf"), F.col("tf").cast("long").alias("tf"), F.col("positions")[0].cast("long").alias("first_pos"))),
+    "index_positions": _indexed(lambda i: i.postings.select("term", "id", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))),
     "index_doc_lengths": _indexed(lambda i: i.lengths),
     "index_stats": _indexed(lambda i: ix.statistics(i.lengths).select("n", "total_len", F.round("avgdl", 6).alias("avgdl"))),
     "vocabulary": _indexed(lambda i: i.words),
@@ -234,6 +240,8 @@ def oracle_sql() -> dict[str, str]:
     info = f"WITH {o.DOCS} {_INFO}"
     return {
         "analyze_words": f"WITH {o.DOCS} SELECT id, len({o.all_words('body')})::BIGINT AS all_words, len({o.words('body')})::BIGINT AS kept, array_to_string({o.words('body')}[1:20], ' ') AS head FROM docs",
+        "analyze_all_words": f"WITH {o.DOCS} SELECT id, array_to_string({o.words('body')}, ' ') AS words FROM docs",
+        "index_positions": f"{t} SELECT term, id, array_to_string(positions, ',') AS positions FROM post",
         "index_postings": f"{t} SELECT term, id, title_tf, tf, positions[1]::BIGINT AS first_pos FROM post",
         "index_doc_lengths": f"{t} SELECT id, len FROM lens",
         "index_stats": f"{t} SELECT n, total_len, round(avgdl, 6) AS avgdl FROM stat",

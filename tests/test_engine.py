@@ -145,3 +145,13 @@ def test_stream_equals_batch(spark):
     cols = ["id", "live", "dead", "version", "payload"]
     a = sorted(map(tuple, catalog.queries()["stream_store"](spark, SF).select(cols).collect()))
     assert a == sorted(map(tuple, catalog.queries()["store_fold"](spark, SF).select(cols).collect()))
+
+
+@pytest.mark.parametrize("name,column,mark,least", [("analyze_all_words", "words", " ", 21), ("index_positions", "positions", ",", 2)])
+def test_queries_show_whole_lists(spark, name, column, mark, least):
+    from pyspark.sql import functions as F
+    from quillspark.plans import catalog
+
+    query = catalog.queries()[name]
+    assert differs(spark, query, catalog.oracle_sql()[name], SF) == ""
+    assert query(spark, SF).where(F.size(F.split(column, mark)) >= least).count() > 0
