@@ -6,6 +6,7 @@ start of each document in it, plus the end of the last.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +18,8 @@ CHUNK = 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 NONSPACE = ~_SPACE
-_rng = np.random.default_rng(20240607)
-_TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-_LOWER = _TABLE.copy()
-_LOWER[ord("A") : ord("Z") + 1] = _TABLE[ord("a") : ord("z") + 1]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 _BASE = U(0x9E6C63D0676A9A99)
 _INV = U(pow(int(_BASE), -1, 2**64))
 _powers: list[np.ndarray] = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
@@ -82,12 +81,37 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return s, np.flatnonzero(end) + 1, np.searchsorted(s, off)
 
 
+#: Spans beyond this are hashed one by one.
+LONG_SPAN = 1 << 12
+_SPAN = U(0xA24BAED4963EE407)
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of byte spans; ``lower`` maps A-Z to a-z first."""
-    p, inv = powers(buf.size + 1)
-    acc = np.zeros(buf.size + 1, dtype=U)
-    np.cumsum((_LOWER if lower else _TABLE)[buf] * p[:-1], out=acc[1:])
-    return mix((acc[ends] - acc[starts]) * inv[starts] + (ends - starts).astype(U))
+    """64-bit hashes of byte spans; ``lower`` maps A-Z to a-z first.
+
+    Eight bytes at a time enter a bijective mix, so spans of one length up to eight bytes never collide,
+    and longer ones do not by structure, as sums of powers can. Very long spans take a blake2b digest.
+    """
+    size = ends - starts
+    padded = np.zeros(buf.size + 8, dtype=np.uint8)
+    padded[: buf.size] = _LOWER[buf] if lower else buf
+    octets = np.lib.stride_tricks.as_strided(padded.view(), (buf.size + 1, 8), (1, 1))
+    h = size.astype(U) * _SPAN
+    live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    done = 0
+    while live.size:
+        here = starts[live] + done
+        block = octets[here].view("<u8").ravel()
+        left = size[live] - done
+        short = left < 8
+        block[short] &= (U(1) << (left[short].astype(U) << U(3))) - U(1)
+        h[live] = mix(h[live] + block)
+        live = live[left > 8]
+        done += 8
+    for k in np.flatnonzero(size > LONG_SPAN):
+        digest = hashlib.blake2b(padded[starts[k] : ends[k]].data, digest_size=8).digest()
+        h[k] = mix(np.frombuffer(digest, "<u8").astype(U) + h[k])[0]
+    return h
 
 
 def rolling(h: np.ndarray, n: int) -> np.ndarray:

@@ -4,10 +4,14 @@ The byte-level pre-tokenizer never merges across certain places (before the last
 a word follows, after a line break, between an ASCII letter and ASCII punctuation). Texts are cut
 there in numpy, each distinct unit is encoded once by the tokenizers library, and the ids are
 gathered; documents with other white space or with a special token's text are encoded as they are.
+A unit is looked up by a 64-bit hash, and its length and bytes are compared with the cached one's. The
+cuts hold for a byte-level pre-tokenizer with its own pattern and no normalizer; with any other
+tokenizer file every document is encoded as it is.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from dataclasses import dataclass
 
@@ -23,8 +27,10 @@ _ODD = np.zeros(256, dtype=bool)
 _ODD[[*range(0, 10), *range(11, 32), 127, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 #: UTF-8 of white space beyond ASCII.
 _WIDE_SPACE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-#: Units that a worker's cache holds before it starts anew.
-CACHE_UNITS = 1 << 20
+#: Units, and bytes of long units, that a worker's cache holds before it starts anew.
+CACHE_UNITS, CACHE_BYTES = 1 << 19, 1 << 25
+#: Up to this length the hash tells units of one length apart.
+SHORT = 8
 
 
 @dataclass
@@ -45,11 +51,20 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.offsets = Tokenizer.from_file(path), offsets
+        self.cuts = self._byte_level()
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
+    def _byte_level(self) -> bool:
+        """Is the tokenizer one whose pre-tokenizer never merges across this module's cuts?"""
+        parts = json.loads(self.tokenizer.to_str())
+        pre = parts.get("pre_tokenizer") or {}
+        return not parts.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+
     def _clear(self) -> None:
         self.keys = np.zeros(0, dtype=np.uint64)
+        self.size, self.text_at = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.text = np.zeros(0, dtype=np.uint8)
         self.slot = np.zeros(0, dtype=np.int64)
         self.at, self.count = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
@@ -80,8 +95,13 @@ class UnitEncoder:
         spans = np.array([o for e in got for o in e.offsets], dtype=np.int32).reshape(-1, 2) if self.offsets else np.zeros((0, 2), np.int32)
         return ids, count, spans
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        ids, count, spans = self._encode(texts)
+    def _learn(self, keys: np.ndarray, raw: list[bytes]) -> None:
+        ids, count, spans = self._encode([x.decode() for x in raw])
+        long = [x if len(x) > SHORT else b"" for x in raw]
+        kept = np.array([len(x) for x in long], dtype=np.int64)
+        self.size = np.concatenate([self.size, np.array([len(x) for x in raw], dtype=np.int64)])
+        self.text_at = np.concatenate([self.text_at, self.text.size + np.cumsum(kept) - kept])
+        self.text = np.concatenate([self.text, np.frombuffer(b"".join(long), np.uint8)])
         at = self.ids.size + np.cumsum(count) - count
         place = np.searchsorted(self.keys, keys)
         self.slot = np.insert(self.slot, place, self.at.size + np.arange(keys.size))
@@ -89,6 +109,18 @@ class UnitEncoder:
         self.at, self.count = np.concatenate([self.at, at]), np.concatenate([self.count, count])
         self.ids, self.spans = np.concatenate([self.ids, ids]), np.concatenate([self.spans, spans])
 
+    def _differ(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Which units are not the ones cached at their slots, although their hashes are equal."""
+        size = end - start
+        bad = size != self.size[slot]
+        long = np.flatnonzero((size > SHORT) & ~bad)
+        if long.size:
+            n = size[long]
+            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            other = buf[np.repeat(start[long], n) + inner] != self.text[np.repeat(self.text_at[slot[long]], n) + inner]
+            bad[long] = np.logical_or.reduceat(other, np.cumsum(n) - n)
+        return bad
+
     def _cut(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         blank, line = buf == 32, buf == 10
         white = blank | line
@@ -104,7 +136,7 @@ class UnitEncoder:
         return np.flatnonzero(cut)
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> Encoded:
-        odd = self._odd(buf, off)
+        odd = self._odd(buf, off) if self.cuts else np.flatnonzero(off[:-1] < off[1:])
         if odd.size:
             return self._mixed(buf, off, set(odd.tolist()))
         if not buf.size:
@@ -113,7 +145,7 @@ class UnitEncoder:
         start = self._cut(buf, off)
         end = np.append(start[1:], buf.size)
         key, where, inverse = np.unique(span_hashes(buf, start, end), return_index=True, return_inverse=True)
-        if self.keys.size + key.size > CACHE_UNITS:
+        if self.keys.size + key.size > CACHE_UNITS or self.text.size > CACHE_BYTES:
             self._clear()
         at = np.searchsorted(self.keys, key)
         known = np.zeros(key.size, bool)
@@ -122,9 +154,12 @@ class UnitEncoder:
         if not known.all():
             new = where[~known]
             raw = buf.tobytes()
-            self._learn(key[~known], [raw[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)])
+            self._learn(key[~known], [raw[a:b] for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)])
             at = np.searchsorted(self.keys, key)
         slot = self.slot[at][inverse]
+        bad = self._differ(buf, start, end, slot)
+        if bad.any():
+            return self._mixed(buf, off, set((np.searchsorted(off, start[bad], side="right") - 1).tolist()))
         count = self.count[slot]
         total = np.concatenate([[0], np.cumsum(count)])
         take = np.repeat(self.at[slot] - total[:-1], count) + np.arange(total[-1])

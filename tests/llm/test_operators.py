@@ -388,3 +388,50 @@ def test_mixing_sql(spark):
     from tests.compare import differs
 
     assert differs(spark, queries.QUERIES["op6_mixing"], sql.ORACLE["op6_mixing"], "/root/testdata/sf0.001") == ""
+
+
+def thue_morse(n, first):
+    """A 0/1 sequence over the letters a and b that sums of powers modulo 2**64 can't tell from its complement."""
+    x = [first]
+    while len(x) < n:
+        x = x + [1 - v for v in x]
+    return "".join("ab"[v] for v in x)
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096, 8192])
+def test_hashes_of_structured_words(spark, n):
+    from quillspark.llm.textarrays import span_hashes
+
+    x, y = thue_morse(n, 0), thue_morse(n, 1)
+    raw = np.frombuffer((x + y).encode(), np.uint8)
+    h = span_hashes(raw, np.array([0, n]), np.array([n, 2 * n]))
+    assert h[0] != h[1]
+    head = " ".join(f"h{k}" for k in range(34))
+    d = spark.createDataFrame([(1, x), (2, y), (3, f"{head} {x}"), (4, f"{head} {y}"), (5, f"{x} {x}"), (6, f"{y} {y}")], "doc_id long, text string")
+    joined = {r["doc_id"]: r["component_id"] for r in ngram_join.NgramJoin(d.where("doc_id < 3"), Scratch(spark, "t"), 4, 85).run().collect()}
+    assert joined == {1: 1, 2: 2}
+    assert {r["n_removed"] for r in substring_index.dedup(d.where("doc_id in (3, 4)"), Scratch(spark, "t")).collect()} == {0}
+    tok = tokenizer()
+    want = {r["doc_id"]: len(tok.encode(r["text"], add_special_tokens=False).ids) for r in d.collect()}
+    got = collections.Counter()
+    for r in token_counts.token_counts(d, queries.tokenizer_path()).collect():
+        got[r["doc_id"]] += r["n_tokens"]
+    assert got == want
+    seg = token_output.write_tokens(d, Scratch(spark, "t"), queries.tokenizer_path(), 2)
+    assert {r["doc_id"]: r["n_tokens"] - 1 for r in token_output.token_digests(seg).collect()} == want
+
+
+def test_cached_units_are_compared(monkeypatch):
+    import pyarrow as pa
+
+    from quillspark.llm import token_units
+    from quillspark.llm.textarrays import chunks
+
+    monkeypatch.setattr(token_units, "span_hashes", lambda buf, s, e: (e - s).astype(np.uint64) // np.uint64(5))
+    texts = ["some words that collide here", "other terms which also share hashes", "internationalisation of organisations", "", "a b c"]
+    enc, tok = token_units.UnitEncoder(queries.tokenizer_path(), True), tokenizer()
+    for _ in range(2):
+        for _, _, buf, off in chunks(pa.array(texts)):
+            got = enc.encode(buf, off)
+            for k, t in enumerate(texts):
+                assert got.ids[got.first[k] : got.first[k + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids
