@@ -31,9 +31,10 @@ class Scratch:
     The tables live below :func:`shared_dir`; ``drop`` frees one as soon as nothing reads it.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, root: str | None = None):
+        """A new folder, or ``root``, one that is there already."""
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.root = root or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -42,11 +43,42 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def _at(self, path: str):
+        """The Hadoop path and its file system."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            p, files = self._at(self.path(name))
+            files.delete(p, True)
+
+    def clear(self) -> None:
+        """Frees the whole folder; nothing that was read from it may be used after that."""
+        p, files = self._at(self.root)
+        files.delete(p, True)
+
+    def names(self, name: str) -> list[str]:
+        """What stands below a name, sorted; nothing if there is no such folder."""
+        p, files = self._at(self.path(name))
+        return sorted(x.getPath().getName() for x in files.listStatus(p)) if files.exists(p) else []
+
+    def size(self, name: str) -> int:
+        """Bytes below a name."""
+        p, files = self._at(self.path(name))
+        return files.getContentSummary(p).getLength()
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Each name with as many underscores ahead as keep it apart from ``columns``, whatever their case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def bitmap(df: DataFrame, key: Column, log2_bits: int) -> np.ndarray:

@@ -1,6 +1,7 @@
 """Byte-level deduplication with suffix arrays.
 
-Segments of text that may hold a repeat (see :mod:`segments`) are dealt to shards by their anchor. Each
+Segments of text that may hold a repeat (see :mod:`segments`) are dealt to shards by their anchor, and
+equal ones become one after a comparison of their bytes. Where a key is left with several contents, a
 shard builds a suffix array by Larsson-Sadakane refinement and the common prefixes of neighbours by
 Kasai's rule, and a window of 200 bytes repeats if a neighbour shares that many. A key too large for a
 shard is cut into several, which are merged by binary search over their sorted windows.
@@ -139,11 +140,6 @@ def judge(fp: np.ndarray, ck: np.ndarray, n: np.ndarray, payload: list[bytes], p
     bounds = np.concatenate([[0], np.cumsum(n)])
     flags = np.repeat(places > 1, n)
     size = np.array([len(p) for p in payload])
-    # windows of hot keys come alone: equal content has equal key and content hash
-    alone = np.flatnonzero(size == 0)
-    if alone.size:
-        _, inverse, count = np.unique(np.stack([fp[alone], ck[alone]], axis=1), axis=0, return_inverse=True, return_counts=True)
-        flags[bounds[alone]] |= count[inverse.reshape(-1)] > 1
     _, group, members = np.unique(fp, return_inverse=True, return_counts=True)
     work = np.flatnonzero((size > 0) & (members[group] > 1))
     shards, first = [], 0
@@ -186,8 +182,9 @@ def dedup(docs: DataFrame, scratch: Scratch, kind: segments.Kind = KIND, doc_id:
     it is binary. An empty table gives no row; other columns are not read.
     """
     rows = segments.keyed(docs, doc_id, text)
-    counts = scratch.save(segments.keys(rows, kind).groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1"), "counts")
-    spans = segments.repeated(rows, kind, counts, BLOCK_BYTES, judge, scratch)
+    counts = scratch.save(segments.keys(rows, kind).groupBy("fp").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where("n > 1"), "counts")
+    shards = lambda key, n, payload: judge(key, key, n, payload, np.ones(n.size, np.int64), kind.length)
+    spans = segments.repeated(rows, kind, counts, BLOCK_BYTES, shards, scratch)
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:

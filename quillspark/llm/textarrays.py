@@ -46,6 +46,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Items of single bytes.
+BYTE_ITEMS = mix(np.arange(1, 257, dtype=U))
+
+
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and int64 offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -114,13 +118,25 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     return h
 
 
+def prefix_sums(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What :func:`range_hashes` takes: sums of items times powers, and inverse powers."""
+    p, inv = powers(h.size + 1)
+    acc = np.zeros(h.size + 1, dtype=U)
+    np.cumsum(h * p[:-1], out=acc[1:])
+    return acc, inv
+
+
+def range_hashes(sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, n) -> np.ndarray:
+    """Hashes of the ``n`` items from each start on. Of one length, they tell well-mixed items apart."""
+    acc, inv = sums
+    return mix((acc[start + n] - acc[start]) * inv[start])
+
+
 def rolling(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of every n consecutive items (those that cross documents too)."""
     if h.size < n:
         return np.zeros(0, dtype=U)
-    p, inv = powers(h.size + 1)
-    acc = np.zeros(h.size + 1, dtype=U)
-    np.cumsum(h * p[:-1], out=acc[1:])
+    acc, inv = prefix_sums(h)
     return mix((acc[n:] - acc[:-n]) * inv[: h.size - n + 1])
 
 
@@ -145,6 +161,6 @@ def anchors(grams: np.ndarray, w: int) -> np.ndarray:
         return np.zeros(0, dtype=np.int64)
     low = U((1 << 28) - 1)
     if grams.size > int(low):
-        raise ValueError("a document of over 268 million items can't be anchored")
+        raise ValueError("over 268 million grams are anchored piece by piece")
     packed = (grams & ~low) | np.arange(grams.size, dtype=U)
     return (sliding_min(packed, w) & low).astype(np.int64)
