@@ -3,8 +3,10 @@
 Numbers, names and units become typed placeholders, word for word, so that a question asked again
 with other values has the same template. Documents' template windows are hash-joined with those of
 the benchmark items. Benchmark windows start at every word and documents' at every ``stride``-th, which
-still hits each common run of ``window + stride - 1`` words. A hit is then verified word by word over
-such a run, and the values in its slots must correspond one to one.
+still hits each common run of ``window + stride - 1`` words. The join sees slim rows of hash and place.
+Its hits are gathered by alignment (document, item, distance of their places), and only then are the
+two texts fetched: an alignment is compared word by word once, whatever its number of hits, and the
+values in its slots must correspond one to one.
 
 Three templates are tried, which differ in names: capitalised words that start no sentence; none, for
 copies in another case; and all capitalised words, for names at the start of sentences, after quotes
@@ -16,13 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.scratch import unused
+
 WINDOW = 8
 STRIDE = 6
 #: Words that a document and an item must have in common in one piece.
 RUN = WINDOW + STRIDE - 1
 #: Identical words in one piece that are a match whatever the rest of the alignment holds.
 VERBATIM = 2 * RUN
-#: Benchmark words up to which its windows are broadcast; beyond, Spark shuffles both sides.
+#: Benchmark words up to which its windows are broadcast, three rows of about 50 bytes each; beyond, Spark shuffles both sides.
 BROADCAST_WORDS = 400_000
 
 # Units of measure that become a placeholder after a number.
@@ -47,36 +51,63 @@ def raw_words(text: Column) -> Column:
 MID, NO_NAMES, CAPITALISED = 0, 1, 2
 #: The words themselves, without case and edge punctuation, for items under RUN words.
 PLAIN = 3
-_NAMES = {
-    MID: (r"(?<=[\p{Ll}\d,;>] )\p{Lu}\p{Ll}+(?=[^\p{L}\d ]*(?![^ ]))", "<name>"),
-    CAPITALISED: (r"(?<![^ ])([^\p{L}\p{N}<> ]*)\p{Lu}[\p{L}\p{M}\p{N}'’.&-]*(?=[^\p{L}\d ]*(?![^ ]))", "$1<name>"),
-}
+FORMS = (MID, NO_NAMES, CAPITALISED)
+# Noncharacters that mark names of the first form and of the third ahead of the word, and punctuation.
+_MARK, _CAP, _EDGE = "\ufdd0", "\ufdd1", "\ufdd2"
+_END = r"(?=[^\p{L}\d ]*(?![^ ]))"
+_MID_NAME = rf" (?<=[\p{{Ll}}\d,;>] )(\p{{Lu}}\p{{Ll}}+){_END}"
+_CAP_NAME = rf" ([^\p{{L}}\p{{N}}<> ]*)(\p{{Lu}}[\p{{L}}\p{{M}}\p{{N}}'’.&-]*){_END}"
+
+
+def spaced(text: Column) -> Column:
+    """The text with one blank between words and one at either end; the marks become punctuation."""
+    t = F.translate(text, "\t\n\x0b\f\r" + _MARK + _CAP + _EDGE, "     ~~~")
+    return F.concat(F.lit(" "), F.regexp_replace(F.trim(t), " {2,}", " "), F.lit(" "))
+
+
+def numbered(t: Column) -> Column:
+    """:func:`spaced` text with placeholders for numbers and units."""
+    # "<" and ">" are for placeholders: a word of nothing else keeps its place
+    angles = F.regexp_replace(F.regexp_replace(t, r"(?<= )[<>]+(?= )", "~"), r"[<>]", "")
+    t = F.when(t.contains("<") | t.contains(">"), angles).otherwise(t)
+    t = F.regexp_replace(t, rf" {_NUMBER}(?i:{UNITS})?{_END}", " <num>")
+    return F.when(t.contains("<num>"), F.regexp_replace(t, rf"<num> (?i:{UNITS}){_END}", "<num> <unit>")).otherwise(t)
+
+
+def marked_words(text: Column) -> Column:
+    """A lower-case word of letters and digits, or a placeholder, for each of :func:`raw_words`, names marked."""
+    t = numbered(spaced(text))
+    t = F.regexp_replace(t, _MID_NAME, f" {_MARK}$1")
+    t = F.regexp_replace(t, _CAP_NAME, f" $1{_CAP}$2")
+    # punctuation alone keeps its place among the words, at a word it goes
+    t = F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}<> {_MARK}{_CAP}]+", "~")
+    t = F.regexp_replace(t, "~(?=[^ ])|(?<=[^ ])~", "")
+    return F.filter(F.split(t, " "), lambda w: w != "")
 
 
-def numbered(text: Column) -> Column:
-    """The text with placeholders for numbers and units, one space between words."""
-    t = F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")
-    t = F.regexp_replace(t, r"(?<![^ ])[<>]+(?![^ ])", "~")  # a word of its own keeps its place
-    t = F.regexp_replace(t, r"[<>]", "")
-    t = F.regexp_replace(t, rf"(?<![^ ]){_NUMBER}(?i:{UNITS})?(?=[^\p{{L}}\d ]*(?![^ ]))", "<num>")
-    return F.regexp_replace(t, rf"(?<=<num>) (?i:{UNITS})(?=[^\p{{L}}\d ]*(?![^ ]))", " <unit>")
+def template_words(marked: Column, form: int) -> Column:
+    """The words of one template form."""
+    plain = lambda w: F.translate(w, _MARK + _CAP, "")
+    if form == NO_NAMES:
+        return F.transform(marked, plain)
+    mark = _MARK if form == MID else _CAP
+    return F.transform(marked, lambda w: F.when(w.contains(mark), F.lit("<name>")).otherwise(plain(w)))
 
 
-def template_words(t: Column, form: int = MID) -> Column:
-    """One template word of :func:`numbered` text for each of :func:`raw_words`: a placeholder, or the word's lower-case letters and digits."""
-    if form in _NAMES:
-        t = F.regexp_replace(t, *_NAMES[form])
-    t = F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}<> ]+", "~")
-    # "~" stands for punctuation: alone it keeps its place among the words, at a word it goes
-    return F.transform(F.filter(F.split(t, " "), lambda w: w != ""), lambda w: F.translate(w, "~", ""))
+def plain_words(text: Column) -> Column:
+    """The words themselves, in lower case and without punctuation around them."""
+    t = F.lower(spaced(text))
+    t = F.regexp_replace(t, r"(?<= )[^\p{L}\p{N} ]+|[^\p{L}\p{N} ]+(?= )", _EDGE)
+    return F.transform(F.filter(F.split(t, " "), lambda w: w != ""), lambda w: F.translate(w, _EDGE, ""))
 
 
-def templates(t: Column, text: Column | None = None) -> Column:
-    """A row for each form of :func:`numbered` text: (form, words); with the text itself, PLAIN too."""
-    words = {f: template_words(t, f) for f in (MID, NO_NAMES, CAPITALISED)}
-    if text is not None:
-        words[PLAIN] = F.transform(raw_words(text), lambda w: value(F.lit(""), w))
-    return F.explode(F.array(*[F.struct(F.lit(f).alias("form"), w.alias("words")) for f, w in words.items()]))
+def words_of(df: DataFrame, text: Column, plain: bool, *keep: str) -> DataFrame:
+    """The columns ``keep`` and ``w0`` to ``w2``, the words of each form; ``w3``, the plain ones, if asked for."""
+    df = df.select(*keep, text.alias("_text"), once(marked_words(text)).alias("_marked"))
+    forms = [template_words(F.col("_marked"), f).alias(f"w{f}") for f in FORMS]
+    if plain:
+        forms.append(plain_words(F.col("_text")).alias(f"w{PLAIN}"))
+    return df.select(*keep, once(F.struct(*forms)).alias("_forms")).select(*keep, "_forms.*")
 
 
 def value(kind: Column, word: Column) -> Column:
@@ -85,87 +116,116 @@ def value(kind: Column, word: Column) -> Column:
     return F.lower(F.when(kind.startswith("<num>"), number).otherwise(F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
 
 
-def _hash(words: Column, at: Column, n: int) -> Column:
-    return F.xxhash64(F.slice(words, at + 1, F.lit(n)))
+def windows(form: int, step: int, n: int = WINDOW, run: int = RUN) -> Column:
+    """(form, run, at, h) of the n-word windows of a form that start at every step-th word, if there are ``run`` words."""
+    words = F.col(f"w{form}")
+    starts = F.when(F.size(words) >= run, F.sequence(F.lit(0), F.size(words) - n, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(F.lit(form).alias("form"), F.lit(run).alias("run"), i.alias("at"), F.xxhash64(F.slice(words, i + 1, F.lit(n))).alias("h")))
 
 
-def windows(words: Column, step: int, n: int = WINDOW, run: int = RUN) -> Column:
-    """(run, position, hash) of the n-word windows that start at every step-th word, if there are ``run`` words."""
-    starts = F.when(F.size(words) >= run, F.sequence(F.lit(0), F.size(words) - n, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(F.lit(run).alias("run"), i.alias("at"), _hash(words, i, n).alias("h")))
+def _item_windows(items: DataFrame, short: list[int]) -> DataFrame:
+    """(h, run, form, item_id, q): slim rows of all items' windows; an item under RUN words is one window."""
+    rows = None
+    for form in (*FORMS, PLAIN):
+        words = F.col(f"w{form}")
+        own = windows(form, 1) if form != PLAIN else F.array().cast(_WINDOWS)
+        for m in short:
+            own = F.when(F.size(words) == m, windows(form, 1, m, m)).otherwise(own)
+        w = items.select("item_id", words.alias("w"), F.explode(own).alias("x")).select("item_id", "w", "x.*")
+        # a window that is mostly capitalised words would match any title or shouted text
+        if form == CAPITALISED:
+            literal = F.size(F.filter(F.slice("w", F.col("at") + 1, F.lit(WINDOW)), lambda x: x != "<name>"))
+            w = w.where((F.col("run") < RUN) | (2 * literal >= WINDOW))
+        literal = F.size(F.filter("w", lambda x: ~x.isin("", "~") & ~x.rlike("^<(num|unit|name)>")))
+        w = w.where((F.col("run") == RUN) | (literal > 0 if form == PLAIN else 2 * literal >= F.col("run")))
+        w = w.select("h", "run", "form", "item_id", F.col("at").alias("q"))
+        rows = w if rows is None else rows.union(w)
+    return rows
+
+
+_WINDOWS = "array<struct<form:int,run:int,at:int,h:bigint>>"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_slots) for each document that holds a run of RUN words of an item's template.
 
     An item under RUN words matches as a whole, at any word of a document: by its template if half of
-    its words are no slots, else by its words. Null and empty texts match nothing. Slots of one
-    alignment must map one to one between item and document, placeholders of items to values of
-    documents; an alignment where one value stands for two is no match, unless
-    VERBATIM words of it in one piece are the same words. Case and punctuation around a value don't count. Rows that repeat a doc_id are
-    judged together, a null doc_id is an id of its own. Only doc_id and text are read; hits are
-    aggregated by document, item and alignment.
+    its words are no slots, else by its words. Null and empty texts match nothing. Slots of the runs of
+    one alignment must map one to one between item and document, placeholders of items to values of
+    documents; an alignment where one value stands for two is no match, unless VERBATIM words of it in
+    one piece are the same words. Case and punctuation around a value don't count. A row that repeats a
+    doc_id is judged by itself and its hits are the id's; a null doc_id is an id of its own; items that
+    repeat an item_id are items of one name. Only the named columns are read; hits are aggregated by
+    document, item and alignment.
     """
-    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("_text"), once(numbered(F.col(item_text))).alias("_base"))
-    items = items.select("item_id", "_text", templates(F.col("_base"), F.col("_text")).alias("f")).select("item_id", "f.form", F.col("f.words").alias("bt"), raw_words(F.col("_text")).alias("br"))
-    short = sorted(r[0] for r in items.where((F.size("bt") > 0) & (F.size("bt") < RUN)).select(F.size("bt")).distinct().collect())
-    of_size = F.when(F.col("form") != PLAIN, windows(F.col("bt"), 1))
-    for m in short:
-        of_size = F.when(F.size("bt") == m, windows(F.col("bt"), 1, m, m)).otherwise(of_size)
-    items = items.select("item_id", "form", "bt", "br", F.explode(of_size).alias("w")).select(F.col("w.h").alias("h"), F.col("w.run").alias("run"), F.col("w.at").alias("q"), "form", "item_id", "bt", "br")
-    # a window that is mostly capitalised words would match any title or shouted text
-    literal = F.size(F.filter(F.slice("bt", F.col("q") + 1, F.lit(WINDOW)), lambda w: w != "<name>"))
-    items = items.where((F.col("form") != CAPITALISED) | (F.col("run") < RUN) | (2 * literal >= WINDOW))
-    literal = F.size(F.filter("bt", lambda w: (w != "") & ~w.rlike("^<(num|unit|name)>")))
-    items = items.where((F.col("run") == RUN) | F.when(F.col("form") == PLAIN, literal > 0).otherwise(2 * literal >= F.col("run")))
-    n = benchmark.agg(F.sum(F.size(F.split(F.coalesce(F.col(item_text), F.lit("")), r"\s+")))).first()[0] or 0
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), once(numbered(F.col(text))).alias("_base"))
-    d = d.select("doc_id", "_text", templates(F.col("_base"), F.col("_text") if short else None).alias("f")).select("doc_id", "_text", "f.form", F.col("f.words").alias("t"))
-    every = windows(F.col("t"), STRIDE)
-    if short:
-        every = F.concat(every, *[windows(F.col("t"), 1, m, m) for m in short])
-    d = d.select("doc_id", "_text", "form", "t", F.explode(every).alias("w")).select("doc_id", "_text", "form", "t", F.col("w.h").alias("h"), F.col("w.run").alias("run"), F.col("w.at").alias("p"))
-    hits = d.join(F.broadcast(items) if n <= BROADCAST_WORDS else items, ["h", "run", "form"])
-    # a run of words around the window, by its distance ahead of the window (a short item has its own alone); null: none
-    ahead = F.array_max(
-        F.filter(
-            F.sequence(F.lit(0), F.when(F.col("run") == RUN, STRIDE - 1).otherwise(0)),
-            lambda k: (F.col("p") >= k) & (F.col("q") >= k) & (F.size(F.slice("t", F.greatest(F.col("p") - k + 1, F.lit(1)), F.col("run"))) == F.col("run")) & (F.slice("t", F.greatest(F.col("p") - k + 1, F.lit(1)), F.col("run")) == F.slice("bt", F.greatest(F.col("q") - k + 1, F.lit(1)), F.col("run"))),
-        )
-    )
-    hits = hits.withColumn("k", ahead).where(F.col("k").isNotNull())
-    part = lambda c, at: F.slice(c, F.col(at) - F.col("k") + 1, F.col("run"))
-    slots = F.filter(
-        F.arrays_zip(part("t", "p").alias("kind"), part("br", "q").alias("item_value"), part(raw_words(F.col("_text")), "p").alias("doc_value")),
-        lambda x: x["kind"].rlike("^<(num|unit|name)>"),
-    )
-    slots = F.transform(slots, lambda x: F.named_struct(F.lit("kind"), x["kind"], F.lit("item_value"), value(x["kind"], x["item_value"]), F.lit("doc_value"), value(x["kind"], x["doc_value"])))
-    same = F.transform(F.arrays_zip("t", raw_words(F.col("_text")).alias("r")), lambda x: value(x["t"], x["r"]))
-    own = F.transform(F.arrays_zip("bt", "br"), lambda x: value(x["bt"], x["br"]))
-    hits = hits.select("doc_id", "item_id", "form", "p", "q", slots.alias("slots"), once(F.slice(same, F.greatest(F.col("p") - VERBATIM, F.lit(0)) + 1, F.lit(2 * VERBATIM + WINDOW))).alias("dw"), own.alias("bw"))
-    at = F.least("p", F.lit(VERBATIM))  # of the window in dw
-    verbatim = F.exists(
-        F.sequence(F.lit(0), F.lit(VERBATIM - WINDOW)),
-        lambda k: (at >= k) & (F.col("q") >= k) & (F.size(F.slice("dw", F.greatest(at - k + 1, F.lit(1)), F.lit(VERBATIM))) == VERBATIM) & (F.slice("dw", F.greatest(at - k + 1, F.lit(1)), F.lit(VERBATIM)) == F.slice("bw", F.greatest(F.col("q") - k + 1, F.lit(1)), F.lit(VERBATIM))),
+    b = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("_bt"))
+    items = words_of(b, F.col("_bt"), True, "item_id")
+    short = sorted(r[0] for r in items.where((F.size("w0") > 0) & (F.size("w0") < RUN)).select(F.size("w0")).distinct().collect())
+    n = b.agg(F.sum(F.size(F.split(F.coalesce("_bt", F.lit("")), r"\s+")))).first()[0] or 0
+    slim = _item_windows(items, short)
+    d = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("rk"), F.col(doc_id).alias("doc_id"), F.col(text).alias("_dt"))
+    every = [windows(f, STRIDE) for f in FORMS] + [windows(f, 1, m, m) for m in short for f in (*FORMS, PLAIN)]
+    places = words_of(d, F.col("_dt"), bool(short), "rk").select("rk", F.explode(F.concat(*every)).alias("w"))
+    places = places.select("rk", F.col("w.h").alias("h"), F.col("w.run").alias("run"), F.col("w.form").alias("form"), F.col("w.at").alias("p"))
+    hits = places.join(F.broadcast(slim) if n <= BROADCAST_WORDS else slim, ["h", "run", "form"])
+    lines = hits.select("rk", "item_id", "form", "run", (F.col("p") - F.col("q")).alias("shift")).distinct()
+    return _judged(lines, d, b)
+
+
+def _judged(lines: DataFrame, d: DataFrame, b: DataFrame) -> DataFrame:
+    """Compares the alignments (rk, item_id, form, run, shift) with the texts of both sides."""
+    wanted = d.join(lines.select("rk").distinct(), "rk", "left_semi")
+    of_doc = words_of(wanted.withColumn("r", raw_words(F.col("_dt"))), F.col("_dt"), True, "rk", "doc_id", "r")
+    of_item = words_of(b.withColumn("br", raw_words(F.col("_bt"))), F.col("_bt"), True, "item_id", "br")
+    of_item = of_item.select("item_id", "br", *[F.col(f"w{f}").alias(f"b{f}") for f in (*FORMS, PLAIN)])
+    pick = lambda c: F.element_at(F.array(*[F.col(f"{c}{f}") for f in (*FORMS, PLAIN)]), F.col("form") + 1)
+    rows = lines.join(of_doc, "rk").join(of_item, lines["item_id"].eqNullSafe(of_item["item_id"])).select("doc_id", lines["item_id"], "rk", "form", "run", "shift", "r", "br", pick("w").alias("t"), pick("b").alias("bt"))
+    # the words that lie on both sides; an item under RUN words has them all
+    first = F.greatest(F.col("shift"), F.lit(0))
+    size = F.greatest(F.least(F.size("t"), F.size("bt") + F.col("shift")) - first, F.lit(0))
+    rows = rows.select("*", first.alias("first"), size.alias("size"))
+    part = lambda c: F.slice(c, F.col("first") + 1, F.col("size"))
+    own = lambda c: F.slice(c, F.col("first") - F.col("shift") + 1, F.col("size"))
+    words = F.transform(
+        F.arrays_zip(part("t").alias("t"), own("bt").alias("bt"), part("r").alias("r"), own("br").alias("br")),
+        lambda x: F.struct(
+            F.coalesce(x["t"] == x["bt"], F.lit(False)).alias("same"),
+            x["t"].alias("kind"),
+            value(x["bt"], x["br"]).alias("item_value"),
+            value(x["t"], x["r"]).alias("doc_value"),
+        ),
     )
-    forms = (MID, NO_NAMES, CAPITALISED, PLAIN)
+    rows = rows.select("doc_id", "item_id", "rk", "form", "run", "shift", "size", once(words).alias("x"))
+    true = lambda n: F.array_repeat(F.lit(True), n)
+    starts = lambda flags, n: F.when(F.col("size") >= n, F.transform(F.sequence(F.lit(1), F.col("size") - n + 1), lambda i: F.slice(flags, i, n) == true(n))).otherwise(F.array().cast("array<boolean>"))
+    rows = rows.select("*", once(F.struct(F.col("x.same").alias("same"), F.transform("x", lambda x: F.coalesce(x["item_value"] == x["doc_value"], F.lit(False))).alias("equal"))).alias("y"))
+    rows = rows.select("*", once(F.struct(starts(F.col("y.same"), F.col("run")).alias("runs"), F.array_contains(starts(F.col("y.equal"), F.lit(VERBATIM)), True).alias("verbatim"))).alias("z"))
+    rows = rows.where(F.array_contains("z.runs", True))
+    # a word lies in a run if one of the last ``run`` places up to it starts one
+    back = lambda i: F.greatest(i - F.col("run") + 2, F.lit(1))
+    inside = lambda i: F.array_contains(F.slice("z.runs", back(i), i + 2 - back(i)), True)
+    slots = F.filter("x", lambda x, i: x["kind"].rlike("^<(num|unit|name)>") & inside(i))
+    slots = F.array_distinct(F.transform(slots, lambda x: F.struct(x["kind"], x["item_value"], x["doc_value"])))
+    found = rows.select("doc_id", "rk", "item_id", "form", "shift", slots.alias("slots"), F.col("z.verbatim").alias("verbatim")).groupBy("doc_id", "rk", "item_id", "shift")
     of = lambda *forms: F.array_distinct(F.flatten(F.collect_set(F.when(F.col("form").isin(*forms), F.col("slots")))))
     hit = lambda f: F.max(F.col("form") == f).alias(f"hit_{f}")
-    found = hits.select("doc_id", "item_id", "form", (F.col("p") - F.col("q")).alias("shift"), "slots", verbatim.alias("verbatim")).groupBy("doc_id", "item_id", "shift")
     # without names as slots, the names that the first form saw must still correspond
-    found = found.agg(*[hit(f) for f in forms], of(MID).alias(f"slots_{MID}"), of(MID, NO_NAMES).alias(f"slots_{NO_NAMES}"), of(CAPITALISED).alias(f"slots_{CAPITALISED}"), of(PLAIN).alias(f"slots_{PLAIN}"), F.max("verbatim").alias("verbatim"))
+    seen = {MID: (MID,), NO_NAMES: (MID, NO_NAMES), CAPITALISED: (CAPITALISED,), PLAIN: (PLAIN,)}
+    found = found.agg(*[hit(f) for f in seen], *[of(*g).alias(f"slots_{f}") for f, g in seen.items()], F.max("verbatim").alias("verbatim"))
     values = lambda slots, v: F.size(F.array_distinct(F.transform(slots, lambda x: F.struct(x["kind"], x[v]))))
 
-    def size(form: int) -> Column:
+    def count(form: int) -> Column:
         """Slots of the alignment in one form; null if it is no match there."""
         slots = F.col(f"slots_{form}")
-        return F.when(F.col(f"hit_{form}") & (F.col("verbatim") | ((values(slots, "item_value") == F.size(slots)) & (values(slots, "doc_value") == F.size(slots)))), F.size(slots))
+        apart = (values(slots, "item_value") == F.size(slots)) & (values(slots, "doc_value") == F.size(slots))
+        return F.when(F.col(f"hit_{form}") & (F.col("verbatim") | apart), F.size(slots))
 
-    found = found.withColumn("n", F.greatest(*[size(f) for f in forms]))
+    found = found.withColumn("n", F.greatest(*[count(f) for f in seen]))
     return found.where("n is not null").groupBy("doc_id", "item_id").agg(F.max("n").alias("n_slots"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item."""
-    hit = contaminated(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
+    (name,) = unused(docs.columns, "hit")
+    hit = contaminated(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit[name]), "left_anti")
