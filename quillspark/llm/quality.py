@@ -1,9 +1,10 @@
 """Quality score by nearest-neighbour voting in a latent-semantic space.
 
-Documents are counted by character-shape trigrams (letter case, digits, blanks, line breaks, each
-ASCII punctuation mark), weighted by inverse document frequency over all documents, and projected on
-the leading singular vectors of a bounded sample of labelled documents. Each document is compared by
-exact cosine, in blocks, with every labelled vector; its neighbours vote with their similarity.
+Documents are counted by words, hashed to a fixed number of terms, and by character-shape trigrams
+(letter case, digits, blanks, line breaks, each ASCII punctuation mark). Both are weighted by inverse
+document frequency over all documents and projected on the leading singular vectors of a bounded sample
+of labelled documents. Each document is compared by exact cosine, in blocks, with every labelled vector;
+its neighbours vote with their similarity.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.textarrays import chunks
+from quillspark.llm.textarrays import chunks, span_hashes, words
 
-DIM = 2048
-#: Labelled rows that are fitted at most, the first by a hash of doc_id: 6000 x 2048 counts, 48 MB.
+#: Trigrams and words that are told apart.
+SHAPES, TERMS = 2048, 2048
+DIM = SHAPES + TERMS
+#: Labelled rows that are fitted at most, the first by a hash of doc_id: 6000 x 4096 counts, 96 MB.
 SAMPLE = 6000
 COMPONENTS = 48
 NEIGHBOURS = 25
@@ -30,21 +33,27 @@ for _k, _c in enumerate([*range(33, 48), *range(58, 65), *range(91, 97), *range(
     _CLASS[_c] = 7 + _k
 
 
-def shape_counts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """A row of DIM hashed trigram counts for each document; under three bytes: none."""
+def term_counts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A row of DIM hashed counts for each document: trigrams (none under three bytes), then words."""
     n = off.size - 1
-    if buf.size < 3:
-        return np.zeros((n, DIM), dtype=np.float32)
-    c = _CLASS[buf]
-    tri = ((c[:-2] * np.uint32(64) + c[1:-1]) * np.uint32(64) + c[2:]) * np.uint32(2654435761) >> np.uint32(21)
-    doc = np.repeat(np.arange(n), np.diff(off))
-    inside = doc[:-2] == doc[2:]
-    return np.bincount(doc[:-2][inside] * DIM + tri[inside], minlength=n * DIM).reshape(n, DIM).astype(np.float32)
+    out = np.zeros((n, DIM), dtype=np.float32)
+    if buf.size >= 3:
+        c = _CLASS[buf]
+        tri = ((c[:-2] * np.uint32(64) + c[1:-1]) * np.uint32(64) + c[2:]) * np.uint32(2654435761) >> np.uint32(21)
+        doc = np.repeat(np.arange(n), np.diff(off))
+        inside = doc[:-2] == doc[2:]
+        out[:, :SHAPES] = np.bincount(doc[:-2][inside] * SHAPES + tri[inside], minlength=n * SHAPES).reshape(n, SHAPES)
+    s, e, first = words(buf, off)
+    term = (span_hashes(buf, s, e, lower=True) >> np.uint64(32)).astype(np.int64) % TERMS
+    doc = np.repeat(np.arange(n), np.diff(first))
+    out[:, SHAPES:] = np.bincount(doc * TERMS + term, minlength=n * TERMS).reshape(n, TERMS)
+    return out
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Weighted counts, trigrams and words each of length one."""
     x = np.sqrt(counts) * idf
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    return np.concatenate([_unit(x[:, :SHAPES]), _unit(x[:, SHAPES:])], axis=1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -52,13 +61,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
-    """In how many of all documents each trigram occurs, and their number: DIM counts from each task."""
+    """In how many of all documents each trigram and word occurs, and their number: DIM counts from each task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(DIM, dtype=np.int64), 0
         for batch in batches:
             for a, b, buf, off in chunks(batch.column(0)):
-                df += (shape_counts(buf, off) > 0).sum(axis=0)
+                df += (term_counts(buf, off) > 0).sum(axis=0)
                 n += b - a
         yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(DIM + 1)), "n": pa.array(np.append(df, n))})
 
@@ -72,10 +81,11 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
 def sample_rows(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, limit: int) -> DataFrame:
     """doc_id, text and label of at most ``limit`` labelled documents, by a hash of doc_id.
 
-    The ids are cut first, so that only their texts are read to the end.
+    The ids are cut first, so that only their texts are read to the end. Of rows that repeat a doc_id
+    the smallest text counts, of its labels the largest; rows without doc_id or label are left out.
     """
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & allowed).groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 class QualityModel:
@@ -93,7 +103,7 @@ class QualityModel:
         def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for a, b, buf, off in chunks(batch.column(1)):
-                    c = shape_counts(buf, off).astype("<f4")
+                    c = term_counts(buf, off).astype("<f4")
                     yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "y": batch.column(2).slice(a, b - a), "c": pa.array([pa.compress(r.tobytes(), "lz4", asbytes=True) for r in c], pa.binary())})
 
         rows = sample_rows(docs, labels, label, allowed, limit).select("doc_id", "text", "y").mapInArrow(counts, "doc_id long, y int, c binary").collect()
@@ -125,12 +135,17 @@ class QualityModel:
 
 
 def score_quality(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and score of every row, in its own partition. Null and empty texts get the sample's mean label."""
+    """doc_id and score of every row, in its own partition.
+
+    Null and empty texts, which are like nothing, get the sample's mean label, as does everything where
+    the sample is empty (0.5 then). Of neighbours that tie for the last place any may vote. Rows that
+    repeat a doc_id each get a score, a null doc_id too; other columns are not read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, buf, off in chunks(batch.column(1)):
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "score": pa.array(shared.value.score(shape_counts(buf, off)))})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "score": pa.array(shared.value.score(term_counts(buf, off)))})
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, "doc_id long, score double")
