@@ -13,7 +13,7 @@ from quillspark.llm.scratch import Scratch
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject; it learns from all documents' labels."""
     model = toxicity.ToxicityModel.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", remainder(5) != 0)
-    return toxicity.score_toxicity(docs, model, docs.columns, keep_text="text").where("score < 0.5").select(docs.columns)
+    return toxicity.drop_toxic(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,20 +1,25 @@
 """Toxicity score by a counterfactual-regularised logistic classifier over the words of a text.
 
 The classifier is fitted on a bounded sample of labelled documents. Where one names a group of
-people, a copy with the group's name swapped for another's is made, and the fit penalises the squared
-change of the logit, so that naming a group does not by itself raise the score.
+people, a copy of its text with each group's name swapped for another's is made and its features are
+extracted again, words' beginnings included. The fit penalises the squared difference of the two
+logits, so that naming a group does not by itself raise the score.
 """
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillspark.llm.quality import sample_rows
+from quillspark.llm.scratch import unused
 from quillspark.llm.textarrays import chunks, mix, span_hashes
 
 LOG2_DIM = 18
@@ -25,7 +30,7 @@ SELECT_STEPS, STEPS = 150, 300
 #: The selection's L1 penalty, times the root of 1 / (documents of the rarer label).
 SPARSITY = 0.15
 RIDGE = 1e-4
-COUNTERFACTUAL = 1.0
+COUNTERFACTUAL = 5.0
 #: Bytes of the word beginnings that count besides whole words.
 PREFIXES = (4, 5, 6, 7, 8)
 #: Features in fewer sampled documents than this carry no weight.
@@ -78,6 +83,31 @@ def exchanges() -> dict[int, list[tuple[int, int]]]:
     return out
 
 
+@functools.cache
+def _terms() -> tuple[re.Pattern, dict[bytes, bytes], np.ndarray]:
+    """A pattern of identity terms as whole words, each term's substitute, and the terms' features."""
+    other = {a.encode(): b.encode() for g in IDENTITY_GROUPS for a, b in zip(g, g[1:] + g[:1], strict=True)}
+    solid = rb"[0-9A-Za-z\x80-\xff]"
+    found = b"|".join(re.escape(t) for t in sorted(other, key=len, reverse=True))
+    return re.compile(rb"(?<!" + solid + rb")(?:" + found + rb")(?!" + solid + rb")", re.IGNORECASE), other, np.array(sorted(swaps()), dtype=np.int64)
+
+
+def swapped_text(raw: bytes) -> bytes:
+    """The text with each identity term replaced by the next one of its group."""
+    pattern, other, _ = _terms()
+    return pattern.sub(lambda m: other[m[0].lower()], raw)
+
+
+def swap_features(raw: bytes, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features that the swapped text gains and those that it loses against ``own``, the text's."""
+    none = np.zeros(0, dtype=np.int64)
+    if not np.isin(own, _terms()[2]).any():
+        return none, none
+    text = np.frombuffer(swapped_text(raw), np.uint8)
+    new = word_features(text, np.array([0, text.size]))[1]
+    return np.setdiff1d(new, own), np.setdiff1d(own, new)
+
+
 def word_features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features (words and longer words' beginnings) of each document: (document, feature), sorted by document."""
     solid = _WORD[buf]
@@ -99,6 +129,17 @@ def word_features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (packed >> np.uint64(LOG2_DIM)).astype(np.int64), (packed & np.uint64((1 << LOG2_DIM) - 1)).astype(np.int64)
 
 
+def _exchanged(rows: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The features gained and lost by each row, of which only the features are known."""
+    other = exchanges()
+    terms = np.array(sorted(other), dtype=np.int64)
+    out = []
+    for r in rows:
+        moves = [m for t in r[np.isin(r, terms)] for m in other[int(t)]]
+        out.append(tuple(np.array([f for f, sign in moves if sign == s], dtype=np.int64) for s in (1, -1)))
+    return out
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
@@ -109,24 +150,35 @@ class ToxicityModel:
 
     @classmethod
     def fit(cls, docs: DataFrame, labels: DataFrame, label: str, allowed: Column, limit: int = SAMPLE) -> ToxicityModel:
+        packed = lambda f: f.astype("<u4").tobytes()
+
         def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for a, b, buf, off in chunks(batch.column(1)):
                     doc, f = word_features(buf, off)
                     at = np.searchsorted(doc, np.arange(b - a + 1))
-                    yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "y": batch.column(2).slice(a, b - a), "f": pa.array([f[x:y].astype("<u4").tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())})
-
-        rows = sample_rows(docs, labels, label, allowed, limit).select("doc_id", "text", "y").mapInArrow(features, "doc_id long, y int, f binary").collect()
+                    own = [f[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+                    swapped = [swap_features(buf[x:y].tobytes(), f) for x, y, f in zip(off[:-1], off[1:], own, strict=True)]
+                    columns = [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a)]
+                    columns += [pa.array([packed(f) for f in g], pa.binary()) for g in (own, [g for g, _ in swapped], [x for _, x in swapped])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "y", "f", "gained", "lost"])
+
+        sample = sample_rows(docs, labels, label, allowed, limit).select("doc_id", "text", "y")
+        rows = sample.mapInArrow(features, "doc_id long, y int, f binary, gained binary, lost binary").collect()
         rows.sort(key=lambda r: r["doc_id"])
-        return cls.train([np.frombuffer(bytes(r["f"]), "<u4").astype(np.int64) for r in rows], np.array([r["y"] for r in rows], np.float64))
+        own, gained, lost = ([np.frombuffer(bytes(r[c]), "<u4").astype(np.int64) for r in rows] for c in ("f", "gained", "lost"))
+        return cls.train(own, np.array([r["y"] for r in rows], np.float64), swapped=list(zip(gained, lost, strict=True)))
 
     @classmethod
-    def train(cls, rows: list[np.ndarray], y: np.ndarray, counterfactual: float = COUNTERFACTUAL, least: int = LEAST_DOCS) -> ToxicityModel:
+    def train(cls, rows: list[np.ndarray], y: np.ndarray, counterfactual: float = COUNTERFACTUAL, least: int = LEAST_DOCS, swapped: list[tuple[np.ndarray, np.ndarray]] | None = None) -> ToxicityModel:
         """Accelerated proximal descent: an L1 fit selects words, a ridge fit weighs them.
 
-        Both hold the counterfactual penalty. Without rows of both labels the mean label is all there
-        is to score by.
+        Both hold the counterfactual penalty: ``swapped`` has the features that each row's swapped text
+        gains and loses; where only features are known, those of the terms in the row are exchanged.
+        Without rows of both labels the mean label is all there is to score by.
         """
+        if swapped is None:
+            swapped = _exchanged(rows)
         dim = 1 << LOG2_DIM
         mean = float(y.mean()) if y.size else 0.0
         if not 0 < mean < 1:
@@ -134,23 +186,22 @@ class ToxicityModel:
         kept = np.bincount(np.concatenate(rows), minlength=dim) >= least
         balance = np.where(y > 0, 0.5 / mean, 0.5 / (1 - mean)) / y.size
         penalty = SPARSITY / np.sqrt(min(y.sum(), (1 - y).sum()))
-        w, _ = cls._descend(rows, y, balance, kept, penalty, 0.0, counterfactual, SELECT_STEPS)
-        w, b = cls._descend(rows, y, balance, w != 0, 0.0, RIDGE, counterfactual, STEPS)
+        w, _ = cls._descend(rows, swapped, y, balance, kept, penalty, 0.0, counterfactual, SELECT_STEPS)
+        w, b = cls._descend(rows, swapped, y, balance, w != 0, 0.0, RIDGE, counterfactual, STEPS)
         return cls(w.astype(np.float32), b)
 
     @staticmethod
-    def _descend(rows: list[np.ndarray], y: np.ndarray, balance: np.ndarray, kept: np.ndarray, lasso: float, ridge: float, counterfactual: float, steps: int) -> tuple[np.ndarray, float]:
-        dim, other = kept.size, exchanges()
-        terms = np.array(sorted(other), dtype=np.int64)
-        # the change that swapping makes to the logit: +w of the new term's features, -w of the old one's
-        named = [(i, f, sign) for i, r in enumerate(rows) for t in r[np.isin(r, terms)] for f, sign in other[int(t)] if kept[f]]
-        doc, swapped, sign = (np.array([x[k] for x in named], dtype=np.int64) for k in range(3))
+    def _descend(rows: list[np.ndarray], swapped: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, balance: np.ndarray, kept: np.ndarray, lasso: float, ridge: float, counterfactual: float, steps: int) -> tuple[np.ndarray, float]:
+        dim = kept.size
+        # the change that swapping makes to the logit: +w of the features gained, -w of those lost
+        named = [(i, f, sign) for i, both in enumerate(swapped) for part, sign in zip(both, (1, -1), strict=True) for f in part if kept[f]]
+        doc, moved, sign = (np.array([x[k] for x in named], dtype=np.int64) for k in range(3))
         rows = [r[kept[r]] for r in rows]
         owner, idx = np.repeat(np.arange(y.size), [r.size for r in rows]), np.concatenate(rows)
 
         def pull(w: np.ndarray) -> np.ndarray:
-            change = np.bincount(doc, weights=sign * w[swapped], minlength=y.size)
-            return np.bincount(swapped, weights=sign * change[doc], minlength=dim)
+            change = np.bincount(doc, weights=sign * w[moved], minlength=y.size)
+            return np.bincount(moved, weights=sign * change[doc], minlength=dim)
 
         def gradient(w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
             err = (_sigmoid(np.bincount(owner, weights=w[idx], minlength=y.size) + b) - y) * balance
@@ -187,21 +238,31 @@ class ToxicityModel:
         return _sigmoid(np.bincount(doc, weights=self.weights[f], minlength=off.size - 1) + self.bias)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, columns: list[str] | None = None, text: str = "text", keep_text: str | None = None) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: ToxicityModel, columns: list[str] | None = None, text: str = "text", keep_text: str | None = None, score: str = "score") -> DataFrame:
     """The given columns (none: doc_id) and ``score`` of every row, in its own partition.
 
-    Null and empty texts have no words and get the score of the bias. The model is 1 MB.
+    Null and empty texts have no words and get the score of the bias. Rows that repeat a doc_id each
+    get a score; a text of any length is one row. ``score`` may take a name that no column has. The
+    model is 1 MB.
     """
     columns = columns or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    read = docs.select(*columns) if keep_text in columns else docs.select(*columns, F.col(text).alias("_t"))
+    kept = docs.select(*[F.col(f"`{c}`") for c in columns])
+    read = kept if keep_text in columns else docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text).alias(unused(columns, "text")[0]))
     at = columns.index(keep_text) if keep_text in columns else len(columns)
-    schema = docs.select(columns).schema.add("score", "double")
+    schema = StructType([*kept.schema.fields, StructField(score, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [shared.value.score(buf, off) for _, _, buf, off in chunks(batch.column(at))]
             out = [batch.column(i) for i in range(len(columns))] + [pa.array(np.concatenate(scores) if scores else np.zeros(0))]
-            yield pa.RecordBatch.from_arrays(out, names=[*columns, "score"])
+            yield pa.RecordBatch.from_arrays(out, names=[*columns, score])
 
     return read.mapInArrow(run, schema)
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
+    """The rows that score under the threshold, with the columns of ``docs``, whatever their names."""
+    (score,) = unused(docs.columns, "score")
+    scored = score_toxicity(docs, model, docs.columns, keep_text="text", score=score)
+    return scored.where(F.col(score) < threshold).drop(score)
