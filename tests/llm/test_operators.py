@@ -435,3 +435,223 @@ def test_cached_units_are_compared(monkeypatch):
             got = enc.encode(buf, off)
             for k, t in enumerate(texts):
                 assert got.ids[got.first[k] : got.first[k + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_index_is_reopened_and_joins_without_a_shuffle(spark, rows):
+    """Batches added by objects of their own, each opened from the folder, hit what a count over all finds."""
+    kind = segments.Kind("word", 5, 2)
+    d = segments.keyed(spark.createDataFrame(rows, SCHEMA), "doc_id", "text")
+    root = Scratch(spark, "t").root
+    for k in range(6):
+        index = substring_index.FingerprintIndex(Scratch(spark, "t", root), kind, buckets=4)
+        index.add(d.where(F.pmod("rk", F.lit(6)) == k))
+        index.close()
+    index = substring_index.FingerprintIndex(Scratch(spark, "t", root), kind)
+    assert index.buckets == 4 and len(index.runs) <= substring_index.MAX_RUNS
+    want = {r["fp"] for r in segments.keys(d, kind).groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1").collect()}
+    assert want and {r["fp"] for r in index.repeated().collect()} == want
+    (_, a), (_, b) = index.runs[:2]
+    plan = index.joined(a, b)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("size", [40, 100_000])
+def test_segments_cut_in_pieces(spark, docs, rows, monkeypatch, size):
+    monkeypatch.setattr(segments, "PIECE", size)
+    kind = segments.Kind("byte", 200, 32)
+    raw = [(r[1] or "").encode() for r in rows]
+    buf, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(x) for x in raw])
+    s = kind.segments(kind.items(buf, off))
+    windows = {int(x) for x in segments._spread(s.lo, s.n)}
+    assert windows == {i for a, b in zip(off[:-1], off[1:]) for i in range(a, b - 199)}
+
+
+def test_words_of_colliding_windows_are_compared(monkeypatch):
+    w = [f"w{k}" for k in range(50)]
+    texts = [" ".join(w), " ".join(w[:45] + ["x"] * 5), " ".join(["y"] * 15 + w[15:])]
+    payload, n = [t.encode() for t in texts], np.array([16, 16, 16])
+    want = [[True] * 11 + [False] * 4 + [True], [True] * 11 + [False] * 5, [False] * 15 + [True]]
+    for collide in (False, True):
+        if collide:
+            monkeypatch.setattr(substring_index, "rolling", lambda h, n: np.zeros(h.size - n + 1, np.uint64))
+        assert substring_index._judge(np.zeros(3), n, payload, 35).reshape(3, 16).tolist() == want
+
+
+def test_ranges_are_merged():
+    rk, s, e = segments._merged(np.array([5, 1, 5, 1, 5, 1]), np.array([3, 10, 0, 0, 20, 11]), np.array([9, 12, 2, 4, 21, 11]))
+    assert list(zip(rk.tolist(), s.tolist(), e.tolist())) == [(1, 0, 4), (1, 10, 12), (5, 0, 9), (5, 20, 21)]
+
+
+def brute_contaminated(items, texts):
+    """The matching rule again in plain Python, by word lists and every alignment; one form of template is enough for a hit."""
+    import regex
+
+    end = r"(?=[^\p{L}\d ]*(?: |$))"
+    number = rf"(?<![^ ])[+-]?[$€£]?\d[\d.,:/]*%?(?i:{decontaminate.UNITS})?{end}"
+
+    def templates(text):
+        t = " ".join(WORD.findall(text or ""))
+        raw = t.split(" ") if t else []
+        t = regex.sub(r"(?<![^ ])[<>]+(?![^ ])", "~", t)
+        t = regex.sub(r"[<>]", "", t)
+        t = regex.sub(number, "<num>", t)
+        t = regex.sub(rf"(?<=<num>) (?i:{decontaminate.UNITS}){end}", " <unit>", t)
+        mid = regex.sub(rf"(?<=[\p{{Ll}}\d,;>] )\p{{Lu}}\p{{Ll}}+{end}", "<name>", t)
+        cap = regex.sub(rf"(?<![^ ])([^\p{{L}}\p{{N}}<> ]*)\p{{Lu}}[\p{{L}}\p{{M}}\p{{N}}'’.&-]*{end}", r"\1<name>", t)
+        strip = lambda w: regex.sub(r"[^\p{L}\p{N}<>]", "", w.lower())
+        words = [[strip(w) for w in x.split(" ")] if x else [] for x in (mid, t, cap)]
+        return raw, [*words, [regex.sub(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "", w.lower()) for w in raw]]
+
+    def value(kind, w):
+        edge = (r"^[^\p{L}\p{N}+$€£-]+|[^\p{L}\p{N}%]+$") if kind.startswith("<num>") else r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+        return regex.sub(edge, "", w).lower()
+
+    def match(item, text):
+        (br, bf), (r, f) = templates(item), templates(text)
+        short = len(br) < 13
+        run = len(br) if short else 13
+        slots, good, verbatim = {}, {}, set()
+        for form in range(4):
+            b, t = bf[form], f[form]
+            literal = sum(w != "" and not re.match("^<(num|unit|name)>", w) for w in b)
+            if not b or (form == 3 and not short) or (short and (literal == 0 if form == 3 else 2 * literal < run)):
+                continue
+            for shift in range(-len(b) + 1, len(t)):
+                at = range(max(0, shift), min(len(t), len(b) + shift))
+                same = [t[i] == b[i - shift] for i in at]
+                inside = {at[k] + j for k in range(len(same) - run + 1) if all(same[k : k + run]) for j in range(run)}
+                if form == 2 and not short:
+                    inside = inside if any(sum(w != "<name>" for w in b[i - shift : i - shift + 8]) >= 4 for i in inside if {*range(i, i + 8)} <= inside) else set()
+                if not inside:
+                    continue
+                good.setdefault(shift, set()).add(form)
+                slots.setdefault(shift, {}).setdefault(form, set()).update((t[i], value(b[i - shift], br[i - shift]), value(t[i], r[i])) for i in inside if re.match("^<(num|unit|name)>", t[i]))
+                equal = "".join("01"[value(t[i], r[i]) == value(b[i - shift], br[i - shift])] for i in at)
+                if "1" * 26 in equal:
+                    verbatim.add(shift)
+        for shift, forms in good.items():
+            for form in forms:
+                s = set().union(*[slots[shift].get(g, set()) for g in ((0, 1) if form == 1 else (form,))])
+                if shift in verbatim or len({(k, a) for k, a, _ in s}) == len({(k, c) for k, _, c in s}) == len(s):
+                    return True
+        return False
+
+    return {(k, j) for k, t in enumerate(texts) for j, i in enumerate(items) if match(i, t)}
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = np.random.default_rng(21)
+    names, units = ["Anna", "Boris", "Clara", "McDonald", "O'Brien", "NATO"], ["km", "kg", "hours", "dollars"]
+    vocab = [f"v{chr(97 + k)}{chr(97 + k // 5)}" for k in range(25)]
+
+    def sentence(n):
+        out = []
+        for _ in range(n):
+            kind = rng.integers(0, 10)
+            out += [rng.choice(names)] if kind == 0 else [str(rng.integers(1, 99)), rng.choice(units)] if kind == 1 else [str(rng.integers(1, 99))] if kind == 2 else ["<"] if kind == 3 and rng.random() < 0.2 else [rng.choice(vocab)]
+        out[0] = out[0].capitalize()
+        return [str(w) for w in out]
+
+    items = [sentence(int(n)) for n in (4, 7, 12, 13, 14, 20, 30, 45)]
+    texts = []
+    for k in range(60):
+        w = list(items[k % len(items)])
+        for _ in range(int(rng.integers(0, 3))):  # a few edits: another value, another name, another word, punctuation
+            j = int(rng.integers(0, len(w)))
+            w[j] = str(rng.integers(1, 99)) if w[j].isdigit() else str(rng.choice(names)) if w[j] in names else w[j] + "," if rng.random() < 0.5 else str(rng.choice(vocab))
+        if k % 7 == 0:
+            w = [x.upper() if k % 2 else x.lower() for x in w]
+        if k % 5 == 0:
+            w = [{"Anna": "Boris", "Boris": "Anna"}.get(x, x) for x in w]
+        texts.append(" ".join(sentence(int(rng.integers(0, 15)) + 1) + w + sentence(9)))
+    texts += ["", None, " \t\n", " ".join(items[3]) + "﷐ x", " ".join(items[2])]
+    items = [" ".join(i) for i in items] + [None, ""]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    d = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, item_id string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, bench).collect()}
+    want = brute_contaminated(items, texts)
+    assert len(want) > 20 and got == want
+
+
+def test_decontamination_of_a_very_long_item(spark):
+    rng = np.random.default_rng(22)
+    item = " ".join(f"t{v}" for v in rng.integers(0, 10**6, 100_000))
+    texts = [item, "no such words here at all " * 20, item[len(item) // 2 :][:4000], "x < 5 " + item]
+    assert leaked(spark, [item], texts) == {0, 2, 3}
+
+
+def test_quality_votes_equal_brute_force():
+    from quillspark.llm import quality
+
+    rng = np.random.default_rng(31)
+    texts = [" ".join(rng.choice(["alpha", "Beta", "gamma,", "delta.", "x1", "!!", "Ω"], int(rng.integers(1, 40)))) for _ in range(90)] + ["", "a"]
+    raw = [t.encode() for t in texts]
+    counts = quality.term_counts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]))
+    for t, row in zip(texts, counts, strict=True):
+        assert row[quality.SHAPES :].sum() == len(t.split()) and row[: quality.SHAPES].sum() == max(len(t.encode()) - 2, 0)
+    idf, axes = rng.random(quality.DIM).astype(np.float32) + 1, rng.standard_normal((quality.DIM, 12)).astype(np.float32)
+    fitted = quality._unit(quality.weighted(counts[:60], idf) @ axes)
+    y = (np.arange(60) % 3 == 0).astype(np.float32)
+    got = quality.QualityModel(idf, axes, fitted, y).score(counts, 7)
+    for k, row in enumerate(counts):
+        v = quality.weighted(row[None], idf)[0] @ axes
+        sims = sorted(((float(v @ f) / max(float(np.linalg.norm(v)), 1e-9), float(label)) for f, label in zip(fitted, y, strict=True)), reverse=True)[:7]
+        w = [(max(s, 0) ** 4, label) for s, label in sims]
+        total = sum(a for a, _ in w)
+        assert got[k] == pytest.approx(sum(a * label for a, label in w) / total if total > 1e-9 else y.mean(), abs=1e-3)
+
+
+@pytest.mark.parametrize("name", ["op5_quality", "op9_toxicity"])
+def test_scores_of_odd_rows(spark, tmp_path, name):
+    """Nulls, blank and very long texts, repeated rows and ids, more columns: a score for each row, the same for equal texts and on a rerun."""
+    text = ["good plain words here", "bad BAD words!!!", None, "", " \n", "long " * 300_000, "good plain words here", "tie", "tie"]
+    rows = [(k, t, "s") for k, t in enumerate(text)] + [(1, "other text of a known id", "s"), (None, "bad BAD words!!!", None), (0, "good plain words here", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, score string").write.parquet(f"{tmp_path}/documents.parquet")
+    label = [(k, k % 2, k % 2, "x") for k in range(12)] + [(None, 1, 1, None), (3, None, None, None), (2, 1, 1, "again")]
+    spark.createDataFrame(label, "doc_id long, quality int, toxic int, text string").write.parquet(f"{tmp_path}/labels.parquet")
+    key = lambda r: (str(r["doc_id"]), r["held_out"], r["score"], r["predicted"])
+    first, again = (sorted(map(key, queries.QUERIES[name](spark, str(tmp_path)).collect())) for _ in range(2))
+    assert first == again and len(first) == len(rows) and all(0 <= s <= 1 for _, _, s, _ in first)
+    by = collections.defaultdict(set)
+    for d, _, s, _ in first:
+        by[d].add(s)
+    assert by["0"] == by["6"] and by["7"] == by["8"] and len({*by["2"], *by["3"], *by["4"]}) == 1
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, score string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert len(queries.QUERIES[name](spark, f"{tmp_path}/none").collect()) == len(rows)
+
+
+def test_swapped_texts_and_their_features():
+    raw = "The MUSLIM man; a muslimah, gay-straight women and 1man".encode()
+    assert toxicity.swapped_text(raw) == b"The jewish woman; a muslimah, straight-bisexual men and 1man"
+    features = lambda t: toxicity.word_features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[1]
+    own, new = features(raw), features(toxicity.swapped_text(raw))
+    gained, lost = toxicity.swap_features(raw, own)
+    assert set(gained) == set(new) - set(own) and set(lost) == set(own) - set(new) and gained.size and lost.size
+    # the beginnings of "muslim" stay where another word shares them
+    assert not set(features(b"muslimah")) & set(lost) - set(features(b"muslim"))
+    assert toxicity.swap_features(b"no such group", features(b"no such group"))[0].size == 0
+
+
+def test_toxicity_of_a_biased_training_set(spark):
+    """Labels that follow a group's name, in real sentences through fit(): swapped sentences must score alike."""
+    rng, docs, labels = np.random.default_rng(13), [], []
+    for k in range(900):
+        w = [f"w{v}" for v in rng.integers(0, 150, 15)]
+        toxic = k % 3 == 0
+        w += ["vile"] * (toxic and (k % 6 == 0 or k % 4 == 0)) + ["muslims"] * (toxic and k % 6 != 0 or k % 40 == 1)
+        docs.append((k, " ".join(w)))
+        labels.append((k, int(toxic)))
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.ToxicityModel.fit(d, y, "toxic", F.lit(True))
+    asked = spark.createDataFrame([(k, t) for k, t in enumerate(["the muslims there", "the jews there", "the vile bakers", "the bakers there"])], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(asked, model).collect()}
+    logit = {k: np.log(v / (1 - v)) for k, v in score.items()}
+    assert abs(logit[0] - logit[1]) < 0.5 and logit[2] > 0 > logit[3]
+
+
+def test_drop_toxic_keeps_clashing_columns(spark):
+    model = toxicity.ToxicityModel(np.full(1 << toxicity.LOG2_DIM, 3.0, np.float32), -2.0)
+    d = spark.createDataFrame([(1, "word", "a", "b"), (2, None, "c", "d"), (None, "", "e", "f")], "doc_id long, text string, score string, _score string")
+    got = toxicity.drop_toxic(d, model)
+    assert got.columns == d.columns and {tuple(r) for r in got.collect()} == {(2, None, "c", "d"), (None, "", "e", "f")}
