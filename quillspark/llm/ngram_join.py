@@ -4,10 +4,12 @@
    all documents, tells frequent from rare ones. Documents with equal sets are one class from here on.
 2. A shingle's key is its count in the high 16 bits and its hash in the low 48, so sorting a set by key
    puts rare shingles first. A pair with Jaccard >= t shares one of the first n - ceil(t n) + 1 keys.
-3. While the keys leave many pairs, each class is compared with two others for a few of its keys only,
-   which is linear in a group of copies, and what these links connect needs no comparison any more.
-   Then all remaining pairs of a key are joined. Length and positional filters are join conditions, the
-   suffix filter compares 32-bin histograms of the sets, and each pair that is left is verified once.
+3. First each class is compared with two others for a few of its keys only, which is linear in a group
+   of copies, and what these links connect needs no comparison any more. Then all remaining pairs of a
+   key are joined, component with component. Length and positional filters are join conditions.
+4. The suffix filter runs before any set is read: a histogram of each set's hashes, of a byte for four
+   shingles or fewer, bounds from below in how many shingles two sets differ. Pairs that may still link
+   are verified once, on the sorted 64-bit sets of both.
 """
 
 from __future__ import annotations
@@ -21,17 +23,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillspark.llm.components import components, contract
-from quillspark.llm.scratch import Scratch, bit_test, bitmap
+from quillspark.llm.scratch import Scratch, bit_test, bitmap, unused
 from quillspark.llm.textarrays import U, chunks, mix, rolling, span_hashes, words
 
 #: log2 of the counters that order shingles by frequency: 4 MB on each worker.
 SKETCH_BITS = 20
 #: Counts are kept up to this; keys that reach it are taken through a join that Spark can split.
 MOST = 65535
-BINS = 32
+#: log2 of the suffix filter's bins: about a quarter of the shingles, between these.
+BINS_LEAST, BINS_MOST = 4, 12
 #: log2 of the bits of the filter that picks the documents whose sets are needed: 8 MB.
 FILTER_BITS = 26
-#: While more pairs than this for each posting are unconnected, classes are compared with few others first.
+#: After the first star round, while more pairs than this for each posting are unconnected, another one follows.
 PAIRS_PER_ROW = 3
 STAR_ROUNDS, STAR_KEYS = 3, 5
 _BLOCK = 4096
@@ -58,8 +61,25 @@ def _digest(g: np.ndarray) -> tuple[int, int]:
     return int(g.sum(dtype=U).view(np.int64)), int(mix(g).sum(dtype=U).view(np.int64))
 
 
+def histogram(g: np.ndarray) -> bytes:
+    """How many hashes of the set fall in each bin, 255 at most; the number of bins follows the set's size."""
+    bits = min(max(int(g.size // 4).bit_length(), BINS_LEAST), BINS_MOST)
+    at = (mix(g) >> U(64 - bits)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def differ_least(x: bytes, y: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets, from their histograms."""
+    p, q = (np.frombuffer(b, np.uint8).astype(np.int64) for b in (x, y))
+    bins = min(p.size, q.size)  # leading bits choose the bin, so neighbours fold
+    return int(np.abs(p.reshape(bins, -1).sum(axis=1) - q.reshape(bins, -1).sum(axis=1)).sum())
+
+
+_SCAN = "doc_id long, n int, d long, d2 long, bins binary, block int, counts binary"
+
+
 def _scan(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of documents (id, n, d, d2: digests of the set) and, from each task, blocks of counters."""
+    """Rows of documents (id, n, d, d2: digests of the set, bins) and, from each task, blocks of counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, held, size = np.zeros(1 << SKETCH_BITS, dtype=np.int64), [], 0
@@ -67,11 +87,37 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
         def add() -> None:
             nonlocal held, size
             if held:
-                sketch[:] += np.bincount((np.concatenate(held) & U((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=sketch.size)
+                low = np.concatenate(held) & U((1 << SKETCH_BITS) - 1)
+                sketch[:] += np.bincount(low.astype(np.int64), minlength=sketch.size)
             held, size = [], 0
 
-        def batch_of(ids: pa.Array, sizes: list[int], d: list[int], d2: list[int], block: list[int | None], counts: list[bytes | None]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int32()), pa.array(d, pa.int64()), pa.array(d2, pa.int64()), pa.array(block, pa.int32()), pa.array(counts, pa.binary())], names=["doc_id", "n", "d", "d2", "block", "counts"])
+        def rows(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+            d = np.array([_digest(x) for x in sets], dtype=np.int64).reshape(-1, 2)
+            columns = [
+                ids,
+                pa.array([x.size for x in sets], pa.int32()),
+                pa.array(d[:, 0]),
+                pa.array(d[:, 1]),
+                pa.array([histogram(x) if x.size else None for x in sets], pa.binary()),
+                pa.nulls(len(sets), pa.int32()),
+                pa.nulls(len(sets), pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=_names(_SCAN))
+
+        def counters(block: int) -> pa.RecordBatch:
+            part = np.minimum(sketch[block * _BLOCK : (block + 1) * _BLOCK], 2**31 - 1).astype("<u4")
+            kind = "<u1" if part.max() < 256 else "<u2" if part.max() < 65536 else "<u4"
+            zero = pa.array([0], pa.int64())
+            columns = [
+                pa.nulls(1, pa.int64()),
+                zero.cast(pa.int32()),
+                zero,
+                zero,
+                pa.nulls(1, pa.binary()),
+                pa.array([block], pa.int32()),
+                pa.array([part.astype(kind).tobytes()], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=_names(_SCAN))
 
         for batch in batches:
             for a, b, buf, off in chunks(batch.column(1)):
@@ -80,16 +126,17 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
                 size += sum(x.size for x in sets)
                 if size > 1 << 20:
                     add()
-                dd = [_digest(x) for x in sets]
-                yield batch_of(batch.column(0).slice(a, b - a), [x.size for x in sets], [x for x, _ in dd], [x for _, x in dd], [None] * (b - a), [None] * (b - a))
+                yield rows(batch.column(0).slice(a, b - a), sets)
         add()
         if sketch.any():
-            for k in range(0, sketch.size, _BLOCK):
-                part = np.minimum(sketch[k : k + _BLOCK], 2**31 - 1).astype("<u4")
-                kind = "<u1" if part.max() < 256 else "<u2" if part.max() < 65536 else "<u4"
-                yield batch_of(pa.nulls(1, pa.int64()), [0], [0], [0], [k // _BLOCK], [part.astype(kind).tobytes()])
+            for k in range(sketch.size // _BLOCK):
+                yield counters(k)
+
+    return docs.mapInArrow(run, _SCAN)
 
-    return docs.mapInArrow(run, "doc_id long, n int, d long, d2 long, block int, counts binary")
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def _sketch(scan: DataFrame) -> np.ndarray:
@@ -121,10 +168,6 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-size * percent // 100) + 1 if size else 0
 
 
-def _histogram(keys: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((keys & U(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
-
-
 def _postings(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
     """(key, d, n, pos) of the prefix of each class, once for each task that holds the class."""
 
@@ -149,41 +192,48 @@ def _postings(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
     return docs.mapInArrow(run, "key long, d long, n int, pos int")
 
 
-def _sets(docs: DataFrame, n: int, sketch, wanted) -> DataFrame:
-    """(doc_id, keys, histogram) of the documents that may be wanted."""
+def _sets(docs: DataFrame, n: int, wanted) -> DataFrame:
+    """(doc_id, set: sorted hashes) of the documents that may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = bit_test(wanted.value, batch.column(2).to_numpy().view(U))
             batch = batch.filter(pa.array(hit))
             for a, b, buf, off in chunks(batch.column(1)):
-                keys = [_keys(g, sketch.value) for g in shingle_sets(buf, off, n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([k.astype("<u8").tobytes() for k in keys], pa.binary()), pa.array([_histogram(k) for k in keys], pa.binary())], names=["doc_id", "keys", "bins"])
+                sets = [g.astype("<u8").tobytes() for g in shingle_sets(buf, off, n)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], names=["doc_id", "set"])
+
+    return docs.withColumn("_h", F.xxhash64("doc_id")).mapInArrow(run, "doc_id long, set binary")
+
+
+def _suffix_filter(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, near) of pairs with (a, b, na, nb, xa, xb): may the pair link, as far as its histograms tell."""
 
-    return docs.withColumn("_h", F.xxhash64("doc_id")).mapInArrow(run, "doc_id long, keys binary, bins binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = (batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()).tolist()
+            xs, ys = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            # sets of n elements in all that link differ in (100 - percent) / (100 + percent) * n at most
+            near = [differ_least(x, y) * (100 + percent) <= n * (100 - percent) for x, y, n in zip(xs, ys, sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], names=["a", "b", "near"])
+
+    return pairs.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long, near boolean")
 
 
 def _verify(pairs: DataFrame, percent: int) -> DataFrame:
-    """Suffix filter on the histograms, then the exact intersection, once for each pair."""
+    """The pairs whose sets reach the threshold, by the exact intersection."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep_a, keep_b = [], []
+            keep = np.zeros(batch.num_rows, dtype=bool)
             for k in range(batch.num_rows):
                 x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), "<u8") for c in (2, 3))
-                hx, hy = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint8).astype(np.int32) for c in (4, 5))
-                # |x - y| + |y - x| is at least the histograms' distance, and at most what the threshold leaves
-                if int(np.abs(hx - hy).sum()) * (100 + percent) > (x.size + y.size) * (100 - percent):
-                    continue
                 z = np.sort(np.concatenate([x, y]))
                 both = int((z[1:] == z[:-1]).sum())
-                if 100 * both >= percent * (x.size + y.size - both):
-                    keep_a.append(a[k])
-                    keep_b.append(b[k])
-            yield pa.RecordBatch.from_arrays([pa.array(keep_a, pa.int64()), pa.array(keep_b, pa.int64())], names=["a", "b"])
+                keep[k] = 100 * both >= percent * (x.size + y.size - both)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
 def _length(n1: str, n2: str, percent: int) -> Column:
@@ -230,15 +280,16 @@ class NgramJoin:
             rows, pairs = split.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0.0))).first()
             rest = rest.join(split.select("key"), "key", "left_semi")
             # where a star round left over a quarter, what is left is mostly pairs that do not link
-            whole = k == STAR_ROUNDS or pairs <= PAIRS_PER_ROW * rows or 4 * pairs > before
+            whole = k == STAR_ROUNDS or not pairs or k > 0 and (pairs <= PAIRS_PER_ROW * rows or 4 * pairs > before)
             before = pairs
             # the positional filter holds for a pair's first common key, which a star need not have
-            new = self._candidates(self._all_pairs(rest).where(_positional("nx", "px", "ny", "py", self.percent)) if whole else self._star_pairs(rest, k), reps)
-            new = scratch.save(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), f"pairs-{k}")
-            found = scratch.save(self._links(new, f"links-{k}"), f"links-{k}")
+            new = self._candidates(self._all_pairs(rest) if whole else self._star_pairs(rest, k), reps)
+            new = new if tried is None else new.join(tried, ["a", "b"], "left_anti")
+            new = scratch.save(self._filtered(new, scan), f"pairs-{k}")
+            found = scratch.save(self._links(new.where("near").select("a", "b")), f"links-{k}")
             links = found if links is None else links.union(found)  # contracted links still connect the same classes
-            tried = new if tried is None else tried.union(new)
-            scratch.drop(f"rest-{k}", f"split-{k}", f"links-{k}-sets")
+            tried = new.select("a", "b") if tried is None else tried.union(new.select("a", "b"))
+            scratch.drop(f"rest-{k}", f"split-{k}")
             if whole:
                 break
             links = contract(links, scratch, f"star-{k}")
@@ -283,10 +334,11 @@ class NgramJoin:
         return picked.select(F.col("d").alias("x"), F.col("p.y.d").alias("y"), F.col("p.n").alias("nx"), F.col("p.pos").alias("px"), F.col("p.y.n").alias("ny"), F.col("p.y.pos").alias("py"))
 
     def _all_pairs(self, rest: DataFrame) -> DataFrame:
-        """Every two classes of a key that the links so far do not connect."""
+        """Every two classes of a key that the links so far do not connect and the filters let pass."""
         x = rest.select("key", F.col("d").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("c").alias("cx"))
         y = rest.select("key", F.col("d").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("c").alias("cy"))
-        return x.join(y, "key").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")))
+        may = (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & _length("nx", "ny", self.percent)
+        return x.join(y, "key").where(may & _positional("nx", "px", "ny", "py", self.percent))
 
     def _candidates(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
         """Distinct pairs of representatives (a < b) that pass the length filter."""
@@ -294,26 +346,37 @@ class NgramJoin:
         pairs = pairs.join(reps.select(F.col("d").alias("x"), F.col("rep").alias("a")), "x").join(reps.select(F.col("d").alias("y"), F.col("rep").alias("b")), "y")
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
 
-    def _links(self, pairs: DataFrame, name: str) -> DataFrame:
-        wanted = bitmap(pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct(), F.xxhash64("d"), FILTER_BITS)
-        sets = _sets(self.docs, self.n, self.sketch, self.spark.sparkContext.broadcast(wanted))
-        sets = self.scratch.save(sets.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi"), f"{name}-sets")
-        left = sets.select(F.col("doc_id").alias("a"), F.col("keys").alias("ka"), F.col("bins").alias("ba"))
-        right = sets.select(F.col("doc_id").alias("b"), F.col("keys").alias("kb"), F.col("bins").alias("bb"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "ka", "kb", "ba", "bb")
-        return _verify(both, self.percent).distinct()
+    def _filtered(self, pairs: DataFrame, scan: DataFrame) -> DataFrame:
+        """(a, b, near): pairs with what the suffix filter says of them."""
+        bins = scan.where("n > 0").select("doc_id", "n", "bins")
+        left = bins.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bins").alias("xa"))
+        right = bins.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("xb"))
+        # rows that repeat a doc_id: one of their sets may do
+        return _suffix_filter(pairs.join(left, "a").join(right, "b"), self.percent).groupBy("a", "b").agg(F.max("near").alias("near"))
+
+    def _links(self, pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct()
+        wanted = self.spark.sparkContext.broadcast(bitmap(ends, F.xxhash64("d"), FILTER_BITS))
+        sets = _sets(self.docs, self.n, wanted)
+        left = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("xa"))
+        right = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("xb"))
+        return _verify(pairs.join(left, "a").join(right, "b"), self.percent).distinct()
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that a smaller doc_id's group of near-duplicates already has.
 
-    Rows without a doc_id stay. Of rows that repeat the kept doc_id one stays.
+    Rows without a doc_id stay. Rows that repeat a doc_id are one document, so of those that repeat the
+    kept one a single row stays, the first by text. Columns of any name pass through.
     """
     groups = NgramJoin(docs, scratch, n, percent).run()
-    kept = scratch.save(groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    again = named.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
-    if not again.isEmpty():
-        twice = named.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-        named = named.join(again, F.col("doc_id") == F.col("_again"), "left_anti").union(twice)
+    kept, again, rank = unused(docs.columns, "kept", "again", "rank")
+    first = scratch.save(groups.where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct(), "kept")
+    named = docs.join(first, F.col("doc_id") == F.col(kept), "left_semi")
+    twice = named.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(again))
+    if not twice.isEmpty():
+        rows = named.join(twice, F.col("doc_id") == F.col(again), "left_semi")
+        place = F.row_number().over(W.partitionBy("doc_id").orderBy("text", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+        rows = rows.withColumn(rank, place).where(F.col(rank) == 1).drop(rank)
+        named = named.join(twice, F.col("doc_id") == F.col(again), "left_anti").union(rows)
     return named.union(docs.where("doc_id is null"))
