@@ -53,6 +53,14 @@ class Scratch:
             p, files = self._at(self.path(name))
             files.delete(p, True)
 
+    def move(self, name: str, to: str) -> None:
+        """Renames a file within the folder."""
+        p, files = self._at(self.path(name))
+        q, _ = self._at(self.path(to))
+        files.mkdirs(q.getParent())
+        if not files.rename(p, q):
+            raise OSError(f"{name} can't be renamed to {to}")
+
     def clear(self) -> None:
         """Frees the whole folder; nothing that was read from it may be used after that."""
         p, files = self._at(self.root)

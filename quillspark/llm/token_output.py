@@ -3,9 +3,9 @@
 A segment is one binary image: a header, a document index, a block index and the blocks. A block of
 256 ids holds its minimum, the differences from it packed at the width of their 90th percentile, and
 an exception list (position, high bits) for the few that need more. Blocks start at offsets listed in
-the block index, so any block is read by itself. Spark commits segments as rows of a table in the
-shared folder, which makes the writing safe against retried tasks; ``export_segments`` copies them to
-``.pfor`` files.
+the block index, so any block is read by itself. A ``.pfor`` file is a few segments, each with a line
+feed behind it: executors write the files through Spark's committer, on whatever file system the shared
+folder is, so retried tasks leave no half files, and they are read back as binary files.
 """
 
 from __future__ import annotations
@@ -17,19 +17,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.scratch import Scratch
 from quillspark.llm.textarrays import chunks
 from quillspark.llm.token_units import encoder
 
-MAGIC = b"QPFOR1\0\0"
+MAGIC = b"QPFOR2\0\0"
 BLOCK = 256
 PERCENTILE = 90
 #: Documents' ids held for one segment before it is closed (a longer document has one of its own).
 SEGMENT_IDS = 1 << 21
-_HEAD = struct.Struct("<8sQQQQ")  # magic, ids before this segment in its part, documents, ids, blocks
+_HEAD = struct.Struct("<8sIIQQQQQ")  # magic, part, segment of the part, ids before it in the part, documents, ids, blocks, bytes
+#: Segments of a file, about 16 MB.
+FILE_SEGMENTS = 4
 
 
 def _widths(x: np.ndarray) -> np.ndarray:
@@ -61,7 +63,7 @@ def unpack_rows(packed: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def write_segment(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, before: int = 0) -> bytes:
+def write_segment(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, before: int = 0, part: int = 0, seq: int = 0) -> bytes:
     """The binary image of some documents' ids (uint32), in order; ``before``: ids of the part ahead of it."""
     blocks = -(-ids.size // BLOCK)
     grid = np.full(blocks * BLOCK, ids[-1] if ids.size else 0, dtype=np.uint32)
@@ -94,14 +96,31 @@ def write_segment(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray
     body[(at + exceptions[where] + 4 * nth)[:, None] + np.arange(4)] = high.astype("<u4").view(np.uint8).reshape(-1, 4)
     known = np.array([d is not None for d in doc_ids], dtype=np.uint8)
     names = np.array([d or 0 for d in doc_ids], dtype="<i8")
-    return b"".join([_HEAD.pack(MAGIC, before, len(doc_ids), ids.size, blocks), names.tobytes(), known.tobytes(), counts.astype("<u8").tobytes(), start.astype("<u8").tobytes(), body.tobytes()])
+    rest = b"".join([names.tobytes(), known.tobytes(), counts.astype("<u8").tobytes(), start.astype("<u8").tobytes(), body.tobytes()])
+    return _HEAD.pack(MAGIC, part, seq, before, len(doc_ids), ids.size, blocks, _HEAD.size + len(rest)) + rest
 
 
-def read_segment(image: bytes) -> tuple[int, list[int | None], np.ndarray, np.ndarray]:
-    """(ids before, doc ids, ids per document, all ids) of a segment."""
-    magic, before, docs, total, blocks = _HEAD.unpack_from(image)
+def split_file(data: bytes) -> Iterator[memoryview]:
+    """The segments of a file."""
+    at, view = 0, memoryview(data)
+    while at < len(data):
+        size = _head(view[at:])[-1]
+        if size < _HEAD.size or data[at + size : at + size + 1] != b"\n":
+            raise ValueError("a token file is cut off")
+        yield view[at : at + size]
+        at += size + 1
+
+
+def _head(image: bytes) -> tuple[int, ...]:
+    magic, *rest = _HEAD.unpack_from(image)
     if magic != MAGIC:
         raise ValueError("not a token segment")
+    return tuple(rest)
+
+
+def read_segment(image: bytes) -> tuple[int, list[int | None], np.ndarray, np.ndarray]:
+    """(ids before, doc ids, ids per document, all ids) of a segment."""
+    _, _, before, docs, total, blocks, _ = _head(image)
     at = _HEAD.size
     names = np.frombuffer(image, "<i8", docs, at)
     known = np.frombuffer(image, np.uint8, docs, at + 8 * docs)
@@ -112,7 +131,7 @@ def read_segment(image: bytes) -> tuple[int, list[int | None], np.ndarray, np.nd
 
 def read_block(image: bytes, block: int) -> np.ndarray:
     """The 256 ids of one block (the last is padded), found through the block index."""
-    _, _, docs, _, blocks = _HEAD.unpack_from(image)
+    _, _, _, docs, _, blocks, _ = _head(image)
     at = _HEAD.size + 17 * docs
     start = np.frombuffer(image, "<u8", blocks + 1, at).astype(np.int64)
     return _blocks(image, at + 8 * (blocks + 1), start[block : block + 2])
@@ -141,7 +160,7 @@ def _blocks(image: bytes, base: int, start: np.ndarray) -> np.ndarray:
 
 
 def write_tokens(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encodes whole texts and writes segments in ascending ``doc_id`` order; returns the written table.
+    """Encodes whole texts into ``.pfor`` files in ascending ``doc_id`` order; returns their segments, read back.
 
     Rows: ``part`` (ascending doc_id ranges), ``seq`` in the part, ``n_docs``, ``n_tokens``, ``image``.
     A null text is empty and still gets ``end_id``; a null doc_id comes first; rows that repeat a
@@ -155,11 +174,10 @@ def write_tokens(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int,
         def close() -> pa.RecordBatch:
             nonlocal names, counts, pieces, held, before, seq
             ids = np.concatenate(pieces)
-            image = write_segment(names, np.concatenate(counts), ids, before)
-            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(names)], pa.int64()), "n_tokens": pa.array([ids.size], pa.int64()), "image": pa.array([image], pa.binary())})
+            image = write_segment(names, np.concatenate(counts), ids, before, part, seq)
             before, seq = before + ids.size, seq + 1
             names, counts, pieces, held = [], [], [], 0
-            return row
+            return pa.RecordBatch.from_arrays([pa.array([image], pa.binary())], names=["image"])
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
@@ -177,18 +195,42 @@ def write_tokens(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int,
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col(doc_id).cast("long").alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t")).repartitionByRange(n, "d").sortWithinPartitions("d", "t")
-    return scratch.save(ordered.mapInArrow(encode, "part int, seq int, n_docs long, n_tokens long, image binary"), "segments")
+    images = ordered.mapInArrow(encode, "image binary")
+    # a cast from binary keeps the bytes, and the text writer puts them down as they are, a line feed after each
+    images.select(F.col("image").cast("string")).write.option("maxRecordsPerFile", FILE_SEGMENTS).option("compression", "none").text(scratch.path("written"))
+    for k, name in enumerate(x for x in scratch.names("written") if x.startswith("part-")):
+        scratch.move(f"written/{name}", f"tokens/{k:06d}.pfor")
+    return read_tokens(docs.sparkSession, scratch.path("tokens") if scratch.names("tokens") else None)
+
+
+SEGMENT = "part int, seq int, n_docs long, n_tokens long, image binary"
+
+
+def read_tokens(spark: SparkSession, folder: str | None) -> DataFrame:
+    """The segments of all ``.pfor`` files of a folder."""
+    if folder is None:
+        return spark.createDataFrame([], SEGMENT)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                for image in split_file(content.as_py()):
+                    part, seq, _, docs, ids, _, _ = _head(image)
+                    columns = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([docs], pa.int64()), pa.array([ids], pa.int64()), pa.array([bytes(image)], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["part", "seq", "n_docs", "n_tokens", "image"])
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder).select("content").mapInArrow(parse, SEGMENT)
+
+
+DIGEST = "part int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def token_digests(segments: DataFrame) -> DataFrame:
-    """Reads segments back: per document doc_id, start, n_tokens and the crc32 of its ids as little-endian uint32.
+    """Per document doc_id, start, n_tokens and the crc32 of its ids as little-endian uint32, from the segments.
 
-    Only the id total of each part comes to the driver: as many rows as the writer had partitions.
+    The files are read once; their digests, some 30 bytes a document, are written, and only the id
+    total of each part comes to the driver: as many rows as the writer had partitions.
     """
-    totals = sorted((r["part"], r["n"]) for r in segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
-    base, at = {}, 0
-    for part, n in totals:
-        base[part], at = at, at + n
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,21 +239,14 @@ def token_digests(segments: DataFrame) -> DataFrame:
                 first = np.concatenate([[0], np.cumsum(counts)])
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(names, pa.int64()), "start": pa.array(base[part] + before + first[:-1]), "n_tokens": pa.array(counts), "ids_crc32": pa.array(crc, pa.int64())})
-
-    return segments.select("part", "image").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
-
-
-def export_segments(segments: DataFrame, folder: str) -> int:
-    """Copies segments one by one to ``folder``/part-seq.pfor on a file system the driver can open."""
-    import os
-
-    n = 0
-    os.makedirs(folder, exist_ok=True)
-    for row in segments.orderBy("part", "seq").toLocalIterator():
-        name = f"{folder}/{row['part']:06d}-{row['seq']:06d}.pfor"
-        with open(f"{name}.tmp", "wb") as f:
-            f.write(row["image"])
-        os.replace(f"{name}.tmp", name)
-        n += 1
-    return n
+                columns = [pa.array(np.full(counts.size, part, np.int32)), pa.array(names, pa.int64()), pa.array(before + first[:-1]), pa.array(counts), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "start", "n_tokens", "ids_crc32"])
+
+    spark = segments.sparkSession
+    rows = Scratch(spark, "digests").save(segments.select("part", "image").mapInArrow(decode, DIGEST), "rows")
+    base, at = [], 0
+    for part, n in sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()):
+        base.append((part, at))
+        at += n
+    base = spark.createDataFrame(base, "part int, base long")
+    return rows.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
