@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.scratch import Scratch
+from quillspark.llm.scratch import Scratch, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A source's ranks are cut at one of this many hash prefixes; only rows of that prefix are ordered.
@@ -94,20 +94,30 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = (5, 2, 1),
 def mixed(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """The mixed rows, with the columns of ``docs``: each document as many whole times as it is taken, then its first words for the rest.
 
-    Documents of size 0 take nothing and go. Rows that repeat a doc_id and text are taken as often as
-    there are such rows. ``n_chars`` follows the text.
+    Documents of size 0 take nothing and go. Rows that repeat a doc_id, source and size are one to the
+    mix: what they take together is dealt over them in order of their text, to the word. ``n_chars``
+    follows the text. Columns of any name pass through.
     """
-    share = mix(docs, scratch, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "taken")
-    # rows of one id, source and size are equal to the mix: they share the sum
-    share = share.groupBy("_id", "_source", "_size").agg(F.floor(F.avg("taken")).cast("long").alias("_taken")).where("_taken > 0")
+    names = unused(docs.columns, "id", "source", "size", "all", "rows", "taken", "n", "copy")
+    own_id, own_source, own_size, every, many, taken, n, copy = names
+    share = mix(docs, scratch, **options).groupBy(F.col("doc_id").alias(own_id), F.col("source").alias(own_source), F.col("size").alias(own_size))
+    share = share.agg(F.sum("taken").alias(every), F.count("*").alias(many)).where(F.col(every) > 0)
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumn("_n", size).join(share, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
-    whole, rest = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & F.col("source").eqNullSafe(F.col(own_source)) & (F.col(n) == F.col(own_size))
+    rows = docs.withColumn(n, size)
+    once = rows.join(share.where(F.col(many) == 1), same).withColumn(taken, F.col(every))
+    again = scratch.save(share.where(F.col(many) > 1), "again")
+    if not again.isEmpty():
+        place = F.row_number().over(W.partitionBy(own_id, own_source, own_size).orderBy("text"))
+        dealt = lambda k: F.floor(F.col(every) * k / F.col(many))
+        once = once.union(rows.join(again, same).withColumn(taken, dealt(place) - dealt(place - 1)))
+    rows = once.where(F.col(taken) > 0)
+    whole, rest = F.floor(F.col(taken) / F.col(n)).cast("int"), (F.col(taken) % F.col(n)).cast("int")
     lead = F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0)
     pieces = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     head = F.regexp_replace(F.concat(lead, F.array_join(F.slice(pieces, F.lit(1), rest), "")), r"[\x20\x09-\x0D]+$", "")
     copies = F.concat(F.array_repeat(F.col("text"), whole), F.when(rest > 0, F.array(head)).otherwise(F.array().cast("array<string>")))
-    out = rows.withColumn("_copy", F.explode(copies)).withColumn("text", F.col("_copy"))
+    out = rows.withColumn(copy, F.explode(copies)).withColumn("text", F.col(copy))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out.select([F.col(f"`{c}`") for c in docs.columns])

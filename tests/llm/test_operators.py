@@ -655,3 +655,39 @@ def test_drop_toxic_keeps_clashing_columns(spark):
     d = spark.createDataFrame([(1, "word", "a", "b"), (2, None, "c", "d"), (None, "", "e", "f")], "doc_id long, text string, score string, _score string")
     got = toxicity.drop_toxic(d, model)
     assert got.columns == d.columns and {tuple(r) for r in got.collect()} == {(2, None, "c", "d"), (None, "", "e", "f")}
+
+
+def test_token_files(spark, docs, rows, monkeypatch):
+    import glob
+
+    monkeypatch.setattr(token_output, "SEGMENT_IDS", 500)
+    scratch = Scratch(spark, "t")
+    seg = token_output.write_tokens(docs, scratch, queries.tokenizer_path(), 2)
+    files = sorted(glob.glob(scratch.path("tokens").replace("file:", "") + "/*.pfor"))
+    images = [bytes(i) for f in files for i in token_output.split_file(open(f, "rb").read())]
+    assert len(files) > 1 and len(images) > len(files) - 1 and sorted(images) == sorted(bytes(r["image"]) for r in seg.collect())
+    ids = [d for i in sorted(images, key=lambda i: token_output._head(i)[:2]) for d in token_output.read_segment(i)[1]]
+    assert ids == sorted((r[0] for r in rows), key=lambda d: (d is not None, d or 0))
+    with pytest.raises(ValueError):
+        list(token_output.split_file(images[0][:-3]))
+
+
+def test_mixed_rows_match_their_shares(spark, docs, rows):
+    """Every row of the mix again: copies and first words of each document add up to what mix() takes."""
+    clash = docs.withColumnRenamed("rk", "_id").withColumn("_taken", F.lit(1)).withColumn("size", F.lit("x"))
+    got = collections.Counter()
+    out = mixing.mixed(clash, Scratch(spark, "t"))
+    assert out.columns == clash.columns
+    texts = collections.defaultdict(list)
+    for r in out.collect():
+        got[r["doc_id"], r["source"]] += len(WORD.findall(r["text"]))
+        texts[r["doc_id"]].append(r["text"])
+        assert r["n_chars"] == len(r["text"])
+    want = collections.Counter()
+    for r in mixing.mix(docs, Scratch(spark, "t")).collect():
+        want[r["doc_id"], r["source"]] += r["taken"]
+    assert +got == +want
+    source = collections.defaultdict(list)
+    for d, t, *_ in rows:
+        source[d].append(t or "")
+    assert all(any(s.startswith(t) for s in source[d]) for d, ts in texts.items() for t in ts)
