@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.scratch import unused
+from quillspark.llm.scratch import Scratch, unused
 
 WINDOW = 8
 STRIDE = 6
@@ -42,74 +42,71 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def raw_words(text: Column) -> Column:
-    """Words between white space; null and blank texts have none."""
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-
-
 # Template forms, by what is a name.
 MID, NO_NAMES, CAPITALISED = 0, 1, 2
 #: The words themselves, without case and edge punctuation, for items under RUN words.
 PLAIN = 3
 FORMS = (MID, NO_NAMES, CAPITALISED)
 # Noncharacters that mark names of the first form and of the third ahead of the word, and punctuation.
-_MARK, _CAP, _EDGE = "\ufdd0", "\ufdd1", "\ufdd2"
+_MARK, _CAP = "\ufdd0", "\ufdd1"
 _END = r"(?=[^\p{L}\d ]*(?![^ ]))"
 _MID_NAME = rf" (?<=[\p{{Ll}}\d,;>] )(\p{{Lu}}\p{{Ll}}+){_END}"
-_CAP_NAME = rf" ([^\p{{L}}\p{{N}}<> ]*)(\p{{Lu}}[\p{{L}}\p{{M}}\p{{N}}'’.&-]*){_END}"
+_CAP_NAME = rf" ([^\p{{L}}\p{{N}}<> ]*\p{{Lu}}[\p{{L}}\p{{M}}\p{{N}}'’.&-]*){_END}"
 
 
 def spaced(text: Column) -> Column:
-    """The text with one blank between words and one at either end; the marks become punctuation."""
-    t = F.translate(text, "\t\n\x0b\f\r" + _MARK + _CAP + _EDGE, "     ~~~")
-    return F.concat(F.lit(" "), F.regexp_replace(F.trim(t), " {2,}", " "), F.lit(" "))
+    """The text with one blank before, between and after its words; the marks become punctuation."""
+    t = F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), r"[\x20\x09-\x0D]+", " ")
+    return F.replace(F.replace(t, F.lit(_MARK), F.lit("~")), F.lit(_CAP), F.lit("~"))
 
 
 def numbered(t: Column) -> Column:
     """:func:`spaced` text with placeholders for numbers and units."""
     # "<" and ">" are for placeholders: a word of nothing else keeps its place
-    angles = F.regexp_replace(F.regexp_replace(t, r"(?<= )[<>]+(?= )", "~"), r"[<>]", "")
-    t = F.when(t.contains("<") | t.contains(">"), angles).otherwise(t)
+    t = F.regexp_replace(t, r" [<>]+(?= )", " ~")
+    t = F.replace(F.replace(t, F.lit("<"), F.lit("")), F.lit(">"), F.lit(""))
     t = F.regexp_replace(t, rf" {_NUMBER}(?i:{UNITS})?{_END}", " <num>")
-    return F.when(t.contains("<num>"), F.regexp_replace(t, rf"<num> (?i:{UNITS}){_END}", "<num> <unit>")).otherwise(t)
+    return F.regexp_replace(t, rf"<num> (?i:{UNITS}){_END}", "<num> <unit>")
+
 
+def marked(text: Column) -> Column:
+    """The text in lower case, with placeholders, names marked and "~" for punctuation."""
+    t = F.regexp_replace(numbered(spaced(text)), _MID_NAME, f" {_MARK}$1")
+    t = F.regexp_replace(t, _CAP_NAME, f" {_CAP}$1")
+    return F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}<> {_MARK}{_CAP}]+", "~")
 
-def marked_words(text: Column) -> Column:
-    """A lower-case word of letters and digits, or a placeholder, for each of :func:`raw_words`, names marked."""
-    t = numbered(spaced(text))
-    t = F.regexp_replace(t, _MID_NAME, f" {_MARK}$1")
-    t = F.regexp_replace(t, _CAP_NAME, f" $1{_CAP}$2")
-    # punctuation alone keeps its place among the words, at a word it goes
-    t = F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}<> {_MARK}{_CAP}]+", "~")
-    t = F.regexp_replace(t, "~(?=[^ ])|(?<=[^ ])~", "")
-    return F.filter(F.split(t, " "), lambda w: w != "")
 
+def template_words(t: Column, form: int) -> Column:
+    """The words of one template form of :func:`marked` text, with an empty one at either end.
 
-def template_words(marked: Column, form: int) -> Column:
-    """The words of one template form."""
-    plain = lambda w: F.translate(w, _MARK + _CAP, "")
-    if form == NO_NAMES:
-        return F.transform(marked, plain)
-    mark = _MARK if form == MID else _CAP
-    return F.transform(marked, lambda w: F.when(w.contains(mark), F.lit("<name>")).otherwise(plain(w)))
+    A word is its letters and digits or a placeholder; one of punctuation alone is empty and keeps its place.
+    """
+    if form != NO_NAMES:  # a name of the first form has both marks, the third form's ahead
+        t = F.regexp_replace(t, f"{_CAP}{_MARK if form == MID else ''}[^ ]*", "<name>")
+    for mark in ("~", _MARK, _CAP):
+        t = F.replace(t, F.lit(mark), F.lit(""))
+    return F.split(t, " ")
 
 
 def plain_words(text: Column) -> Column:
-    """The words themselves, in lower case and without punctuation around them."""
-    t = F.lower(spaced(text))
-    t = F.regexp_replace(t, r"(?<= )[^\p{L}\p{N} ]+|[^\p{L}\p{N} ]+(?= )", _EDGE)
-    return F.transform(F.filter(F.split(t, " "), lambda w: w != ""), lambda w: F.translate(w, _EDGE, ""))
+    """The words themselves, in lower case and without punctuation around them, with an empty one at either end."""
+    return F.split(F.regexp_replace(F.lower(spaced(text)), r"(?<= )[^\p{L}\p{N} ]+|[^\p{L}\p{N} ]+(?= )", ""), " ")
 
 
 def words_of(df: DataFrame, text: Column, plain: bool, *keep: str) -> DataFrame:
     """The columns ``keep`` and ``w0`` to ``w2``, the words of each form; ``w3``, the plain ones, if asked for."""
-    df = df.select(*keep, text.alias("_text"), once(marked_words(text)).alias("_marked"))
+    df = df.select(*keep, text.alias("_text"), once(marked(text)).alias("_marked"))
     forms = [template_words(F.col("_marked"), f).alias(f"w{f}") for f in FORMS]
     if plain:
         forms.append(plain_words(F.col("_text")).alias(f"w{PLAIN}"))
     return df.select(*keep, once(F.struct(*forms)).alias("_forms")).select(*keep, "_forms.*")
 
 
+def count_of(words: Column) -> Column:
+    """The number of words between the empty ends; null texts have none."""
+    return F.coalesce(F.size(words), F.lit(2)) - 2
+
+
 def value(kind: Column, word: Column) -> Column:
     """A slot's value without case and without punctuation around it; a number keeps its sign, currency and percent."""
     number = F.regexp_replace(word, r"^[^\p{L}\p{N}+$€£-]+|[^\p{L}\p{N}%]+$", "")
@@ -119,8 +116,8 @@ def value(kind: Column, word: Column) -> Column:
 def windows(form: int, step: int, n: int = WINDOW, run: int = RUN) -> Column:
     """(form, run, at, h) of the n-word windows of a form that start at every step-th word, if there are ``run`` words."""
     words = F.col(f"w{form}")
-    starts = F.when(F.size(words) >= run, F.sequence(F.lit(0), F.size(words) - n, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(F.lit(form).alias("form"), F.lit(run).alias("run"), i.alias("at"), F.xxhash64(F.slice(words, i + 1, F.lit(n))).alias("h")))
+    starts = F.when(count_of(words) >= run, F.sequence(F.lit(0), F.size(words) - 2 - n, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(F.lit(form).alias("form"), F.lit(run).alias("run"), i.alias("at"), F.xxhash64(F.slice(words, i + 2, F.lit(n))).alias("h")))
 
 
 def _item_windows(items: DataFrame, short: list[int]) -> DataFrame:
@@ -130,13 +127,13 @@ def _item_windows(items: DataFrame, short: list[int]) -> DataFrame:
         words = F.col(f"w{form}")
         own = windows(form, 1) if form != PLAIN else F.array().cast(_WINDOWS)
         for m in short:
-            own = F.when(F.size(words) == m, windows(form, 1, m, m)).otherwise(own)
+            own = F.when(count_of(words) == m, windows(form, 1, m, m)).otherwise(own)
         w = items.select("item_id", words.alias("w"), F.explode(own).alias("x")).select("item_id", "w", "x.*")
         # a window that is mostly capitalised words would match any title or shouted text
         if form == CAPITALISED:
-            literal = F.size(F.filter(F.slice("w", F.col("at") + 1, F.lit(WINDOW)), lambda x: x != "<name>"))
+            literal = F.size(F.filter(F.slice("w", F.col("at") + 2, F.lit(WINDOW)), lambda x: x != "<name>"))
             w = w.where((F.col("run") < RUN) | (2 * literal >= WINDOW))
-        literal = F.size(F.filter("w", lambda x: ~x.isin("", "~") & ~x.rlike("^<(num|unit|name)>")))
+        literal = F.size(F.filter("w", lambda x: (x != "") & ~x.rlike("^<(num|unit|name)>")))
         w = w.where((F.col("run") == RUN) | (literal > 0 if form == PLAIN else 2 * literal >= F.col("run")))
         w = w.select("h", "run", "form", "item_id", F.col("at").alias("q"))
         rows = w if rows is None else rows.union(w)
@@ -160,7 +157,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """
     b = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("_bt"))
     items = words_of(b, F.col("_bt"), True, "item_id")
-    short = sorted(r[0] for r in items.where((F.size("w0") > 0) & (F.size("w0") < RUN)).select(F.size("w0")).distinct().collect())
+    size = count_of(F.col("w0"))
+    short = sorted(r[0] for r in items.where((size > 0) & (size < RUN)).select(size).distinct().collect())
     n = b.agg(F.sum(F.size(F.split(F.coalesce("_bt", F.lit("")), r"\s+")))).first()[0] or 0
     slim = _item_windows(items, short)
     d = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("rk"), F.col(doc_id).alias("doc_id"), F.col(text).alias("_dt"))
@@ -169,17 +167,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     places = places.select("rk", F.col("w.h").alias("h"), F.col("w.run").alias("run"), F.col("w.form").alias("form"), F.col("w.at").alias("p"))
     hits = places.join(F.broadcast(slim) if n <= BROADCAST_WORDS else slim, ["h", "run", "form"])
     lines = hits.select("rk", "item_id", "form", "run", (F.col("p") - F.col("q")).alias("shift")).distinct()
-    return _judged(lines, d, b)
+    # written, as the texts are fetched by it twice: only alignments that hit are in it
+    return _judged(Scratch(docs.sparkSession, "decontamination").save(lines, "lines"), d, b)
 
 
 def _judged(lines: DataFrame, d: DataFrame, b: DataFrame) -> DataFrame:
     """Compares the alignments (rk, item_id, form, run, shift) with the texts of both sides."""
     wanted = d.join(lines.select("rk").distinct(), "rk", "left_semi")
-    of_doc = words_of(wanted.withColumn("r", raw_words(F.col("_dt"))), F.col("_dt"), True, "rk", "doc_id", "r")
-    of_item = words_of(b.withColumn("br", raw_words(F.col("_bt"))), F.col("_bt"), True, "item_id", "br")
+    of_doc = words_of(wanted.withColumn("r", F.split(spaced(F.col("_dt")), " ")), F.col("_dt"), True, "rk", "doc_id", "r")
+    of_item = words_of(b.withColumn("br", F.split(spaced(F.col("_bt")), " ")), F.col("_bt"), True, "item_id", "br")
     of_item = of_item.select("item_id", "br", *[F.col(f"w{f}").alias(f"b{f}") for f in (*FORMS, PLAIN)])
     pick = lambda c: F.element_at(F.array(*[F.col(f"{c}{f}") for f in (*FORMS, PLAIN)]), F.col("form") + 1)
     rows = lines.join(of_doc, "rk").join(of_item, lines["item_id"].eqNullSafe(of_item["item_id"])).select("doc_id", lines["item_id"], "rk", "form", "run", "shift", "r", "br", pick("w").alias("t"), pick("b").alias("bt"))
+    rows = rows.select(*[c for c in rows.columns if c not in ("t", "bt", "r", "br")], *[F.slice(c, F.lit(2), count_of(F.col(c))).alias(c) for c in ("t", "bt", "r", "br")])
     # the words that lie on both sides; an item under RUN words has them all
     first = F.greatest(F.col("shift"), F.lit(0))
     size = F.greatest(F.least(F.size("t"), F.size("bt") + F.col("shift")) - first, F.lit(0))
