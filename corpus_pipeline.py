@@ -32,8 +32,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token segments, read back as one row a document."""
-    return token_output.token_digests(token_output.write_tokens(docs, Scratch(spark, "pipeline-tokens"), tokenizer_path(), END_ID))
+    """Token files, read back as one row a document."""
+    return token_output.file_digests(spark, token_output.write_files(docs, Scratch(spark, "pipeline-tokens"), tokenizer_path(), END_ID))
 
 
 STAGES = [

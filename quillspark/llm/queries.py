@@ -54,8 +54,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = token_output.write_tokens(table(spark, sf_dir, "documents"), Scratch(spark, "op7"), tokenizer_path(), END_ID)
-    return token_output.token_digests(segments)
+    return token_output.file_digests(spark, token_output.write_files(table(spark, sf_dir, "documents"), Scratch(spark, "op7"), tokenizer_path(), END_ID))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

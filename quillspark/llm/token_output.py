@@ -30,8 +30,10 @@ PERCENTILE = 90
 #: Documents' ids held for one segment before it is closed (a longer document has one of its own).
 SEGMENT_IDS = 1 << 21
 _HEAD = struct.Struct("<8sIIQQQQQ")  # magic, part, segment of the part, ids before it in the part, documents, ids, blocks, bytes
-#: Segments of a file, about 16 MB.
-FILE_SEGMENTS = 4
+#: Segments of a file, about 8 MB.
+FILE_SEGMENTS = 2
+#: Bytes of text that are encoded at a time.
+CHUNK = 1 << 21
 
 
 def _widths(x: np.ndarray) -> np.ndarray:
@@ -160,9 +162,13 @@ def _blocks(image: bytes, base: int, start: np.ndarray) -> np.ndarray:
 
 
 def write_tokens(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encodes whole texts into ``.pfor`` files in ascending ``doc_id`` order; returns their segments, read back.
+    """:func:`write_files`, and the segments read back from them."""
+    return read_tokens(docs.sparkSession, write_files(docs, scratch, tokenizer, end_id, doc_id, text))
+
+
+def write_files(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> str | None:
+    """Encodes whole texts into ``.pfor`` files in ascending ``doc_id`` order; returns their folder, none without documents.
 
-    Rows: ``part`` (ascending doc_id ranges), ``seq`` in the part, ``n_docs``, ``n_tokens``, ``image``.
     A null text is empty and still gets ``end_id``; a null doc_id comes first; rows that repeat a
     doc_id each stay, in order of their text; other columns are not read. An empty table gives none.
     """
@@ -181,7 +187,7 @@ def write_tokens(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int,
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for a, b, buf, off in chunks(batch.column(1), 1 << 22):
+            for a, b, buf, off in chunks(batch.column(1), CHUNK):
                 got = enc.encode(buf, off)
                 ends = got.first[1:]
                 pieces.append(np.insert(got.ids, ends, np.uint32(end_id)))
@@ -200,9 +206,10 @@ def write_tokens(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int,
     images.select(F.col("image").cast("string")).write.option("maxRecordsPerFile", FILE_SEGMENTS).option("compression", "none").text(scratch.path("written"))
     for k, name in enumerate(x for x in scratch.names("written") if x.startswith("part-")):
         scratch.move(f"written/{name}", f"tokens/{k:06d}.pfor")
-    return read_tokens(docs.sparkSession, scratch.path("tokens") if scratch.names("tokens") else None)
+    return scratch.path("tokens") if scratch.names("tokens") else None
 
 
+#: ``part`` (ascending doc_id ranges), ``seq`` in the part, documents, ids and the segment itself.
 SEGMENT = "part int, seq int, n_docs long, n_tokens long, image binary"
 
 
@@ -225,25 +232,47 @@ def read_tokens(spark: SparkSession, folder: str | None) -> DataFrame:
 DIGEST = "part int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+def _digest(image: bytes) -> pa.RecordBatch:
+    part = _head(image)[0]
+    before, names, counts, ids = read_segment(image)
+    first = np.concatenate([[0], np.cumsum(counts)])
+    raw = memoryview(ids.astype("<u4").tobytes())
+    crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    columns = [pa.array(np.full(counts.size, part, np.int32)), pa.array(names, pa.int64()), pa.array(before + first[:-1]), pa.array(counts), pa.array(crc, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "start", "n_tokens", "ids_crc32"])
+
+
 def token_digests(segments: DataFrame) -> DataFrame:
-    """Per document doc_id, start, n_tokens and the crc32 of its ids as little-endian uint32, from the segments.
+    """Per document doc_id, start, n_tokens and the crc32 of its ids as little-endian uint32, from segments."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image in batch.column(0):
+                yield _digest(image.as_py())
+
+    return _placed(segments.select("image").mapInArrow(decode, DIGEST))
 
-    The files are read once; their digests, some 30 bytes a document, are written, and only the id
-    total of each part comes to the driver: as many rows as the writer had partitions.
-    """
+
+def file_digests(spark: SparkSession, folder: str | None) -> DataFrame:
+    """:func:`token_digests` of all ``.pfor`` files of a folder, which are read once."""
+    if folder is None:
+        return token_digests(read_tokens(spark, None))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, image in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                before, names, counts, ids = read_segment(image.as_py())
-                first = np.concatenate([[0], np.cumsum(counts)])
-                raw = memoryview(ids.astype("<u4").tobytes())
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                columns = [pa.array(np.full(counts.size, part, np.int32)), pa.array(names, pa.int64()), pa.array(before + first[:-1]), pa.array(counts), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "start", "n_tokens", "ids_crc32"])
-
-    spark = segments.sparkSession
-    rows = Scratch(spark, "digests").save(segments.select("part", "image").mapInArrow(decode, DIGEST), "rows")
+            for content in batch.column(0):
+                for image in split_file(content.as_py()):
+                    yield _digest(image)
+
+    return _placed(spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder).select("content").mapInArrow(decode, DIGEST))
+
+
+def _placed(digests: DataFrame) -> DataFrame:
+    """Starts counted over all parts. Digests, some 30 bytes a document, are written, and only the id
+    total of each part comes to the driver: as many rows as the writer had partitions.
+    """
+    spark = digests.sparkSession
+    rows = Scratch(spark, "digests").save(digests, "rows")
     base, at = [], 0
     for part, n in sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()):
         base.append((part, at))
