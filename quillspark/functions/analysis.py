@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column
@@ -40,15 +41,11 @@ def words(text: Column) -> Column:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stem_all(lists: pd.Series) -> pd.Series:
-    """Stems of arrays of words, Arrow batch by batch; a batch stems each distinct word once."""
-    memo: dict[str, str] = {}
-
-    def one(w: str) -> str:
-        if w not in memo:
-            memo[w] = stem(w)
-        return memo[w]
-
-    return lists.map(lambda ws: [one(w) for w in ws])
+    """Stems of arrays of words: a batch's words are joined and coded, and each distinct one is stemmed once."""
+    size = lists.map(len).to_numpy(dtype=np.int64)
+    code, distinct = pd.factorize(np.concatenate([np.asarray(x, dtype=object) for x in lists]) if size.sum() else np.zeros(0, dtype=object))
+    stems = np.array([stem(w) for w in distinct], dtype=object)[code] if size.sum() else np.zeros(0, dtype=object)
+    return pd.Series(np.split(stems, np.cumsum(size)[:-1]), index=lists.index, dtype=object) if len(lists) else lists
 
 
 def analyze(text: Column, stemmed: bool = True) -> Column:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.analysis import stem_all, words
+from quillspark.sources import files
 
 #: Positions between a title's end and the body's beginning.
 FIELD_GAP = 100
@@ -15,9 +20,10 @@ FIELD_GAP = 100
 
 @dataclass
 class Index:
-    """docs; postings (term, id, positions, title_tf, tf, len); lengths (id, len); vocabulary (word, df).
+    """docs; postings (term, id, positions, title_tf, tf, len); lengths (id, len); vocabulary (word, df); terms (term, df).
 
-    ``n`` and ``total_len`` are the corpus statistics that ranking needs.
+    ``n`` and ``total_len`` are the corpus statistics that ranking needs; queries look document
+    frequencies and fuzzy variants up in ``terms`` and never scan the postings for them.
     """
 
     docs: DataFrame
@@ -27,23 +33,47 @@ class Index:
     n: int
     total_len: int
     stemmed: bool = True
+    terms: DataFrame | None = None
+
+    def __post_init__(self) -> None:
+        if self.terms is None:
+            self.terms = frequencies(self.postings)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def contains(self, ids: DataFrame) -> DataFrame:
+        """(id, known) for each row of ``ids``."""
+        have = self.docs.select(F.col("id").alias("_have")).distinct()
+        return ids.select("id").join(have, F.col("id") == F.col("_have"), "left").select("id", F.col("_have").isNotNull().alias("known"))
 
     @property
     def avgdl(self) -> float:
         return self.total_len / self.n if self.n else 0.0
 
     def save(self, path: str, partitions: int = 64) -> None:
-        """Postings go sorted by term and words by word, so that lookups and prefixes skip row groups."""
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        self.postings.repartitionByRange(partitions, "term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        self.words.repartitionByRange(max(1, partitions // 8), "word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{path}/words")
+        """Writes a new version of the index and then names it the current one, so that a failed save leaves the old one.
+
+        Postings and terms go sorted by term, words by word and documents by id, so that lookups and
+        prefixes skip row groups.
+        """
+        spark = self.docs.sparkSession
+        version = f"{path}/version-{uuid.uuid4().hex[:12]}"
+        small = max(1, partitions // 8)
+        by = lambda df, n, *c: df.repartitionByRange(n, c[0]).sortWithinPartitions(*c)
+        by(self.docs, partitions, "id").write.parquet(f"{version}/docs")
+        by(self.postings, partitions, "term", "id").write.parquet(f"{version}/postings")
+        self.lengths.write.parquet(f"{version}/lengths")
+        by(self.words, small, "word").write.parquet(f"{version}/words")
+        by(self.terms, small, "term").write.parquet(f"{version}/terms")
+        files.publish(spark, path, version.rpartition("/")[2])
 
     @staticmethod
     def load(spark: SparkSession, path: str, stemmed: bool = True) -> Index:
-        docs, postings, lengths, vocabulary = (spark.read.parquet(f"{path}/{x}") for x in ("docs", "postings", "lengths", "words"))
+        version = f"{path}/{files.current(spark, path)}"
+        docs, postings, lengths, vocabulary, terms = (spark.read.parquet(f"{version}/{x}") for x in ("docs", "postings", "lengths", "words", "terms"))
         n, total = statistics(lengths).first()[:2]
-        return Index(docs, postings, lengths, vocabulary, n, total, stemmed)
+        return Index(docs, postings, lengths, vocabulary, n, total, stemmed, terms)
 
 
 def analyzed(docs: DataFrame, stemmed: bool = True) -> DataFrame:
@@ -57,14 +87,48 @@ def lengths(a: DataFrame) -> DataFrame:
     return a.select("id", (2 * F.size("title_terms") + F.size("body_terms")).cast("long").alias("len"))
 
 
+POSTING = "term string, id string, positions array<int>, title_tf long, tf long, len long"
+
+
+def _posting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of whole documents: tokens are coded, sorted by document, term and position, and cut into groups."""
+    for batch in batches:
+        sizes = [np.diff(batch.column(k).offsets.to_numpy()) for k in (1, 2)]
+        n = batch.num_rows
+        coded = pa.concat_arrays([batch.column(k).flatten() for k in (1, 2)]).dictionary_encode()
+        if not len(coded):
+            continue
+        doc = np.concatenate([np.repeat(np.arange(n), s) for s in sizes])
+        at = np.concatenate([np.arange(int(s.sum())) - np.repeat(np.cumsum(s) - s, s) for s in sizes])
+        title = np.arange(doc.size) < sizes[0].sum()
+        at = np.where(title, at, at + sizes[0][doc] + FIELD_GAP)
+        order = np.lexsort((at, coded.indices.to_numpy(), doc))
+        doc, code, at, title = doc[order], coded.indices.to_numpy()[order], at[order], title[order]
+        start = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])))
+        tf = np.diff(np.append(start, doc.size))
+        in_title = np.add.reduceat(title.astype(np.int64), start)
+        length = 2 * sizes[0] + sizes[1]
+        columns = [
+            coded.dictionary.take(pa.array(code[start])),
+            batch.column(0).take(pa.array(doc[start])),
+            pa.ListArray.from_arrays(pa.array(np.append(start, doc.size).astype(np.int32)), pa.array(at.astype(np.int32))),
+            pa.array(in_title),
+            pa.array(tf + in_title),
+            pa.array(length[doc[start]].astype(np.int64)),
+        ]
+        out = pa.RecordBatch.from_arrays(columns, names=["term", "id", "positions", "title_tf", "tf", "len"])
+        for k in range(0, out.num_rows, 20_000):
+            yield out.slice(k, 20_000)
+
+
 def postings(a: DataFrame) -> DataFrame:
-    """One row a term and document; the shuffle moves positions once."""
-    size = F.size("title_terms")
-    title = F.transform("title_terms", lambda t, i: F.struct(t.alias("term"), i.alias("pos"), F.lit(1).alias("title")))
-    body = F.transform("body_terms", lambda t, i: F.struct(t.alias("term"), (i + size + FIELD_GAP).alias("pos"), F.lit(0).alias("title")))
-    tokens = a.select("id", (2 * F.size("title_terms") + F.size("body_terms")).cast("long").alias("len"), F.explode(F.concat(title, body)).alias("t"))
-    p = tokens.groupBy(F.col("t.term").alias("term"), "id", "len").agg(F.sort_array(F.collect_list("t.pos")).alias("positions"), F.sum("t.title").alias("title_tf"))
-    return p.select("term", "id", "positions", "title_tf", (F.size("positions") + F.col("title_tf")).alias("tf"), "len")
+    """One row a term and document. A document's tokens are in one row already, so nothing is shuffled."""
+    return a.select("id", "title_terms", "body_terms").mapInArrow(_posting_rows, POSTING)
+
+
+def frequencies(index_postings: DataFrame) -> DataFrame:
+    """(term, df) of every term."""
+    return index_postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def vocabulary(a: DataFrame) -> DataFrame:

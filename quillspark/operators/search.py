@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators.highlight import snippet_udf
@@ -36,32 +37,42 @@ def _texts(values: list[str]) -> Column:
 
 
 def phrase_match(by_term: Column, phrase: list[str]) -> Column:
-    """Is there a start from which the phrase's terms stand one after another."""
-    at = [F.coalesce(by_term[t], F.array().cast("array<int>")) for t in phrase]
+    """Is there a start from which the phrase's terms stand one after another: each term's positions, moved back by its place, meet."""
 
-    def follows(s: Column) -> Column:
-        ok = F.lit(True)
-        for k, p in enumerate(at[1:], 1):
-            ok = ok & F.array_contains(p, s + k)
-        return ok
+    def starts(place: int, term: str) -> Column:
+        return F.transform(F.coalesce(by_term[term], F.array().cast("array<int>")), lambda p: p - place)
 
-    return F.exists(at[0], follows)
+    return F.size(reduce(F.array_intersect, [starts(*x) for x in enumerate(phrase)])) > 0
 
 
 def proximity(groups: Column) -> Column:
     """(m - 1) / gap for the m groups with positions, from the smallest window that has one of each.
 
-    For every position as the window's start, each group's next position is found; the farthest of
-    these ends the window.
+    The positions of all groups are walked once in order; the last place of each group is kept, and
+    where every group has one, the window reaches back to the earliest of them.
     """
     full = F.filter(groups, lambda g: F.size(g) > 0)
     m = F.size(full)
-    far = F.lit(2_000_000_000)
-    span = F.transform(F.flatten(full), lambda p: F.array_max(F.transform(full, lambda g: F.coalesce(F.array_min(F.filter(g, lambda x: x >= p)), far))) - p + 1)
-    return F.when(m < 2, F.lit(0.0)).otherwise(PROXIMITY * (m - 1) / F.greatest(F.lit(1), F.array_min(span) + 1 - m).cast("double"))
+    far = 2_000_000_000
+    state = "struct<last:array<int>,best:int>"
+    start = F.struct(F.array_repeat(F.lit(-far), m).alias("last"), F.lit(far).alias("best")).cast(state)
+    walk = F.sort_array(F.flatten(F.transform(full, lambda g, k: F.transform(g, lambda p: F.struct(p.alias("p"), k.alias("k"))))))
 
+    def to(s: Column, x: Column) -> Column:
+        last = F.transform(s["last"], lambda v, k: F.when(k == x["k"], x["p"]).otherwise(v))
+        first = F.array_min(last)
+        return F.struct(last.alias("last"), F.when(first > -far, F.least(s["best"], x["p"] - first + 1)).otherwise(s["best"]).alias("best")).cast(state)
 
-def matches(index: Index, query: Query, all_terms: bool = False, near: bool = True) -> DataFrame:
+    best = F.aggregate(walk, start, to)["best"]
+    return F.when(m < 2, F.lit(0.0)).otherwise(PROXIMITY * (m - 1) / F.greatest(F.lit(1), best + 1 - m).cast("double"))
+
+
+def frequencies(index: Index, terms: list[str]) -> dict[str, int]:
+    """Document frequencies of a query's terms, those of the index alone."""
+    return {r["term"]: r["df"] for r in index.terms.where(F.col("term").isin(*terms)).collect()} if terms else {}
+
+
+def matches(index: Index, query: Query, all_terms: bool = False, near: bool = True, df: dict[str, int] | None = None) -> DataFrame:
     """(id, score) of every document that matches.
 
     Only the query's terms are read from the postings. Their document frequencies are a few numbers,
@@ -69,7 +80,7 @@ def matches(index: Index, query: Query, all_terms: bool = False, near: bool = Tr
     """
     weighted = query.weighted
     hit = index.postings.where(F.col("term").isin(*[t for t, _ in weighted])) if weighted else index.postings.where(F.lit(False))
-    df = {r["term"]: r["df"] for r in hit.groupBy("term").agg(F.count("*").alias("df")).collect()} if weighted else {}
+    df = frequencies(index, [t for t, _ in weighted]) if df is None else df
     live = [(k, t, w) for k, (t, w) in enumerate(weighted) if t in df]
     if not live or index.n == 0 or index.avgdl <= 0:
         return index.lengths.where(F.lit(False)).select("id", F.lit(0.0).alias("score"))
@@ -121,7 +132,7 @@ def plan(index: Index, q: str, fuzzy: bool = False, prefix: bool = False, use_sy
         return query
     if fuzzy:
         spark: SparkSession = index.postings.sparkSession
-        for r in expand(spark.createDataFrame([(t,) for t in query.terms], "term string"), index.postings).collect():
+        for r in expand(spark.createDataFrame([(t,) for t in query.terms], "term string"), index.terms).collect():
             query.add_variants(r["term"], [r["variant"]])
     if prefix and (last := last_prefix(q, index.stemmed)) and last[1] in query.terms:
         query.add_variants(last[1], complete(index.words, last[0], index.stemmed))
@@ -129,20 +140,31 @@ def plan(index: Index, q: str, fuzzy: bool = False, prefix: bool = False, use_sy
 
 
 def search(index: Index, q: str, offset: int = 0, size: int | None = None, k: int | None = None, operator: str = "or", fuzzy: bool = False, prefix: bool = False, use_synonyms: bool = True, near: bool = True, snippets: bool = True) -> Response:
-    """Ranked hits (id, title, score, snippet); texts are joined for the page alone."""
+    """Ranked hits (id, title, score, snippet).
+
+    The matches are computed once: their number is observed while the page is taken. The page is at
+    most MAX_WINDOW rows, so it comes to the driver and only its documents are read, by their ids.
+    """
     began = time.monotonic()
     size = size if size is not None else k if k is not None else 10
     check_window(operator, offset, size)
     query = plan(index, q, fuzzy, prefix, use_synonyms)
     terms = sorted(t for t, _ in query.weighted)
-    found = matches(index, query, operator == "and", near)
-    hits = F.broadcast(page(found, offset, size))  # at most MAX_WINDOW rows
+    df = frequencies(index, terms)
+    rows, total = [], 0
+    if df and index.n and index.avgdl > 0:
+        seen = Observation()
+        found = matches(index, query, operator == "and", near, df).observe(seen, F.count(F.lit(1)).alias("total"))
+        rows = [(r["id"], r["score"]) for r in page(found, offset, max(size, 1)).collect()][:size]
+        total = seen.get["total"]
+    spark = index.docs.sparkSession
+    hits = F.broadcast(spark.createDataFrame(rows, "id string, score double"))
+    joined = index.docs.where(F.col("id").isin(*[i for i, _ in rows]) if rows else F.lit(False)).join(hits, "id")
     columns = ["id", "title", "score"]
-    joined = index.docs.join(hits, "id")
     if snippets:
         joined = joined.withColumn("snippet", snippet_udf(terms, index.stemmed)(F.col("body")))
         columns.append("snippet")
-    return Response(int((time.monotonic() - began) * 1000), found.count() if query.terms else 0, offset, size, joined.select(columns).orderBy(F.desc("score"), "id"), terms)
+    return Response(int((time.monotonic() - began) * 1000), total, offset, size, joined.select(columns).orderBy(F.desc("score"), "id"), terms)
 
 
 def bulk_search(index: Index, queries: DataFrame, top: int) -> DataFrame:
@@ -154,8 +176,7 @@ def bulk_search(index: Index, queries: DataFrame, top: int) -> DataFrame:
     from pyspark.sql import Window as W
 
     q = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    df = index.postings.join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    q = q.join(df, "term")
+    q = q.join(index.terms, "term")
     hit = index.postings.select("term", "id", "tf", "len").join(q, "term")
     score = term_score(idf(F.lit(index.n), F.col("df")), F.col("tf").cast("double"), F.col("len"), F.lit(index.avgdl))
     found = hit.groupBy("query_id", "id").agg(F.sum(score).alias("score"))

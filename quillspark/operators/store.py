@@ -60,11 +60,14 @@ def digest(entry_rows: DataFrame) -> DataFrame:
     return entry_rows.agg(F.count("*").alias("count"), F.coalesce(F.sum(F.xxhash64("id", "version", "deleted").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("hash"))
 
 
-def replica_diff(replicas: DataFrame) -> DataFrame:
+def replica_diff(replicas: DataFrame, here: Column | None = None) -> DataFrame:
     """(replica, id, version, deleted, action) that bring each replica to the newest entry; a delete wins a tie.
 
-    ``replicas``: (replica, id, version, deleted). Replicas are few, so ids times replicas is small work.
+    ``replicas``: (replica, id, version, deleted). Replicas are the few copies of one shard, a handful of
+    names that come to the driver, so ids times replicas is small work. ``here``: a condition on the id,
+    entries that are placed elsewhere are left alone. One replica alone has nothing to take over.
     """
+    replicas = replicas.where(here) if here is not None else replicas
     best = replicas.groupBy("id").agg(F.max(F.struct("version", "deleted")).alias("best"))
     names = [r["replica"] for r in replicas.select("replica").distinct().collect()]
     wanted = best.select("id", "best", F.explode(F.array(*[F.lit(n) for n in names])).alias("replica"))
@@ -109,6 +112,11 @@ def misplaced(placed: DataFrame, buckets: int, drain: tuple[int, ...] = ()) -> D
     return out.where((F.col("source") != F.col("target")) | F.col("source").isin(*drain)) if drain else out.where("source != target")
 
 
+def placed_here(buckets: int, shard: int) -> Column:
+    """Whether an id belongs to the shard."""
+    return shard_for(buckets)(F.col("id")) == shard
+
+
 def rebalance_plan(moves: DataFrame, batch: int = 200) -> DataFrame:
     """(source, target, batch, ids): moves in batches."""
     nth = F.row_number().over(W.partitionBy("source", "target").orderBy("id")) - 1

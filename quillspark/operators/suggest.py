@@ -43,11 +43,12 @@ def max_distance(length: Column) -> Column:
 
 
 def expand(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(term, variant): indexed terms within the edit distance that the query term's length allows.
+    """(term, variant): terms of the vocabulary, a row each, within the edit distance that the query term's length allows.
 
-    ``terms`` is a query's, so it is broadcast; the length band is tested before the distance.
+    ``terms`` is a query's, so it is broadcast; the length band is tested before the distance, which
+    is counted only as far as it is allowed.
     """
     q = F.broadcast(terms.select(F.col("term").alias("q"), F.char_length("term").alias("n")).withColumn("most", max_distance(F.col("n"))))
-    v = vocabulary.select(F.col("term").alias("variant")).distinct()
-    near = (F.abs(F.char_length("variant") - F.col("n")) <= F.col("most")) & F.when(F.col("most") == 0, F.col("variant") == F.col("q")).otherwise(F.levenshtein("q", "variant") <= F.col("most"))
+    v = vocabulary.select(F.col("term").alias("variant"))
+    near = (F.abs(F.char_length("variant") - F.col("n")) <= F.col("most")) & F.when(F.col("most") == 0, F.col("variant") == F.col("q")).when(F.col("most") == 1, F.levenshtein("q", "variant", 1) >= 0).otherwise(F.levenshtein("q", "variant", 2) >= 0)
     return v.join(q, near).select(F.col("q").alias("term"), "variant")

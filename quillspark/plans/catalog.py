@@ -38,6 +38,7 @@ def index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> ix.Index:
         got = ix.build_index(documents(spark, sf_dir), stemmed, StorageLevel.DISK_ONLY)
         got.postings = got.postings.persist(StorageLevel.DISK_ONLY)
         got.words = got.words.persist(StorageLevel.DISK_ONLY)
+        got.terms = ix.frequencies(got.postings).persist(StorageLevel.DISK_ONLY)
         _CACHE[key] = got
     return _CACHE[key]
 
@@ -76,7 +77,7 @@ def _total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = spark.createDataFrame([("anon",), ("onand",), (FUZZY,)], "term string")
-    return su.expand(terms, index(spark, sf_dir).postings)
+    return su.expand(terms, index(spark, sf_dir).terms)
 
 
 def _complete(spark: SparkSession, sf_dir: str) -> DataFrame:
