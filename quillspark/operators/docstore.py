@@ -73,7 +73,7 @@ class _Walk:
             self._become(True, False, v, tuple(getattr(r, c) for c in _DOC), seq)
             return "indexed", True
         if op in ("put", "copy"):
-            v = self._next(given, now)
+            v = int(given or 0) if op == "copy" else self._next(given, now)  # another store's versions are taken as they are
             if known and v <= self.version:
                 return "ignored", False
             existed = self.live
@@ -86,9 +86,9 @@ class _Walk:
             self._become(True, False, v, tuple(doc[c] for c in _DOC), seq)
             return ("applied" if op == "copy" else "updated" if existed else "created"), True
         if op in ("delete", "remove"):
-            if not given and not self.live:
+            if op == "delete" and not given and not self.live:
                 return "not_found", False
-            v = self._next(given, now)
+            v = int(given or 0) if op == "remove" else self._next(given, now)
             if v <= self.version:
                 return ("ignored" if op == "remove" else "not_found"), False
             existed = self.live

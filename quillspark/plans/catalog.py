@@ -11,9 +11,11 @@ from quillspark.operators import listing, store
 from quillspark.operators import search as se
 from quillspark.operators import suggest as su
 from quillspark.operators.highlight import plain, with_highlight
+from quillspark.plans import catalog_store
 from quillspark.plans import oracle as o
 from quillspark.plans.query import Query, parse_query
 from quillspark.sources import corpus
+from quillspark.sources.shared import shared_dir
 
 _CACHE: dict[tuple, ix.Index] = {}
 OR_Q, AND_Q = "anon the onan ention", "ble onan"
@@ -103,14 +105,12 @@ def ops(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> Da
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import tempfile
     import uuid
 
     from quillspark.streaming.store_stream import run_to_table
 
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    out = f"{base}/stream-{uuid.uuid4().hex[:8]}"
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:8]}"
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     return run_to_table(ops(spark, sf_dir, events), f"{out}/table", f"{out}/checkpoint").select("id", "live", "dead", "version", "payload")
 
@@ -211,7 +211,7 @@ _QUERIES = {
 
 
 def queries():
-    return dict(_QUERIES)
+    return _QUERIES | catalog_store.QUERIES
 
 
 def _replica_sql() -> str:
@@ -239,7 +239,8 @@ def oracle_sql() -> dict[str, str]:
     fuzzy = f"SELECT word, 0.5 FROM vocab, {near_q.format(repr([FUZZY]))} WHERE {band} AND word <> '{FUZZY}' UNION ALL SELECT '{FUZZY}', 1.0"
     prefix = "SELECT word, CASE WHEN word = 'anon' THEN 1.0 ELSE 0.5 END FROM (SELECT word FROM vocab WHERE starts_with(word, 'anon') ORDER BY df DESC, word LIMIT 50) UNION SELECT 'anon', 1.0"
     info = f"WITH {o.DOCS} {_INFO}"
-    return {
+    replica_diff = _replica_sql()
+    return catalog_store.oracle_sql(replica_diff) | {
         "analyze_words": f"WITH {o.DOCS} SELECT id, len({o.all_words('body')})::BIGINT AS all_words, len({o.words('body')})::BIGINT AS kept, array_to_string({o.words('body')}[1:20], ' ') AS head FROM docs",
         "analyze_all_words": f"WITH {o.DOCS} SELECT id, array_to_string({o.words('body')}, ' ') AS words FROM docs",
         "index_positions": f"{t} SELECT term, id, array_to_string(positions, ',') AS positions FROM post",
@@ -270,7 +271,7 @@ def oracle_sql() -> dict[str, str]:
         "store_fold": f"WITH RECURSIVE {o.OPS} SELECT id, live, dead, version, payload, applied FROM final",
         "store_entries": f"WITH RECURSIVE {o.OPS} SELECT id, version, dead AS deleted FROM final WHERE live OR dead",
         "stream_store": f"WITH RECURSIVE {o.OPS} SELECT id, live, dead, version, payload FROM final",
-        "replica_diff": _replica_sql(),
+        "replica_diff": replica_diff,
         "extract_txt": f"WITH {o.DOCS} SELECT id, title, body, size FROM docs WHERE title <> '' OR body <> ''",
         "bulk_bm25": f"""{t},
 q AS (SELECT DISTINCT item_id AS query_id, unnest({o.words('text')}) AS term FROM benchmark),

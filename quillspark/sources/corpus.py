@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import io
 import re
-import zipfile
 from urllib.parse import quote
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.sources import files
+from quillspark.sources.extraction import MAX_TITLE, WHITE, clean_pdf_text, docx_text, extract, extract_limited, split_name  # noqa: F401
+
 DOC_SCHEMA = "id string, title string, body string, format string, size long, created long, updated long, file boolean"
-#: First lines over this many characters are no title.
-MAX_TITLE = 200
-MAX_FILE, MAX_XML = 10 << 20, 50 << 20
-_EDGE = r"^\s+|\s+$"
+_SPACE = f"[{WHITE}]"  # the same as in extracted files
+_EDGE = rf"^{_SPACE}+|{_SPACE}+\z"
 
 
 def _trim(c: Column) -> Column:
@@ -51,88 +49,27 @@ def read_json(spark: SparkSession, path: str, now: int) -> DataFrame:
 
 
 def read_txt_folder(spark: SparkSession, path: str) -> DataFrame:
-    """Bulk load: id is the file's stem, the first line the title, the rest the body; nothing else is checked."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    """Bulk load of the txt files of a folder, see :func:`parse_txt`."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
+    if empty := files.empty_files(spark, path, ".txt"):
+        found = found.union(spark.createDataFrame([(p, bytearray()) for p in empty], "path string, content binary"))
+    return parse_txt(found)
+
+
+def parse_txt(rows: DataFrame) -> DataFrame:
+    """(path, content): id is the file's stem, the first line the title, the rest the body; nothing else is checked."""
     text = F.decode("content", "UTF-8")
     line = F.instr(text, "\n")
     stem = F.regexp_extract("path", r"([^/]*)\.txt$", 1)
-    return files.select(stem.alias("id"), _trim(F.substring_index(text, "\n", 1)).alias("title"), F.when(line > 0, _trim(F.substring(text, line + 1, F.length(text)))).otherwise("").alias("body"), F.lit("txt").alias("format"), F.col("length").cast("long").alias("size"), F.lit(0).cast("long").alias("created"), F.lit(0).cast("long").alias("updated"), F.lit(False).alias("file"))
-
-
-def split_name(path: str) -> tuple[str, str]:
-    """(stem, extension) of an uploaded file's name; raises ValueError without either."""
-    name = re.split(r"[/\\]", path)[-1].strip()
-    stem, dot, ext = name.rpartition(".")
-    if not dot or not stem.strip():
-        raise ValueError(f"file name has no stem or extension: {name}")
-    return stem.strip(), ext.lower()
-
-
-def docx_text(data: bytes) -> str:
-    """Text of a docx: runs of text, a line for each paragraph or break, tabs."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        if z.getinfo("word/document.xml").file_size > MAX_XML:
-            raise ValueError("document is too large")
-        out: list[str] = []
-        for event, el in ElementTree.iterparse(io.BytesIO(z.read("word/document.xml")), events=("start", "end")):
-            tag = el.tag.rpartition("}")[2]
-            if event == "end":
-                out.append({"t": el.text or "", "tab": "\t", "br": "\n", "cr": "\n", "p": "\n"}.get(tag, ""))
-        return "".join(out)
-
-
-def clean_pdf_text(text: str) -> str:
-    """Trimmed lines; runs of blank lines become one, those at the beginning go."""
-    out: list[str] = []
-    blank = False
-    for line in (x.strip() for x in text.splitlines()):
-        if not line:
-            blank = bool(out)
-            continue
-        out += [""] * blank + [line]
-        blank = False
-    return "\n".join(out)
-
-
-def pdf_text(data: bytes) -> str:
-    try:
-        import pypdf
-    except ImportError:
-        raise ValueError("pdf files need the pypdf package") from None
-    return clean_pdf_text("\n".join(p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(data)).pages))
-
-
-def extract(path: str, data: bytes) -> dict:
-    """A file as a document, or the reason why not."""
-    try:
-        stem, ext = split_name(path)
-        if len(data) > MAX_FILE:
-            raise ValueError("file is too large")
-        if ext == "txt":
-            text = data.decode("utf-8").removeprefix("﻿")
-        elif ext in ("docx", "pdf"):
-            text = docx_text(data) if ext == "docx" else pdf_text(data)
-        else:
-            raise ValueError(f"unsupported format: {ext}")
-        text = text.strip()
-        if not text:
-            raise ValueError("no text in the file, maybe a scan" if ext == "pdf" else "the file is empty")
-        first, _, rest = text.partition("\n")
-        first = first.strip()
-        title, body = (stem, text) if len(first) > MAX_TITLE else (first, rest.strip())
-        return {"id": stem, "title": title, "body": body, "format": ext, "size": len(data), "error": None}
-    except UnicodeDecodeError:
-        return {"error": "the text is not UTF-8"}
-    except Exception as e:  # noqa: BLE001  a broken file is a value, not a failed task
-        return {"error": str(e) or type(e).__name__}
+    return rows.select(stem.alias("id"), _trim(F.substring_index(text, "\n", 1)).alias("title"), F.when(line > 0, _trim(F.substring(text, line + 1, F.length(text)))).otherwise("").alias("body"), F.lit("txt").alias("format"), F.octet_length("content").cast("long").alias("size"), F.lit(0).cast("long").alias("created"), F.lit(0).cast("long").alias("updated"), F.lit(False).alias("file"))
 
 
 def extract_files(files: DataFrame) -> DataFrame:
-    """(path, content) to documents with an ``error`` column; runs in Python workers, whose memory Spark limits."""
+    """(path, content) to documents with an ``error`` column; docx and pdf are parsed in limited child processes."""
 
     def run(batches):
         for pdf in batches:
-            rows = [{"path": p, "id": None, "title": None, "body": None, "format": None, "size": None} | extract(p, bytes(c)) for p, c in zip(pdf["path"], pdf["content"], strict=True)]
+            rows = [{"path": p, "id": None, "title": None, "body": None, "format": None, "size": None} | extract_limited(p, bytes(c)) for p, c in zip(pdf["path"], pdf["content"], strict=True)]
             yield pd.DataFrame(rows, columns=["path", "id", "title", "body", "format", "size", "error"])
 
     return files.select("path", "content").mapInPandas(run, "path string, id string, title string, body string, format string, size long, error string")
@@ -158,5 +95,5 @@ MEDIA_TYPES = {"txt": "text/plain; charset=utf-8", "pdf": "application/pdf", "do
 
 
 def content_disposition(name: str) -> str:
-    plain = re.sub(r'[^\x20-\x7e]|["\\]', "_", name)
+    plain = re.sub(r"[^0-9A-Za-z.\-_ ]", "_", name)
     return f"attachment; filename=\"{plain}\"; filename*=UTF-8''{quote(name, safe='')}"

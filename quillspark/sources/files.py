@@ -18,6 +18,12 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def empty_files(spark: SparkSession, path: str, suffix: str) -> list[str]:
+    """Paths of a folder's files without content, which Spark's readers pass over."""
+    p, fs = _at(spark, path)
+    return [str(x.getPath()) for x in fs.listStatus(p) if x.isFile() and not x.getLen() and x.getPath().getName().endswith(suffix)]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p, fs = _at(spark, path)
     fs.delete(p, True)
