@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 
@@ -29,6 +30,8 @@ _ODD[[*range(0, 10), *range(11, 32), 127, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 _WIDE_SPACE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 #: Units, and bytes of long units, that a worker's cache holds before it starts anew.
 CACHE_UNITS, CACHE_BYTES = 1 << 19, 1 << 25
+#: Places of the cache's hash table, twice as many as units.
+TABLE = 1 << 20
 #: Up to this length the hash tells units of one length apart.
 SHORT = 8
 
@@ -62,10 +65,9 @@ class UnitEncoder:
         return not parts.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
 
     def _clear(self) -> None:
-        self.keys = np.zeros(0, dtype=np.uint64)
+        self.keys, self.slot = np.zeros(TABLE, dtype=np.uint64), np.full(TABLE, -1, dtype=np.int32)  # open addressing
         self.size, self.text_at = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.text = np.zeros(0, dtype=np.uint8)
-        self.slot = np.zeros(0, dtype=np.int64)
         self.at, self.count = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
         self.spans = np.zeros((0, 2), dtype=np.int32)
@@ -90,11 +92,37 @@ class UnitEncoder:
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         encode = self.tokenizer.encode_batch if self.offsets else self.tokenizer.encode_batch_fast
         got = encode(texts, add_special_tokens=False)
-        count = np.fromiter((len(e.ids) for e in got), dtype=np.int64, count=len(got))
-        ids = np.fromiter((i for e in got for i in e.ids), dtype=np.uint32, count=int(count.sum()))
-        spans = np.array([o for e in got for o in e.offsets], dtype=np.int32).reshape(-1, 2) if self.offsets else np.zeros((0, 2), np.int32)
+        lists = [e.ids for e in got]  # each access makes a list anew
+        count = np.fromiter(map(len, lists), dtype=np.int64, count=len(got))
+        ids = np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(count.sum()))
+        if not self.offsets:
+            return ids, count, np.zeros((0, 2), np.int32)
+        flat = chain.from_iterable(chain.from_iterable(e.offsets for e in got))
+        spans = np.fromiter(flat, dtype=np.int32, count=2 * ids.size).reshape(-1, 2)
         return ids, count, spans
 
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key's unit, -1 if it isn't cached."""
+        out = np.full(keys.size, -1, dtype=np.int64)
+        place, live = (keys % np.uint64(TABLE)).astype(np.int64), np.arange(keys.size)
+        while live.size:
+            slot = self.slot[place]
+            same = (slot >= 0) & (self.keys[place] == keys[live])
+            out[live[same]] = slot[same]
+            more = (slot >= 0) & ~same
+            live, place = live[more], (place[more] + 1) % TABLE
+        return out
+
+    def _put(self, keys: np.ndarray, slots: np.ndarray) -> None:
+        """Enters new keys, each once."""
+        place, live = (keys % np.uint64(TABLE)).astype(np.int64), np.arange(keys.size)
+        while live.size:
+            free = self.slot[place] < 0
+            self.slot[place[free]] = slots[live[free]]
+            won = free & (self.slot[place] == slots[live])  # of several for one place the last one stays
+            self.keys[place[won]] = keys[live[won]]
+            live, place = live[~won], (place[~won] + 1) % TABLE
+
     def _learn(self, keys: np.ndarray, raw: list[bytes]) -> None:
         ids, count, spans = self._encode([x.decode() for x in raw])
         long = [x if len(x) > SHORT else b"" for x in raw]
@@ -103,9 +131,7 @@ class UnitEncoder:
         self.text_at = np.concatenate([self.text_at, self.text.size + np.cumsum(kept) - kept])
         self.text = np.concatenate([self.text, np.frombuffer(b"".join(long), np.uint8)])
         at = self.ids.size + np.cumsum(count) - count
-        place = np.searchsorted(self.keys, keys)
-        self.slot = np.insert(self.slot, place, self.at.size + np.arange(keys.size))
-        self.keys = np.insert(self.keys, place, keys)
+        self._put(keys, (self.at.size + np.arange(keys.size)).astype(np.int32))
         self.at, self.count = np.concatenate([self.at, at]), np.concatenate([self.count, count])
         self.ids, self.spans = np.concatenate([self.ids, ids]), np.concatenate([self.spans, spans])
 
@@ -144,19 +170,20 @@ class UnitEncoder:
             return Encoded(np.zeros(0, np.uint32), np.zeros(off.size, np.int64), none, none)
         start = self._cut(buf, off)
         end = np.append(start[1:], buf.size)
-        key, where, inverse = np.unique(span_hashes(buf, start, end), return_index=True, return_inverse=True)
-        if self.keys.size + key.size > CACHE_UNITS or self.text.size > CACHE_BYTES:
-            self._clear()
-        at = np.searchsorted(self.keys, key)
-        known = np.zeros(key.size, bool)
-        inside = at < self.keys.size
-        known[inside] = self.keys[at[inside]] == key[inside]
-        if not known.all():
-            new = where[~known]
-            raw = buf.tobytes()
-            self._learn(key[~known], [raw[a:b] for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)])
-            at = np.searchsorted(self.keys, key)
-        slot = self.slot[at][inverse]
+        key = span_hashes(buf, start, end)
+        slot = self._find(key)
+        missing = np.flatnonzero(slot < 0)
+        if missing.size:
+            new, first = np.unique(key[missing], return_index=True)
+            if self.at.size + new.size > CACHE_UNITS or self.text.size > CACHE_BYTES:
+                self._clear()
+                missing = np.arange(key.size)
+                new, first = np.unique(key, return_index=True)
+            if new.size > CACHE_UNITS:  # more different units than the cache holds: one by one they would gain nothing
+                return self._mixed(buf, off, set(range(off.size - 1)))
+            raw, pick = buf.tobytes(), missing[first]
+            self._learn(new, [raw[a:b] for a, b in zip(start[pick].tolist(), end[pick].tolist(), strict=True)])
+            slot[missing] = self._find(key[missing])
         bad = self._differ(buf, start, end, slot)
         if bad.any():
             return self._mixed(buf, off, set((np.searchsorted(off, start[bad], side="right") - 1).tolist()))
