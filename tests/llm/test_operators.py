@@ -691,3 +691,20 @@ def test_mixed_rows_match_their_shares(spark, docs, rows):
     for d, t, *_ in rows:
         source[d].append(t or "")
     assert all(any(s.startswith(t) for s in source[d]) for d, ts in texts.items() for t in ts)
+
+
+def test_more_units_than_the_cache_holds(monkeypatch):
+    import pyarrow as pa
+
+    from quillspark.llm import token_units
+    from quillspark.llm.textarrays import chunks
+
+    monkeypatch.setattr(token_units, "CACHE_UNITS", 40)
+    monkeypatch.setattr(token_units, "TABLE", 64)
+    texts = [" ".join(f"w{k}" for k in range(n)) for n in (10, 30, 90)] + ["w1 w2 w3", ""]
+    enc, tok = token_units.UnitEncoder(queries.tokenizer_path(), True), tokenizer()
+    for part in (texts[:2], texts[3:], texts, texts[1:2]):
+        for _, _, buf, off in chunks(pa.array(part)):
+            got = enc.encode(buf, off)
+            for k, t in enumerate(part):
+                assert got.ids[got.first[k] : got.first[k + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids
