@@ -13,6 +13,7 @@ within a component, where saturated lists end up, links are counted exactly in b
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,45 +43,76 @@ AUDIT_PASS = 4096
 RECALL = 0.98
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Unit vectors in double precision from float32 bytes."""
-    data = np.stack([np.frombuffer(v.as_buffer(), "<f4") for v in column]).astype(np.float64)
-    return data / np.linalg.norm(data, axis=1, keepdims=True)
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column and each row's start, with the end."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), off
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one, without overflow on the way."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _matrix(column: pa.Array, kind: str) -> np.ndarray:
+    """Unit vectors in double precision from vectors of one length, stored as ``kind``."""
+    data, off = _bytes(column)
+    return _unit(data[off[0] : off[-1]].view(kind).reshape(len(off) - 1, -1).astype(np.float64))
+
+
+@functools.cache
 def _planes(dim: int, n: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, n))
 
 
+def element_kind(vectors: DataFrame, embedding: str) -> str:
+    """How components are stored: as floats where the column has those, else as doubles."""
+    element = getattr(vectors.select(embedding).schema[0].dataType, "elementType", None)
+    return "<f4" if element is not None and element.simpleString() == "float" else "<f8"
+
+
 def valid_vectors(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> DataFrame:
-    """(id, label, dim, vec as float32 bytes, sketch) of the rows that can link."""
+    """(id, label, dim, vec as bytes, sketch) of the rows that can link."""
+    kind = element_kind(vectors, embedding)
+    names = ["id", "label", "dim", "vec", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, labels, vecs = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            out = []
-            for i, g, v in zip(ids, labels, vecs, strict=True):
-                if i is None or g is None or not v or any(x is None for x in v):
-                    continue
-                x = np.array(v, dtype=np.float32)
-                norm = np.linalg.norm(x.astype(np.float64))
-                if not np.isfinite(x).all() or norm == 0:
-                    continue
-                bits = np.packbits((x.astype(np.float64) / norm) @ _planes(x.size, 64, 1) > 0)
-                out.append((i, g, x.size, x.tobytes(), int(bits.view("<i8")[0])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.int64()))], names=["id", "label", "dim", "vec", "sketch"])
-
-    return vectors.select(F.col(vec_id).cast("long"), F.col(label).cast("string"), F.col(embedding).cast("array<float>")).mapInArrow(run, "id long, label string, dim int, vec binary, sketch long")
-
-
-def _near(table: pa.Table, threshold: float) -> pa.Table:
+            lists = batch.column(2)
+            off = lists.offsets.to_numpy().astype(np.int64)
+            size = np.diff(off)
+            none = np.asarray(lists.values.is_null()).astype(bool)
+            values = lists.values.fill_null(0).to_numpy(zero_copy_only=False)
+            lacks = np.concatenate([[0], np.cumsum(none)])
+            known = ~np.any([np.asarray(batch.column(k).is_null()) for k in range(3)], axis=0)
+            known &= (size > 0) & (lacks[off[1:]] == lacks[off[:-1]])
+            for dim in np.unique(size[known]).tolist():
+                pick = np.flatnonzero(known & (size == dim))
+                x = values[off[pick][:, None] + np.arange(dim)]
+                wide = x.astype(np.float64)
+                good = np.isfinite(wide).all(axis=1) & (wide != 0).any(axis=1)
+                pick, x = pick[good], x[good]
+                if pick.size:
+                    bits = np.packbits(_unit(wide[good]) @ _planes(dim, 64, 1) > 0, axis=1).view("<i8")[:, 0]
+                    rows = pa.array(pick)
+                    columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.full(pick.size, dim, np.int32)), pa.array([v.tobytes() for v in x.astype(kind)], pa.binary()), pa.array(bits)]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    typed = vectors.select(F.col(vec_id).cast("long"), F.col(label).cast("string"), F.col(embedding).cast("array<float>" if kind == "<f4" else "array<double>"))
+    return typed.mapInArrow(run, "id long, label string, dim int, vec binary, sketch long")
+
+
+def _near(table: pa.Table, threshold: float, kind: str) -> pa.Table:
     """The K nearest of each vector among those of its cell, and the cell's links.
 
     Links are the stars of all pairs at the threshold or above, as rows without a cosine.
     """
     n = table.num_rows
-    ids, x = table.column("id").to_numpy(), _matrix(table.column("vec").combine_chunks())
+    ids, x = table.column("id").to_numpy(), _matrix(table.column("vec"), kind)
     sketch = table.column("sketch").to_numpy()
     sim = x @ x.T
     np.fill_diagonal(sim, -2)
@@ -99,22 +131,25 @@ class NnDescent:
     """The near-duplicate graph of one table of vectors.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and those without id or
-    label, link with nothing; only vectors of one label and length are compared. Equal vectors are one
-    node that counts as many. Rows that repeat a vec_id count as one vector, the first by content.
+    label, link with nothing; only vectors of one label and length are compared, those of doubles as
+    such. Equal vectors are one node that counts as many. Rows that repeat a vec_id count as one vector, the first by content.
     """
 
     def __init__(self, vectors: DataFrame, scratch: Scratch, threshold: float, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label"):
         self.vectors, self.scratch, self.threshold = vectors, scratch, threshold
         self.columns = (vec_id, embedding, label)
+        self.kind = element_kind(vectors, embedding)
 
     def _cells(self, nodes: DataFrame, seed: int) -> DataFrame:
+        kind = self.kind
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 dims, size = batch.column(2).to_numpy(), batch.column(5).to_numpy()
                 for d in np.unique(dims):
                     pick = np.flatnonzero(dims == d)
                     part = batch.take(pa.array(pick))
-                    x = _matrix(part.column(3))
+                    x = _matrix(part.column(3), kind)
                     bits = np.maximum(np.ceil(np.log2(np.maximum(size[pick] / CELL, 1))), 0).astype(np.int64)
                     for t in range(TREES):
                         sign = (x @ _planes(int(d), 60, 1000 * seed + 2 + t) > 0).astype(np.int64)
@@ -130,8 +165,9 @@ class NnDescent:
         own = ["label", "dim", "tree", "cell"]
         parts = cells.groupBy(*own).agg(F.ceil(F.count("*") / CELL_MOST).alias("parts"))
         cells = cells.join(parts, own).withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.col("parts")))
-        least = self.threshold
-        return cells.groupBy(*own, "part").applyInArrow(lambda table: _near(table, least), EDGE)
+        least, kind = self.threshold, self.kind
+        # by the part too: else all of a cell, dealt by the join before, would stay in one task
+        return cells.repartition(*own, "part").groupBy(*own, "part").applyInArrow(lambda table: _near(table, least, kind), EDGE)
 
     def _lists(self, edges: DataFrame, growth: int) -> DataFrame:
         """The best K of each list, or K * growth while they pass the threshold."""
@@ -151,17 +187,21 @@ class NnDescent:
         va = nodes.select(F.col("id").alias("a"), F.col("vec").alias("xa"))
         vb = nodes.select(F.col("id").alias("b"), F.col("vec").alias("xb"))
 
+        kind = self.kind
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows:
-                    sim = (_matrix(batch.column(4)) * _matrix(batch.column(5))).sum(axis=1)
-                    yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)] + [pa.array(sim)], names=["u", "su", "v", "sv", "sim"])
+                size = np.diff(_bytes(batch.column(4))[1])
+                for n in np.unique(size):  # a pair is of one length, a batch may not be
+                    part = batch if (size == n).all() else batch.filter(pa.array(size == n))
+                    sim = (_matrix(part.column(4), kind) * _matrix(part.column(5), kind)).sum(axis=1)
+                    yield pa.RecordBatch.from_arrays([part.column(i) for i in range(4)] + [pa.array(sim)], names=["u", "su", "v", "sv", "sim"])
 
         return pairs.join(va, "a").join(vb, "b").select("a", "sa", "b", "sb", "xa", "xb").mapInArrow(run, EDGE)
 
     def _links(self, nodes: DataFrame, cc: DataFrame) -> DataFrame:
         """(id, links): exact counts within components, weighted by copies, in blocks of rows."""
-        least = self.threshold
+        least, kind = self.threshold, self.kind
         member = nodes.join(cc.withColumnRenamed("node", "id"), "id").select("id", "component", "weight", "vec")
         parts = member.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
         member = member.join(parts, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
@@ -172,7 +212,7 @@ class NnDescent:
         def run(table: pa.Table) -> pa.Table:
             own, ids, weight = (table.column(c).to_numpy() for c in ("own", "id", "weight"))
             i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-            x = _matrix(table.column("vec").combine_chunks())
+            x = _matrix(table.column("vec"), kind)
             a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
             near = x[a] @ x[b].T >= least
             near &= ids[a][:, None] != ids[b][None, :]
@@ -182,7 +222,8 @@ class NnDescent:
                 n.append(near.T @ weight[a])
             return pa.table({"id": np.concatenate(out), "links": np.concatenate(n).astype(np.int64)})
 
-        return rows.groupBy("component", "i", "j").applyInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+        # by the blocks too: else all blocks of a component, dealt by the join before, would stay in one task
+        return rows.repartition("component", "i", "j").groupBy("component", "i", "j").applyInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
     def _recall(self, nodes: DataFrame, links: DataFrame) -> float:
         """Mean share of an audited node's exact links that ``links`` has, over those that have links.
@@ -206,15 +247,15 @@ class NnDescent:
 
     def _audit(self, nodes: DataFrame, queries: DataFrame) -> DataFrame:
         """(id, n): exact links of each query that has any."""
-        least = self.threshold
+        least, kind = self.threshold, self.kind
         rows = queries.select("id", "label", "dim", "vec").collect()
         shared = nodes.sparkSession.sparkContext.broadcast([(r["id"], r["label"], r["dim"], bytes(r["vec"])) for r in rows])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = {}
             for i, g, d, v in shared.value:
-                own.setdefault((g, d), []).append((i, np.frombuffer(v, "<f4").astype(np.float64)))
-            own = {g: (np.array([i for i, _ in mine]), np.stack([v / np.linalg.norm(v) for _, v in mine])) for g, mine in own.items()}
+                own.setdefault((g, d), []).append((i, np.frombuffer(v, kind).astype(np.float64)))
+            own = {g: (np.array([i for i, _ in mine]), _unit(np.stack([v for _, v in mine]))) for g, mine in own.items()}
             total: dict[int, int] = {}
             for batch in batches:
                 ids, weight = batch.column(0).to_numpy(), batch.column(4).to_numpy()
@@ -223,7 +264,7 @@ class NnDescent:
                     pick = np.flatnonzero((label == g) & (dim == d))
                     # a part of the batch at a time: a few MB of cosines
                     for part in np.array_split(pick, -(-pick.size // 256)) if pick.size else ():
-                        near = q @ _matrix(batch.column(3).take(pa.array(part))).T >= least
+                        near = q @ _matrix(batch.column(3).take(pa.array(part)), kind).T >= least
                         near &= asked[:, None] != ids[part][None, :]
                         for i, n in zip(asked, near @ weight[part], strict=True):
                             if n:
@@ -234,7 +275,7 @@ class NnDescent:
 
     def _all_pairs(self, nodes: DataFrame) -> DataFrame:
         """(a, b): stars of all pairs of one label and length at the threshold or above, in blocks."""
-        least, key = self.threshold, ["label", "dim"]
+        least, kind, key = self.threshold, self.kind, ["label", "dim"]
         parts = nodes.groupBy(*key).agg(F.ceil(F.count("*") / EXACT_BLOCK).alias("parts"))
         rows = nodes.select("id", *key, "vec").join(parts, key).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
@@ -242,7 +283,7 @@ class NnDescent:
 
         def run(table: pa.Table) -> pa.Table:
             own, ids = table.column("own").to_numpy(), table.column("id").to_numpy()
-            x = _matrix(table.column("vec").combine_chunks())
+            x = _matrix(table.column("vec"), kind)
             p, q = (np.flatnonzero(own == table.column(c)[0].as_py()) for c in ("i", "j"))
             a = b = np.zeros(0, np.int64)
             # a strip at a time, contracted with those before: a few MB of pairs
@@ -251,7 +292,7 @@ class NnDescent:
                 a, b = _stars(np.append(a, ids[p[k + u]]), np.append(b, ids[q[v]]))
             return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-        return rows.groupBy(*key, "i", "j").applyInArrow(run, "a long, b long")
+        return rows.repartition(*key, "i", "j").groupBy(*key, "i", "j").applyInArrow(run, "a long, b long")
 
     def run(self) -> DataFrame:
         """(vec_id, n_links, component_id, kept) for every row."""
