@@ -106,17 +106,19 @@ class QualityModel:
                     c = term_counts(buf, off).astype("<f4")
                     yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "y": batch.column(2).slice(a, b - a), "c": pa.array([pa.compress(r.tobytes(), "lz4", asbytes=True) for r in c], pa.binary())})
 
-        rows = sample_rows(docs, labels, label, allowed, limit).select("doc_id", "text", "y").mapInArrow(counts, "doc_id long, y int, c binary").collect()
-        rows.sort(key=lambda r: r["doc_id"])
-        if not rows:
+        sample = sample_rows(docs, labels, label, allowed, limit).select("doc_id", "text", "y")
+        got = sample.mapInArrow(counts, "doc_id long, y int, c binary").toArrow().sort_by("doc_id")
+        if not len(got):
             return cls(idf, np.zeros((DIM, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32))
-        x = weighted(np.stack([np.frombuffer(pa.decompress(bytes(r["c"]), 4 * DIM, "lz4", asbytes=True), "<f4") for r in rows]), idf)
+        x = np.empty((len(got), DIM), dtype=np.float32)
+        for k, c in enumerate(got.column("c")):
+            x[k] = weighted(np.frombuffer(pa.decompress(c.as_py(), 4 * DIM, "lz4", asbytes=True), "<f4")[None], idf)
         q = np.random.default_rng(7).standard_normal((DIM, COMPONENTS + 16)).astype(np.float32)
         for _ in range(5):  # randomized subspace iteration
             q, _ = np.linalg.qr(x.T @ (x @ q))
         _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
         axes = (q @ vt.T)[:, :COMPONENTS].astype(np.float32)
-        return cls(idf, axes, _unit(x @ axes).astype(np.float32), np.array([r["y"] for r in rows], np.float32))
+        return cls(idf, axes, _unit(x @ axes).astype(np.float32), got.column("y").to_numpy().astype(np.float32))
 
     def score(self, counts: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
         """Share of label 1 among the nearest labelled vectors, weighted by cosine; without any likeness the sample's mean."""

@@ -144,6 +144,47 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The features of each row, as views of one buffer."""
+    if not len(column):
+        return []
+    column = column.combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1] // 4
+    data = np.frombuffer(data, "<u4") if data and data.size >= 4 else np.zeros(0, np.uint32)
+    return [data[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
+
+
+class _Counts:
+    """The 0/1 matrix of rows and the kept features, by row and by feature, in 8 bytes an entry."""
+
+    def __init__(self, rows: list[np.ndarray], kept: np.ndarray):
+        self.n, self.dim = len(rows), kept.size
+        rows = [r[kept[r]].astype(np.int32) for r in rows]
+        size = np.array([r.size for r in rows], dtype=np.int64)
+        self.feature = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        self.filled = np.flatnonzero(size)
+        self.begin = (np.cumsum(size) - size)[self.filled]
+        order = np.argsort(self.feature, kind="stable")
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), size)[order]
+        used = np.bincount(self.feature, minlength=self.dim) if self.feature.size else np.zeros(self.dim, np.int64)
+        self.used = np.flatnonzero(used)
+        self.first = (np.cumsum(used) - used)[self.used]
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        if self.filled.size:
+            out[self.filled] = np.add.reduceat(w[self.feature], self.begin)
+        return out
+
+    def back(self, e: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.dim)
+        if self.used.size:
+            out[self.used] = np.add.reduceat(e[self.row], self.first)
+        return out
+
+
 class ToxicityModel:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
@@ -164,10 +205,9 @@ class ToxicityModel:
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "y", "f", "gained", "lost"])
 
         sample = sample_rows(docs, labels, label, allowed, limit).select("doc_id", "text", "y")
-        rows = sample.mapInArrow(features, "doc_id long, y int, f binary, gained binary, lost binary").collect()
-        rows.sort(key=lambda r: r["doc_id"])
-        own, gained, lost = ([np.frombuffer(bytes(r[c]), "<u4").astype(np.int64) for r in rows] for c in ("f", "gained", "lost"))
-        return cls.train(own, np.array([r["y"] for r in rows], np.float64), swapped=list(zip(gained, lost, strict=True)))
+        got = sample.mapInArrow(features, "doc_id long, y int, f binary, gained binary, lost binary").toArrow().sort_by("doc_id").combine_chunks()
+        own, gained, lost = (_lists(got.column(c)) for c in ("f", "gained", "lost"))
+        return cls.train(own, got.column("y").to_numpy().astype(np.float64), swapped=list(zip(gained, lost, strict=True)))
 
     @classmethod
     def train(cls, rows: list[np.ndarray], y: np.ndarray, counterfactual: float = COUNTERFACTUAL, least: int = LEAST_DOCS, swapped: list[tuple[np.ndarray, np.ndarray]] | None = None) -> ToxicityModel:
@@ -183,7 +223,10 @@ class ToxicityModel:
         mean = float(y.mean()) if y.size else 0.0
         if not 0 < mean < 1:
             return cls(np.zeros(dim, np.float32), float(np.log((mean + 1e-3) / (1 - mean + 1e-3))))
-        kept = np.bincount(np.concatenate(rows), minlength=dim) >= least
+        kept = np.zeros(dim, dtype=np.int64)
+        for r in rows:
+            kept[r] += 1
+        kept = kept >= least
         balance = np.where(y > 0, 0.5 / mean, 0.5 / (1 - mean)) / y.size
         penalty = SPARSITY / np.sqrt(min(y.sum(), (1 - y).sum()))
         w, _ = cls._descend(rows, swapped, y, balance, kept, penalty, 0.0, counterfactual, SELECT_STEPS)
@@ -196,16 +239,15 @@ class ToxicityModel:
         # the change that swapping makes to the logit: +w of the features gained, -w of those lost
         named = [(i, f, sign) for i, both in enumerate(swapped) for part, sign in zip(both, (1, -1), strict=True) for f in part if kept[f]]
         doc, moved, sign = (np.array([x[k] for x in named], dtype=np.int64) for k in range(3))
-        rows = [r[kept[r]] for r in rows]
-        owner, idx = np.repeat(np.arange(y.size), [r.size for r in rows]), np.concatenate(rows)
+        x = _Counts(rows, kept)
 
         def pull(w: np.ndarray) -> np.ndarray:
             change = np.bincount(doc, weights=sign * w[moved], minlength=y.size)
             return np.bincount(moved, weights=sign * change[doc], minlength=dim)
 
         def gradient(w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
-            err = (_sigmoid(np.bincount(owner, weights=w[idx], minlength=y.size) + b) - y) * balance
-            g = np.bincount(idx, weights=err[owner], minlength=dim) + ridge * w
+            err = (_sigmoid(x.times(w) + b) - y) * balance
+            g = x.back(err) + ridge * w
             if named:
                 g += counterfactual / y.size * pull(w)
             return g, float(err.sum())
@@ -213,8 +255,7 @@ class ToxicityModel:
         v, top = np.full(dim, 1.0) * kept, 1.0  # largest curvature by power iteration
         for _ in range(12):
             v = v / max(np.linalg.norm(v), 1e-12)
-            xv = np.bincount(owner, weights=v[idx], minlength=y.size) + 0.1
-            v = np.bincount(idx, weights=(xv * balance)[owner], minlength=dim)
+            v = x.back((x.times(v) + 0.1) * balance)
             top = max(float(np.linalg.norm(v)), 1e-6)
         steep = 0.0  # the same of the penalty
         if named:
