@@ -708,3 +708,57 @@ def test_more_units_than_the_cache_holds(monkeypatch):
             got = enc.encode(buf, off)
             for k, t in enumerate(part):
                 assert got.ids[got.first[k] : got.first[k + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def brute_links(rows, threshold=0.93):
+    """vec_id to (links, component) by every pair."""
+    live = [(k, np.array(v, float), g) for k, v, g in rows if k is not None and v and g is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    live = [(k, v / abs(v).max() / np.linalg.norm(v / abs(v).max()), g) for k, v, g in live]
+    links, parent = collections.Counter(), {k: k for k, *_ in rows if k is not None}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, (i, v, g) in enumerate(live):
+        for j, w, h in live[:a]:
+            if i != j and g == h and v.size == w.size and v @ w >= threshold:
+                links.update((i, j))
+                p, q = sorted((root(i), root(j)))
+                parent[q] = p
+    return {k: (links[k], root(k)) for k in parent}
+
+
+def test_embeddings_over_many_cells_equal_brute_force(spark, monkeypatch):
+    """Doubles of two lengths, nulls, zeros, copies, and so small cells that descent has to find links across them."""
+    monkeypatch.setattr(nn_descent, "CELL", 24)
+    monkeypatch.setattr(nn_descent, "CELL_MOST", 64)
+    monkeypatch.setattr(nn_descent, "BLOCK", 32)
+    rng = np.random.default_rng(41)
+    rows = []
+    for dim in (12, 20):
+        for base in rng.standard_normal((45, dim)):
+            rows += [(base + 0.12 * rng.standard_normal(dim)).tolist() for _ in range(int(rng.integers(1, 9)))]
+    rows += [rows[0], rows[0], [v * 1e-200 for v in rows[5]], [v * 1e200 for v in rows[6]]]
+    out = [(k, v, k % 3) for k, v in enumerate(rows)]
+    n = len(out)
+    out += [(n, None, 0), (n + 1, [], 0), (n + 2, [0.0] * 12, 1), (n + 3, [None] + rows[0][1:], 0), (n + 4, rows[0][:-1] + [float("inf")], 0), (n + 5, rows[0], None)]
+    d = spark.createDataFrame([(*r, "x", k) for k, r in enumerate(out)], "vec_id long, embedding array<double>, label int, id string, component long")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nn_descent.NnDescent(d, Scratch(spark, "t"), 0.93).run().collect()}
+    want = brute_links(out)
+    assert sum(n for n, _ in want.values()) > 300 and got == want
+
+
+def test_close_doubles_are_told_apart(spark):
+    """A cosine that lies on the threshold's other side once components are cut to floats."""
+    a, c = np.array([1.0, 0.0]), 0.93
+    near, far = ([c + e, float(np.sqrt(1 - (c + e) ** 2))] for e in (1e-12, -1e-12))
+    for v, links in ((near, 1), (far, 0)):
+        d = spark.createDataFrame([(1, a.tolist(), 0), (2, v, 0)], "vec_id long, embedding array<double>, label int")
+        assert {r["n_links"] for r in nn_descent.NnDescent(d, Scratch(spark, "t"), 0.93).run().collect()} == {links}
+
+
+def test_embeddings_of_an_empty_table(spark):
+    d = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    assert nn_descent.NnDescent(d, Scratch(spark, "t"), 0.93).run().count() == 0
