@@ -26,7 +26,7 @@ from quillspark.llm.textarrays import BYTE_ITEMS, NONSPACE, U, anchors, chunks,
 #: log2 of the bits of a filter of keys, at least and at most (32 MB), and bits for each key.
 FILTER_BITS, KEY_BITS = (16, 28), 16
 #: A key with so many different contents, a content counted once for each task's share, is compared window by window.
-HOT = 4000
+HOT = 1000
 #: Payload that a task gathers before it combines equal segments and sends them on.
 FLUSH_BYTES = 12 << 20
 #: Bytes that a task of the comparison should read.
