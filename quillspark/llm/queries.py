@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, mixing, ngram_join, nn_descent, quality, substring_index, suffix_array, token_counts, token_output, toxicity
-from quillspark.llm.scratch import Scratch
+from quillspark.llm.scratch import Scratch, small_batches
 
 END_ID = 2
 
@@ -18,6 +18,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

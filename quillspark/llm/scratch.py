@@ -11,18 +11,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker, where the session has Spark's default of 64 MB.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps batches small enough for several workers with long texts to share an executor; another setting of the user's stays."""
+    if spark.conf.get(_BATCH, "64MB") in ("67108864b", "64MB", "64m"):
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+
 @functools.cache
 def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="quillspark-")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or an own one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode an own one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _own_dir()
-        spark.sparkContext.setCheckpointDir(base)
-    return base
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(_own_dir())
+    return _own_dir()
 
 
 class Scratch:
@@ -33,6 +46,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str, root: str | None = None):
         """A new folder, or ``root``, one that is there already."""
+        small_batches(spark)
         self.spark = spark
         self.root = root or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
