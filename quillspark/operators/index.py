@@ -34,6 +34,7 @@ class Index:
     total_len: int
     stemmed: bool = True
     terms: DataFrame | None = None
+    kept: tuple[DataFrame, ...] = ()
 
     def __post_init__(self) -> None:
         if self.terms is None:
@@ -149,7 +150,7 @@ def build_index(docs: DataFrame, stemmed: bool = True, keep=None) -> Index:
     a = a.persist(keep) if keep is not None else a
     rows = lengths(a)
     n, total, _ = statistics(rows).first()
-    return Index(docs, postings(a), rows, vocabulary(a), n, total, stemmed)
+    return Index(docs, postings(a), rows, vocabulary(a), n, total, stemmed, kept=(a,) if keep is not None else ())
 
 
 def insert(live: DataFrame, batch: DataFrame, order: str) -> DataFrame:

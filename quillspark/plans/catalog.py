@@ -14,7 +14,7 @@ from quillspark.operators.highlight import plain, with_highlight
 from quillspark.plans import catalog_store
 from quillspark.plans import oracle as o
 from quillspark.plans.query import Query, parse_query
-from quillspark.sources import corpus
+from quillspark.sources import corpus, files
 from quillspark.sources.shared import shared_dir
 
 _CACHE: dict[tuple, ix.Index] = {}
@@ -32,11 +32,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> ix.Index:
-    """The index of a folder's documents; its postings stay on the executors' disks for later queries."""
-    key = (id(spark), sf_dir, stemmed)
-    if key not in _CACHE or _CACHE[key].docs.sparkSession is not spark:
+    """The index of a folder's documents; its tables stay on the executors' disks for later queries.
+
+    One index is kept: another folder, changed files or a new session make a new one and free the old.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, stemmed, files.signature(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _CACHE:
         from pyspark import StorageLevel
 
+        release()
         got = ix.build_index(documents(spark, sf_dir), stemmed, StorageLevel.DISK_ONLY)
         got.postings = got.postings.persist(StorageLevel.DISK_ONLY)
         got.words = got.words.persist(StorageLevel.DISK_ONLY)
@@ -45,6 +49,17 @@ def index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> ix.Index:
     return _CACHE[key]
 
 
+def release() -> None:
+    """Frees the kept index."""
+    for kept in _CACHE.values():
+        for part in (kept.postings, kept.words, kept.terms, *kept.kept):
+            try:
+                part.unpersist()
+            except Exception:  # noqa: BLE001  its session is gone, and what it kept with it
+                break
+    _CACHE.clear()
+
+
 def _ranked(found: DataFrame, offset: int = 0, size: int = 10) -> DataFrame:
     return se.page(found, offset, size).select("id", F.round("score", 6).alias("score"))
 

@@ -18,6 +18,12 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def signature(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a file, or of the files right below a folder: it changes when they do."""
+    p, fs = _at(spark, path)
+    return tuple(sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in fs.listStatus(p)))
+
+
 def empty_files(spark: SparkSession, path: str, suffix: str) -> list[str]:
     """Paths of a folder's files without content, which Spark's readers pass over."""
     p, fs = _at(spark, path)
