@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, mixing, ngram_join, token_output, toxicity
 from quillspark.llm.queries import END_ID, remainder, table, tokenizer_path
-from quillspark.llm.scratch import Scratch
+from quillspark.llm.scratch import Scratch, clear_since
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. What a stage has written goes as soon as its result stands."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
+        made = len(Scratch.made)
         docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{k}")
+        clear_since(made)
+        if k:
+            scratch.drop(f"stage-{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from typing import ClassVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,14 +42,19 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Written tables of one operator run, which cut lineage and survive lost executors.
 
-    The tables live below :func:`shared_dir`; ``drop`` frees one as soon as nothing reads it.
+    The tables live below :func:`shared_dir`; ``drop`` frees one as soon as nothing reads it, and
+    :func:`clear_since` all that a step has left once its result is written elsewhere.
     """
 
+    made: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession, name: str, root: str | None = None):
         """A new folder, or ``root``, one that is there already."""
         small_batches(spark)
         self.spark = spark
         self.root = root or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        if not root:
+            Scratch.made.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -91,6 +97,12 @@ class Scratch:
         return files.getContentSummary(p).getLength()
 
 
+def clear_since(count: int) -> None:
+    """Frees the folders made after the first ``count``."""
+    while len(Scratch.made) > count:
+        Scratch.made.pop().clear()
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """Each name with as many underscores ahead as keep it apart from ``columns``, whatever their case."""
     taken = {c.lower() for c in columns}

@@ -762,3 +762,32 @@ def test_close_doubles_are_told_apart(spark):
 def test_embeddings_of_an_empty_table(spark):
     d = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert nn_descent.NnDescent(d, Scratch(spark, "t"), 0.93).run().count() == 0
+
+
+def test_token_counts_by_section(spark, docs, rows):
+    """Each line's tokens again from the tokenizer's own offsets: most of a token's characters decide, the earlier line on a tie."""
+    tok, want = tokenizer(), collections.Counter()
+    texts = [*rows, (900, "a\n\n  b \nthe end", None, None, 0, None), (901, "\n\n", None, None, 0, None), (902, "x" * 50 + "\n" + "  \n" * 9, None, None, 0, None), (903, "é\n漢字\n🎉x", None, None, 0, None)]
+    for d, t, *_ in texts:
+        t = t or ""
+        starts = [0] + [k + 1 for k, c in enumerate(t) if c == "\n" and k + 1 < len(t)]
+        ends = [*starts[1:], len(t)]
+        n = [0] * len(starts)
+        for a, b in tok.encode(t, add_special_tokens=False).offsets:
+            share = [min(b, e) - max(a, s) for s, e in zip(starts, ends, strict=True)]
+            n[int(np.argmax(share)) if a < b else max(k for k, s in enumerate(starts) if s <= a)] += 1
+        want.update((d, k, s, e - s, m) for k, (s, e, m) in enumerate(zip(starts, ends, n, strict=True)))
+    d = spark.createDataFrame(texts, SCHEMA).withColumn("section", F.lit("clash")).repartition(3)
+    got = collections.Counter(map(tuple, token_counts.token_counts(d, queries.tokenizer_path()).collect()))
+    assert got == want
+
+
+def test_scratch_folders_can_be_cleared(spark):
+    from quillspark.llm.scratch import clear_since
+
+    made = len(Scratch.made)
+    s = Scratch(spark, "t")
+    s.save(spark.range(3), "a")
+    assert s.names("") == ["a"] and s.size("a") > 0
+    clear_since(made)
+    assert s.names("") == []
