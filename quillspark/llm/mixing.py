@@ -16,28 +16,40 @@ PREFIXES = 65536
 def water_fill(sources: DataFrame, share: float, epochs: float) -> DataFrame:
     """Targets for (source, weight, source_size): share * total by weight, no source over epochs * its size.
 
-    A source at its cap passes its excess on by weight until none is above, which has the closed form
-    min(cap, level * weight). With sources ordered by cap / weight, the level is the largest value of
-    (total - caps so far) / (weights from here on) that the next source can take. One row a source, so
-    the two windows over all of them are small. If even all caps fall short, every target is its cap.
+    Sources whose part of the level exceeds their cap are clamped to it, and what they pass on raises
+    the level of the others by weight, until none is above. A round is an aggregate over the sources,
+    however many there are; only two sums come to the driver. If all caps together fall short, every
+    target is its cap.
     """
-    order = W.orderBy("ratio", "source")
-    s = (
-        sources.withColumn("cap", F.col("source_size") * F.lit(float(epochs)))
-        .withColumn("ratio", F.col("cap") / F.col("weight"))
-        .withColumn("total", F.sum("source_size").over(W.partitionBy()) * F.lit(float(share)))
-        .withColumn("before", F.coalesce(F.sum("cap").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("rest", F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing)))
-        .withColumn("level", (F.col("total") - F.col("before")) / F.col("rest"))
-    )
-    level = F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(W.partitionBy())
-    return s.withColumn("at", level).select("source", "weight", "source_size", F.coalesce(F.least("cap", F.col("at") * F.col("weight")), F.col("cap")).alias("target"))
-
-
-def by_code_point(sources: DataFrame, weights: tuple[int, ...]) -> DataFrame:
-    """Adds ``weight``: the given weights in turn over the sources by code point, null last."""
-    i = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    return sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (i % len(weights) + 1).cast("int")))
+    s = sources.withColumn("cap", F.col("source_size") * F.lit(float(epochs)))
+    total = (s.agg(F.sum("source_size")).first()[0] or 0) * float(share)
+    level, clamped = 0.0, -1
+    while True:
+        full = F.col("cap") < F.lit(level) * F.col("weight")
+        row = s.agg(F.sum(F.when(full, F.col("cap"))).alias("caps"), F.sum(F.when(~full, F.col("weight"))).alias("open"), F.count(F.when(full, 1)).alias("clamped")).first()
+        if row["open"] is None or row["clamped"] == clamped:
+            break
+        level, clamped = (total - (row["caps"] or 0.0)) / row["open"], row["clamped"]
+    return s.select("source", "weight", "source_size", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
+
+
+def by_code_point(sources: DataFrame, weights: tuple[int, ...], scratch: Scratch) -> DataFrame:
+    """Adds ``weight``: the given weights in turn over the sources by code point, null last.
+
+    Sources are ordered range by range, and a range's first place is the number of sources ahead of it.
+    """
+    bits = 33  # monotonically_increasing_id: the partition above, the row in it below
+    order = [F.col("source").isNull(), F.col("source")]
+    ranges = sources.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    ranges = scratch.save(ranges, "ranges")
+    part, ahead, firsts = F.shiftright("at", bits), 0, []
+    for r in sorted(ranges.groupBy(part.alias("part")).count().collect()):  # one row a partition
+        firsts.append((r["part"], ahead))
+        ahead += r["count"]
+    firsts = F.broadcast(sources.sparkSession.createDataFrame(firsts, "part long, ahead long"))
+    placed = ranges.withColumn("part", part).join(firsts, "part").withColumn("i", F.col("ahead") + F.col("at").bitwiseAND(F.lit((1 << bits) - 1)))
+    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("i") % len(weights) + 1).cast("int"))
+    return placed.select(*sources.columns, turn.alias("weight"))
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix-1") -> DataFrame:
@@ -65,7 +77,7 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = (5, 2, 1),
     parts = s.groupBy("source", prefix.alias("p")).agg(F.sum("size").alias("n"))
     sources = s.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = (
-        water_fill(by_code_point(sources, weights), share, epochs)
+        water_fill(scratch.save(by_code_point(sources, weights, scratch), "weights"), share, epochs)
         .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
         .withColumn("part", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
     )

@@ -791,3 +791,25 @@ def test_scratch_folders_can_be_cleared(spark):
     assert s.names("") == ["a"] and s.size("a") > 0
     clear_since(made)
     assert s.names("") == []
+
+
+def test_levels_of_many_sources(spark):
+    """Targets of more sources than one partition orders, against the plain rule; caps that all fall short; no sources."""
+    rng = np.random.default_rng(61)
+    names = [None] + sorted({"".join(rng.choice(list("abcäßΩ漢"), 4)) for _ in range(300)}, key=lambda s: s.encode("utf-32-be"))
+    size = {s: int(n) for s, n in zip(names, rng.integers(0, 10_000, len(names)), strict=True)}
+    rows = spark.createDataFrame([(s, n) for s, n in size.items()], "source string, source_size long").repartition(7)
+    for epochs in (2.0, 1.2):
+        weighted = Scratch(spark, "t")
+        s = weighted.save(mixing.by_code_point(rows, (5, 2, 1), weighted), "w")
+        got = {r["source"]: (r["weight"], r["target"]) for r in mixing.water_fill(s, 1.5, epochs).collect()}
+        weight = {s: (5.0, 2.0, 1.0)[k % 3] for k, s in enumerate([*names[1:], None])}
+        want, total = {}, 1.5 * sum(size.values())
+        while len(want) < len(size):
+            level = (total - sum(want.values())) / sum(weight[s] for s in size if s not in want)
+            over = [s for s in size if s not in want and level * weight[s] > epochs * size[s]]
+            want |= {s: epochs * size[s] for s in over} if over else {s: level * weight[s] for s in size if s not in want}
+        assert {s: w for s, (w, _) in got.items()} == weight
+        assert all(got[s][1] == pytest.approx(want[s]) for s in size)
+    none = Scratch(spark, "t")
+    assert mixing.water_fill(mixing.by_code_point(rows.limit(0), (5, 2, 1), none), 1.5, 2.0).count() == 0
