@@ -23,17 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillspark.llm.components import components, contract
-from quillspark.llm.scratch import Scratch, bit_test, bitmap, unused
+from quillspark.llm.scratch import Scratch, bit_test, bitmap, filter_bits, unused
 from quillspark.llm.textarrays import U, chunks, mix, rolling, span_hashes, words
 
-#: log2 of the counters that order shingles by frequency: 4 MB on each worker.
+#: log2 of the counters that order shingles by frequency: 2 MB on each worker.
 SKETCH_BITS = 20
 #: Counts are kept up to this; keys that reach it are taken through a join that Spark can split.
 MOST = 65535
 #: log2 of the suffix filter's bins: about a quarter of the shingles, between these.
 BINS_LEAST, BINS_MOST = 4, 12
-#: log2 of the bits of the filter that picks the documents whose sets are needed: 8 MB.
-FILTER_BITS = 26
 #: After the first star round, while more pairs than this for each posting are unconnected, another one follows.
 PAIRS_PER_ROW = 3
 STAR_ROUNDS, STAR_KEYS = 3, 5
@@ -152,7 +150,7 @@ def _sketch(scan: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(v, MOST).astype("<u2").tobytes() for v in total.values()], pa.binary())], names=["block", "counts"])
 
     blocks = scan.where("block is not null").select("block", "counts").repartition(F.col("block")).mapInArrow(add, "block int, counts binary").collect()
-    out = np.zeros(1 << SKETCH_BITS, dtype=U)
+    out = np.zeros(1 << SKETCH_BITS, dtype=np.uint16)
     for r in blocks:
         out[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(bytes(r["counts"]), "<u2")
     return out
@@ -161,7 +159,7 @@ def _sketch(scan: DataFrame) -> np.ndarray:
 def _keys(g: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     """Keys in global order: capped count above, 48 bits of hash below."""
     h = g & U((1 << 48) - 1)
-    return np.sort((sketch[g & U((1 << SKETCH_BITS) - 1)] << U(48)) | h)
+    return np.sort((sketch[g & U((1 << SKETCH_BITS) - 1)].astype(U) << U(48)) | h)
 
 
 def prefix_length(size: int, percent: int) -> int:
@@ -356,7 +354,8 @@ class NgramJoin:
 
     def _links(self, pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct()
-        wanted = self.spark.sparkContext.broadcast(bitmap(ends, F.xxhash64("d"), FILTER_BITS))
+        bits = filter_bits(2 * pairs.count())  # it picks the documents whose sets are read; the joins are exact
+        wanted = self.spark.sparkContext.broadcast(bitmap(ends, F.xxhash64("d"), bits))
         sets = _sets(self.docs, self.n, wanted)
         left = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("xa"))
         right = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("xb"))

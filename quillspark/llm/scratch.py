@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 #: Bytes of an Arrow batch between Spark and a Python worker, where the session has Spark's default of 64 MB.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -115,6 +115,15 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+#: log2 of the bits of a filter, at least and at most (32 MB), and bits for each key.
+FILTER_BITS, KEY_BITS = (16, 28), 16
+
+
+def filter_bits(count: int) -> int:
+    """log2 of the bits of a filter for so many keys."""
+    return min(max(int(count * KEY_BITS).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+
+
 def bitmap(df: DataFrame, key: Column, log2_bits: int) -> np.ndarray:
     """Bit set over the low ``log2_bits`` bits of ``key`` (a well-mixed long), as uint64 words.
 

@@ -20,11 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.scratch import Scratch, bit_test, bitmap
+from quillspark.llm.scratch import Scratch, bit_test, bitmap, filter_bits
 from quillspark.llm.textarrays import BYTE_ITEMS, NONSPACE, U, anchors, chunks, mix, prefix_sums, range_hashes, span_hashes, words
 
-#: log2 of the bits of a filter of keys, at least and at most (32 MB), and bits for each key.
-FILTER_BITS, KEY_BITS = (16, 28), 16
 #: A key with so many different contents, a content counted once for each task's share, is compared window by window.
 HOT = 1000
 #: Payload that a task gathers before it combines equal segments and sends them on.
@@ -370,11 +368,6 @@ def compare(rows: DataFrame, block_bytes: int, judge: Judge) -> DataFrame:
     return rows.mapInArrow(run, "rk long, s int, e int")
 
 
-def filter_bits(count: int) -> int:
-    """log2 of the bits of a filter for so many keys."""
-    return min(max(int(count * KEY_BITS).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
-
-
 def repeated(docs: DataFrame, kind: Kind, repeats: DataFrame, block_bytes: int, judge: Judge, scratch: Scratch) -> DataFrame:
     """(rk, spans) of the documents with repeated windows; ``repeats`` has the keys (fp, n, m) that occur twice."""
     spark = docs.sparkSession
