@@ -175,6 +175,13 @@ def _highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_highlight(documents(spark, sf_dir), "anon onan", stemmed=False).select("id", F.col("matches").cast("long").alias("matches"))
 
 
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every body with its highlighted segments in brackets."""
+    rows = with_highlight(documents(spark, sf_dir), "anon onan", stemmed=False)
+    text = F.transform("highlight", lambda s: F.when(s["hl"], F.concat(F.lit("["), s["text"], F.lit("]"))).otherwise(s["text"]))
+    return rows.select("id", F.array_join(text, "").alias("marked"))
+
+
 def _indexed(f):
     return lambda spark, sf_dir: f(index(spark, sf_dir))
 
@@ -209,6 +216,7 @@ _QUERIES = {
     "suggest_sharded": _suggest_sharded,
     "snippet": _snippets,
     "highlight": _highlight,
+    "highlight_marked": _marked,
     "list_docs_id": _listing(),
     "list_docs_title_desc": _listing(sort="title", desc=True, size=20),
     "list_docs_size": _listing(sort="size", size=30),
@@ -278,6 +286,17 @@ def oracle_sql() -> dict[str, str]:
         "complete_prefix": f"{t} SELECT word AS term FROM (SELECT word FROM vocab WHERE starts_with(word, 'an') ORDER BY df DESC, word LIMIT 50)",
         "suggest": f"{t} SELECT word, df AS count FROM vocab WHERE starts_with(word, 'th') ORDER BY df DESC, word LIMIT 10",
         "suggest_sharded": f"{t} SELECT word, sum(df)::BIGINT AS count FROM (SELECT id::BIGINT % 3 AS shard, term AS word, count(DISTINCT id) AS df FROM tok WHERE starts_with(term, 'th') GROUP BY id::BIGINT % 3, term QUALIFY row_number() OVER (PARTITION BY shard ORDER BY df DESC, word) <= 10) GROUP BY word ORDER BY count DESC, word LIMIT 10",
+        "digest": f"WITH RECURSIVE {o.OPS} SELECT count(*) AS count, coalesce(sum(('0x' || substr(md5(id || chr(0) || version || chr(0) || dead), 1, 15))::BIGINT), 0)::HUGEINT::VARCHAR AS hash FROM final WHERE live OR dead",
+        "snippet": f"""WITH {o.scored("('anon', 1.0), ('onan', 1.0)")},
+top AS (SELECT base.id, body FROM base JOIN docs ON docs.id = base.id ORDER BY s DESC, base.id LIMIT 10), {o.located('top', ['anon', 'onan'])},
+n AS (SELECT id, body, count(*) AS n, coalesce(min(CASE WHEN hit THEN k END), 1) - 1 AS first FROM loc GROUP BY id, body),
+b AS (SELECT *, least(greatest(first - 15, 0) + 30, n) AS stop, greatest(least(greatest(first - 15, 0) + 30, n) - 30, 0) AS start FROM n)
+SELECT top.id, CASE WHEN b.id IS NULL THEN '' ELSE substr(top.body, x.s + 1, y.e - x.s) END AS snippet FROM top LEFT JOIN b ON b.id = top.id
+LEFT JOIN loc x ON x.id = b.id AND x.k = b.start + 1 LEFT JOIN loc y ON y.id = b.id AND y.k = b.stop""",
+        "highlight_marked": f"""WITH {o.DOCS}, {o.located('docs', ['anon', 'onan'])},
+part AS (SELECT id, body, k, e, substr(body, lag(e, 1, 0::BIGINT) OVER (PARTITION BY id ORDER BY k) + 1, s - lag(e, 1, 0::BIGINT) OVER (PARTITION BY id ORDER BY k)) || CASE WHEN hit THEN '[' || substr(body, s + 1, e - s) || ']' ELSE substr(body, s + 1, e - s) END AS t FROM loc),
+all_parts AS (SELECT id, string_agg(t, '' ORDER BY k) || substr(any_value(body), max(e) + 1) AS t FROM part GROUP BY id)
+SELECT docs.id, coalesce(t, body) AS marked FROM docs LEFT JOIN all_parts ON all_parts.id = docs.id""",
         "highlight": f"WITH {o.DOCS} SELECT id, len(list_filter({o.words('body')}, lambda x: x IN ('anon', 'onan')))::BIGINT AS matches FROM docs",
         "list_docs_id": f"{info} ORDER BY id LIMIT 51",
         "list_docs_title_desc": f"{info} ORDER BY lower(title) DESC, id DESC LIMIT 21",

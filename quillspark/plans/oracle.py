@@ -76,6 +76,18 @@ def ranked(where: str = "true", bonus: bool = False, limit: int = 10, offset: in
     return f" SELECT id, round({total}, 6) AS score FROM base {join} WHERE {where} ORDER BY {total} DESC, id LIMIT {limit} OFFSET {offset}"
 
 
+def located(source: str, terms: list[str]) -> str:
+    """CTEs ``loc`` (id, body, k, s, e, sep, w, hit) of the words of ``source`` (id, body): their order, places, what stands before them."""
+    w = r"[\p{L}\p{M}\p{N}_\x{E000}\x{E001}]"
+    wanted = ", ".join(f"'{t}'" for t in terms)
+    return rf"""
+piece AS (SELECT id, body, unnest(p) AS piece, generate_subscripts(p, 1) AS k FROM (SELECT id, body, regexp_extract_all({_marked('body')}, '[^\p{{L}}\p{{M}}\p{{N}}_\x{{E000}}\x{{E001}}]*{w}+') AS p FROM {source})),
+token AS (SELECT id, body, k, regexp_extract(piece, '{w}+$') AS w, (sum(length(piece)) OVER (PARTITION BY id ORDER BY k))::BIGINT AS e FROM piece),
+loc AS (
+  SELECT id, body, row_number() OVER (PARTITION BY id ORDER BY k) AS k, e - length(w) AS s, e, coalesce(replace(lower(w), 'ё', 'е') IN ({wanted}), false) AS hit
+  FROM token WHERE regexp_matches(w, '[\p{{L}}\p{{N}}]'))"""
+
+
 def phrase(terms: list[str]) -> str:
     joins = " ".join(f"JOIN tok t{k} ON t{k}.id = t0.id AND t{k}.pos = t0.pos + {k} AND t{k}.term = '{t}'" for k, t in enumerate(terms[1:], 1))
     return f"id IN (SELECT t0.id FROM tok t0 {joins} WHERE t0.term = '{terms[0]}')"

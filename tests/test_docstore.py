@@ -170,3 +170,29 @@ def test_stems_of_the_vocabulary(spark):
     from quillspark.plans import catalog
 
     assert all(r["stem"] == stem(r["word"]) for r in catalog.queries()["stem_vocabulary"](spark, SF).collect())
+
+
+def test_shards_of_ids(spark):
+    """The published jump hash in its scalar form, over the same keys."""
+    import xxhash
+
+    def jump(key, buckets):
+        b, j = -1, 0
+        while j < buckets:
+            b = j
+            key = (key * 2862933555777941757 + 1) % 2**64
+            j = int((b + 1) * ((1 << 31) / ((key >> 33) + 1)))
+        return b
+
+    ids = [f"doc-{k}" for k in range(300)] + ["", "é", "漢字"]
+    d = spark.createDataFrame([(i,) for i in ids], "id string")
+    for n in (1, 2, 7, 100):
+        got = {r["id"]: r["s"] for r in d.select("id", store.shard_for(n)(F.col("id")).alias("s")).collect()}
+        assert got == {i: jump(xxhash.xxh3_64_intdigest(i.encode()), n) for i in ids}
+
+
+def test_rebalance_plan_batches(spark):
+    moves = spark.createDataFrame([(f"{k:04d}", 0, k % 2) for k in range(450)], "id string, source int, target int")
+    got = {(r["target"], r["batch"]): r["ids"] for r in store.rebalance_plan(moves, 200).collect()}
+    assert {k: len(v) for k, v in got.items()} == {(0, 0): 200, (0, 1): 25, (1, 0): 200, (1, 1): 25}
+    assert got[0, 0] + got[0, 1] == [f"{k:04d}" for k in range(0, 450, 2)]
