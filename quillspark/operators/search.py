@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillspark.operators.highlight import snippet_udf
 from quillspark.operators.index import Index
 from quillspark.operators.suggest import complete, expand
-from quillspark.plans.query import Query, check_window, last_prefix, parse_query, synonyms
+from quillspark.plans.query import VARIANT_WEIGHT, Query, check_window, last_prefix, parse_query, synonyms
 
 K1, B, PROXIMITY = 1.2, 0.75, 1.0
 HIT = "id string, title string, score double"
@@ -167,18 +167,44 @@ def search(index: Index, q: str, offset: int = 0, size: int | None = None, k: in
     return Response(int((time.monotonic() - began) * 1000), total, offset, size, joined.select(columns).orderBy(F.desc("score"), "id"), terms)
 
 
-def bulk_search(index: Index, queries: DataFrame, top: int) -> DataFrame:
-    """(query_id, id, score, place) of the best documents for many queries (query_id, terms), any term.
+def bulk_search(index: Index, queries: DataFrame, top: int, all_terms: bool = False) -> DataFrame:
+    """(query_id, id, score, place) of the best documents for many queries at once.
 
-    Terms join the postings on the term, which Spark can split for frequent ones; document
-    frequencies ride on the query side.
+    ``queries``: query_id, terms (array), and if wanted variants (array of (term, variant)) and phrases
+    (array of arrays of terms, which all must occur). Terms join the postings on the term, which Spark
+    can split for frequent ones; document frequencies ride on the query side. With ``all_terms`` each
+    term or one of its variants must occur. No proximity bonus.
     """
     from pyspark.sql import Window as W
 
-    q = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    q = q.join(index.terms, "term")
+    have = set(queries.columns)
+    terms = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("asked"))
+    q = terms.select("query_id", "asked", F.col("asked").alias("term"), F.lit(1.0).alias("w"))
+    if "variants" in have:
+        extra = queries.select("query_id", "terms", F.explode("variants").alias("v")).where(F.array_contains("terms", F.col("v.term")) & ~F.array_contains("terms", F.col("v.variant")))
+        q = q.union(extra.select("query_id", "v.term", "v.variant", F.lit(VARIANT_WEIGHT)).distinct())
+    # a variant of two terms counts once in the score and for both in the match
+    q = q.groupBy("query_id", "term").agg(F.max("w").alias("w"), F.collect_set("asked").alias("asked")).join(index.terms, "term")
     hit = index.postings.select("term", "id", "tf", "len").join(q, "term")
-    score = term_score(idf(F.lit(index.n), F.col("df")), F.col("tf").cast("double"), F.col("len"), F.lit(index.avgdl))
-    found = hit.groupBy("query_id", "id").agg(F.sum(score).alias("score"))
+    score = F.col("w") * term_score(idf(F.lit(index.n), F.col("df")), F.col("tf").cast("double"), F.col("len"), F.lit(index.avgdl))
+    found = hit.groupBy("query_id", "id").agg(F.sum(score).alias("score"), F.size(F.array_distinct(F.flatten(F.collect_set("asked")))).alias("met"))
+    if all_terms:
+        found = found.join(terms.groupBy("query_id").agg(F.count("*").alias("n")), "query_id").where(F.col("met") == F.col("n"))
+    if "phrases" in have:
+        found = _with_phrases(index, queries, found)
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "id"))
-    return found.withColumn("place", place).where(F.col("place") <= top)
+    return found.select("query_id", "id", "score").withColumn("place", place).where(F.col("place") <= top)
+
+
+def _with_phrases(index: Index, queries: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``found`` whose document has all of the query's phrases."""
+    p = queries.select("query_id", F.posexplode("phrases").alias("phrase", "words")).where(F.size("words") > 0)
+    needed = p.groupBy("query_id").agg(F.count("*").alias("needed"))
+    words = p.select("query_id", "phrase", F.size("words").alias("n"), F.posexplode("words").alias("nth", "term"))
+    at = index.postings.select("term", "id", "positions").join(words, "term")
+    at = at.join(found.select("query_id", "id"), ["query_id", "id"], "left_semi")
+    starts = at.select("query_id", "id", "phrase", "n", "nth", F.explode("positions").alias("pos"))
+    whole = starts.groupBy("query_id", "id", "phrase", "n", (F.col("pos") - F.col("nth")).alias("start")).agg(F.count("*").alias("c")).where("c = n")
+    met = whole.select("query_id", "id", "phrase").distinct().groupBy("query_id", "id").agg(F.count("*").alias("has"))
+    rows = found.join(needed, "query_id", "left").join(met, ["query_id", "id"], "left")
+    return rows.where(F.coalesce("needed", F.lit(0)) == F.coalesce("has", F.lit(0)))

@@ -250,6 +250,20 @@ def _phrases(query: str):
     return run
 
 
+def _bulk(all_terms: bool, phrases: bool):
+    """Every benchmark item as a query: all of its words, or any of them with its first three in a row."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from quillspark.plans.catalog import index
+
+        q = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), words(F.col("text")).alias("terms"))
+        if phrases:
+            q = q.withColumn("phrases", F.array(F.slice("terms", 1, 3)))
+        return se.bulk_search(index(spark, sf_dir), q, 5, all_terms).select("query_id", "id", F.round("score", 6).alias("score"))
+
+    return run
+
+
 def _stem_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stems of the whole vocabulary through the column function, against one call for each word."""
     from quillspark.functions.analysis import stem_all
@@ -284,6 +298,8 @@ QUERIES = {
     "search_response": _response,
     "search_phrase_found": _phrases('"eriner thanea"'),
     "search_phrases_found": _phrases('attion "thanedble anea eriner" "attion thanedble"'),
+    "bulk_all_words": _bulk(True, False),
+    "bulk_phrases": _bulk(False, True),
     "stem_vocabulary": _stem_vocabulary,
 }
 
@@ -334,7 +350,17 @@ def oracle_sql(replica_diff: str) -> dict[str, str]:
     formatted = f"WITH {o.DOCS}, f AS (SELECT id, title, len({o.all_words('body')})::BIGINT AS words, coalesce(lang, 'txt') AS format, size, size * 3 AS created, size + 1 AS updated, false AS file FROM docs JOIN {lang} USING (id))"
     kept = o.TOKENS.replace("FROM line)", "FROM line WHERE id NOT IN (SELECT doc_id::VARCHAR FROM documents WHERE lang = 'de'))")
     trim = o._TRIM
+    bulk = f"""WITH {o.TOKENS},
+item AS (SELECT item_id AS query_id, {o.words('text')} AS t FROM benchmark),
+q AS (SELECT DISTINCT query_id, unnest(t) AS term FROM item),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+hit AS (SELECT query_id, p.id, count(*) AS met, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l.len / avgdl))) AS s
+  FROM post p JOIN q USING (term) JOIN dfs USING (term) JOIN lens l ON l.id = p.id CROSS JOIN stat GROUP BY query_id, p.id)"""
+    best = "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, id) <= 5"
     return {
+        "bulk_all_words": f"{bulk} SELECT query_id, id, round(s, 6) AS score FROM hit WHERE met = (SELECT count(*) FROM q WHERE q.query_id = hit.query_id) {best}",
+        "bulk_phrases": f"""{bulk}, seen AS (SELECT DISTINCT query_id, a.id FROM item JOIN tok a ON a.term = t[1] JOIN tok b ON b.id = a.id AND b.pos = a.pos + 1 AND b.term = t[2] JOIN tok c ON c.id = a.id AND c.pos = a.pos + 2 AND c.term = t[3])
+SELECT query_id, id, round(s, 6) AS score FROM hit JOIN seen USING (query_id, id) {best}""",
         "store_results": f"""WITH RECURSIVE {_results_sql()}
 SELECT seq AS n, id, op, CASE op
   WHEN 'add' THEN CASE WHEN act IS NULL THEN 'skipped' ELSE 'indexed' END
