@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 
 from quillspark.llm.components import components, contract
 from quillspark.llm.scratch import Scratch, bit_test, bitmap, filter_bits, unused
-from quillspark.llm.textarrays import U, chunks, mix, rolling, span_hashes, words
+from quillspark.llm.textarrays import U, chunks, mix, rolling, span_hashes, tidy, words
 
 #: log2 of the counters that order shingles by frequency: 2 MB on each worker.
 SKETCH_BITS = 20
@@ -79,6 +79,7 @@ _SCAN = "doc_id long, n int, d long, d2 long, bins binary, block int, counts bin
 def _scan(docs: DataFrame, n: int) -> DataFrame:
     """Rows of documents (id, n, d, d2: digests of the set, bins) and, from each task, blocks of counters."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, held, size = np.zeros(1 << SKETCH_BITS, dtype=np.int64), [], 0
 
@@ -140,6 +141,7 @@ def _names(schema: str) -> list[str]:
 def _sketch(scan: DataFrame) -> np.ndarray:
     """Summed counters, capped at MOST: 2**SKETCH_BITS numbers whatever the input."""
 
+    @tidy
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -169,6 +171,7 @@ def prefix_length(size: int, percent: int) -> int:
 def _postings(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
     """(key, d, n, pos) of the prefix of each class, once for each task that holds the class."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = sketch.value, set()
         for batch in batches:
@@ -193,6 +196,7 @@ def _postings(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
 def _sets(docs: DataFrame, n: int, wanted) -> DataFrame:
     """(doc_id, set: sorted hashes) of the documents that may be wanted."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = bit_test(wanted.value, batch.column(2).to_numpy().view(U))
@@ -207,6 +211,7 @@ def _sets(docs: DataFrame, n: int, wanted) -> DataFrame:
 def _suffix_filter(pairs: DataFrame, percent: int) -> DataFrame:
     """(a, b, near) of pairs with (a, b, na, nb, xa, xb): may the pair link, as far as its histograms tell."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = (batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()).tolist()
@@ -221,6 +226,7 @@ def _suffix_filter(pairs: DataFrame, percent: int) -> DataFrame:
 def _verify(pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets reach the threshold, by the exact intersection."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, dtype=bool)

@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 
 from quillspark.llm.components import _stars, contract, members
 from quillspark.llm.scratch import Scratch
+from quillspark.llm.textarrays import tidy
 
 K = 10
 TREES = 6
@@ -80,6 +81,7 @@ def valid_vectors(vectors: DataFrame, vec_id: str, embedding: str, label: str) -
     kind = element_kind(vectors, embedding)
     names = ["id", "label", "dim", "vec", "sketch"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2)
@@ -143,6 +145,7 @@ class NnDescent:
     def _cells(self, nodes: DataFrame, seed: int) -> DataFrame:
         kind = self.kind
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 dims, size = batch.column(2).to_numpy(), batch.column(5).to_numpy()
@@ -189,6 +192,7 @@ class NnDescent:
 
         kind = self.kind
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 size = np.diff(_bytes(batch.column(4))[1])
@@ -251,6 +255,7 @@ class NnDescent:
         rows = queries.select("id", "label", "dim", "vec").collect()
         shared = nodes.sparkSession.sparkContext.broadcast([(r["id"], r["label"], r["dim"], bytes(r["vec"])) for r in rows])
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = {}
             for i, g, d, v in shared.value:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.textarrays import chunks, span_hashes, words
+from quillspark.llm.textarrays import chunks, span_hashes, tidy, words
 
 #: Trigrams and words that are told apart.
 SHAPES, TERMS = 2048, 2048
@@ -63,6 +63,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
     """In how many of all documents each trigram and word occurs, and their number: DIM counts from each task."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(DIM, dtype=np.int64), 0
         for batch in batches:
@@ -100,6 +101,7 @@ class QualityModel:
         df, n = document_frequencies(docs)
         idf = np.log1p(n / np.maximum(df, 1)).astype(np.float32)
 
+        @tidy
         def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for a, b, buf, off in chunks(batch.column(1)):
@@ -145,6 +147,7 @@ def score_quality(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id",
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, buf, off in chunks(batch.column(1)):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.scratch import Scratch, bit_test, bitmap, filter_bits
-from quillspark.llm.textarrays import BYTE_ITEMS, NONSPACE, U, anchors, chunks, mix, prefix_sums, range_hashes, span_hashes, words
+from quillspark.llm.textarrays import BYTE_ITEMS, NONSPACE, U, anchors, chunks, mix, prefix_sums, range_hashes, span_hashes, tidy, words
 
 #: A key with so many different contents, a content counted once for each task's share, is compared window by window.
 HOT = 1000
@@ -109,6 +109,7 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def keys(docs: DataFrame, kind: Kind) -> DataFrame:
     """(fp, n, m): how many segments of each key a task's documents have, and how many different ones."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -252,6 +253,7 @@ def emit(docs: DataFrame, kind: Kind, wanted, hot) -> DataFrame:
     do not meet in one task. Hot is what a filter says of the key, hence the same in every task.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Combiner()
         for batch in batches:
@@ -340,6 +342,7 @@ def compare(rows: DataFrame, block_bytes: int, judge: Judge) -> DataFrame:
     ``judge(key, n, payloads)`` flags the windows, of different contents with equal keys, that occur twice.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0

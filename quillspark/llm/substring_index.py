@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import segments
 from quillspark.llm.scratch import Scratch
-from quillspark.llm.textarrays import rolling, string_buffers, words
+from quillspark.llm.textarrays import rolling, string_buffers, tidy, words
 
 KIND = segments.Kind("word", 35, 8)
 #: Runs that may be live at a time.
@@ -176,6 +176,7 @@ def dedup(docs: DataFrame, scratch: Scratch, batches: int = 4, kind: segments.Ki
     index.close()
     spans = segments.repeated(rows, kind, hits, BLOCK_BYTES, lambda key, n, payload: _judge(key, n, payload, kind.length), scratch)
 
+    @tidy
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             texts, found = batch.column(1), batch.column(2)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import segments
 from quillspark.llm.scratch import Scratch
-from quillspark.llm.textarrays import U, string_buffers
+from quillspark.llm.textarrays import U, string_buffers, tidy
 
 KIND = segments.Kind("byte", 200, 32)
 BLOCK_BYTES = 1 << 20
@@ -186,6 +186,7 @@ def dedup(docs: DataFrame, scratch: Scratch, kind: segments.Kind = KIND, doc_id:
     shards = lambda key, n, payload: judge(key, key, n, payload, np.ones(n.size, np.int64), kind.length)
     spans = segments.repeated(rows, kind, counts, BLOCK_BYTES, shards, scratch)
 
+    @tidy
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             found = batch.column(2)

@@ -6,8 +6,10 @@ start of each document in it, plus the end of the last.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,29 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_ITEMS = mix(np.arange(1, 257, dtype=U))
 
 
+def _trim() -> None:
+    """Gives memory that the process no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same task function, whose worker keeps no memory of it.
+
+    Spark holds on to idle workers, and several of them share an executor's memory with what comes next.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        _trim()
+
+    return wrapped
+
+
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and int64 offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

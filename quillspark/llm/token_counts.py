@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.textarrays import chunks
+from quillspark.llm.textarrays import chunks, tidy
 from quillspark.llm.token_units import encoder
 
 
@@ -59,6 +59,7 @@ def token_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     a doc_id each give their own sections. Other columns are not read. No row leaves its partition.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, True)
         for batch in batches:
@@ -73,5 +74,6 @@ def token_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
                 stop = np.append(starts[1:], 0)
                 stop[first[1:] - 1] = length
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a).take(pa.array(owner)), "section": pa.array((np.arange(starts.size) - first[owner]).astype(np.int32)), "first_char": pa.array(starts.astype(np.int64)), "n_chars": pa.array((stop - starts).astype(np.int64)), "n_tokens": pa.array(n.astype(np.int64))})
+        enc.clear()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, section int, first_char long, n_chars long, n_tokens long")

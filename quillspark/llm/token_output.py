@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.scratch import Scratch
-from quillspark.llm.textarrays import chunks
+from quillspark.llm.textarrays import chunks, tidy
 from quillspark.llm.token_units import encoder
 
 MAGIC = b"QPFOR2\0\0"
@@ -173,6 +173,7 @@ def write_files(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int,
     doc_id each stay, in order of their text; other columns are not read. An empty table gives none.
     """
 
+    @tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         names, counts, pieces, held, before, seq = [], [], [], 0, 0, 0
@@ -198,6 +199,7 @@ def write_files(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int,
                     yield close()
         if names:
             yield close()
+        enc.clear()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col(doc_id).cast("long").alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t")).repartitionByRange(n, "d").sortWithinPartitions("d", "t")
@@ -218,6 +220,7 @@ def read_tokens(spark: SparkSession, folder: str | None) -> DataFrame:
     if folder is None:
         return spark.createDataFrame([], SEGMENT)
 
+    @tidy
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
@@ -245,6 +248,7 @@ def _digest(image: bytes) -> pa.RecordBatch:
 def token_digests(segments: DataFrame) -> DataFrame:
     """Per document doc_id, start, n_tokens and the crc32 of its ids as little-endian uint32, from segments."""
 
+    @tidy
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for image in batch.column(0):
@@ -258,6 +262,7 @@ def file_digests(spark: SparkSession, folder: str | None) -> DataFrame:
     if folder is None:
         return token_digests(read_tokens(spark, None))
 
+    @tidy
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):

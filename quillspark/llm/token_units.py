@@ -64,6 +64,10 @@ class UnitEncoder:
         pre = parts.get("pre_tokenizer") or {}
         return not parts.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
 
+    def clear(self) -> None:
+        """Frees the cache, which a worker would else hold on to for whatever it is used for next."""
+        self._clear()
+
     def _clear(self) -> None:
         self.keys, self.slot = np.zeros(TABLE, dtype=np.uint64), np.full(TABLE, -1, dtype=np.int32)  # open addressing
         self.size, self.text_at = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
@@ -218,7 +222,7 @@ _encoders: dict[tuple[str, bool], UnitEncoder] = {}
 
 
 def encoder(path: str, offsets: bool = False) -> UnitEncoder:
-    """This process's encoder for a tokenizer file; its cache lasts as long as the worker."""
+    """This process's encoder for a tokenizer file; a task clears its cache at the end."""
     if (path, offsets) not in _encoders:
         _encoders[path, offsets] = UnitEncoder(path, offsets)
     return _encoders[path, offsets]

@@ -20,7 +20,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillspark.llm.quality import sample_rows
 from quillspark.llm.scratch import unused
-from quillspark.llm.textarrays import chunks, mix, span_hashes
+from quillspark.llm.textarrays import chunks, mix, span_hashes, tidy
 
 LOG2_DIM = 18
 #: Labelled rows that are fitted at most, the first by a hash of doc_id.
@@ -193,6 +193,7 @@ class ToxicityModel:
     def fit(cls, docs: DataFrame, labels: DataFrame, label: str, allowed: Column, limit: int = SAMPLE) -> ToxicityModel:
         packed = lambda f: f.astype("<u4").tobytes()
 
+        @tidy
         def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for a, b, buf, off in chunks(batch.column(1)):
@@ -293,6 +294,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, columns: list[str] | N
     at = columns.index(keep_text) if keep_text in columns else len(columns)
     schema = StructType([*kept.schema.fields, StructField(score, DoubleType())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [shared.value.score(buf, off) for _, _, buf, off in chunks(batch.column(at))]

@@ -623,7 +623,7 @@ def test_scores_of_odd_rows(spark, tmp_path, name):
 
 def test_swapped_texts_and_their_features():
     raw = "The MUSLIM man; a muslimah, gay-straight women and 1man".encode()
-    assert toxicity.swapped_text(raw) == b"The jewish woman; a muslimah, straight-bisexual men and 1man"
+    assert toxicity.swapped_text(raw) == b"The jewish woman; a muslimah, lesbian-bisexual men and 1man"
     features = lambda t: toxicity.word_features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[1]
     own, new = features(raw), features(toxicity.swapped_text(raw))
     gained, lost = toxicity.swap_features(raw, own)
