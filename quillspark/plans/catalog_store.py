@@ -264,6 +264,44 @@ def _bulk(all_terms: bool, phrases: bool):
     return run
 
 
+#: Documents with synonyms, beside those of the table.
+_BAKERY = [(900001, "Bread and butter"), (900002, "Shop\na loaf with some butter, butter"), (900003, "bread"), (900004, "Loaf loaf\nbutter far away from any other bread")]
+
+
+def _synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both words of a query or their synonyms, as its plan finds them, with the proximity bonus."""
+    more = corpus.from_table(spark.createDataFrame(_BAKERY, "doc_id long, text string"), "doc_id", "text")
+    i = ix.build_index(documents(spark, sf_dir).unionByName(more), False)
+    found = se.matches(i, se.plan(i, "bread butter"), True, True)
+    return se.page(found, 0, 10).select("id", F.round("score", 6).alias("score"))
+
+
+def _docx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a docx file with a paragraph a line, and what is extracted from it."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat("doc_id", F.lit(".docx")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    # a process for each file: a single small table must not be a single task
+    files = rows.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_docx_files, "path string, content binary")
+    return corpus.extract_files(files).select("path", "title", "body", "error")
+
+
+def _docx_files(parts):
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    import pandas as pd
+
+    def packed(text: str) -> bytes:
+        paragraphs = "".join(f"<w:p><w:r><w:t>{escape(line, {chr(13): '&#13;'})}</w:t></w:r></w:p>" for line in text.split("\n"))
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("word/document.xml", f'<w:document xmlns:w="urn:w"><w:body>{paragraphs}</w:body></w:document>')
+        return raw.getvalue()
+
+    for p in parts:
+        yield pd.DataFrame({"path": p["path"], "content": [packed(t) for t in p["text"]]})
+
+
 def _stem_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stems of the whole vocabulary through the column function, against one call for each word."""
     from quillspark.functions.analysis import stem_all
@@ -300,6 +338,8 @@ QUERIES = {
     "search_phrases_found": _phrases('attion "thanedble anea eriner" "attion thanedble"'),
     "bulk_all_words": _bulk(True, False),
     "bulk_phrases": _bulk(False, True),
+    "search_synonyms": _synonyms,
+    "extract_docx": _docx,
     "stem_vocabulary": _stem_vocabulary,
 }
 
@@ -356,8 +396,12 @@ q AS (SELECT DISTINCT query_id, unnest(t) AS term FROM item),
 dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 hit AS (SELECT query_id, p.id, count(*) AS met, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l.len / avgdl))) AS s
   FROM post p JOIN q USING (term) JOIN dfs USING (term) JOIN lens l ON l.id = p.id CROSS JOIN stat GROUP BY query_id, p.id)"""
+    bakery = ", ".join(f"({k}, '{t.replace(chr(10), "' || chr(10) || '")}')" for k, t in _BAKERY)
+    with_bakery = o.scored("('bread', 1.0), ('butter', 1.0), ('loaf', 0.5)").replace("FROM documents)", f"FROM (SELECT doc_id, text FROM documents UNION ALL VALUES {bakery}))")
     best = "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, id) <= 5"
     return {
+        "search_synonyms": f"WITH {with_bakery} {o.near("('bread', 0), ('loaf', 0), ('butter', 1)")} {o.ranked("list_has_any(matched, ['bread', 'loaf']) AND list_contains(matched, 'butter')", True)}",
+        "extract_docx": f"""WITH {o.DOCS} SELECT id || '.docx' AS path, CASE WHEN title <> '' OR body <> '' THEN title END AS title, CASE WHEN title <> '' OR body <> '' THEN body END AS body, CASE WHEN title = '' AND body = '' THEN 'the file is empty' END AS error FROM docs""",
         "bulk_all_words": f"{bulk} SELECT query_id, id, round(s, 6) AS score FROM hit WHERE met = (SELECT count(*) FROM q WHERE q.query_id = hit.query_id) {best}",
         "bulk_phrases": f"""{bulk}, seen AS (SELECT DISTINCT query_id, a.id FROM item JOIN tok a ON a.term = t[1] JOIN tok b ON b.id = a.id AND b.pos = a.pos + 1 AND b.term = t[2] JOIN tok c ON c.id = a.id AND c.pos = a.pos + 2 AND c.term = t[3])
 SELECT query_id, id, round(s, 6) AS score FROM hit JOIN seen USING (query_id, id) {best}""",

@@ -196,3 +196,16 @@ def test_rebalance_plan_batches(spark):
     got = {(r["target"], r["batch"]): r["ids"] for r in store.rebalance_plan(moves, 200).collect()}
     assert {k: len(v) for k, v in got.items()} == {(0, 0): 200, (0, 1): 25, (1, 0): 200, (1, 1): 25}
     assert got[0, 0] + got[0, 1] == [f"{k:04d}" for k in range(0, 450, 2)]
+
+
+def test_an_index_without_lengths_finds_nothing(spark):
+    from quillspark.operators import search
+
+    for texts in ([], [(1, "the of and"), (2, "")]):
+        d = corpus.from_table(spark.createDataFrame(texts, "i long, t string"), "i", "t")
+        i = index.build_index(d)
+        assert i.avgdl == 0 and search.search(i, "the alpha").total == 0 and search.search(i, "alpha", fuzzy=True).hits.count() == 0
+
+
+def test_stamps_only_grow():
+    assert store.stamp(5, 100) == 100 and store.stamp(100, 100) == 101 and store.stamp(500, 100) == 501 and store.stamp(0) > 10**12
