@@ -30,13 +30,13 @@ def unicode_words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD_PATTERN), F.lit(0))
 
 
-def normalize(word: Column) -> Column:
-    return F.translate(F.lower(word), "ё", "е")
+def normalize(text: Column) -> Column:
+    return F.replace(F.lower(text), F.lit("ё"), F.lit("е"))
 
 
 def words(text: Column) -> Column:
-    """Normalised words in order, without stop words."""
-    return F.filter(F.transform(unicode_words(text), normalize), lambda w: ~w.isin(*sorted(STOP_WORDS)))
+    """Normalised words in order, without stop words. A text is normalised as a whole, which leaves its word bounds where they are."""
+    return F.filter(unicode_words(normalize(text)), lambda w: ~w.isin(*sorted(STOP_WORDS)))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

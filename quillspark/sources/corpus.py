@@ -13,12 +13,10 @@ from quillspark.sources import files
 from quillspark.sources.extraction import MAX_TITLE, WHITE, clean_pdf_text, docx_text, extract, extract_limited, split_name  # noqa: F401
 
 DOC_SCHEMA = "id string, title string, body string, format string, size long, created long, updated long, file boolean"
-_SPACE = f"[{WHITE}]"  # the same as in extracted files
-_EDGE = rf"^{_SPACE}+|{_SPACE}+\z"
 
 
 def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGE, "")
+    return F.btrim(c, F.lit(WHITE))  # the same white space as in extracted files
 
 
 def split_title(text: Column, fallback: Column) -> tuple[Column, Column]:
