@@ -83,7 +83,13 @@ def contract(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         # smaller neighbours and the node itself go to the smallest
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(low.select("a", F.col("m").alias("b"))).distinct()
+        small = (
+            large.join(low, "a")
+            .select(F.col("b").alias("a"), F.col("m").alias("b"))
+            .where("a != b")
+            .union(low.select("a", F.col("m").alias("b")))
+            .distinct()
+        )
         e = scratch.save(small, f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}")
         state = tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
@@ -102,4 +108,6 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 def members(e: DataFrame) -> DataFrame:
     """(node, component) for every node of the stars that :func:`contract` gives."""
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
+        e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    )

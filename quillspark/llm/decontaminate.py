@@ -117,7 +117,10 @@ def windows(form: int, step: int, n: int = WINDOW, run: int = RUN) -> Column:
     """(form, run, at, h) of the n-word windows of a form that start at every step-th word, if there are ``run`` words."""
     words = F.col(f"w{form}")
     starts = F.when(count_of(words) >= run, F.sequence(F.lit(0), F.size(words) - 2 - n, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(F.lit(form).alias("form"), F.lit(run).alias("run"), i.alias("at"), F.xxhash64(F.slice(words, i + 2, F.lit(n))).alias("h")))
+    return F.transform(
+        starts,
+        lambda i: F.struct(F.lit(form).alias("form"), F.lit(run).alias("run"), i.alias("at"), F.xxhash64(F.slice(words, i + 2, F.lit(n))).alias("h")),
+    )
 
 
 def _item_windows(items: DataFrame, short: list[int]) -> DataFrame:
@@ -143,7 +146,14 @@ def _item_windows(items: DataFrame, short: list[int]) -> DataFrame:
 _WINDOWS = "array<struct<form:int,run:int,at:int,h:bigint>>"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+) -> DataFrame:
     """(doc_id, item_id, n_slots) for each document that holds a run of RUN words of an item's template.
 
     An item under RUN words matches as a whole, at any word of a document: by its template if half of
@@ -178,8 +188,15 @@ def _judged(lines: DataFrame, d: DataFrame, b: DataFrame) -> DataFrame:
     of_item = words_of(b.withColumn("br", F.split(spaced(F.col("_bt")), " ")), F.col("_bt"), True, "item_id", "br")
     of_item = of_item.select("item_id", "br", *[F.col(f"w{f}").alias(f"b{f}") for f in (*FORMS, PLAIN)])
     pick = lambda c: F.element_at(F.array(*[F.col(f"{c}{f}") for f in (*FORMS, PLAIN)]), F.col("form") + 1)
-    rows = lines.join(of_doc, "rk").join(of_item, lines["item_id"].eqNullSafe(of_item["item_id"])).select("doc_id", lines["item_id"], "rk", "form", "run", "shift", "r", "br", pick("w").alias("t"), pick("b").alias("bt"))
-    rows = rows.select(*[c for c in rows.columns if c not in ("t", "bt", "r", "br")], *[F.slice(c, F.lit(2), count_of(F.col(c))).alias(c) for c in ("t", "bt", "r", "br")])
+    rows = (
+        lines.join(of_doc, "rk")
+        .join(of_item, lines["item_id"].eqNullSafe(of_item["item_id"]))
+        .select("doc_id", lines["item_id"], "rk", "form", "run", "shift", "r", "br", pick("w").alias("t"), pick("b").alias("bt"))
+    )
+    rows = rows.select(
+        *[c for c in rows.columns if c not in ("t", "bt", "r", "br")],
+        *[F.slice(c, F.lit(2), count_of(F.col(c))).alias(c) for c in ("t", "bt", "r", "br")],
+    )
     # the words that lie on both sides; an item under RUN words has them all
     first = F.greatest(F.col("shift"), F.lit(0))
     size = F.greatest(F.least(F.size("t"), F.size("bt") + F.col("shift")) - first, F.lit(0))
@@ -198,15 +215,39 @@ def _judged(lines: DataFrame, d: DataFrame, b: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "item_id", "rk", "form", "run", "shift", "size", once(words).alias("x"))
     true = lambda n: F.array_repeat(F.lit(True), n)
     starts = lambda flags, n: F.when(F.col("size") >= n, F.transform(F.sequence(F.lit(1), F.col("size") - n + 1), lambda i: F.slice(flags, i, n) == true(n))).otherwise(F.array().cast("array<boolean>"))
-    rows = rows.select("*", once(F.struct(F.col("x.same").alias("same"), F.transform("x", lambda x: F.coalesce(x["item_value"] == x["doc_value"], F.lit(False))).alias("equal"))).alias("y"))
-    rows = rows.select("*", once(F.struct(starts(F.col("y.same"), F.col("run")).alias("runs"), F.array_contains(starts(F.col("y.equal"), F.lit(VERBATIM)), True).alias("verbatim"))).alias("z"))
+    rows = rows.select(
+        "*",
+        once(
+            F.struct(
+                F.col("x.same").alias("same"),
+                F.transform("x", lambda x: F.coalesce(x["item_value"] == x["doc_value"], F.lit(False))).alias("equal"),
+            )
+        ).alias("y"),
+    )
+    rows = rows.select(
+        "*",
+        once(
+            F.struct(
+                starts(F.col("y.same"), F.col("run")).alias("runs"),
+                F.array_contains(starts(F.col("y.equal"), F.lit(VERBATIM)), True).alias("verbatim"),
+            )
+        ).alias("z"),
+    )
     rows = rows.where(F.array_contains("z.runs", True))
     # a word lies in a run if one of the last ``run`` places up to it starts one
     back = lambda i: F.greatest(i - F.col("run") + 2, F.lit(1))
     inside = lambda i: F.array_contains(F.slice("z.runs", back(i), i + 2 - back(i)), True)
     slots = F.filter("x", lambda x, i: x["kind"].rlike("^<(num|unit|name)>") & inside(i))
     slots = F.array_distinct(F.transform(slots, lambda x: F.struct(x["kind"], x["item_value"], x["doc_value"])))
-    found = rows.select("doc_id", "rk", "item_id", "form", "shift", slots.alias("slots"), F.col("z.verbatim").alias("verbatim")).groupBy("doc_id", "rk", "item_id", "shift")
+    found = rows.select(
+        "doc_id",
+        "rk",
+        "item_id",
+        "form",
+        "shift",
+        slots.alias("slots"),
+        F.col("z.verbatim").alias("verbatim"),
+    ).groupBy("doc_id", "rk", "item_id", "shift")
     of = lambda *forms: F.array_distinct(F.flatten(F.collect_set(F.when(F.col("form").isin(*forms), F.col("slots")))))
     hit = lambda f: F.max(F.col("form") == f).alias(f"hit_{f}")
     # without names as slots, the names that the first form saw must still correspond

@@ -26,7 +26,11 @@ def water_fill(sources: DataFrame, share: float, epochs: float) -> DataFrame:
     level, clamped = 0.0, -1
     while True:
         full = F.col("cap") < F.lit(level) * F.col("weight")
-        row = s.agg(F.sum(F.when(full, F.col("cap"))).alias("caps"), F.sum(F.when(~full, F.col("weight"))).alias("open"), F.count(F.when(full, 1)).alias("clamped")).first()
+        row = s.agg(
+            F.sum(F.when(full, F.col("cap"))).alias("caps"),
+            F.sum(F.when(~full, F.col("weight"))).alias("open"),
+            F.count(F.when(full, 1)).alias("clamped"),
+        ).first()
         if row["open"] is None or row["clamped"] == clamped:
             break
         level, clamped = (total - (row["caps"] or 0.0)) / row["open"], row["clamped"]
@@ -62,7 +66,15 @@ def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     )
 
 
-def mix(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: float = 2.0, seed: str = "mix-1", **columns: str) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    scratch: Scratch,
+    weights: tuple[int, ...] = (5, 2, 1),
+    share: float = 1.5,
+    epochs: float = 2.0,
+    seed: str = "mix-1",
+    **columns: str,
+) -> DataFrame:
     """How much of each document the mix takes: doc_id, source, size, source_size, target, taken.
 
     Every document is taken whole as often as target / source_size goes into it; the fraction left is
@@ -97,10 +109,24 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = (5, 2, 1),
     inside = F.col("p") == F.col("cut_p")
     ordered = W.partitionBy("source").orderBy("rank", "size").rowsBetween(W.unboundedPreceding, -1)
     # cut_p is null if the fraction takes all of the source or the source is empty
-    extra_outside = F.when(F.col("cut_p").isNull() & (F.col("part") > 0), F.col("size")).when(F.col("p") < F.col("cut_p"), F.col("size")).otherwise(F.lit(0))
+    extra_outside = (
+        F.when(F.col("cut_p").isNull() & (F.col("part") > 0), F.col("size"))
+        .when(F.col("p") < F.col("cut_p"), F.col("size"))
+        .otherwise(F.lit(0))
+    )
     outside = rows.where(~F.coalesce(inside, F.lit(False))).withColumn("extra", extra_outside)
-    at_cut = rows.where(inside).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("part") - F.col("ahead") - F.coalesce(F.sum("size").over(ordered), F.lit(0)))))
-    return outside.unionByName(at_cut).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
+    at_cut = rows.where(inside).withColumn(
+        "extra",
+        F.greatest(F.lit(0), F.least(F.col("size"), F.col("part") - F.col("ahead") - F.coalesce(F.sum("size").over(ordered), F.lit(0)))),
+    )
+    return outside.unionByName(at_cut).select(
+        "doc_id",
+        "source",
+        "size",
+        "source_size",
+        "target",
+        (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"),
+    )
 
 
 def mixed(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:

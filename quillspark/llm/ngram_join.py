@@ -149,9 +149,18 @@ def _sketch(scan: DataFrame) -> np.ndarray:
                 part = np.frombuffer(raw, {1: "<u1", 2: "<u2", 4: "<u4"}[len(raw) // _BLOCK]).astype(np.int64)
                 total[k] = total.get(k, 0) + part
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(v, MOST).astype("<u2").tobytes() for v in total.values()], pa.binary())], names=["block", "counts"])
-
-    blocks = scan.where("block is not null").select("block", "counts").repartition(F.col("block")).mapInArrow(add, "block int, counts binary").collect()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(total), pa.int32()), pa.array([np.minimum(v, MOST).astype("<u2").tobytes() for v in total.values()], pa.binary())],
+                names=["block", "counts"],
+            )
+
+    blocks = (
+        scan.where("block is not null")
+        .select("block", "counts")
+        .repartition(F.col("block"))
+        .mapInArrow(add, "block int, counts binary")
+        .collect()
+    )
     out = np.zeros(1 << SKETCH_BITS, dtype=np.uint16)
     for r in blocks:
         out[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(bytes(r["counts"]), "<u2")
@@ -188,7 +197,15 @@ def _postings(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
                     size += [g.size] * p
                     pos.append(np.arange(p, dtype=np.int32))
                 if key:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.array(d, np.int64)), pa.array(np.array(size, np.int32)), pa.array(np.concatenate(pos))], names=["key", "d", "n", "pos"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.concatenate(key).view(np.int64)),
+                            pa.array(np.array(d, np.int64)),
+                            pa.array(np.array(size, np.int32)),
+                            pa.array(np.concatenate(pos)),
+                        ],
+                        names=["key", "d", "n", "pos"],
+                    )
 
     return docs.mapInArrow(run, "key long, d long, n int, pos int")
 
@@ -260,13 +277,16 @@ class NgramJoin:
     """
 
     def __init__(self, docs: DataFrame, scratch: Scratch, n: int, percent: int, doc_id: str = "doc_id", text: str = "text"):
-        self.docs = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        self.docs = docs.where(F.col(doc_id).isNotNull()).select(
+            F.col(doc_id).cast("long").alias("doc_id"),
+            F.coalesce(F.col(text), F.lit("")).alias("text"),
+        )
         self.scratch, self.n, self.percent = scratch, n, percent
         self.spark = docs.sparkSession
 
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) for every document row."""
-        scratch, percent = self.scratch, self.percent
+        scratch = self.scratch
         scan = scratch.save(_scan(self.docs, self.n), "scan")
         table = _sketch(scan)
         self.sketch = self.spark.sparkContext.broadcast(table)
@@ -279,7 +299,12 @@ class NgramJoin:
         label = reps.select("d", F.col("rep").alias("c"))
         for k in range(STAR_ROUNDS + 1):
             rest = scratch.save(shared.join(label, "d"), f"rest-{k}")
-            size = rest.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
+            size = (
+                rest.groupBy("key", "c")
+                .agg(F.count("*").alias("n"))
+                .groupBy("key")
+                .agg(F.sum("n").alias("n"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
+            )
             split = scratch.save(size.where("pairs > 0").select("key", "n", "pairs"), f"split-{k}")
             rows, pairs = split.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0.0))).first()
             rest = rest.join(split.select("key"), "key", "left_semi")
@@ -301,10 +326,29 @@ class NgramJoin:
             label = reps.join(own, "rep", "left").select("d", F.coalesce("c", "rep").alias("c"))
         scratch.drop("shared")
         # rows that repeat a doc_id join its sets' classes
-        again = ids.where("n > 0").groupBy("doc_id").agg(F.min("d").alias("d1"), F.max("d").alias("d2")).where("d1 != d2").select("doc_id").join(ids, "doc_id").where("n > 0").join(classes, ["d", "d2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        again = (
+            ids.where("n > 0")
+            .groupBy("doc_id")
+            .agg(F.min("d").alias("d1"), F.max("d").alias("d2"))
+            .where("d1 != d2")
+            .select("doc_id")
+            .join(ids, "doc_id")
+            .where("n > 0")
+            .join(classes, ["d", "d2", "n"])
+            .select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        )
         nodes = components(links.union(again), scratch, "cc")
-        top = classes.join(nodes.withColumnRenamed("node", "rep"), "rep", "left").select("d", "d2", "n", F.coalesce("component", "rep").alias("component"))
-        full = ids.where("n > 0").join(top, ["d", "d2", "n"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+        top = classes.join(nodes.withColumnRenamed("node", "rep"), "rep", "left").select(
+            "d",
+            "d2",
+            "n",
+            F.coalesce("component", "rep").alias("component"),
+        )
+        full = (
+            ids.where("n > 0")
+            .join(top, ["d", "d2", "n"])
+            .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+        )
         return full.union(ids.where("n = 0").select("doc_id", F.lit(0).cast("long"), F.col("doc_id")))
 
     def _shared_keys(self, hot: bool) -> DataFrame:
@@ -332,10 +376,28 @@ class NgramJoin:
         least = F.struct(F.col("pos").alias("first"), h, "c", "d", "n", "pos")
         ends = rest.groupBy("key").agg(F.min(least).alias("lo"), F.max(own).alias("hi"))
         rows = rest.join(ends, "key")
-        rows = rows.select("d", "c", "n", "pos", F.explode(F.array("lo", "hi")).alias("y"), F.xxhash64("key", F.lit(seed)).alias("h")).where("c != y.c")
+        rows = rows.select(
+            "d",
+            "c",
+            "n",
+            "pos",
+            F.explode(F.array("lo", "hi")).alias("y"),
+            F.xxhash64("key", F.lit(seed)).alias("h"),
+        ).where("c != y.c")
         picks = [f(F.struct(F.xxhash64("h", F.lit(k)), "n", "pos", "y")).alias(f"p{k}{f.__name__}") for k in range(STAR_KEYS) for f in (F.min, F.max)]
-        picked = rows.groupBy("d").agg(*picks).select("d", F.explode(F.array(*[f"p{k}{f}" for k in range(STAR_KEYS) for f in ("min", "max")])).alias("p"))
-        return picked.select(F.col("d").alias("x"), F.col("p.y.d").alias("y"), F.col("p.n").alias("nx"), F.col("p.pos").alias("px"), F.col("p.y.n").alias("ny"), F.col("p.y.pos").alias("py"))
+        picked = (
+            rows.groupBy("d")
+            .agg(*picks)
+            .select("d", F.explode(F.array(*[f"p{k}{f}" for k in range(STAR_KEYS) for f in ("min", "max")])).alias("p"))
+        )
+        return picked.select(
+            F.col("d").alias("x"),
+            F.col("p.y.d").alias("y"),
+            F.col("p.n").alias("nx"),
+            F.col("p.pos").alias("px"),
+            F.col("p.y.n").alias("ny"),
+            F.col("p.y.pos").alias("py"),
+        )
 
     def _all_pairs(self, rest: DataFrame) -> DataFrame:
         """Every two classes of a key that the links so far do not connect and the filters let pass."""
@@ -347,7 +409,10 @@ class NgramJoin:
     def _candidates(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
         """Distinct pairs of representatives (a < b) that pass the length filter."""
         pairs = pairs.where(_length("nx", "ny", self.percent)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        pairs = pairs.join(reps.select(F.col("d").alias("x"), F.col("rep").alias("a")), "x").join(reps.select(F.col("d").alias("y"), F.col("rep").alias("b")), "y")
+        pairs = pairs.join(
+            reps.select(F.col("d").alias("x"), F.col("rep").alias("a")),
+            "x",
+        ).join(reps.select(F.col("d").alias("y"), F.col("rep").alias("b")), "y")
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
 
     def _filtered(self, pairs: DataFrame, scan: DataFrame) -> DataFrame:

@@ -101,10 +101,20 @@ def valid_vectors(vectors: DataFrame, vec_id: str, embedding: str, label: str) -
                 if pick.size:
                     bits = np.packbits(_unit(wide[good]) @ _planes(dim, 64, 1) > 0, axis=1).view("<i8")[:, 0]
                     rows = pa.array(pick)
-                    columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.full(pick.size, dim, np.int32)), pa.array([v.tobytes() for v in x.astype(kind)], pa.binary()), pa.array(bits)]
+                    columns = [
+                        batch.column(0).take(rows),
+                        batch.column(1).take(rows),
+                        pa.array(np.full(pick.size, dim, np.int32)),
+                        pa.array([v.tobytes() for v in x.astype(kind)], pa.binary()),
+                        pa.array(bits),
+                    ]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    typed = vectors.select(F.col(vec_id).cast("long"), F.col(label).cast("string"), F.col(embedding).cast("array<float>" if kind == "<f4" else "array<double>"))
+    typed = vectors.select(
+        F.col(vec_id).cast("long"),
+        F.col(label).cast("string"),
+        F.col(embedding).cast("array<float>" if kind == "<f4" else "array<double>"),
+    )
     return typed.mapInArrow(run, "id long, label string, dim int, vec binary, sketch long")
 
 
@@ -137,7 +147,15 @@ class NnDescent:
     such. Equal vectors are one node that counts as many. Rows that repeat a vec_id count as one vector, the first by content.
     """
 
-    def __init__(self, vectors: DataFrame, scratch: Scratch, threshold: float, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label"):
+    def __init__(
+        self,
+        vectors: DataFrame,
+        scratch: Scratch,
+        threshold: float,
+        vec_id: str = "vec_id",
+        embedding: str = "embedding",
+        label: str = "label",
+    ):
         self.vectors, self.scratch, self.threshold = vectors, scratch, threshold
         self.columns = (vec_id, embedding, label)
         self.kind = element_kind(vectors, embedding)
@@ -157,10 +175,25 @@ class NnDescent:
                     for t in range(TREES):
                         sign = (x @ _planes(int(d), 60, 1000 * seed + 2 + t) > 0).astype(np.int64)
                         code = (sign << np.arange(60)).sum(axis=1) & ((1 << np.minimum(bits, 60)) - 1)
-                        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(np.full(pick.size, t, np.int32)), pa.array(code), part.column(3), part.column(4)], names=["id", "label", "dim", "tree", "cell", "vec", "sketch"])
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                part.column(0),
+                                part.column(1),
+                                part.column(2),
+                                pa.array(np.full(pick.size, t, np.int32)),
+                                pa.array(code),
+                                part.column(3),
+                                part.column(4),
+                            ],
+                            names=["id", "label", "dim", "tree", "cell", "vec", "sketch"],
+                        )
 
         sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("size"))
-        cells = nodes.select("id", "label", "dim", "vec", "sketch").join(sizes, ["label", "dim"]).select("id", "label", "dim", "vec", "sketch", "size")
+        cells = (
+            nodes.select("id", "label", "dim", "vec", "sketch")
+            .join(sizes, ["label", "dim"])
+            .select("id", "label", "dim", "vec", "sketch", "size")
+        )
         return cells.mapInArrow(run, "id long, label string, dim int, tree int, cell long, vec binary, sketch long")
 
     def _start(self, nodes: DataFrame, seed: int) -> DataFrame:
@@ -176,7 +209,11 @@ class NnDescent:
         """The best K of each list, or K * growth while they pass the threshold."""
         place = F.row_number().over(W.partitionBy("u").orderBy(F.desc("sim"), "v"))
         both = edges.union(edges.where(F.col("sim") >= self.threshold).select("v", "sv", "u", "su", "sim")).dropDuplicates(["u", "v"])
-        return both.withColumn("place", place).where((F.col("place") <= K) | ((F.col("sim") >= self.threshold) & (F.col("place") <= K * growth))).drop("place")
+        return (
+            both.withColumn("place", place)
+            .where((F.col("place") <= K) | ((F.col("sim") >= self.threshold) & (F.col("place") <= K * growth)))
+            .drop("place")
+        )
 
     def _round(self, lists: DataFrame, nodes: DataFrame) -> DataFrame:
         """Exact cosines of the pairs that meet at a neighbour and are not in a list."""
@@ -184,9 +221,23 @@ class NnDescent:
         right = lists.select(F.col("u").alias("m"), F.col("v").alias("b"), F.col("sv").alias("sb"))
         close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= SKETCH_MOST
         sisters = left.join(right, "m").where(F.col("a") < F.col("b")).where(close("sa", "sb")).select("a", "sa", "b", "sb")
-        steps = lists.select(F.col("u").alias("a"), F.col("su").alias("sa"), F.col("v").alias("m")).join(right, "m").where("a != b").where(close("sa", "sb"))
-        steps = steps.select(F.least("a", "b").alias("x"), F.when(F.col("a") < F.col("b"), F.col("sa")).otherwise(F.col("sb")).alias("sx"), F.greatest("a", "b").alias("y"), F.when(F.col("a") < F.col("b"), F.col("sb")).otherwise(F.col("sa")).alias("sy"))
-        pairs = sisters.union(steps).distinct().join(lists.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), ["a", "b"], "left_anti")
+        steps = (
+            lists.select(F.col("u").alias("a"), F.col("su").alias("sa"), F.col("v").alias("m"))
+            .join(right, "m")
+            .where("a != b")
+            .where(close("sa", "sb"))
+        )
+        steps = steps.select(
+            F.least("a", "b").alias("x"),
+            F.when(F.col("a") < F.col("b"), F.col("sa")).otherwise(F.col("sb")).alias("sx"),
+            F.greatest("a", "b").alias("y"),
+            F.when(F.col("a") < F.col("b"), F.col("sb")).otherwise(F.col("sa")).alias("sy"),
+        )
+        pairs = (
+            sisters.union(steps)
+            .distinct()
+            .join(lists.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), ["a", "b"], "left_anti")
+        )
         va = nodes.select(F.col("id").alias("a"), F.col("vec").alias("xa"))
         vb = nodes.select(F.col("id").alias("b"), F.col("vec").alias("xb"))
 
@@ -211,7 +262,15 @@ class NnDescent:
         member = member.join(parts, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
         # a row goes to the pairs of blocks that have its own
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
-        rows = member.select("component", "id", "weight", "vec", "own", other).select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "weight", "vec")
+        rows = member.select("component", "id", "weight", "vec", "own", other).select(
+            "component",
+            F.least("own", "other").alias("i"),
+            F.greatest("own", "other").alias("j"),
+            "own",
+            "id",
+            "weight",
+            "vec",
+        )
 
         def run(table: pa.Table) -> pa.Table:
             own, ids, weight = (table.column(c).to_numpy() for c in ("own", "id", "weight"))
@@ -227,7 +286,13 @@ class NnDescent:
             return pa.table({"id": np.concatenate(out), "links": np.concatenate(n).astype(np.int64)})
 
         # by the blocks too: else all blocks of a component, dealt by the join before, would stay in one task
-        return rows.repartition("component", "i", "j").groupBy("component", "i", "j").applyInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+        return (
+            rows.repartition("component", "i", "j")
+            .groupBy("component", "i", "j")
+            .applyInArrow(run, "id long, links long")
+            .groupBy("id")
+            .agg(F.sum("links").alias("links"))
+        )
 
     def _recall(self, nodes: DataFrame, links: DataFrame) -> float:
         """Mean share of an audited node's exact links that ``links`` has, over those that have links.
@@ -243,7 +308,12 @@ class NnDescent:
             chosen = F.xxhash64("id", F.lit("audit"))
             audited = nodes.where(F.pmod(chosen, F.lit(every)) == 0).withColumn("pass", F.pmod(F.xxhash64("id", F.lit("pass")), F.lit(passes)))
             for k in range(passes):
-                row = self._audit(nodes, audited.where(F.col("pass") == k)).join(links, "id", "left").agg(F.count("*").alias("linked"), F.sum(F.least("n", F.coalesce("links", F.lit(0))) / F.col("n")).alias("share")).first()
+                row = (
+                    self._audit(nodes, audited.where(F.col("pass") == k))
+                    .join(links, "id", "left")
+                    .agg(F.count("*").alias("linked"), F.sum(F.least("n", F.coalesce("links", F.lit(0))) / F.col("n")).alias("share"))
+                    .first()
+                )
                 linked, share = linked + row["linked"], share + (row["share"] or 0.0)
             if linked >= AUDIT_LINKED or every == 1:
                 return share / linked if linked else 1.0
@@ -284,7 +354,14 @@ class NnDescent:
         parts = nodes.groupBy(*key).agg(F.ceil(F.count("*") / EXACT_BLOCK).alias("parts"))
         rows = nodes.select("id", *key, "vec").join(parts, key).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
-        rows = rows.select("id", *key, "vec", "own", other).select(*key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "vec")
+        rows = rows.select("id", *key, "vec", "own", other).select(
+            *key,
+            F.least("own", "other").alias("i"),
+            F.greatest("own", "other").alias("j"),
+            "own",
+            "id",
+            "vec",
+        )
 
         def run(table: pa.Table) -> pa.Table:
             own, ids = table.column("own").to_numpy(), table.column("id").to_numpy()
@@ -302,7 +379,12 @@ class NnDescent:
     def run(self) -> DataFrame:
         """(vec_id, n_links, component_id, kept) for every row."""
         scratch = self.scratch
-        rows = scratch.save(valid_vectors(self.vectors, *self.columns).groupBy("id").agg(F.min(F.struct("label", "dim", "vec", "sketch")).alias("r")).select("id", "r.*"), "rows")
+        rows = scratch.save(
+            valid_vectors(self.vectors, *self.columns).groupBy("id").agg(
+                F.min(F.struct("label", "dim", "vec", "sketch")).alias("r")
+            ).select("id", "r.*"),
+            "rows",
+        )
         nodes = scratch.save(rows.groupBy("label", "dim", "vec", "sketch").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "nodes")
         edges, stars, step, self.recall = None, None, 0, 0.0
         for seed in range(SEEDS):
@@ -329,9 +411,20 @@ class NnDescent:
             links = scratch.save(self._links(nodes, cc), "links-exact")
             self.recall = 1.0
         top = nodes.join(cc.withColumnRenamed("node", "id"), "id", "left").join(links, "id", "left")
-        top = top.select("label", "dim", "vec", F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"))
+        top = top.select(
+            "label",
+            "dim",
+            "vec",
+            F.coalesce("component", "id").alias("component"),
+            (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"),
+        )
         full = rows.join(top, ["label", "dim", "vec"]).select(F.col("id").alias("_id"), "component", "n")
         vec_id = self.columns[0]
         out = self.vectors.select(F.col(vec_id).cast("long").alias("vec_id")).join(full, F.col("vec_id") == F.col("_id"), "left")
         component = F.coalesce("component", "vec_id")
-        return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id").eqNullSafe(component)).alias("kept"))
+        return out.select(
+            "vec_id",
+            F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
+            component.alias("component_id"),
+            (F.col("vec_id").eqNullSafe(component)).alias("kept"),
+        )

@@ -72,7 +72,13 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
                 n += b - a
         yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(DIM + 1)), "n": pa.array(np.append(df, n))})
 
-    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    rows = (
+        docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
+        .mapInArrow(count, "i long, n long")
+        .groupBy("i")
+        .agg(F.sum("n").alias("n"))
+        .collect()
+    )
     df = np.zeros(DIM + 1, dtype=np.int64)
     for r in rows:
         df[r["i"]] = r["n"]
@@ -85,8 +91,19 @@ def sample_rows(docs: DataFrame, labels: DataFrame, label: str, allowed: Column,
     The ids are cut first, so that only their texts are read to the end. Of rows that repeat a doc_id
     the smallest text counts, of its labels the largest; rows without doc_id or label are left out.
     """
-    ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & allowed).groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    ids = (
+        labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & allowed)
+        .groupBy("doc_id")
+        .agg(F.max(label).cast("int").alias("y"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(limit)
+    )
+    return (
+        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        .join(F.broadcast(ids), "doc_id")
+        .groupBy("doc_id", "y")
+        .agg(F.min("text").alias("text"))
+    )
 
 
 class QualityModel:
@@ -106,7 +123,13 @@ class QualityModel:
             for batch in batches:
                 for a, b, buf, off in chunks(batch.column(1)):
                     c = term_counts(buf, off).astype("<f4")
-                    yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "y": batch.column(2).slice(a, b - a), "c": pa.array([pa.compress(r.tobytes(), "lz4", asbytes=True) for r in c], pa.binary())})
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "doc_id": batch.column(0).slice(a, b - a),
+                            "y": batch.column(2).slice(a, b - a),
+                            "c": pa.array([pa.compress(r.tobytes(), "lz4", asbytes=True) for r in c], pa.binary()),
+                        }
+                    )
 
         sample = sample_rows(docs, labels, label, allowed, limit).select("doc_id", "text", "y")
         got = sample.mapInArrow(counts, "doc_id long, y int, c binary").toArrow().sort_by("doc_id")
@@ -151,6 +174,11 @@ def score_quality(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, buf, off in chunks(batch.column(1)):
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "score": pa.array(shared.value.score(term_counts(buf, off)))})
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, "doc_id long, score double")
+                yield pa.RecordBatch.from_pydict(
+                    {"doc_id": batch.column(0).slice(a, b - a), "score": pa.array(shared.value.score(term_counts(buf, off)))}
+                )
+
+    return docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"),
+        F.coalesce(F.col(text), F.lit("")).alias("t"),
+    ).mapInArrow(run, "doc_id long, score double")

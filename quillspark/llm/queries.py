@@ -55,24 +55,50 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.file_digests(spark, token_output.write_files(table(spark, sf_dir, "documents"), Scratch(spark, "op7"), tokenizer_path(), END_ID))
+    return token_output.file_digests(
+        spark,
+        token_output.write_files(table(spark, sf_dir, "documents"), Scratch(spark, "op7"), tokenizer_path(), END_ID),
+    )
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
     hits = hits.groupBy(F.col("doc_id").alias("_hit")).agg(F.count("*").alias("n_items"), F.min("item_id").alias("first_item"))
-    return docs.select("doc_id").join(hits, F.col("doc_id").eqNullSafe(F.col("_hit")), "left").select("doc_id", F.col("_hit").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), "first_item")
+    return (
+        docs.select("doc_id")
+        .join(hits, F.col("doc_id").eqNullSafe(F.col("_hit")), "left")
+        .select("doc_id", F.col("_hit").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), "first_item")
+    )
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.ToxicityModel.fit(docs, table(spark, sf_dir, "labels"), "toxic", remainder(5) != 0)
-    return toxicity.score_toxicity(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return toxicity.score_toxicity(docs, model).select(
+        "doc_id",
+        (remainder(5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.NnDescent(table(spark, sf_dir, "embeddings"), Scratch(spark, "op10"), 0.93).run()
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_substring_dedup, op3_suffix_array, op4_token_counts, op5_quality, op6_mixing, op7_token_output, op8_decontamination, op9_toxicity, op10_embedding_near_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_join,
+        op2_substring_dedup,
+        op3_suffix_array,
+        op4_token_counts,
+        op5_quality,
+        op6_mixing,
+        op7_token_output,
+        op8_decontamination,
+        op9_toxicity,
+        op10_embedding_near_dedup,
+    )
+}

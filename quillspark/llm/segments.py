@@ -76,7 +76,12 @@ class Kind:
             return Segments(none.astype(U), none.astype(U), none, none, none, sums)
         acc, inv = sums
         grams = mix((acc[self.gram :] - acc[: -self.gram]) * inv[: h.size - self.gram + 1])
-        at = np.concatenate([base + anchors(grams[base : min(base + PIECE, count) + self.length - self.gram], self.length - self.gram + 1) for base in range(0, count, PIECE)])
+        at = np.concatenate(
+            [
+                base + anchors(grams[base : min(base + PIECE, count) + self.length - self.gram], self.length - self.gram + 1)
+                for base in range(0, count, PIECE)
+            ]
+        )
         doc = np.repeat(np.arange(first.size - 1), np.diff(first))
         inside = doc[:count] == doc[self.length - 1 :]
         begin = inside.copy()
@@ -268,7 +273,15 @@ def emit(docs: DataFrame, kind: Kind, wanted, hot) -> DataFrame:
                     at, doc = _spread(s.lo[busy], s.n[busy]), np.repeat(s.doc[busy], s.n[busy])
                     again = prefix_sums(mix(items.hashes + U(1)))
                     one, none = np.ones(at.size, dtype=np.int64), np.zeros(at.size, dtype=np.int64)
-                    out.add(mix(range_hashes(s.sums, at, kind.length)), range_hashes(again, at, kind.length), name[a + doc], at - items.first[doc], one, none, np.zeros(0, np.uint8))
+                    out.add(
+                        mix(range_hashes(s.sums, at, kind.length)),
+                        range_hashes(again, at, kind.length),
+                        name[a + doc],
+                        at - items.first[doc],
+                        one,
+                        none,
+                        np.zeros(0, np.uint8),
+                    )
                 lo, n, doc = s.lo[keep], s.n[keep], s.doc[keep]
                 begin = items.begin[lo]
                 size = items.end[lo + n + kind.length - 2] - begin
@@ -295,7 +308,10 @@ def _settle(table: pa.Table, judge: Judge) -> pa.RecordBatch:
     payload = table.column(5).combine_chunks() if table.num_rows else pa.array([], pa.binary())
     if isinstance(payload, pa.ChunkedArray):
         payload = payload.combine_chunks()
-    off = np.frombuffer(payload.buffers()[1], np.int32)[payload.offset : payload.offset + len(payload) + 1].astype(np.int64) if len(payload) else np.zeros(1, np.int64)
+    off = np.frombuffer(
+        payload.buffers()[1],
+        np.int32,
+    )[payload.offset : payload.offset + len(payload) + 1].astype(np.int64) if len(payload) else np.zeros(1, np.int64)
     data = np.frombuffer(payload.buffers()[2], np.uint8) if len(payload) and payload.buffers()[2] else np.zeros(0, np.uint8)
     size = np.diff(off)
     # rows of one content become one; a row whose bytes are others than its hash says stays by itself
@@ -333,7 +349,10 @@ def _settle(table: pa.Table, judge: Judge) -> pa.RecordBatch:
     s = np.concatenate([base + s[take] - in_row, passed.column(4).to_numpy().astype(np.int64)])
     e = np.concatenate([base + e[take] - in_row, passed.column(1).to_numpy()])
     r, s, e = _merged(r, s, e)
-    return pa.RecordBatch.from_arrays([pa.array(r.astype(np.int64)), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["rk", "s", "e"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(r.astype(np.int64)), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))],
+        names=["rk", "s", "e"],
+    )
 
 
 def compare(rows: DataFrame, block_bytes: int, judge: Judge) -> DataFrame:
@@ -354,7 +373,14 @@ def compare(rows: DataFrame, block_bytes: int, judge: Judge) -> DataFrame:
             table = pa.Table.from_batches(held)
             fp = table.column(0).to_numpy()
             ends = np.append(np.flatnonzero(fp[1:] != fp[:-1]) + 1, fp.size)  # where another key begins
-            weight = np.cumsum(np.concatenate([np.diff(np.frombuffer(b.column(5).buffers()[1], np.int32)[b.column(5).offset : b.column(5).offset + len(b) + 1]) for b in held if len(b)]).astype(np.int64) + 48)
+            weight = np.cumsum(
+                np.concatenate(
+                    [
+                        np.diff(np.frombuffer(b.column(5).buffers()[1], np.int32)[b.column(5).offset : b.column(5).offset + len(b) + 1])
+                        for b in held if len(b)
+                    ]
+                ).astype(np.int64) + 48
+            )
             done = 0
             for end in ends[:-1].tolist():
                 if weight[end - 1] - (weight[done - 1] if done else 0) >= block_bytes:
@@ -375,7 +401,11 @@ def repeated(docs: DataFrame, kind: Kind, repeats: DataFrame, block_bytes: int,
     """(rk, spans) of the documents with repeated windows; ``repeats`` has the keys (fp, n, m) that occur twice."""
     spark = docs.sparkSession
     busy = repeats.where(F.col("m") >= HOT)
-    row = repeats.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("m") >= HOT, 1)).alias("hot")).first()
+    row = repeats.agg(
+        F.count("*").alias("k"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        F.count(F.when(F.col("m") >= HOT, 1)).alias("hot"),
+    ).first()
     wanted = spark.sparkContext.broadcast(bitmap(repeats, F.col("fp"), filter_bits(row["k"])))
     hot = spark.sparkContext.broadcast(bitmap(busy, F.col("fp"), filter_bits(row["hot"])))
     each = 3 * kind.length if kind.unit == "byte" else 12 * kind.length

@@ -192,8 +192,15 @@ def dedup(docs: DataFrame, scratch: Scratch, batches: int = 4, kind: segments.Ki
                 gone.append(int(hit.sum()))
                 sha.append(hashlib.sha256(rest).hexdigest())
                 kept.append(rest.decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())],
+                names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
+            )
 
     t = F.coalesce(F.col(text), F.lit(""))
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("text"), F.xxhash64(F.col(doc_id), t).alias("rk"))
-    return named.join(spans, "rk", "left").select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return (
+        named.join(spans, "rk", "left")
+        .select("doc_id", "text", "spans")
+        .mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    )

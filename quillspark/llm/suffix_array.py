@@ -135,7 +135,15 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
     return hits
 
 
-def judge(fp: np.ndarray, ck: np.ndarray, n: np.ndarray, payload: list[bytes], places: np.ndarray, length: int = KIND.length, limit: int = BLOCK_BYTES) -> np.ndarray:
+def judge(
+    fp: np.ndarray,
+    ck: np.ndarray,
+    n: np.ndarray,
+    payload: list[bytes],
+    places: np.ndarray,
+    length: int = KIND.length,
+    limit: int = BLOCK_BYTES,
+) -> np.ndarray:
     """Flags the windows of a block of segments that occur twice."""
     bounds = np.concatenate([[0], np.cumsum(n)])
     flags = np.repeat(places > 1, n)
@@ -167,7 +175,9 @@ def judge(fp: np.ndarray, ck: np.ndarray, n: np.ndarray, payload: list[bytes], p
             order = np.argsort(np.argsort(sa)[where])  # in the order of the suffix array
             where, ids = where[order], target[mine][order]
             view = np.lib.stride_tricks.sliding_window_view(np.append(text, np.zeros(length, np.uint8)), length)[where]
-            several.append((np.ascontiguousarray(np.concatenate([view, np.ones((where.size, 1), np.uint8)], axis=1)).view(f"S{length + 1}").ravel(), ids))
+            several.append(
+                (np.ascontiguousarray(np.concatenate([view, np.ones((where.size, 1), np.uint8)], axis=1)).view(f"S{length + 1}").ravel(), ids)
+            )
     if len(several) > 1:
         for ids in _merge([(np.sort(a), i[np.argsort(a, kind="stable")]) for a, i in several]):
             flags[ids] = True
@@ -201,8 +211,22 @@ def dedup(docs: DataFrame, scratch: Scratch, kind: segments.Kind = KIND, doc_id:
                 runs.append(int(hit[:1].sum() + (hit[1:] & ~hit[:-1]).sum()))
                 sha.append(hashlib.sha256(rest).hexdigest())
                 kept.append(rest)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(total, pa.int64()),
+                    pa.array(gone, pa.int64()),
+                    pa.array(runs, pa.int64()),
+                    pa.array(sha, pa.string()),
+                    pa.array(kept, pa.binary()),
+                ],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+            )
 
     t = F.coalesce(F.col(text), F.lit(""))
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("text"), F.xxhash64(F.col(doc_id), t).alias("rk"))
-    return named.join(spans, "rk", "left").select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return (
+        named.join(spans, "rk", "left")
+        .select("doc_id", "text", "spans")
+        .mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    )

@@ -73,7 +73,18 @@ def token_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
                 n = np.bincount(attribute(got.starts + base[own], got.ends + base[own], starts + base[owner]), minlength=starts.size)
                 stop = np.append(starts[1:], 0)
                 stop[first[1:] - 1] = length
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a).take(pa.array(owner)), "section": pa.array((np.arange(starts.size) - first[owner]).astype(np.int32)), "first_char": pa.array(starts.astype(np.int64)), "n_chars": pa.array((stop - starts).astype(np.int64)), "n_tokens": pa.array(n.astype(np.int64))})
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": batch.column(0).slice(a, b - a).take(pa.array(owner)),
+                        "section": pa.array((np.arange(starts.size) - first[owner]).astype(np.int32)),
+                        "first_char": pa.array(starts.astype(np.int64)),
+                        "n_chars": pa.array((stop - starts).astype(np.int64)),
+                        "n_tokens": pa.array(n.astype(np.int64)),
+                    }
+                )
         enc.clear()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, section int, first_char long, n_chars long, n_tokens long")
+    return docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"),
+        F.coalesce(F.col(text), F.lit("")).alias("text"),
+    ).mapInArrow(run, "doc_id long, section int, first_char long, n_chars long, n_tokens long")

@@ -85,13 +85,20 @@ def write_segment(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray
     start = np.concatenate([[0], np.cumsum(sizes)])
     body = np.zeros(int(start[-1]), dtype=np.uint8)
     fixed = np.zeros((blocks, 8), dtype=np.uint8)
-    fixed[:, :4], fixed[:, 4], fixed[:, 6:] = low.astype("<u4").view(np.uint8).reshape(-1, 4), width, exceptions.astype("<u2").view(np.uint8).reshape(-1, 2)
+    fixed[:, :4], fixed[:, 4], fixed[:, 6:] = low.astype("<u4").view(
+        np.uint8
+    ).reshape(-1, 4), width, exceptions.astype("<u2").view(np.uint8).reshape(-1, 2)
     if blocks:
         body[start[:-1, None] + np.arange(8)] = fixed
     for w in np.unique(width):
         own = np.flatnonzero(width == w)
         if w:
-            body[start[own][:, None] + 8 + np.arange(BLOCK // 8 * int(w))] = pack_rows(rest[own], int(w)).astype("<u8").view(np.uint8).reshape(own.size, -1)
+            body[start[own][:, None] + 8 + np.arange(BLOCK // 8 * int(w))] = (
+                pack_rows(rest[own], int(w))
+                .astype("<u8")
+                .view(np.uint8)
+                .reshape(own.size, -1)
+            )
     nth = np.arange(where.size) - (np.cumsum(exceptions, dtype=np.int64) - exceptions)[where]
     at = start[where] + 8 + BLOCK // 8 * width[where].astype(np.int64)
     body[at + nth] = place
@@ -128,7 +135,10 @@ def read_segment(image: bytes) -> tuple[int, list[int | None], np.ndarray, np.nd
     known = np.frombuffer(image, np.uint8, docs, at + 8 * docs)
     counts = np.frombuffer(image, "<u8", docs, at + 9 * docs).astype(np.int64)
     start = np.frombuffer(image, "<u8", blocks + 1, at + 17 * docs).astype(np.int64)
-    return before, [int(d) if k else None for d, k in zip(names, known, strict=True)], counts, _blocks(image, at + 17 * docs + 8 * (blocks + 1), start)[:total]
+    return before, [
+        int(d) if k else None
+        for d, k in zip(names, known, strict=True)
+    ], counts, _blocks(image, at + 17 * docs + 8 * (blocks + 1), start)[:total]
 
 
 def read_block(image: bytes, block: int) -> np.ndarray:
@@ -202,10 +212,19 @@ def write_files(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int,
         enc.clear()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col(doc_id).cast("long").alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t")).repartitionByRange(n, "d").sortWithinPartitions("d", "t")
+    ordered = (
+        docs.select(F.col(doc_id).cast("long").alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+        .repartitionByRange(n, "d")
+        .sortWithinPartitions("d", "t")
+    )
     images = ordered.mapInArrow(encode, "image binary")
     # a cast from binary keeps the bytes, and the text writer puts them down as they are, a line feed after each
-    images.select(F.col("image").cast("string")).write.option("maxRecordsPerFile", FILE_SEGMENTS).option("compression", "none").text(scratch.path("written"))
+    (
+        images.select(F.col("image").cast("string"))
+        .write.option("maxRecordsPerFile", FILE_SEGMENTS)
+        .option("compression", "none")
+        .text(scratch.path("written"))
+    )
     for k, name in enumerate(x for x in scratch.names("written") if x.startswith("part-")):
         scratch.move(f"written/{name}", f"tokens/{k:06d}.pfor")
     return scratch.path("tokens") if scratch.names("tokens") else None
@@ -226,7 +245,13 @@ def read_tokens(spark: SparkSession, folder: str | None) -> DataFrame:
             for content in batch.column(0):
                 for image in split_file(content.as_py()):
                     part, seq, _, docs, ids, _, _ = _head(image)
-                    columns = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([docs], pa.int64()), pa.array([ids], pa.int64()), pa.array([bytes(image)], pa.binary())]
+                    columns = [
+                        pa.array([part], pa.int32()),
+                        pa.array([seq], pa.int32()),
+                        pa.array([docs], pa.int64()),
+                        pa.array([ids], pa.int64()),
+                        pa.array([bytes(image)], pa.binary()),
+                    ]
                     yield pa.RecordBatch.from_arrays(columns, names=["part", "seq", "n_docs", "n_tokens", "image"])
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder).select("content").mapInArrow(parse, SEGMENT)
@@ -241,7 +266,13 @@ def _digest(image: bytes) -> pa.RecordBatch:
     first = np.concatenate([[0], np.cumsum(counts)])
     raw = memoryview(ids.astype("<u4").tobytes())
     crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-    columns = [pa.array(np.full(counts.size, part, np.int32)), pa.array(names, pa.int64()), pa.array(before + first[:-1]), pa.array(counts), pa.array(crc, pa.int64())]
+    columns = [
+        pa.array(np.full(counts.size, part, np.int32)),
+        pa.array(names, pa.int64()),
+        pa.array(before + first[:-1]),
+        pa.array(counts),
+        pa.array(crc, pa.int64()),
+    ]
     return pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "start", "n_tokens", "ids_crc32"])
 
 

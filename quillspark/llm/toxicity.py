@@ -211,7 +211,14 @@ class ToxicityModel:
         return cls.train(own, got.column("y").to_numpy().astype(np.float64), swapped=list(zip(gained, lost, strict=True)))
 
     @classmethod
-    def train(cls, rows: list[np.ndarray], y: np.ndarray, counterfactual: float = COUNTERFACTUAL, least: int = LEAST_DOCS, swapped: list[tuple[np.ndarray, np.ndarray]] | None = None) -> ToxicityModel:
+    def train(
+        cls,
+        rows: list[np.ndarray],
+        y: np.ndarray,
+        counterfactual: float = COUNTERFACTUAL,
+        least: int = LEAST_DOCS,
+        swapped: list[tuple[np.ndarray, np.ndarray]] | None = None,
+    ) -> ToxicityModel:
         """Accelerated proximal descent: an L1 fit selects words, a ridge fit weighs them.
 
         Both hold the counterfactual penalty: ``swapped`` has the features that each row's swapped text
@@ -235,7 +242,17 @@ class ToxicityModel:
         return cls(w.astype(np.float32), b)
 
     @staticmethod
-    def _descend(rows: list[np.ndarray], swapped: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, balance: np.ndarray, kept: np.ndarray, lasso: float, ridge: float, counterfactual: float, steps: int) -> tuple[np.ndarray, float]:
+    def _descend(
+        rows: list[np.ndarray],
+        swapped: list[tuple[np.ndarray, np.ndarray]],
+        y: np.ndarray,
+        balance: np.ndarray,
+        kept: np.ndarray,
+        lasso: float,
+        ridge: float,
+        counterfactual: float,
+        steps: int,
+    ) -> tuple[np.ndarray, float]:
         dim = kept.size
         # the change that swapping makes to the logit: +w of the features gained, -w of those lost
         named = [(i, f, sign) for i, both in enumerate(swapped) for part, sign in zip(both, (1, -1), strict=True) for f in part if kept[f]]
@@ -280,7 +297,14 @@ class ToxicityModel:
         return _sigmoid(np.bincount(doc, weights=self.weights[f], minlength=off.size - 1) + self.bias)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, columns: list[str] | None = None, text: str = "text", keep_text: str | None = None, score: str = "score") -> DataFrame:
+def score_toxicity(
+    docs: DataFrame,
+    model: ToxicityModel,
+    columns: list[str] | None = None,
+    text: str = "text",
+    keep_text: str | None = None,
+    score: str = "score",
+) -> DataFrame:
     """The given columns (none: doc_id) and ``score`` of every row, in its own partition.
 
     Null and empty texts have no words and get the score of the bias. Rows that repeat a doc_id each
