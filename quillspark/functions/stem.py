@@ -6,9 +6,46 @@ import re
 
 _VOWELS = "aeiouy"
 # Whole-word exceptions of the English stemmer.
-_WHOLE = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"} | {w: w for w in ("sky", "news", "howe", "atlas", "cosmos", "bias", "andes")}
+_WHOLE = {
+    "skis": "ski",
+    "skies": "sky",
+    "dying": "die",
+    "lying": "lie",
+    "tying": "tie",
+    "idly": "idl",
+    "gently": "gentl",
+    "ugly": "ugli",
+    "early": "earli",
+    "only": "onli",
+    "singly": "singl",
+} | {w: w for w in ("sky", "news", "howe", "atlas", "cosmos", "bias", "andes")}
 _AFTER_1A = {"inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"}
-_STEP2 = {"tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al", "alli": "al", "fulness": "ful", "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "ogi": "og", "fulli": "ful", "lessli": "less", "li": ""}
+_STEP2 = {
+    "tional": "tion",
+    "enci": "ence",
+    "anci": "ance",
+    "abli": "able",
+    "entli": "ent",
+    "izer": "ize",
+    "ization": "ize",
+    "ational": "ate",
+    "ation": "ate",
+    "ator": "ate",
+    "alism": "al",
+    "aliti": "al",
+    "alli": "al",
+    "fulness": "ful",
+    "ousli": "ous",
+    "ousness": "ous",
+    "iveness": "ive",
+    "iviti": "ive",
+    "biliti": "ble",
+    "bli": "ble",
+    "ogi": "og",
+    "fulli": "ful",
+    "lessli": "less",
+    "li": "",
+}
 _STEP3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
 _STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion"]
 

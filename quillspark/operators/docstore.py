@@ -82,7 +82,15 @@ class _Walk:
                 at = int(r.updated) if r.updated and r.updated > 0 else now // 1000
                 old = dict(zip(_DOC, self.doc, strict=True)) if existed else {"format": "txt", "created": at, "updated": 0, "file": False, "size": 0}
                 size = old["size"] if old["file"] else _size(r.title or "", r.body or "")
-                doc = {"title": r.title, "body": r.body, "format": old["format"], "size": size, "created": old["created"], "updated": at if existed else old["updated"], "file": old["file"]}
+                doc = {
+                    "title": r.title,
+                    "body": r.body,
+                    "format": old["format"],
+                    "size": size,
+                    "created": old["created"],
+                    "updated": at if existed else old["updated"],
+                    "file": old["file"],
+                }
             self._become(True, False, v, tuple(doc[c] for c in _DOC), seq)
             return ("applied" if op == "copy" else "updated" if existed else "created"), True
         if op in ("delete", "remove"):
@@ -200,7 +208,17 @@ class DocumentStore:
         touched = self._state().join(batch.select("id").distinct(), "id", "left_semi")
         names = ["n", "op", *_STATE]
         before = touched.select(F.lit(-1).cast("long").alias("n"), F.lit(None).cast("string").alias("op"), *_STATE)
-        rows = batch.select("n", "op", "id", F.lit(None).cast("boolean").alias("live"), F.lit(None).cast("boolean").alias("dead"), "version", F.lit(None).cast("long").alias("cleared"), F.lit(None).cast("long").alias("seq"), *_DOC)
+        rows = batch.select(
+            "n",
+            "op",
+            "id",
+            F.lit(None).cast("boolean").alias("live"),
+            F.lit(None).cast("boolean").alias("dead"),
+            "version",
+            F.lit(None).cast("long").alias("cleared"),
+            F.lit(None).cast("long").alias("seq"),
+            *_DOC,
+        )
         walked = before.unionByName(rows.select(names)).repartition("id").sortWithinPartitions("id", "n").mapInPandas(_walked(base, now), LOG)
         name = f"log/{uuid.uuid4().hex}"
         walked.write.parquet(f"{self.root}/{name}")
@@ -208,7 +226,12 @@ class DocumentStore:
         row = log.agg(F.count(F.when(F.col("applied"), 1)).alias("applied"), F.max("n").alias("n"), F.max("version").alias("version")).first()
         if row["applied"]:
             m = self.manifest
-            self._publish(segments=[*m["segments"], name], operations=m["operations"] + row["applied"], seq=base + row["n"], stamp=max(now, row["version"]))
+            self._publish(
+                segments=[*m["segments"], name],
+                operations=m["operations"] + row["applied"],
+                seq=base + row["n"],
+                stamp=max(now, row["version"]),
+            )
             if self.manifest["operations"] > self.snapshot_every:
                 self.snapshot()
                 log = self._read([name], LOG)
@@ -216,7 +239,13 @@ class DocumentStore:
 
     def _given(self, rows: DataFrame, op: str, version: int) -> DataFrame:
         order = F.row_number().over(W.orderBy("id")) if "n" not in rows.columns else F.col("n")
-        return self.apply(rows.withColumn("n", order.cast("long")).withColumn("op", F.lit(op)).withColumn("version", F.lit(version).cast("long") if version or "version" not in rows.columns else F.col("version")))
+        return self.apply(
+            (
+                rows.withColumn("n", order.cast("long"))
+                .withColumn("op", F.lit(op))
+                .withColumn("version", F.lit(version).cast("long") if version or "version" not in rows.columns else F.col("version"))
+            )
+        )
 
     def add(self, docs: DataFrame, version: int = 0) -> tuple[int, int]:
         """Adds documents that are not live: (indexed, skipped). The first row of an id counts, in order of ``n`` if there is one."""
@@ -232,7 +261,10 @@ class DocumentStore:
         return self._one({"id": doc_id}, "delete", version)
 
     def _one(self, row: dict, op: str, version: int) -> str:
-        rows = self.spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} {'long' if isinstance(v, int) else 'string'}" for c, v in row.items()))
+        rows = self.spark.createDataFrame(
+            [tuple(row.values())],
+            ", ".join(f"{c} {'long' if isinstance(v, int) else 'string'}" for c, v in row.items()),
+        )
         return self._given(rows.withColumn("n", F.lit(0)), op, version).first()["result"]
 
     def evict(self, rows: DataFrame) -> tuple[int, int]:
@@ -264,7 +296,11 @@ class DocumentStore:
             rows = rows.withColumn("version", F.lit(0))
         state = self._state().select(F.col("id").alias("_id"), "live", F.col("version").alias("_version"))
         given = F.coalesce("version", F.lit(0))
-        result = F.when((given > 0) & (given != F.coalesce("_version", F.lit(0))), "ignored").when(F.coalesce("live", F.lit(False)), "stored").otherwise("not_found")
+        result = (
+            F.when((given > 0) & (given != F.coalesce("_version", F.lit(0))), "ignored")
+            .when(F.coalesce("live", F.lit(False)), "stored")
+            .otherwise("not_found")
+        )
         judged = rows.where("id is not null").join(state, F.col("id") == F.col("_id"), "left").select("id", "content", result.alias("result"))
         seq = self.manifest["seq"] + 1
         name = f"files/{uuid.uuid4().hex}"

@@ -138,7 +138,10 @@ def vocabulary(a: DataFrame) -> DataFrame:
 
 
 def statistics(length_rows: DataFrame) -> DataFrame:
-    return length_rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total_len")).withColumn("avgdl", F.when(F.col("n") > 0, F.col("total_len") / F.col("n")).otherwise(0.0))
+    return length_rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total_len")).withColumn(
+        "avgdl",
+        F.when(F.col("n") > 0, F.col("total_len") / F.col("n")).otherwise(0.0),
+    )
 
 
 def build_index(docs: DataFrame, stemmed: bool = True, keep=None) -> Index:
@@ -159,7 +162,11 @@ def insert(live: DataFrame, batch: DataFrame, order: str) -> DataFrame:
 
     first = batch.withColumn("_nth", F.row_number().over(W.partitionBy("id").orderBy(order)))
     known = live.select(F.col("id").alias("_known")).distinct()
-    return first.join(known, F.col("id") == F.col("_known"), "left").withColumn("indexed", (F.col("_nth") == 1) & F.col("_known").isNull()).drop("_nth", "_known")
+    return (
+        first.join(known, F.col("id") == F.col("_known"), "left")
+        .withColumn("indexed", (F.col("_nth") == 1) & F.col("_known").isNull())
+        .drop("_nth", "_known")
+    )
 
 
 def delete(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -35,7 +35,17 @@ def listing(docs: DataFrame, sort: str = "id", desc: bool = False, after: str |
     size = min(max(size, 1), MAX_PAGE)
     order = [F.desc("key"), F.desc("id")] if desc else [F.asc("key"), F.asc("id")]
     top = d.orderBy(*order).limit(size + 1)
-    return top.select("id", "title", word_count(F.col("body")).cast("long").alias("words"), "format", "size", "created", "updated", "file", "key").orderBy(*order)
+    return top.select(
+        "id",
+        "title",
+        word_count(F.col("body")).cast("long").alias("words"),
+        "format",
+        "size",
+        "created",
+        "updated",
+        "file",
+        "key",
+    ).orderBy(*order)
 
 
 @dataclass

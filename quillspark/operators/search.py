@@ -29,7 +29,11 @@ def term_score(idf_: Column, tf: Column, length: Column, avgdl) -> Column:
 def bm25(pairs: Column, n, length: Column, avgdl) -> Column:
     """Score of an array of (tf, df), zeros skipped."""
     kept = F.filter(pairs, lambda p: (p["tf"] > 0) & (p["df"] > 0))
-    return F.aggregate(F.transform(kept, lambda p: term_score(idf(F.lit(n), p["df"]), p["tf"].cast("double"), length, avgdl)), F.lit(0.0), lambda a, x: a + x)
+    return F.aggregate(
+        F.transform(kept, lambda p: term_score(idf(F.lit(n), p["df"]), p["tf"].cast("double"), length, avgdl)),
+        F.lit(0.0),
+        lambda a, x: a + x,
+    )
 
 
 def _texts(values: list[str]) -> Column:
@@ -61,7 +65,10 @@ def proximity(groups: Column) -> Column:
     def to(s: Column, x: Column) -> Column:
         last = F.transform(s["last"], lambda v, k: F.when(k == x["k"], x["p"]).otherwise(v))
         first = F.array_min(last)
-        return F.struct(last.alias("last"), F.when(first > -far, F.least(s["best"], x["p"] - first + 1)).otherwise(s["best"]).alias("best")).cast(state)
+        return F.struct(
+            last.alias("last"),
+            F.when(first > -far, F.least(s["best"], x["p"] - first + 1)).otherwise(s["best"]).alias("best"),
+        ).cast(state)
 
     best = F.aggregate(walk, start, to)["best"]
     return F.when(m < 2, F.lit(0.0)).otherwise(PROXIMITY * (m - 1) / F.greatest(F.lit(1), best + 1 - m).cast("double"))
@@ -84,7 +91,9 @@ def matches(index: Index, query: Query, all_terms: bool = False, near: bool = Tr
     live = [(k, t, w) for k, (t, w) in enumerate(weighted) if t in df]
     if not live or index.n == 0 or index.avgdl <= 0:
         return index.lengths.where(F.lit(False)).select("id", F.lit(0.0).alias("score"))
-    facts = F.create_map(*[x for k, t, w in live for x in (F.lit(t), F.struct(F.lit(k).alias("ord"), F.lit(float(w)).alias("w"), F.lit(df[t]).alias("df")))])
+    facts = F.create_map(
+        *[x for k, t, w in live for x in (F.lit(t), F.struct(F.lit(k).alias("ord"), F.lit(float(w)).alias("w"), F.lit(df[t]).alias("df")))],
+    )
     f = facts[F.col("term")]
     score = f["w"] * term_score(idf(F.lit(index.n), f["df"]), F.col("tf").cast("double"), F.col("len"), F.lit(index.avgdl))
     rows = hit.select("id", "term", "positions", F.struct(f["ord"].alias("ord"), score.alias("s")).alias("part"))
@@ -139,7 +148,19 @@ def plan(index: Index, q: str, fuzzy: bool = False, prefix: bool = False, use_sy
     return query
 
 
-def search(index: Index, q: str, offset: int = 0, size: int | None = None, k: int | None = None, operator: str = "or", fuzzy: bool = False, prefix: bool = False, use_synonyms: bool = True, near: bool = True, snippets: bool = True) -> Response:
+def search(
+    index: Index,
+    q: str,
+    offset: int = 0,
+    size: int | None = None,
+    k: int | None = None,
+    operator: str = "or",
+    fuzzy: bool = False,
+    prefix: bool = False,
+    use_synonyms: bool = True,
+    near: bool = True,
+    snippets: bool = True,
+) -> Response:
     """Ranked hits (id, title, score, snippet).
 
     The matches are computed once: their number is observed while the page is taken. The page is at
@@ -181,7 +202,9 @@ def bulk_search(index: Index, queries: DataFrame, top: int, all_terms: bool = Fa
     terms = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("asked"))
     q = terms.select("query_id", "asked", F.col("asked").alias("term"), F.lit(1.0).alias("w"))
     if "variants" in have:
-        extra = queries.select("query_id", "terms", F.explode("variants").alias("v")).where(F.array_contains("terms", F.col("v.term")) & ~F.array_contains("terms", F.col("v.variant")))
+        extra = queries.select("query_id", "terms", F.explode("variants").alias("v")).where(
+            F.array_contains("terms", F.col("v.term")) & ~F.array_contains("terms", F.col("v.variant"))
+        )
         q = q.union(extra.select("query_id", "v.term", "v.variant", F.lit(VARIANT_WEIGHT)).distinct())
     # a variant of two terms counts once in the score and for both in the match
     q = q.groupBy("query_id", "term").agg(F.max("w").alias("w"), F.collect_set("asked").alias("asked")).join(index.terms, "term")

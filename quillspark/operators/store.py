@@ -31,7 +31,13 @@ def step(state: Column, op: Column) -> Column:
     n = state["applied"] + 1
 
     def to(is_live: bool, is_dead: bool, v: Column, payload: Column) -> Column:
-        return F.struct(F.lit(is_live).alias("live"), F.lit(is_dead).alias("dead"), v.alias("version"), payload.alias("payload"), n.alias("applied")).cast(STATE)
+        return F.struct(
+            F.lit(is_live).alias("live"),
+            F.lit(is_dead).alias("dead"),
+            v.alias("version"),
+            payload.alias("payload"),
+            n.alias("applied"),
+        ).cast(STATE)
 
     none = F.lit(None).cast("string")
     return (
@@ -45,7 +51,13 @@ def step(state: Column, op: Column) -> Column:
 
 def fold(ops: DataFrame) -> DataFrame:
     """(id, live, dead, version, payload, applied) after the log (seq, id, op, version, payload) in order of seq."""
-    start = F.struct(F.lit(False).alias("live"), F.lit(False).alias("dead"), F.lit(0).cast("long").alias("version"), F.lit(None).cast("string").alias("payload"), F.lit(0).cast("long").alias("applied")).cast(STATE)
+    start = F.struct(
+        F.lit(False).alias("live"),
+        F.lit(False).alias("dead"),
+        F.lit(0).cast("long").alias("version"),
+        F.lit(None).cast("string").alias("payload"),
+        F.lit(0).cast("long").alias("applied"),
+    ).cast(STATE)
     log = F.sort_array(F.collect_list(F.struct("seq", "op", "version", "payload")))
     return ops.groupBy("id").agg(F.aggregate(log, start, step).alias("s")).select("id", "s.*")
 
@@ -76,7 +88,13 @@ def replica_diff(replicas: DataFrame, here: Column | None = None) -> DataFrame:
     have = replicas.select(F.col("replica").alias("r"), F.col("id").alias("i"), F.struct("version", "deleted").alias("own"))
     j = wanted.join(have, (F.col("replica") == F.col("r")) & (F.col("id") == F.col("i")), "left")
     behind = j.where(F.col("own").isNull() | (F.col("own") < F.col("best")))
-    return behind.select("replica", "id", F.col("best.version").alias("version"), F.col("best.deleted").alias("deleted"), F.when(F.col("best.deleted"), "delete").otherwise("copy").alias("action"))
+    return behind.select(
+        "replica",
+        "id",
+        F.col("best.version").alias("version"),
+        F.col("best.deleted").alias("deleted"),
+        F.when(F.col("best.deleted"), "delete").otherwise("copy").alias("action"),
+    )
 
 
 def holds(state: DataFrame, version: int, deleted: bool) -> Column:
@@ -127,8 +145,24 @@ def rebalance_plan(moves: DataFrame, batch: int = 200) -> DataFrame:
 
 def put_metadata(old: DataFrame, new: DataFrame, now: int) -> DataFrame:
     """Rows as a replace stores them: created, format and file of the old document stay, size is counted again unless it has a file."""
-    o = old.select(F.col("id").alias("o_id"), F.col("created").alias("o_created"), F.col("format").alias("o_format"), F.col("file").alias("o_file"), F.col("size").alias("o_size"))
+    o = old.select(
+        F.col("id").alias("o_id"),
+        F.col("created").alias("o_created"),
+        F.col("format").alias("o_format"),
+        F.col("file").alias("o_file"),
+        F.col("size").alias("o_size"),
+    )
     j = new.select("id", "title", "body").join(o, F.col("id") == F.col("o_id"), "left")
     had = F.col("o_id").isNotNull()
     size = (F.octet_length("title") + 1 + F.octet_length("body")).cast("long")
-    return j.select("id", "title", "body", F.coalesce("o_format", F.lit("txt")).alias("format"), F.when(F.coalesce("o_file", F.lit(False)), F.col("o_size")).otherwise(size).alias("size"), F.when(had, F.col("o_created")).otherwise(F.lit(now)).cast("long").alias("created"), F.when(had, F.lit(now)).otherwise(F.lit(0)).cast("long").alias("updated"), F.coalesce("o_file", F.lit(False)).alias("file"), F.when(had, "updated").otherwise("created").alias("result"))
+    return j.select(
+        "id",
+        "title",
+        "body",
+        F.coalesce("o_format", F.lit("txt")).alias("format"),
+        F.when(F.coalesce("o_file", F.lit(False)), F.col("o_size")).otherwise(size).alias("size"),
+        F.when(had, F.col("o_created")).otherwise(F.lit(now)).cast("long").alias("created"),
+        F.when(had, F.lit(now)).otherwise(F.lit(0)).cast("long").alias("updated"),
+        F.coalesce("o_file", F.lit(False)).alias("file"),
+        F.when(had, "updated").otherwise("created").alias("result"),
+    )

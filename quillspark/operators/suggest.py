@@ -50,5 +50,7 @@ def expand(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """
     q = F.broadcast(terms.select(F.col("term").alias("q"), F.char_length("term").alias("n")).withColumn("most", max_distance(F.col("n"))))
     v = vocabulary.select(F.col("term").alias("variant"))
-    near = (F.abs(F.char_length("variant") - F.col("n")) <= F.col("most")) & F.when(F.col("most") == 0, F.col("variant") == F.col("q")).when(F.col("most") == 1, F.levenshtein("q", "variant", 1) >= 0).otherwise(F.levenshtein("q", "variant", 2) >= 0)
+    near = (
+        F.abs(F.char_length("variant") - F.col("n")) <= F.col("most")
+    ) & F.when(F.col("most") == 0, F.col("variant") == F.col("q")).when(F.col("most") == 1, F.levenshtein("q", "variant", 1) >= 0).otherwise(F.levenshtein("q", "variant", 2) >= 0)
     return v.join(q, near).select(F.col("q").alias("term"), "variant")

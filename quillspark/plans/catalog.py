@@ -104,7 +104,11 @@ def _complete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _suggest_sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = ix.analyzed(documents(spark, sf_dir), False)
-    w = a.select((F.col("id").cast("long") % 3).alias("shard"), F.explode(F.array_distinct(F.concat("title_words", "body_words"))).alias("word")).groupBy("shard", "word").agg(F.count("*").alias("df"))
+    w = (
+        a.select((F.col("id").cast("long") % 3).alias("shard"), F.explode(F.array_distinct(F.concat("title_words", "body_words"))).alias("word"))
+        .groupBy("shard", "word")
+        .agg(F.count("*").alias("df"))
+    )
     return su.suggest_sharded(w, "th")
 
 
@@ -115,8 +119,19 @@ def _bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ops(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet") if events is None else events
-    kind = F.when(F.col("event_type") == "signup", "add").when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "view", "evict").otherwise("put")
-    return e.where("user_id is not null").select(F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("seq"), kind.alias("op"), (F.col("event_id") - F.col("event_id") % 7 * 40).alias("version"), F.col("event_type").alias("payload"))
+    kind = (
+        F.when(F.col("event_type") == "signup", "add")
+        .when(F.col("event_type") == "error", "delete")
+        .when(F.col("event_type") == "view", "evict")
+        .otherwise("put")
+    )
+    return e.where("user_id is not null").select(
+        F.col("user_id").cast("string").alias("id"),
+        F.col("event_id").alias("seq"),
+        kind.alias("op"),
+        (F.col("event_id") - F.col("event_id") % 7 * 40).alias("version"),
+        F.col("event_type").alias("payload"),
+    )
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,12 +166,20 @@ def _listing(**options):
 
 
 def _txt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+        F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"),
+    )
     return corpus.extract_files(files).where("error is null").select("id", "title", "body", "size")
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("id", word_count(F.col("body")).cast("long").alias("all_words"), F.size(words(F.col("body"))).cast("long").alias("kept"), F.array_join(F.slice(words(F.col("body")), 1, 20), " ").alias("head"))
+    return documents(spark, sf_dir).select(
+        "id",
+        word_count(F.col("body")).cast("long").alias("all_words"),
+        F.size(words(F.col("body"))).cast("long").alias("kept"),
+        F.array_join(F.slice(words(F.col("body")), 1, 20), " ").alias("head"),
+    )
 
 
 def _all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,12 +217,28 @@ _QUERIES = {
     "analyze_words": _words,
     "analyze_all_words": _all_words,
     "analyze_stems": _stems,
-    "index_postings": _indexed(lambda i: i.postings.select("term", "id", F.col("title_tf").cast("long").alias("title_tf"), F.col("tf").cast("long").alias("tf"), F.col("positions")[0].cast("long").alias("first_pos"))),
-    "index_positions": _indexed(lambda i: i.postings.select("term", "id", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))),
+    "index_postings": _indexed(
+        lambda i: i.postings.select(
+            "term",
+            "id",
+            F.col("title_tf").cast("long").alias("title_tf"),
+            F.col("tf").cast("long").alias("tf"),
+            F.col("positions")[0].cast("long").alias("first_pos"),
+        )
+    ),
+    "index_positions": _indexed(
+        lambda i: i.postings.select("term", "id", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+    ),
     "index_doc_lengths": _indexed(lambda i: i.lengths),
     "index_stats": _indexed(lambda i: ix.statistics(i.lengths).select("n", "total_len", F.round("avgdl", 6).alias("avgdl"))),
     "vocabulary": _indexed(lambda i: i.words),
-    "term_idf": _indexed(lambda i: i.postings.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", F.round(se.idf(F.lit(i.n), F.col("df")), 6).alias("idf"))),
+    "term_idf": _indexed(
+        lambda i: i.postings.groupBy("term").agg(F.count("*").alias("df")).select(
+            "term",
+            "df",
+            F.round(se.idf(F.lit(i.n), F.col("df")), 6).alias("idf"),
+        )
+    ),
     "search_or": _search(OR_Q),
     "search_and": _search(AND_Q, True),
     "search_phrase": _search(PHRASE),
@@ -240,7 +279,15 @@ def queries():
 def _replica_sql() -> str:
     parts = []
     for k in (0, 1):
-        part = o.OPS.replace("FROM events WHERE", f"FROM events WHERE event_id % 5 != {k} AND").replace("ops AS", f"ops{k} AS").replace("fold AS", f"fold{k} AS").replace("final AS", f"final{k} AS").replace("FROM ops)", f"FROM ops{k})").replace("FROM fold f JOIN ops o", f"FROM fold{k} f JOIN ops{k} o").replace("FROM fold QUALIFY", f"FROM fold{k} QUALIFY")
+        part = (
+            o.OPS.replace("FROM events WHERE", f"FROM events WHERE event_id % 5 != {k} AND")
+            .replace("ops AS", f"ops{k} AS")
+            .replace("fold AS", f"fold{k} AS")
+            .replace("final AS", f"final{k} AS")
+            .replace("FROM ops)", f"FROM ops{k})")
+            .replace("FROM fold f JOIN ops o", f"FROM fold{k} f JOIN ops{k} o")
+            .replace("FROM fold QUALIFY", f"FROM fold{k} QUALIFY")
+        )
         parts.append(part)
     return f"""WITH RECURSIVE {parts[0]}, {parts[1]},
 e AS (SELECT 0 AS replica, id, version, dead AS deleted FROM final0 WHERE live OR dead UNION ALL SELECT 1, id, version, dead FROM final1 WHERE live OR dead),

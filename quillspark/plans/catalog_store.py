@@ -42,7 +42,14 @@ def _store(spark: SparkSession, **options) -> DocumentStore:
 def _ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.plans.catalog import ops
 
-    return ops(spark, sf_dir).select(F.col("seq").alias("n"), "id", "op", (F.col("version") + SHIFT).alias("version"), F.col("payload").alias("title"), F.lit("").alias("body"))
+    return ops(spark, sf_dir).select(
+        F.col("seq").alias("n"),
+        "id",
+        "op",
+        (F.col("version") + SHIFT).alias("version"),
+        F.col("payload").alias("title"),
+        F.lit("").alias("body"),
+    )
 
 
 def _in_batches(s: DocumentStore, ops: DataFrame, count: int) -> list[DataFrame]:
@@ -86,7 +93,11 @@ def _unversioned(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _loaded(spark: SparkSession, sf_dir: str) -> DocumentStore:
     """The documents in a store, and the original files of those in English."""
     s = _store(spark)
-    files = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    files = (
+        spark.read.parquet(f"{sf_dir}/documents.parquet")
+        .where("lang = 'en'")
+        .select(F.col("doc_id").cast("string").alias("id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    )
     docs = documents(spark, sf_dir).join(_lang(spark, sf_dir), "id").withColumn("file", F.coalesce(F.col("lang") == "en", F.lit(False))).drop("lang")
     s.add(docs, version=7)
     s.put_files(files)
@@ -135,7 +146,13 @@ def _diff_here(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _put_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English documents are replaced by others of their first 30 characters, and as many new ones come."""
-    old = documents(spark, sf_dir).join(_lang(spark, sf_dir), "id").withColumn("created", F.lit(5)).withColumn("format", F.coalesce("lang", F.lit("txt"))).withColumn("file", F.col("id").endswith("3"))
+    old = (
+        documents(spark, sf_dir)
+        .join(_lang(spark, sf_dir), "id")
+        .withColumn("created", F.lit(5))
+        .withColumn("format", F.coalesce("lang", F.lit("txt")))
+        .withColumn("file", F.col("id").endswith("3"))
+    )
     new = old.where("lang = 'en'").select("id", "title", F.substring("body", 1, 30).alias("body"))
     new = new.union(new.select(F.concat(F.lit("new-"), "id"), "title", "body"))
     return store.put_metadata(old, new, NOW).drop("title", "body")
@@ -177,7 +194,14 @@ def _contains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).join(_lang(spark, sf_dir), "id").withColumn("format", F.coalesce("lang", F.lit("txt"))).withColumn("created", F.col("size") * 3).withColumn("updated", F.col("size") + 1).drop("lang")
+    return (
+        documents(spark, sf_dir)
+        .join(_lang(spark, sf_dir), "id")
+        .withColumn("format", F.coalesce("lang", F.lit("txt")))
+        .withColumn("created", F.col("size") * 3)
+        .withColumn("updated", F.col("size") + 1)
+        .drop("lang")
+    )
 
 
 def _list_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +216,14 @@ def _list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _json_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents through JSON files, some of them without format, size and time."""
     docs = documents(spark, sf_dir).join(_lang(spark, sf_dir), "id")
-    rows = docs.select("id", "title", "body", F.when(F.col("lang") == "en", "").otherwise(F.col("lang")).alias("format"), F.when(F.col("lang") == "en", 0).otherwise(F.col("size")).alias("size"), F.when(F.col("lang") == "fr", 12).otherwise(0).alias("created"))
+    rows = docs.select(
+        "id",
+        "title",
+        "body",
+        F.when(F.col("lang") == "en", "").otherwise(F.col("lang")).alias("format"),
+        F.when(F.col("lang") == "en", 0).otherwise(F.col("size")).alias("size"),
+        F.when(F.col("lang") == "fr", 12).otherwise(0).alias("created"),
+    )
     path = _folder(spark, "json")
     rows.write.json(path)
     return corpus.read_json(spark, path, NOW).select("id", "title", "body", "format", "size", "created", "updated", "file")
@@ -202,13 +233,21 @@ def _upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a file; English ones exist already, French ones come as an unknown format."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ext = F.when(F.col("lang") == "fr", ".xyz").otherwise(".TXT")
-    files = rows.select(F.concat(F.lit("a\\b/"), F.col("doc_id").cast("string"), ext).alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    files = rows.select(
+        F.concat(F.lit("a\\b/"), F.col("doc_id").cast("string"), ext).alias("path"),
+        F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"),
+    )
     return corpus.upload(files, _lang(spark, sf_dir).where("lang = 'en'")).select("path", "status")
 
 
 def _parse_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return corpus.parse_txt(rows.select(F.concat(F.lit("dir/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))).select("id", "title", "body", "format", "size")
+    return corpus.parse_txt(
+        rows.select(
+            F.concat(F.lit("dir/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+            F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"),
+        )
+    ).select("id", "title", "body", "format", "size")
 
 
 def _extract_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,7 +304,12 @@ def _bulk(all_terms: bool, phrases: bool):
 
 
 #: Documents with synonyms, beside those of the table.
-_BAKERY = [(900001, "Bread and butter"), (900002, "Shop\na loaf with some butter, butter"), (900003, "bread"), (900004, "Loaf loaf\nbutter far away from any other bread")]
+_BAKERY = [
+    (900001, "Bread and butter"),
+    (900002, "Shop\na loaf with some butter, butter"),
+    (900003, "bread"),
+    (900004, "Loaf loaf\nbutter far away from any other bread"),
+]
 
 
 def _synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,7 +322,10 @@ def _synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _docx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a docx file with a paragraph a line, and what is extracted from it."""
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat("doc_id", F.lit(".docx")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.concat("doc_id", F.lit(".docx")).alias("path"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
     # a process for each file: a single small table must not be a single task
     files = rows.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_docx_files, "path string, content binary")
     return corpus.extract_files(files).select("path", "title", "body", "error")
@@ -376,7 +423,12 @@ def _replicas_sql() -> str:
     for k in (0, 1):
         part = _results_sql().replace("WHERE user_id IS NOT NULL", f"WHERE user_id IS NOT NULL AND event_id % 5 <> {k}")
         for name in ("ops", "fold", "final"):
-            part = part.replace(f"{name} AS", f"{name}{k} AS").replace(f"FROM {name} ", f"FROM {name}{k} ").replace(f"FROM {name})", f"FROM {name}{k})").replace(f"JOIN {name} ", f"JOIN {name}{k} ")
+            part = (
+                part.replace(f"{name} AS", f"{name}{k} AS")
+                .replace(f"FROM {name} ", f"FROM {name}{k} ")
+                .replace(f"FROM {name})", f"FROM {name}{k})")
+                .replace(f"JOIN {name} ", f"JOIN {name}{k} ")
+            )
         parts.append(part)
     return f"""{parts[0]}, {parts[1]},
 e AS (SELECT 0 AS replica, id, version, dead AS deleted FROM final0 WHERE live OR dead UNION ALL SELECT 1, id, version, dead FROM final1 WHERE live OR dead),
@@ -397,7 +449,10 @@ dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 hit AS (SELECT query_id, p.id, count(*) AS met, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l.len / avgdl))) AS s
   FROM post p JOIN q USING (term) JOIN dfs USING (term) JOIN lens l ON l.id = p.id CROSS JOIN stat GROUP BY query_id, p.id)"""
     bakery = ", ".join(f"({k}, '{t.replace(chr(10), "' || chr(10) || '")}')" for k, t in _BAKERY)
-    with_bakery = o.scored("('bread', 1.0), ('butter', 1.0), ('loaf', 0.5)").replace("FROM documents)", f"FROM (SELECT doc_id, text FROM documents UNION ALL VALUES {bakery}))")
+    with_bakery = o.scored("('bread', 1.0), ('butter', 1.0), ('loaf', 0.5)").replace(
+        "FROM documents)",
+        f"FROM (SELECT doc_id, text FROM documents UNION ALL VALUES {bakery}))",
+    )
     best = "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, id) <= 5"
     return {
         "search_synonyms": f"WITH {with_bakery} {o.near("('bread', 0), ('loaf', 0), ('butter', 1)")} {o.ranked("list_has_any(matched, ['bread', 'loaf']) AND list_contains(matched, 'butter')", True)}",

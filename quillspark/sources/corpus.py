@@ -32,14 +32,32 @@ def from_table(rows: DataFrame, id_column: str, text: str) -> DataFrame:
     """A table's texts as documents."""
     key = F.col(id_column).cast("string")
     title, body = split_title(F.col(text), key)
-    return rows.select(key.alias("id"), title.alias("title"), body.alias("body"), F.lit("txt").alias("format"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("size"), F.lit(0).cast("long").alias("created"), F.lit(0).cast("long").alias("updated"), F.lit(False).alias("file"))
+    return rows.select(
+        key.alias("id"),
+        title.alias("title"),
+        body.alias("body"),
+        F.lit("txt").alias("format"),
+        F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("size"),
+        F.lit(0).cast("long").alias("created"),
+        F.lit(0).cast("long").alias("updated"),
+        F.lit(False).alias("file"),
+    )
 
 
 def with_defaults(docs: DataFrame, now: int) -> DataFrame:
     """Ingest defaults: created, format and size where they are zero or empty."""
     size = F.octet_length("title") + 1 + F.octet_length("body")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
-    return docs.select("id", "title", "body", F.when(F.coalesce("format", F.lit("")) == "", "txt").otherwise(F.col("format")).alias("format"), F.when(zero("size"), size).otherwise(F.col("size")).cast("long").alias("size"), F.when(zero("created"), F.lit(now)).otherwise(F.col("created")).cast("long").alias("created"), F.coalesce("updated", F.lit(0)).cast("long").alias("updated"), F.coalesce("file", F.lit(False)).alias("file"))
+    return docs.select(
+        "id",
+        "title",
+        "body",
+        F.when(F.coalesce("format", F.lit("")) == "", "txt").otherwise(F.col("format")).alias("format"),
+        F.when(zero("size"), size).otherwise(F.col("size")).cast("long").alias("size"),
+        F.when(zero("created"), F.lit(now)).otherwise(F.col("created")).cast("long").alias("created"),
+        F.coalesce("updated", F.lit(0)).cast("long").alias("updated"),
+        F.coalesce("file", F.lit(False)).alias("file"),
+    )
 
 
 def read_json(spark: SparkSession, path: str, now: int) -> DataFrame:
@@ -59,7 +77,16 @@ def parse_txt(rows: DataFrame) -> DataFrame:
     text = F.decode("content", "UTF-8")
     line = F.instr(text, "\n")
     stem = F.regexp_extract("path", r"([^/]*)\.txt$", 1)
-    return rows.select(stem.alias("id"), _trim(F.substring_index(text, "\n", 1)).alias("title"), F.when(line > 0, _trim(F.substring(text, line + 1, F.length(text)))).otherwise("").alias("body"), F.lit("txt").alias("format"), F.octet_length("content").cast("long").alias("size"), F.lit(0).cast("long").alias("created"), F.lit(0).cast("long").alias("updated"), F.lit(False).alias("file"))
+    return rows.select(
+        stem.alias("id"),
+        _trim(F.substring_index(text, "\n", 1)).alias("title"),
+        F.when(line > 0, _trim(F.substring(text, line + 1, F.length(text)))).otherwise("").alias("body"),
+        F.lit("txt").alias("format"),
+        F.octet_length("content").cast("long").alias("size"),
+        F.lit(0).cast("long").alias("created"),
+        F.lit(0).cast("long").alias("updated"),
+        F.lit(False).alias("file"),
+    )
 
 
 def extract_files(files: DataFrame) -> DataFrame:
@@ -67,10 +94,16 @@ def extract_files(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            rows = [{"path": p, "id": None, "title": None, "body": None, "format": None, "size": None} | extract_limited(p, bytes(c)) for p, c in zip(pdf["path"], pdf["content"], strict=True)]
+            rows = [
+                {"path": p, "id": None, "title": None, "body": None, "format": None, "size": None} | extract_limited(p, bytes(c))
+                for p, c in zip(pdf["path"], pdf["content"], strict=True)
+            ]
             yield pd.DataFrame(rows, columns=["path", "id", "title", "body", "format", "size", "error"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, id string, title string, body string, format string, size long, error string")
+    return files.select("path", "content").mapInPandas(
+        run,
+        "path string, id string, title string, body string, format string, size long, error string",
+    )
 
 
 def upload(files: DataFrame, existing: DataFrame) -> DataFrame:
@@ -89,7 +122,11 @@ def download_text() -> Column:
 
 
 # Media types by format.
-MEDIA_TYPES = {"txt": "text/plain; charset=utf-8", "pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document"}
+MEDIA_TYPES = {
+    "txt": "text/plain; charset=utf-8",
+    "pdf": "application/pdf",
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+}
 
 
 def content_disposition(name: str) -> str:

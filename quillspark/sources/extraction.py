@@ -98,7 +98,14 @@ def extract_limited(path: str, data: bytes, memory: int = MEMORY, cpu: int = CPU
         return extract(path, data)
     env = os.environ | {"PYTHONPATH": os.pathsep.join(x for x in sys.path if x), "EXTRACT_LIMITS": f"{memory},{cpu}"}
     try:
-        done = subprocess.run([sys.executable, "-m", "quillspark.sources.extraction", path], input=data, capture_output=True, timeout=wall, env=env, check=False)
+        done = subprocess.run(
+            [sys.executable, "-m", "quillspark.sources.extraction", path],
+            input=data,
+            capture_output=True,
+            timeout=wall,
+            env=env,
+            check=False,
+        )
         return json.loads(done.stdout) if done.returncode == 0 else {"error": "extraction crashed"}
     except subprocess.TimeoutExpired:
         return {"error": "extraction took too long"}

@@ -44,7 +44,14 @@ def run_to_table(ops: DataFrame, path: str, checkpoint: str) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    ops_out = fold_stream(ops).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    ops_out = (
+        fold_stream(ops)
+        .writeStream.outputMode("update")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
     ops_out.awaitTermination()
     rows = ops.sparkSession.read.schema(f"{OUT}, batch long").parquet(path)
     last = rows.groupBy("id").agg(F.max(F.struct("batch", "live", "dead", "version", "payload")).alias("s"))
