@@ -82,7 +82,6 @@ def token_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
                         "n_tokens": pa.array(n.astype(np.int64)),
                     }
                 )
-        enc.clear()
 
     return docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),

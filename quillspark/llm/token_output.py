@@ -209,7 +209,6 @@ def write_files(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int,
                     yield close()
         if names:
             yield close()
-        enc.clear()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = (

@@ -29,9 +29,9 @@ _ODD[[*range(0, 10), *range(11, 32), 127, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 #: UTF-8 of white space beyond ASCII.
 _WIDE_SPACE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 #: Units, and bytes of long units, that a worker's cache holds before it starts anew.
-CACHE_UNITS, CACHE_BYTES = 1 << 19, 1 << 25
+CACHE_UNITS, CACHE_BYTES = 1 << 20, 1 << 25
 #: Places of the cache's hash table, twice as many as units.
-TABLE = 1 << 20
+TABLE = 1 << 21
 #: Up to this length the hash tells units of one length apart.
 SHORT = 8
 
@@ -64,10 +64,6 @@ class UnitEncoder:
         pre = parts.get("pre_tokenizer") or {}
         return not parts.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
 
-    def clear(self) -> None:
-        """Frees the cache, which a worker would else hold on to for whatever it is used for next."""
-        self._clear()
-
     def _clear(self) -> None:
         self.keys, self.slot = np.zeros(TABLE, dtype=np.uint64), np.full(TABLE, -1, dtype=np.int32)  # open addressing
         self.size, self.text_at = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
@@ -222,7 +218,7 @@ _encoders: dict[tuple[str, bool], UnitEncoder] = {}
 
 
 def encoder(path: str, offsets: bool = False) -> UnitEncoder:
-    """This process's encoder for a tokenizer file; a task clears its cache at the end."""
+    """This process's encoder for a tokenizer file; its cache lasts as long as the worker."""
     if (path, offsets) not in _encoders:
         _encoders[path, offsets] = UnitEncoder(path, offsets)
     return _encoders[path, offsets]
