@@ -813,3 +813,11 @@ def test_levels_of_many_sources(spark):
         assert all(got[s][1] == pytest.approx(want[s]) for s in size)
     none = Scratch(spark, "t")
     assert mixing.water_fill(mixing.by_code_point(rows.limit(0), (5, 2, 1), none), 1.5, 2.0).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op1_ngram_join", "op2_substring_dedup", "op3_suffix_array", "op10_embedding_near_dedup"])
+def test_operators_equal_sql(spark, name):
+    from quillspark.llm import sql
+    from tests.compare import differs
+
+    assert differs(spark, queries.QUERIES[name], sql.ORACLE[name], "/root/testdata/sf0.001") == ""
