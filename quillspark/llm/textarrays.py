@@ -61,12 +61,34 @@ def _trim() -> None:
         pass
 
 
+#: What frees things that a worker keeps from task to task; tasks of another kind call it as they begin.
+HELD: list[Callable[[], None]] = []
+
+
+def _begin() -> None:
+    """Called by name, so that it frees what this very process holds."""
+    for free in HELD:
+        free()
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """The same task function, whose worker keeps no memory of it.
+    """The same task function, whose worker keeps no memory of it, nor of what was held for tasks of another kind.
 
     Spark holds on to idle workers, and several of them share an executor's memory with what comes next.
     """
 
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        _begin()
+        yield from run(batches)
+        _trim()
+
+    return wrapped
+
+
+def holding(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """As :func:`tidy` for tasks that use what is held."""
+
     @functools.wraps(run)
     def wrapped(batches: Iterator) -> Iterator:
         yield from run(batches)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.textarrays import chunks, tidy
+from quillspark.llm.textarrays import chunks, holding
 from quillspark.llm.token_units import encoder
 
 
@@ -59,7 +59,7 @@ def token_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     a doc_id each give their own sections. Other columns are not read. No row leaves its partition.
     """
 
-    @tidy
+    @holding
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, True)
         for batch in batches:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.scratch import Scratch
-from quillspark.llm.textarrays import chunks, tidy
+from quillspark.llm.textarrays import chunks, holding, tidy
 from quillspark.llm.token_units import encoder
 
 MAGIC = b"QPFOR2\0\0"
@@ -183,7 +183,7 @@ def write_files(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int,
     doc_id each stay, in order of their text; other columns are not read. An empty table gives none.
     """
 
-    @tidy
+    @holding
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         names, counts, pieces, held, before, seq = [], [], [], 0, 0, 0

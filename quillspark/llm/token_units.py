@@ -18,7 +18,7 @@ from itertools import chain
 
 import numpy as np
 
-from quillspark.llm.textarrays import span_hashes
+from quillspark.llm.textarrays import HELD, span_hashes
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -29,9 +29,9 @@ _ODD[[*range(0, 10), *range(11, 32), 127, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 #: UTF-8 of white space beyond ASCII.
 _WIDE_SPACE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 #: Units, and bytes of long units, that a worker's cache holds before it starts anew.
-CACHE_UNITS, CACHE_BYTES = 1 << 20, 1 << 25
+CACHE_UNITS, CACHE_BYTES = 1 << 19, 1 << 25
 #: Places of the cache's hash table, twice as many as units.
-TABLE = 1 << 21
+TABLE = 1 << 20
 #: Up to this length the hash tells units of one length apart.
 SHORT = 8
 
@@ -215,10 +215,11 @@ class UnitEncoder:
 
 
 _encoders: dict[tuple[str, bool], UnitEncoder] = {}
+HELD.append(_encoders.clear)
 
 
 def encoder(path: str, offsets: bool = False) -> UnitEncoder:
-    """This process's encoder for a tokenizer file; its cache lasts as long as the worker."""
+    """This process's encoder for a tokenizer file; its cache lasts until the worker gets another kind of task."""
     if (path, offsets) not in _encoders:
         _encoders[path, offsets] = UnitEncoder(path, offsets)
     return _encoders[path, offsets]
