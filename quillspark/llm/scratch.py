@@ -5,12 +5,16 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 from typing import ClassVar
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm.textarrays import tidy
+
 
 #: Bytes of an Arrow batch between Spark and a Python worker, where the session has Spark's default of 64 MB.
 BATCH_BYTES = 4 << 20
@@ -117,6 +121,8 @@ def unused(columns: list[str], *names: str) -> list[str]:
 
 #: log2 of the bits of a filter, at least and at most (32 MB), and bits for each key.
 FILTER_BITS, KEY_BITS = (16, 28), 16
+#: Blocks in which a filter comes to the driver (32 kB each at most); a power of two.
+FILTER_BLOCKS = 1 << 10
 
 
 def filter_bits(count: int) -> int:
@@ -127,18 +133,34 @@ def filter_bits(count: int) -> int:
 def bitmap(df: DataFrame, key: Column, log2_bits: int) -> np.ndarray:
     """Bit set over the low ``log2_bits`` bits of ``key`` (a well-mixed long), as uint64 words.
 
-    Its size is fixed by ``log2_bits`` whatever the input, so it may be broadcast. A test against it
-    has false positives, never false negatives: use it only to skip work that an exact step follows.
+    Its size is fixed by ``log2_bits`` whatever the input, so it may be broadcast. Tasks set the bits, and
+    the driver gets them packed, in blocks, so it holds about twice that size. A test against it has false
+    positives, never false negatives: use it only to skip work that an exact step follows.
     """
     pos = key.bitwiseAND(F.lit((1 << log2_bits) - 1))
-    words = (
-        df.select(F.shiftright(pos, 6).alias("w"), pos.bitwiseAND(F.lit(63)).cast("int").alias("b"))
-        .groupBy("w")
-        .agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v"))
-        .toPandas()
-    )
-    out = np.zeros(1 << (log2_bits - 6), dtype=np.uint64)
-    out[words["w"].to_numpy(dtype=np.int64)] = words["v"].to_numpy(dtype=np.int64).view(np.uint64)
+    size = (1 << (log2_bits - 6)) // FILTER_BLOCKS
+
+    @tidy
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(size * FILTER_BLOCKS, dtype=np.uint64)  # pages of other tasks' blocks are never touched
+        mine = np.zeros(FILTER_BLOCKS, dtype=bool)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = np.unique(batch.column(1).to_numpy())
+            w = at >> 6
+            first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+            words[w[first]] |= np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first)
+            mine[w[first] // size] = True
+        for k in np.flatnonzero(mine).tolist():
+            columns = [pa.array([k], pa.int32()), pa.array([words[k * size : (k + 1) * size].astype("<u8").tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "words"])
+
+    dealt = df.select(F.shiftright(pos, log2_bits - FILTER_BLOCKS.bit_length() + 1).cast("int").alias("block"), pos.alias("at")).repartition(F.col("block"))
+    out = np.zeros(size * FILTER_BLOCKS, dtype=np.uint64)
+    for batch in dealt.mapInArrow(pack, "block int, words binary").toArrow().to_batches():
+        for k, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            out[k * size : (k + 1) * size] = np.frombuffer(words.as_buffer(), "<u8")
     return out
 
 

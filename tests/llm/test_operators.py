@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, mixing, ngram_join, nn_descent, queries, segments, substring_index, suffix_array, token_counts, token_output, toxicity
 from quillspark.llm.components import components
-from quillspark.llm.scratch import Scratch
+from quillspark.llm.scratch import Scratch, bit_test, bitmap
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rk string"
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -821,3 +822,26 @@ def test_operators_equal_sql(spark, name):
     from tests.compare import differs
 
     assert differs(spark, queries.QUERIES[name], sql.ORACLE[name], "/root/testdata/sf0.001") == ""
+
+
+@pytest.mark.parametrize("bits", [16, 22])
+def test_filters_have_every_key(spark, bits):
+    keys = spark.range(3000).select(F.xxhash64("id").alias("k"))
+    own = np.array([r["k"] for r in keys.collect()], dtype=np.int64).view(np.uint64)
+    want = np.zeros(1 << bits, dtype=bool)
+    want[own & np.uint64((1 << bits) - 1)] = True
+    got = bitmap(keys.union(keys), F.col("k"), bits)
+    assert (np.unpackbits(got.view(np.uint8), bitorder="little").astype(bool) == want).all() and bit_test(got, own).all()
+    assert not bitmap(keys.where("k is null"), F.col("k"), bits).any()
+
+
+def test_filters_come_to_the_driver_packed(spark):
+    """A filter of 2 MB may take the driver a few times that; a Python row for each of its words takes over 100 MB."""
+    keys = spark.range(600_000).select(F.xxhash64("id").alias("k"))
+    bitmap(keys.limit(10), F.col("k"), 16)
+    tracemalloc.start()
+    try:
+        assert bitmap(keys, F.col("k"), 24).any()
+        assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    finally:
+        tracemalloc.stop()
