@@ -32,8 +32,10 @@ SEGMENT_IDS = 1 << 21
 _HEAD = struct.Struct("<8sIIQQQQQ")  # magic, part, segment of the part, ids before it in the part, documents, ids, blocks, bytes
 #: Segments of a file, about 8 MB.
 FILE_SEGMENTS = 2
+#: Blocks that are packed or unpacked at a time, so that a worker never holds several arrays of a whole segment.
+PACK_BLOCKS = 512
 #: Bytes of text that are encoded at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 def _widths(x: np.ndarray) -> np.ndarray:
@@ -65,31 +67,26 @@ def unpack_rows(packed: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def write_segment(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, before: int = 0, part: int = 0, seq: int = 0) -> bytes:
-    """The binary image of some documents' ids (uint32), in order; ``before``: ids of the part ahead of it."""
-    blocks = -(-ids.size // BLOCK)
-    grid = np.full(blocks * BLOCK, ids[-1] if ids.size else 0, dtype=np.uint32)
-    grid[: ids.size] = ids
-    grid = grid.reshape(blocks, BLOCK)
-    low = grid.min(axis=1) if blocks else np.zeros(0, np.uint32)
+def _pack_blocks(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of each block of a grid of ids, and the blocks one after the other."""
+    low = grid.min(axis=1)
     rest = grid - low[:, None]
     k = BLOCK * PERCENTILE // 100
-    width = _widths(np.partition(rest, k, axis=1)[:, k]) if blocks else np.zeros(0, np.uint8)
-    over = rest >> width[:, None].astype(np.uint32) if blocks else rest
+    width = _widths(np.partition(rest, k, axis=1)[:, k])
+    over = rest >> width[:, None].astype(np.uint32)
     where, place = np.nonzero(over)
-    exceptions = np.bincount(where, minlength=blocks).astype(np.uint16)
+    exceptions = np.bincount(where, minlength=low.size).astype(np.uint16)
     high = over[where, place].astype(np.uint32)
-    rest = rest & ((np.uint64(1) << width[:, None].astype(np.uint64)) - np.uint64(1)).astype(np.uint32) if blocks else rest
+    rest = rest & ((np.uint64(1) << width[:, None].astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
     # a block: minimum u32, width u8, pad u8, exceptions u16, packed words, positions u8, high bits u32
     sizes = 8 + BLOCK // 8 * width.astype(np.int64) + 5 * exceptions.astype(np.int64)
     start = np.concatenate([[0], np.cumsum(sizes)])
     body = np.zeros(int(start[-1]), dtype=np.uint8)
-    fixed = np.zeros((blocks, 8), dtype=np.uint8)
+    fixed = np.zeros((low.size, 8), dtype=np.uint8)
     fixed[:, :4], fixed[:, 4], fixed[:, 6:] = low.astype("<u4").view(
         np.uint8
     ).reshape(-1, 4), width, exceptions.astype("<u2").view(np.uint8).reshape(-1, 2)
-    if blocks:
-        body[start[:-1, None] + np.arange(8)] = fixed
+    body[start[:-1, None] + np.arange(8)] = fixed
     for w in np.unique(width):
         own = np.flatnonzero(width == w)
         if w:
@@ -103,10 +100,26 @@ def write_segment(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray
     at = start[where] + 8 + BLOCK // 8 * width[where].astype(np.int64)
     body[at + nth] = place
     body[(at + exceptions[where] + 4 * nth)[:, None] + np.arange(4)] = high.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return sizes, body
+
+
+def write_segment(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, before: int = 0, part: int = 0, seq: int = 0) -> bytes:
+    """The binary image of some documents' ids (uint32), in order; ``before``: ids of the part ahead of it."""
+    blocks = -(-ids.size // BLOCK)
+    sizes, bodies = [np.zeros(1, np.int64)], []
+    for k in range(0, blocks, PACK_BLOCKS):
+        own = ids[k * BLOCK : (k + PACK_BLOCKS) * BLOCK]
+        grid = np.full(-(-own.size // BLOCK) * BLOCK, ids[-1], dtype=np.uint32)
+        grid[: own.size] = own
+        size, body = _pack_blocks(grid.reshape(-1, BLOCK))
+        sizes.append(size)
+        bodies.append(body)
+    start = np.cumsum(np.concatenate(sizes))
     known = np.array([d is not None for d in doc_ids], dtype=np.uint8)
     names = np.array([d or 0 for d in doc_ids], dtype="<i8")
-    rest = b"".join([names.tobytes(), known.tobytes(), counts.astype("<u8").tobytes(), start.astype("<u8").tobytes(), body.tobytes()])
-    return _HEAD.pack(MAGIC, part, seq, before, len(doc_ids), ids.size, blocks, _HEAD.size + len(rest)) + rest
+    fixed = [names.tobytes(), known.tobytes(), counts.astype("<u8").tobytes(), start.astype("<u8").tobytes()]
+    total = _HEAD.size + sum(map(len, fixed)) + int(start[-1])
+    return b"".join([_HEAD.pack(MAGIC, part, seq, before, len(doc_ids), ids.size, blocks, total), *fixed, *bodies])
 
 
 def split_file(data: bytes) -> Iterator[memoryview]:
@@ -135,10 +148,13 @@ def read_segment(image: bytes) -> tuple[int, list[int | None], np.ndarray, np.nd
     known = np.frombuffer(image, np.uint8, docs, at + 8 * docs)
     counts = np.frombuffer(image, "<u8", docs, at + 9 * docs).astype(np.int64)
     start = np.frombuffer(image, "<u8", blocks + 1, at + 17 * docs).astype(np.int64)
+    ids = np.empty(blocks * BLOCK, dtype=np.uint32)
+    for k in range(0, blocks, PACK_BLOCKS):
+        ids[k * BLOCK : (k + PACK_BLOCKS) * BLOCK] = _blocks(image, at + 17 * docs + 8 * (blocks + 1), start[k : k + PACK_BLOCKS + 1])
     return before, [
         int(d) if k else None
         for d, k in zip(names, known, strict=True)
-    ], counts, _blocks(image, at + 17 * docs + 8 * (blocks + 1), start)[:total]
+    ], counts, ids[:total]
 
 
 def read_block(image: bytes, block: int) -> np.ndarray:
@@ -190,10 +206,10 @@ def write_files(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int,
 
         def close() -> pa.RecordBatch:
             nonlocal names, counts, pieces, held, before, seq
-            ids = np.concatenate(pieces)
+            ids, pieces = np.concatenate(pieces), []
             image = write_segment(names, np.concatenate(counts), ids, before, part, seq)
             before, seq = before + ids.size, seq + 1
-            names, counts, pieces, held = [], [], [], 0
+            names, counts, held = [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([image], pa.binary())], names=["image"])
 
         for batch in batches:

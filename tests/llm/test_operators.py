@@ -845,3 +845,21 @@ def test_filters_come_to_the_driver_packed(spark):
         assert tracemalloc.get_traced_memory()[1] < 16 << 20
     finally:
         tracemalloc.stop()
+
+
+def test_segments_are_packed_piece_by_piece(monkeypatch):
+    """A segment takes little more memory than its image and its ids, and its bytes don't depend on the pieces."""
+    ids = np.random.default_rng(4).integers(0, 50257, 1_500_000).astype(np.uint32)
+    counts = np.array([ids.size])
+    tracemalloc.start()
+    try:
+        image = token_output.write_segment([7], counts, ids)
+        packed = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        assert (token_output.read_segment(image)[3] == ids).all()
+        read = tracemalloc.get_traced_memory()[1] - len(image)
+    finally:
+        tracemalloc.stop()
+    assert packed < 3 * len(image) and read < 2 * ids.nbytes
+    monkeypatch.setattr(token_output, "PACK_BLOCKS", 1 << 20)
+    assert token_output.write_segment([7], counts, ids) == image and (token_output.read_segment(image)[3] == ids).all()
