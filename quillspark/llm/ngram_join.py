@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillspark.llm.components import components, contract
-from quillspark.llm.scratch import Scratch, bit_test, bitmap, filter_bits, unused
+from quillspark.llm.scratch import Scratch, bit_test, bitmap, filter_bits, unused, without
 from quillspark.llm.textarrays import U, chunks, mix, rolling, span_hashes, tidy, words
 
 #: log2 of the counters that order shingles by frequency: 2 MB on each worker.
@@ -440,9 +440,10 @@ def keep_one(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80) -
     kept one a single row stays, the first by text. Columns of any name pass through.
     """
     groups = NgramJoin(docs, scratch, n, percent).run()
-    kept, again, rank = unused(docs.columns, "kept", "again", "rank")
-    first = scratch.save(groups.where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct(), "kept")
-    named = docs.join(first, F.col("doc_id") == F.col(kept), "left_semi")
+    again, rank = unused(docs.columns, "again", "rank")
+    kept = F.max(F.col("doc_id") == F.col("component_id")).alias("kept")
+    gone = scratch.save(groups.groupBy("doc_id").agg(kept).where("not kept").select("doc_id"), "gone")
+    named = without(docs.where("doc_id is not null"), gone, "doc_id")
     twice = named.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(again))
     if not twice.isEmpty():
         rows = named.join(twice, F.col("doc_id") == F.col(again), "left_semi")

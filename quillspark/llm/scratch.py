@@ -168,3 +168,23 @@ def bit_test(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each uint64 key is in the :func:`bitmap`."""
     k = keys & np.uint64(words.size * 64 - 1)
     return (words[k >> np.uint64(6)] >> (k & np.uint64(63))) & np.uint64(1) != 0
+
+
+def without(docs: DataFrame, gone: DataFrame, doc_id: str) -> DataFrame:
+    """The rows of ``docs`` but those whose id is in ``gone``, a written table of one column of distinct longs.
+
+    Only rows that a :func:`bitmap` of ``gone`` hits are shuffled with their texts, for the exact join; the
+    others can't be in it and stay where they are.
+    """
+    (name,) = unused(docs.columns, "gone")
+    gone = gone.toDF(name)
+    words = docs.sparkSession.sparkContext.broadcast(bitmap(gone, F.xxhash64(name), filter_bits(gone.count())))
+
+    @tidy
+    def may(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for keys in batches:
+            yield pa.array(bit_test(words.value, keys.to_numpy().view(np.uint64)), pa.bool_())
+
+    own = F.col(doc_id).cast("long")
+    hit = F.arrow_udf(may, "boolean")(F.xxhash64(own))
+    return docs.where(~hit).union(docs.where(hit).join(gone, own == F.col(name), "left_anti"))

@@ -863,3 +863,28 @@ def test_segments_are_packed_piece_by_piece(monkeypatch):
     assert packed < 3 * len(image) and read < 2 * ids.nbytes
     monkeypatch.setattr(token_output, "PACK_BLOCKS", 1 << 20)
     assert token_output.write_segment([7], counts, ids) == image and (token_output.read_segment(image)[3] == ids).all()
+
+
+def test_keep_one_shuffles_no_text_that_stays(spark):
+    """Few documents go, so the others' texts, nearly all bytes of the table, stay where they are however large the list is."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.integers(33, 127, 300).astype(np.uint8).tobytes().decode() for _ in range(12)) for _ in range(400)]
+    rows = [*enumerate(texts), (400, texts[5]), (401, texts[7] + " tail"), (None, texts[0])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    status = spark.sparkContext._jsc.sc().statusStore()
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+
+    def shuffled():
+        bus.waitUntilEmpty(30_000)
+        return status.executorSummary("driver").totalShuffleWrite()
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        got = [tuple(r) for r in ngram_join.keep_one(d, Scratch(spark, "t"), 4, 80).toLocalIterator()]
+        written = shuffled() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert collections.Counter(got) == collections.Counter([*enumerate(texts), (None, texts[0])])
+    assert written < sum(map(len, texts)) / 2
