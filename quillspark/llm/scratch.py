@@ -176,15 +176,21 @@ def without(docs: DataFrame, gone: DataFrame, doc_id: str) -> DataFrame:
     Only rows that a :func:`bitmap` of ``gone`` hits are shuffled with their texts, for the exact join; the
     others can't be in it and stay where they are.
     """
-    (name,) = unused(docs.columns, "gone")
+    name, block, words = unused(docs.columns, "gone", "block", "words")
     gone = gone.toDF(name)
-    words = docs.sparkSession.sparkContext.broadcast(bitmap(gone, F.xxhash64(name), filter_bits(gone.count())))
-
-    @tidy
-    def may(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for keys in batches:
-            yield pa.array(bit_test(words.value, keys.to_numpy().view(np.uint64)), pa.bool_())
-
+    bits = filter_bits(gone.count())
+    rows = bitmap(gone, F.xxhash64(name), bits).view(np.int64)
+    size = rows.size // FILTER_BLOCKS
+    ends = pa.array(np.arange(FILTER_BLOCKS + 1, dtype=np.int32) * size)
+    columns = [pa.array(np.arange(FILTER_BLOCKS)), pa.ListArray.from_arrays(ends, pa.array(rows))]
+    blocks = F.broadcast(docs.sparkSession.createDataFrame(pa.table(columns, names=[block, words])))
     own = F.col(doc_id).cast("long")
-    hit = F.arrow_udf(may, "boolean")(F.xxhash64(own))
-    return docs.where(~hit).union(docs.where(hit).join(gone, own == F.col(name), "left_anti"))
+    pos = F.xxhash64(own).bitwiseAND(F.lit((1 << bits) - 1))
+    at = F.shiftright(pos, 6)
+    word = F.get(F.col(words), at.bitwiseAND(F.lit(size - 1)).cast("int"))
+    bit = F.call_function("shiftright", word, pos.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
+    # by an outer join, of which no row may lack its word: Spark would move the exact join ahead of an inner one
+    tested = docs.join(blocks, F.shiftright(at, size.bit_length() - 1) == F.col(block), "left")
+    hit = word.isNull() | (bit == 1)
+    clear, near = (tested.where(x).select(*[F.col(f"`{c}`") for c in docs.columns]) for x in (~hit, hit))
+    return clear.union(near.join(gone, own == F.col(name), "left_anti"))
