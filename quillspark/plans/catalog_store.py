@@ -14,7 +14,7 @@ from quillspark.operators import search as se
 from quillspark.operators.docstore import DocumentStore
 from quillspark.plans import oracle as o
 from quillspark.sources import corpus
-from quillspark.sources.shared import shared_dir
+from quillspark.sources.shared import read_table, shared_dir
 
 #: Versions of the events' operations are moved up by this, so that all are given ones.
 SHIFT = 1_000_000
@@ -322,12 +322,11 @@ def _synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _docx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a docx file with a paragraph a line, and what is extracted from it."""
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+    rows = read_table(spark, f"{sf_dir}/documents.parquet").select(
         F.concat("doc_id", F.lit(".docx")).alias("path"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    # a process for each file: a single small table must not be a single task
-    files = rows.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_docx_files, "path string, content binary")
+    files = rows.mapInPandas(_docx_files, "path string, content binary")
     return corpus.extract_files(files).select("path", "title", "body", "error")
 
 

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.sources import files
-from quillspark.sources.extraction import MAX_TITLE, WHITE, clean_pdf_text, docx_text, extract, extract_limited, split_name  # noqa: F401
+from quillspark.sources.extraction import MAX_TITLE, WHITE, Parser, clean_pdf_text, docx_text, extract, extract_limited, split_name  # noqa: F401
 
+#: Characters of the texts that a task gives back at once.
+OUT_CHARS = 4 << 20
 DOC_SCHEMA = "id string, title string, body string, format string, size long, created long, updated long, file boolean"
 
 
@@ -92,13 +94,19 @@ def parse_txt(rows: DataFrame) -> DataFrame:
 def extract_files(files: DataFrame) -> DataFrame:
     """(path, content) to documents with an ``error`` column; docx and pdf are parsed in limited child processes."""
 
+    columns = ["path", "id", "title", "body", "format", "size", "error"]
+
     def run(batches):
-        for pdf in batches:
-            rows = [
-                {"path": p, "id": None, "title": None, "body": None, "format": None, "size": None} | extract_limited(p, bytes(c))
-                for p, c in zip(pdf["path"], pdf["content"], strict=True)
-            ]
-            yield pd.DataFrame(rows, columns=["path", "id", "title", "body", "format", "size", "error"])
+        with Parser() as parser:
+            for pdf in batches:
+                rows, held = [], 0
+                for p, c in zip(pdf["path"], pdf["content"], strict=True):
+                    rows.append(dict.fromkeys(columns) | {"path": p} | parser.extract(p, bytes(c)))
+                    held += len(rows[-1]["body"] or "")
+                    if held > OUT_CHARS:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
+                yield pd.DataFrame(rows, columns=columns)
 
     return files.select("path", "content").mapInPandas(
         run,

@@ -126,6 +126,38 @@ def test_extraction_is_limited():
     assert extraction.extract_limited("a.docx", b"PK")["error"] and extraction.extract_limited("a.txt", b"x")["title"] == "x"
 
 
+def test_one_process_parses_many_files():
+    def packed(text, marks=1):
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("word/document.xml", "<d>" + f"<t>{text}</t><p/>" * marks + "</d>")
+        return raw.getvalue()
+
+    files = [(f"{k}.docx", packed(f"word {k}")) for k in range(300)]
+    files += [("bad.docx", b"PK"), ("empty.docx", packed("")), ("xml.docx", packed("<")), ("a.txt", b"x"), ("late.docx", packed("late"))]
+    with extraction.Parser() as p:
+        got = [p.extract(*f) for f in files]
+        assert p.started == 1
+    assert got[:300] == [extraction.extract(*f) for f in files[:300]] and got[300:] == [extraction.extract_limited(*f) for f in files[300:]]
+
+
+def test_a_file_that_breaks_its_limits_leaves_the_next_ones_alone():
+    def packed(marks):
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("word/document.xml", "<d>" + "<t>word</t>" * marks + "</d>")
+        return raw.getvalue()
+
+    small, big = packed(1), packed(2_000_000)
+    with extraction.Parser(memory=150 << 20) as p:
+        assert [p.extract("a.docx", x)["error"] is None for x in (small, big, small, big, small)] == [True, False, True, False, True]
+    with extraction.Parser(wall=0.5) as p:
+        got = [p.extract("a.docx", x)["error"] for x in (small, big, small)]
+        assert got == [None, "extraction took too long", None]
+    with extraction.Parser(cpu=1) as p:
+        assert [p.extract("a.docx", x)["error"] for x in (small, big, small)] == [None, "extraction crashed", None]
+
+
 def test_both_paths_trim_alike(spark):
     texts = ["  T \n　body \x85", "\x1cx\n", "​zero width\ny"]
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
