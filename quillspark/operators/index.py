@@ -88,12 +88,25 @@ def lengths(a: DataFrame) -> DataFrame:
     return a.select("id", (2 * F.size("title_terms") + F.size("body_terms")).cast("long").alias("len"))
 
 
+#: Tokens of documents that a task codes and sorts at once, unless a single document has more.
+TOKENS = 250_000
 POSTING = "term string, id string, positions array<int>, title_tf long, tf long, len long"
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch cut between documents, so that what a task holds does not depend on the batch's size."""
+    total = np.cumsum(sum(np.diff(batch.column(k).offsets.to_numpy()).astype(np.int64) for k in (1, 2)))
+    start = 0
+    while start < batch.num_rows:
+        before = int(total[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(total, before + TOKENS, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _posting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The postings of whole documents: tokens are coded, sorted by document, term and position, and cut into groups."""
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in _pieces(whole)):
         sizes = [np.diff(batch.column(k).offsets.to_numpy()) for k in (1, 2)]
         n = batch.num_rows
         coded = pa.concat_arrays([batch.column(k).flatten() for k in (1, 2)]).dictionary_encode()

@@ -15,7 +15,7 @@ from quillspark.plans import catalog_store
 from quillspark.plans import oracle as o
 from quillspark.plans.query import Query, parse_query
 from quillspark.sources import corpus, files
-from quillspark.sources.shared import shared_dir
+from quillspark.sources.shared import read_table, shared_dir
 
 _CACHE: dict[tuple, ix.Index] = {}
 OR_Q, AND_Q = "anon the onan ention", "ble onan"
@@ -24,11 +24,7 @@ FUZZY = "tionthing"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:  # a single small file would be a single task
-        rows = rows.repartition(cores)
-    return corpus.from_table(rows, "doc_id", "text")
+    return corpus.from_table(read_table(spark, f"{sf_dir}/documents.parquet"), "doc_id", "text")
 
 
 def index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> ix.Index:

@@ -155,3 +155,32 @@ def test_queries_show_whole_lists(spark, name, column, mark, least):
     query = catalog.queries()[name]
     assert differs(spark, query, catalog.oracle_sql()[name], SF) == ""
     assert query(spark, SF).where(F.size(F.split(column, mark)) >= least).count() > 0
+
+
+def test_postings_are_made_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    rows = [{"id": str(k), "title_terms": list(map(str, rng.integers(9, size=k % 3))), "body_terms": list(map(str, rng.integers(30, size=k % 80)))} for k in range(200)]
+    words = pa.list_(pa.string())
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([("id", pa.string()), ("title_terms", words), ("body_terms", words)]))
+    made = [r for b in ix._posting_rows(iter([batch])) for r in b.to_pylist()]
+    monkeypatch.setattr(ix, "TOKENS", 50)
+    pieces = list(ix._pieces(batch))
+    assert sum(p.num_rows for p in pieces) == 200 and all(p.num_rows == 1 or sum(len(p.column(k).flatten()) for k in (1, 2)) <= 50 for p in pieces)
+    key = lambda r: (r["id"], r["term"])
+    assert sorted((r for b in ix._posting_rows(iter([batch])) for r in b.to_pylist()), key=key) == sorted(made, key=key)
+
+
+def test_tables_are_read_in_small_tasks(spark):
+    from quillspark.plans import catalog
+    from quillspark.sources.shared import small_tasks
+
+    key, batch = "spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, "24m")
+    spark.conf.unset(batch)
+    small_tasks(spark)
+    assert (spark.conf.get(key), spark.conf.get(batch)) == ("24m", f"{4 << 20}b")
+    spark.conf.unset(key)
+    catalog.documents(spark, SF)
+    assert spark.conf.get(key) == f"{16 << 20}b"
