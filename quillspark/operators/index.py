@@ -160,13 +160,17 @@ def statistics(length_rows: DataFrame) -> DataFrame:
 def build_index(docs: DataFrame, stemmed: bool = True, keep=None) -> Index:
     """Indexes documents with distinct ids (see :func:`insert` for repeated ones).
 
-    ``keep``: a storage level for the analysed texts, which postings, lengths and words all read.
+    ``keep``: a storage level for the analysed texts, which postings, lengths and words all read, and for the
+    lengths. Without stems the terms are the words, which are kept once.
     """
-    a = analyzed(docs, stemmed)
-    a = a.persist(keep) if keep is not None else a
-    rows = lengths(a)
+    a, kept = analyzed(docs, stemmed), ()
+    if keep is not None:
+        words_ = (a if stemmed else a.drop("title_terms", "body_terms")).persist(keep)
+        a = words_ if stemmed else words_.withColumns({f"{f}_terms": F.col(f"{f}_words") for f in ("title", "body")})
+        kept = (words_, lengths(a).persist(keep))
+    rows = kept[1] if kept else lengths(a)
     n, total, _ = statistics(rows).first()
-    return Index(docs, postings(a), rows, vocabulary(a), n, total, stemmed, kept=(a,) if keep is not None else ())
+    return Index(docs, postings(a), rows, vocabulary(a), n, total, stemmed, kept=kept)
 
 
 def insert(live: DataFrame, batch: DataFrame, order: str) -> DataFrame:
