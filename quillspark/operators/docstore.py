@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from quillspark.operators.highlight import with_highlight
 from quillspark.operators.store import stamp
 from quillspark.sources import files
+from quillspark.sources.shared import small_tasks
 
 DOC = "title string, body string, format string, size long, created long, updated long, file boolean"
 #: An operation: its place in the batch, what to do, a version (0 or null: the store gives one) and, for add, put and copy, a document.
@@ -32,6 +33,8 @@ STATE = f"id string, live boolean, dead boolean, version long, cleared long, seq
 #: What came of an operation, and in the last row of each id that changed its state.
 LOG = f"n long, op string, result string, applied boolean, last boolean, {STATE}"
 FILES = "id string, seq long, content binary"
+#: Rows, and characters of their texts, that a task gives back at once.
+OUT_ROWS, OUT_CHARS = 5000, 2 << 20
 _DOC = [c.split()[0] for c in DOC.split(", ")]
 _STATE = [c.split()[0] for c in STATE.split(", ")]
 _LOG = [c.split()[0] for c in LOG.split(", ")]
@@ -120,6 +123,7 @@ def _walked(base: int, now: int):
         walk: _Walk | None = None
         held: tuple | None = None
         out: list[tuple] = []
+        chars = 0
         for batch in batches:
             for r in batch.astype(object).where(batch.notna(), None).itertuples(index=False):
                 if walk is None or walk.id != r.id:
@@ -133,9 +137,10 @@ def _walked(base: int, now: int):
                     out.append(walk.row(*held, False))
                 result, applied = walk.step(r, base + int(r.n), now)
                 held = (int(r.n), r.op, result, applied)
-            if len(out) > 5000:
-                yield pd.DataFrame(out, columns=_LOG)
-                out = []
+                chars += len(r.body or "") + len(r.title or "")
+                if len(out) > OUT_ROWS or chars > OUT_CHARS:  # texts are far longer than the rest of a row
+                    yield pd.DataFrame(out, columns=_LOG)
+                    out, chars = [], 0
         if held:
             out.append(walk.row(*held, walk.changed))
         yield pd.DataFrame(out, columns=_LOG)
@@ -150,6 +155,7 @@ class DocumentStore:
     """
 
     def __init__(self, spark: SparkSession, root: str, snapshot_every: int = 1000, clock=None):
+        small_tasks(spark)
         self.spark, self.root, self.snapshot_every, self.clock = spark, root, snapshot_every, clock
         try:
             self.manifest = json.loads(files.current(spark, root))

@@ -241,3 +241,15 @@ def test_an_index_without_lengths_finds_nothing(spark):
 
 def test_stamps_only_grow():
     assert store.stamp(5, 100) == 100 and store.stamp(100, 100) == 101 and store.stamp(500, 100) == 501 and store.stamp(0) > 10**12
+
+
+def test_the_walk_gives_long_texts_back_in_pieces(monkeypatch):
+    import pandas as pd
+    from quillspark.operators import docstore
+
+    monkeypatch.setattr(docstore, "OUT_CHARS", 1000)
+    names = ["n", "op", *docstore._STATE]
+    given = {"op": "add", "version": 7, "title": "t", "body": "x" * 300, "format": "txt", "size": 300, "created": 0, "updated": 0, "file": False}
+    rows = pd.DataFrame([{"n": k, "id": f"{k:03d}"} | given for k in range(100)]).reindex(columns=names)
+    parts = list(docstore._walked(0, 1)(iter([rows])))
+    assert sum(map(len, parts)) == 100 and max(map(len, parts)) <= 5 and set(pd.concat(parts)["result"]) == {"indexed"}
