@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import lru_cache
+
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,13 +41,19 @@ def words(text: Column) -> Column:
     return F.filter(unicode_words(normalize(text)), lambda w: ~w.isin(*sorted(STOP_WORDS)))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stem_all(lists: pd.Series) -> pd.Series:
-    """Stems of arrays of words: a batch's words are joined and coded, and each distinct one is stemmed once."""
-    size = lists.map(len).to_numpy(dtype=np.int64)
-    code, distinct = pd.factorize(np.concatenate([np.asarray(x, dtype=object) for x in lists]) if size.sum() else np.zeros(0, dtype=object))
-    stems = np.array([stem(w) for w in distinct], dtype=object)[code] if size.sum() else np.zeros(0, dtype=object)
-    return pd.Series(np.split(stems, np.cumsum(size)[:-1]), index=lists.index, dtype=object) if len(lists) else lists
+@lru_cache(maxsize=1 << 16)
+def _stem_kept(word: str) -> str:
+    return stem(word)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stem_all(lists: pa.Array) -> pa.Array:
+    """Stems of arrays of words: a batch's words are coded as they lie in Arrow, and each distinct one is stemmed once."""
+    coded = lists.flatten().dictionary_encode()
+    stems = pa.array(map(_stem_kept, coded.dictionary.to_pylist()), pa.string())
+    ends = lists.offsets
+    offsets = pc.subtract(ends, ends[0])
+    return pa.ListArray.from_arrays(offsets, stems.take(coded.indices))
 
 
 def analyze(text: Column, stemmed: bool = True) -> Column:
