@@ -162,7 +162,7 @@ def _listing(**options):
 
 
 def _txt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+    files = read_table(spark, f"{sf_dir}/documents.parquet").select(
         F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
         F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"),
     )

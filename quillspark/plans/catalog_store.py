@@ -231,7 +231,7 @@ def _json_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a file; English ones exist already, French ones come as an unknown format."""
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = read_table(spark, f"{sf_dir}/documents.parquet")
     ext = F.when(F.col("lang") == "fr", ".xyz").otherwise(".TXT")
     files = rows.select(
         F.concat(F.lit("a\\b/"), F.col("doc_id").cast("string"), ext).alias("path"),
@@ -252,7 +252,7 @@ def _parse_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _extract_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What becomes of every file, broken ones included: texts in German lose their encoding, French ones their extension."""
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = read_table(spark, f"{sf_dir}/documents.parquet")
     path = F.concat(F.col("doc_id").cast("string"), F.when(F.col("lang") == "fr", "").otherwise(".txt"))
     broken = F.unhex(F.lit("FF"))
     content = F.encode(F.coalesce("text", F.lit("")), "UTF-8")

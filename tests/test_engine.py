@@ -184,3 +184,68 @@ def test_tables_are_read_in_small_tasks(spark):
     spark.conf.unset(key)
     catalog.documents(spark, SF)
     assert spark.conf.get(key) == f"{16 << 20}b"
+
+
+def test_bulk_search_broadcasts_few_queries_and_deals_many(spark, small, monkeypatch):
+    terms = "query_id int, terms array<string>, variants array<struct<term:string,variant:string>>, phrases array<array<string>>"
+    asked = [(1, ["bread", "butter"], [("bread", "loaf"), ("butter", "loaf")], [["bread"]]), (2, ["alpha", "gamma"], [], [["alpha", "beta"]]), (3, ["none"], [], [])]
+    q = spark.createDataFrame(asked, terms)
+    rows = lambda df: sorted((r["query_id"], r["id"], round(r["score"], 9)) for r in df.collect())
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    tables = [q.drop(*x) for x in (["variants", "phrases"], ["phrases"], ["variants"], [])]
+    few = [search.bulk_search(small, t, 3, a) for t in tables for a in (False, True)]
+    assert all("strategy=broadcast" in plan(f) for f in few)
+    # sets of terms are gathered only where a variant may stand for several
+    assert ["flatten(collect_set" in plan(f) for f in few] == [False, False, False, True, False, False, False, True]
+    got = [rows(f) for f in few]
+    monkeypatch.setattr(search, "FEW", 0)
+    many = [search.bulk_search(small, t, 3, a) for t in tables for a in (False, True)]
+    assert not any("strategy=broadcast" in plan(f) for f in many) and [rows(f) for f in many] == got
+    assert {(r[0], r[1]) for r in got[0]} == {(1, "1"), (1, "2"), (2, "10"), (2, "9")} and {r[1] for r in got[1] if r[0] == 1} == {"1", "2"}
+
+
+def test_hits_are_found_as_by_whole_segmentation():
+    from quillspark.operators.highlight import Marker
+
+    rng = np.random.default_rng(3)
+    signs = np.array(list("ab1²_'.,:Σσ İё́中文あ\x85\xa0 \t\nanon"))
+    texts = ["".join(rng.choice(signs, rng.integers(60))) for _ in range(3000)] + ["anon" * 40 + " anon", "中文anon中", ""]
+    for terms, stemmed in (({"anon", "ab"}, False), ({"a", "中", "σ", "1", "е", "σ'a"}, False), ({"anon", "a"}, True)):
+        marker = Marker(frozenset(terms), stemmed)
+        for t in texts:
+            want = [(at, at + len(w)) for at, w in text_words(t) if any(x in terms for x in analyze_text(w, stemmed))]
+            assert marker.spans(t) == want
+
+
+def test_highlighting_segments_a_stretch_of_text_once(monkeypatch):
+    from quillspark.operators import highlight as hl
+
+    calls = []
+    monkeypatch.setattr(hl, "text_words", lambda t: calls.append(t) or text_words(t))
+    marked = hl.highlight("some anon word " * 500, {"anon"}, False)
+    assert sum(x["hl"] for x in marked) == 500 and len(calls) == 1
+
+
+def test_stems_of_parts_of_lists():
+    import pyarrow as pa
+    from quillspark.functions.analysis import stem_all
+
+    lists = pa.array([["running", "cats"], [], ["важная", "running"], ["x"]], pa.list_(pa.string()))
+    want = [["run", "cat"], [], ["важн", "run"], ["x"]]
+    assert stem_all.func(lists).to_pylist() == want and stem_all.func(lists.slice(1, 2)).to_pylist() == want[1:3]
+
+
+def test_extraction_gives_texts_back_in_pieces(monkeypatch, spark):
+    import pandas as pd
+
+    monkeypatch.setattr(corpus, "OUT_CHARS", 1000)
+
+    class Files:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):  # noqa: N802
+            return list(run([pd.DataFrame({"path": [f"{k}.txt" for k in range(50)], "content": [b"t\n" + b"x" * 300] * 50})]))
+
+    parts = corpus.extract_files(Files())
+    assert sum(map(len, parts)) == 50 and max(map(len, parts)) == 4 and all(p["error"].isna().all() for p in parts)
