@@ -16,6 +16,8 @@ from quillspark.plans.query import VARIANT_WEIGHT, Query, check_window, last_pre
 
 K1, B, PROXIMITY = 1.2, 0.75, 1.0
 HIT = "id string, title string, score double"
+#: Rows (query, term) up to which queries go to all tasks, and the postings need not be dealt and sorted by term.
+FEW = 100_000
 
 
 def idf(n, df) -> Column:
@@ -188,12 +190,17 @@ def search(
     return Response(int((time.monotonic() - began) * 1000), total, offset, size, joined.select(columns).orderBy(F.desc("score"), "id"), terms)
 
 
+def _are_few(rows: DataFrame) -> bool:
+    return rows.limit(FEW + 1).count() <= FEW
+
+
 def bulk_search(index: Index, queries: DataFrame, top: int, all_terms: bool = False) -> DataFrame:
     """(query_id, id, score, place) of the best documents for many queries at once.
 
     ``queries``: query_id, terms (array), and if wanted variants (array of (term, variant)) and phrases
-    (array of arrays of terms, which all must occur). Terms join the postings on the term, which Spark
-    can split for frequent ones; document frequencies ride on the query side. With ``all_terms`` each
+    (array of arrays of terms, which all must occur). Terms join the postings on the term: up to FEW of
+    them are broadcast, and of more Spark can split the frequent ones; document frequencies ride on the
+    query side. With ``all_terms`` each
     term or one of its variants must occur. No proximity bonus.
     """
     from pyspark.sql import Window as W
@@ -207,10 +214,16 @@ def bulk_search(index: Index, queries: DataFrame, top: int, all_terms: bool = Fa
         )
         q = q.union(extra.select("query_id", "v.term", "v.variant", F.lit(VARIANT_WEIGHT)).distinct())
     # a variant of two terms counts once in the score and for both in the match
-    q = q.groupBy("query_id", "term").agg(F.max("w").alias("w"), F.collect_set("asked").alias("asked")).join(index.terms, "term")
+    q = q.groupBy("query_id", "term").agg(F.max("w").alias("w"), F.collect_set("asked").alias("asked"))
+    few = F.broadcast if _are_few(q) else lambda rows: rows
+    q = few(few(q).join(index.terms, "term"))
     hit = index.postings.select("term", "id", "tf", "len").join(q, "term")
     score = F.col("w") * term_score(idf(F.lit(index.n), F.col("df")), F.col("tf").cast("double"), F.col("len"), F.lit(index.avgdl))
-    found = hit.groupBy("query_id", "id").agg(F.sum(score).alias("score"), F.size(F.array_distinct(F.flatten(F.collect_set("asked")))).alias("met"))
+    gathered = [F.sum(score).alias("score")]
+    if all_terms:  # only then: sets make an aggregation of objects, which sorts all of a task's hits
+        met = F.size(F.array_distinct(F.flatten(F.collect_set("asked")))) if "variants" in have else F.count("*")
+        gathered.append(met.alias("met"))
+    found = hit.groupBy("query_id", "id").agg(*gathered)
     if all_terms:
         found = found.join(terms.groupBy("query_id").agg(F.count("*").alias("n")), "query_id").where(F.col("met") == F.col("n"))
     if "phrases" in have:
@@ -224,7 +237,7 @@ def _with_phrases(index: Index, queries: DataFrame, found: DataFrame) -> DataFra
     p = queries.select("query_id", F.posexplode("phrases").alias("phrase", "words")).where(F.size("words") > 0)
     needed = p.groupBy("query_id").agg(F.count("*").alias("needed"))
     words = p.select("query_id", "phrase", F.size("words").alias("n"), F.posexplode("words").alias("nth", "term"))
-    at = index.postings.select("term", "id", "positions").join(words, "term")
+    at = index.postings.select("term", "id", "positions").join(F.broadcast(words) if _are_few(words) else words, "term")
     at = at.join(found.select("query_id", "id"), ["query_id", "id"], "left_semi")
     starts = at.select("query_id", "id", "phrase", "n", "nth", F.explode("positions").alias("pos"))
     whole = starts.groupBy("query_id", "id", "phrase", "n", (F.col("pos") - F.col("nth")).alias("start")).agg(F.count("*").alias("c")).where("c = n")

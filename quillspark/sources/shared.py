@@ -7,11 +7,13 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of an Arrow batch and of a table's files for a task, where the session has Spark's defaults of 64 and 128 MB.
+#: Bytes of an Arrow batch, and of a table's files or of shuffled rows for a task, where the session has Spark's
+#: defaults of 64, 128 and 64 MB. 64 MB of shuffled pairs (query, document) take 700 MB of a task's memory.
 BATCH_BYTES, TASK_BYTES = 4 << 20, 16 << 20
 _SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": (64 << 20, BATCH_BYTES),
     "spark.sql.files.maxPartitionBytes": (128 << 20, TASK_BYTES),
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": (64 << 20, TASK_BYTES),
 }
 _UNITS = {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30}
 

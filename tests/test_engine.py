@@ -183,7 +183,7 @@ def test_tables_are_read_in_small_tasks(spark):
     assert (spark.conf.get(key), spark.conf.get(batch)) == ("24m", f"{4 << 20}b")
     spark.conf.unset(key)
     catalog.documents(spark, SF)
-    assert spark.conf.get(key) == f"{16 << 20}b"
+    assert spark.conf.get(key) == f"{16 << 20}b" and spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == f"{16 << 20}b"
 
 
 def test_bulk_search_broadcasts_few_queries_and_deals_many(spark, small, monkeypatch):
